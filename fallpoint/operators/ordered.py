@@ -31,7 +31,9 @@ def _blocks(data: DataFrame, by: list[str], key: str) -> DataFrame:
         F.sequence(F.lit(1), F.lit(BLOCKS)),
         lambda i: F.element_at("_ks", F.ceil(i * n / F.lit(BLOCKS)).cast("int")))))
         .alias("_b"))
-    return data.withColumn("_block", F.size(F.filter(bounds.scalar(), lambda b: b <= F.col(key))))
+    out = data.withColumn("_bounds", bounds.scalar())
+    return (out.withColumn("_block", F.size(F.filter("_bounds", lambda b: b <= F.col(key))))
+            .drop("_bounds"))
 
 
 def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> DataFrame:
