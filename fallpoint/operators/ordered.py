@@ -17,23 +17,33 @@ from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
 
-BLOCKS = 64
+SIDE = 8
 SAMPLE = 2048
 
 
 def _blocks(data: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Add ``_block``: how many sampled bounds lie at or below the key."""
+    """Add ``_block``, the number of the key interval a row falls into.
+
+    Up to 64 bounds are kept in two levels of eight, so that a key is compared with at
+    most sixteen of them.
+    """
     picked = (data.select(F.xxhash64(*by, key).alias("_h"), F.col(key).alias("_k"))
               .orderBy("_h", "_k").limit(SAMPLE))
-    keys = picked.agg(F.array_sort(F.collect_set("_k")).alias("_ks"))
-    n = F.size("_ks")
-    bounds = keys.select(F.when(n > 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.lit(BLOCKS)),
-        lambda i: F.element_at("_ks", F.ceil(i * n / F.lit(BLOCKS)).cast("int")))))
-        .alias("_b"))
+    keys = picked.agg(F.array_sort(F.collect_set("_k")).alias("ks"))
+    n = F.size("ks")
+
+    def cut(i: Column) -> Column:
+        return F.element_at("ks", F.greatest(F.ceil(i * n / F.lit(SIDE * SIDE)), F.lit(1)).cast("int"))
+
+    group = F.sequence(F.lit(1), F.lit(SIDE - 1))
+    coarse = F.transform(group, lambda g: cut(g * SIDE))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)),
+                       lambda g: F.transform(group, lambda i: cut(g * SIDE + i)))
+    bounds = keys.select(F.when(n > 0, F.struct(coarse.alias("coarse"), fine.alias("fine"))))
     out = data.withColumn("_bounds", bounds.scalar())
-    return (out.withColumn("_block", F.size(F.filter("_bounds", lambda b: b <= F.col(key))))
-            .drop("_bounds"))
+    out = out.withColumn("_c", F.size(F.filter(F.col("_bounds.coarse"), lambda b: b <= F.col(key))))
+    inner = F.filter(F.element_at(F.col("_bounds.fine"), F.col("_c") + 1), lambda b: b <= F.col(key))
+    return (out.withColumn("_block", F.col("_c") * SIDE + F.size(inner)).drop("_bounds", "_c"))
 
 
 def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> DataFrame:
