@@ -1,7 +1,8 @@
 """Order statistics over whole tables without a single-task sort.
 
 Ranks, quantiles, dense indexes and rank-sum metrics all need running totals along a
-sorted key.  :func:`running_totals` splits the sorted keys of a group into blocks of
+sorted key.  :func:`running_totals` stores its input - already one row per distinct key -
+and counts it.  Up to ``SMALL`` rows a plain window does; beyond, it splits the sorted keys of a group into blocks of
 near-equal size, sums inside each block and adds the totals of the blocks before it, so
 no task ever holds more than one block of one group.  The block bounds come from the keys
 with the smallest hashes - a uniform sample that depends only on the data, so the two
@@ -16,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
+from fallpoint.lineage import cut
 
 SIDE = 8
 SAMPLE = 2048
+SMALL = 500_000
 
 
 def _blocks(data: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -53,6 +56,17 @@ def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> Dat
     effect of one key value being very common.
     """
     by = as_list(by)
+    data = cut(data)
+    if data.count() <= SMALL:
+        w = Window.partitionBy(*by).orderBy(key)
+        return data.withColumns({
+            **{f"before_{c}": F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+               for c in sums},
+            **{f"total_{c}": F.sum(c).over(Window.partitionBy(*by)) for c in sums}})
+    return _blockwise_totals(data, by, key, sums)
+
+
+def _blockwise_totals(data: DataFrame, by: list[str], key: str, sums: Sequence[str]) -> DataFrame:
     rows = _blocks(data, by, key)
     per_block = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

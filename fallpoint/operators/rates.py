@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list, by_day
+from fallpoint.lineage import cut
 from fallpoint.operators import grid
 from fallpoint.operators.detect import first_deep_fall, gather_paths, peak_near
 from fallpoint.operators.quality import drop_incomplete
@@ -130,7 +131,7 @@ def compare_rate_days(rate_days: DataFrame, labels: DataFrame, *, id_col, window
     ids = as_list(id_col)
     rows = rate_days.join(labels.select(*ids, F.col("occurred"), F.col("day").alias("level_day")), ids, "left")
     gap = F.when(F.col("occurred") & F.col("rate_day").isNotNull(), F.col("rate_day") - F.col("level_day"))
-    rows = rows.withColumn("gap", gap)
+    rows = cut(rows.withColumn("gap", gap))
     out = rows.groupBy("dilution").agg(
         F.count("rate_day").alias("with_event"),
         F.count_if(F.col("rate_day").isNotNull() == F.col("occurred")).alias("agree"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fallpoint.contracts import whole
 from fallpoint.functions import columns as fx
+from fallpoint.lineage import cut
 from fallpoint.operators import compare, detect, features, grid, profile, rates, risk, stats
 from fallpoint.operators.ordered import exact_quantiles
 from fallpoint.plans import baselines, metrics, resample
@@ -108,7 +109,7 @@ def _(spark, sf):
 
 
 _feat = lambda c: f"""round(arg_max("{c}", day) filter (where day between 1 and 4 and "{c}" is not null), 6) as {c}_last,
-    round(regr_slope("{c}", day) filter (where day between 1 and 4), 6) as {c}_slope,
+    round(case when count("{c}") filter (where day between 1 and 4) > 1 then regr_slope("{c}", day) filter (where day between 1 and 4) end, 6) as {c}_slope,
     round(avg("{c}") filter (where day between 1 and 4), 6) as {c}_mean, count("{c}") filter (where day between 1 and 4) as {c}_n"""
 _lastv = lambda c: f"""(arg_max("{c}", day) filter (where day between 1 and 4 and "{c}" is not null))"""
 
@@ -122,8 +123,8 @@ def _(spark, sf):
     return d.select(*[c if c in keep else r6(c) for c in d.columns])
 
 
-@query("i8_slopes", with_ctes({}, """select id, round(regr_slope(level, day), 6) as level_slope, round(regr_slope(purchase, day)
-    filter (where day <= 4), 6) as purchase_slope from ud group by id"""))
+@query("i8_slopes", with_ctes({}, """select id, round(regr_slope(level, day), 6) as level_slope, round(case when count(purchase) filter (where day <= 4) > 1
+    then regr_slope(purchase, day) filter (where day <= 4) end, 6) as purchase_slope from ud group by id"""))
 def _(spark, sf):
     d = user_days(spark, sf)
     early = F.when(F.col("day") <= 4, F.col("purchase"))
@@ -318,12 +319,12 @@ def _(spark, sf):
 
 @query("i21_design_rows", with_ctes(_lab | _mw | {"x": """select *, lead(level) over w as l1, lead(exposure) over w as x1 from mw
     window w as (partition by id order by day)""", "g": """select *, greatest(x1 - exposure, 0) as gr, (exposure + x1) / 2 as ar from x where l1 is not null"""},
-    """select id, day, round((1 - state) * gr, 6) as a0, round((1 - state) * ar, 6) as a1, round(-state * level * ar, 6) as a2,
-    round((1 - state) * gr * coalesce(click_prev, 0), 6) as a3, round((1 - state) * gr * coalesce(view_prev, 0), 6) as a4,
-    round(-(1 - state) * gr * level, 6) as a5, round(l1 - level, 6) as dy from g"""))
+    """select id, day, round((1 - state) * gr, 9) as a0, round((1 - state) * ar, 9) as a1, round(-state * level * ar, 9) as a2,
+    round((1 - state) * gr * coalesce(click_prev, 0), 9) as a3, round((1 - state) * gr * coalesce(view_prev, 0), 9) as a4,
+    round(-(1 - state) * gr * level, 9) as a5, round(l1 - level, 9) as dy from g"""))
 def _(spark, sf):
     d = risk.design_rows(window_rows(spark, sf), **LX, covariates=["click_prev", "view_prev"], state="state", inhibitor="level")
-    return d.select("id", "day", *[r6(f"a{i}") for i in range(6)], r6("dy"))
+    return d.select("id", "day", *[F.round(f"a{i}", 9).alias(f"a{i}") for i in range(6)], F.round("dy", 9).alias("dy"))
 
 
 _tm = ["level", "click", "view"]
@@ -349,7 +350,7 @@ _cons = {"c": """select w.id, w.day, level / mx as rl, -(l1 - level) / ((exposur
 
 
 def consumption(spark, sf):
-    w = window_rows(spark, sf)
+    w = cut(window_rows(spark, sf))
     ev = w.groupBy("id").agg(F.max("event_day").alias("day"))
     return rates.consumption_after_event(w, ev, **LX)
 
@@ -524,15 +525,15 @@ def _(spark, sf):
     return d.select("id", "fold", "global_median", "group_median")
 
 
-_scores = _lab | pp_sql("dy", "lab", "p") | {"sx": """select id, day, y, segment, round(coalesce(exposure, 0) * 0.01 + coalesce("view", 50) * 0.001, 4) as s0,
-    round(1 / (1 + exp(-(coalesce(exposure, 0) * 0.05 - 2))), 4) as s1 from p"""}
+_scores = _lab | pp_sql("dy", "lab", "p") | {"sx": """select id, day, y, segment, round(coalesce(exposure, 0) * 0.01 + coalesce("view", 50) * 0.001, 9) as s0,
+    round(1 / (1 + exp(-(coalesce(exposure, 0) * 0.05 - 2))), 9) as s1 from p"""}
 
 
 def scored_rows(spark, sf):
     d = pp(spark, sf)
     x, v = F.coalesce("exposure", F.lit(0)), F.coalesce("view", F.lit(50))
-    return d.select("id", "day", "y", "segment", F.round(x * 0.01 + v * 0.001, 4).alias("s0"),
-                    F.round(1 / (1 + F.exp(-(x * 0.05 - 2))), 4).alias("s1"))
+    return d.select("id", "day", "y", "segment", F.round(x * 0.01 + v * 0.001, 9).alias("s0"),
+                    F.round(1 / (1 + F.exp(-(x * 0.05 - 2))), 9).alias("s1"))
 
 
 _auc = lambda s: f"(sum(r) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0) / (count(*) filter (where y = 1) * count(*) filter (where y = 0))"
