@@ -1,4 +1,4 @@
-from workload import basics, series  # noqa: F401
+from workload import basics, modelling, series  # noqa: F401
 from workload.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
