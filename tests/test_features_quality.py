@@ -23,7 +23,7 @@ def feats(df, **kw):
 def test_early_window(table):
     got = feats(table)
     assert got["a"]["v_last"] == 10 and got["a"]["v_mean"] == pytest.approx(13 / 3) and got["a"]["v_n"] == 3
-    assert got["a"]["v_slope"] == pytest.approx(43 / 14) and got["a"]["v_over_w"] == 5
+    assert got["a"]["v_slope"] == pytest.approx(22 / 7) and got["a"]["v_over_w"] == 5
     assert got["b"]["v_last"] is None and got["b"]["v_n"] == 0 and got["b"]["s"] == "y"
     assert got["c"]["v_over_w"] is None and got["c"]["s"] is None
 

@@ -85,4 +85,4 @@ def test_modelling_window_cut_and_lag(spark, labels):
     assert risk.modelling_window(df, labels, **ARGS, covariates=["c"], keep=None).count() == 6
     d = risk.design_rows(risk.modelling_window(df, labels, **ARGS, covariates=["c"], keep=None), **ARGS, covariates=["c_prev"],
                          inhibitor="exposure").toPandas().sort_values("day")
-    assert d.a0.tolist() == [3, 1, 0, 2, 3] and d.dy.tolist() == [1] * 5 and d.a4.tolist() == [0, -2.5, 0, -23, -42]
+    assert d.a0.tolist() == [3, 1, 0, 2, 3] and d.dy.tolist() == [1] * 5 and d.a4.tolist() == [0, -2.5, 0, -23, -49.5]
