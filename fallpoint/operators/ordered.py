@@ -4,9 +4,9 @@ Ranks, quantiles, dense indexes and rank-sum metrics all need running totals alo
 sorted key.  :func:`running_totals` stores its input - already one row per distinct key -
 and counts it.  Up to ``SMALL`` rows a plain window does; beyond, it splits the sorted keys of a group into blocks of
 near-equal size, sums inside each block and adds the totals of the blocks before it, so
-no task ever holds more than one block of one group.  The block bounds come from the keys
-with the smallest hashes - a uniform sample that depends only on the data, so the two
-branches that use it always agree, also after a lost executor.
+no task ever holds more than one block of one group.  The block bounds come from a sample
+by hash that depends only on the stored data, so the two branches that use it always
+agree, also after a lost executor.
 """
 
 from __future__ import annotations
@@ -19,34 +19,44 @@ from pyspark.sql import functions as F
 from fallpoint.contracts import as_list
 from fallpoint.lineage import cut
 
-SIDE = 8
-SAMPLE = 2048
-SMALL = 500_000
+SMALL = 500_000          # rows one task may hold in a plain window
+SIDE = 16                # key intervals are found by levels of sixteen
+PER_BLOCK = 500_000      # rows aimed at per key interval
+PER_CUT = 32             # sampled keys per interval bound
 
 
-def _blocks(data: DataFrame, by: list[str], key: str) -> DataFrame:
+def _levels(rows: int) -> int:
+    """Levels of sixteen needed so that an interval holds about ``PER_BLOCK`` rows (1 to 4)."""
+    levels = 1
+    while SIDE ** levels * PER_BLOCK < rows and levels < 4:
+        levels += 1
+    return levels
+
+
+def _blocks(data: DataFrame, by: list[str], key: str, rows: int) -> DataFrame:
     """Add ``_block``, the number of the key interval a row falls into.
 
-    Up to 64 bounds are kept in two levels of eight, so that a key is compared with at
-    most sixteen of them.
+    The number of intervals grows with the table.  Bounds are quantiles of the keys whose
+    hash falls below a threshold; a key is compared with fifteen bounds per level.
     """
-    picked = (data.select(F.xxhash64(*by, key).alias("_h"), F.col(key).alias("_k"))
-              .orderBy("_h", "_k").limit(SAMPLE))
-    keys = picked.agg(F.array_sort(F.collect_set("_k")).alias("ks"))
+    levels = _levels(rows)
+    many = SIDE ** levels
+    space = 1 << 30
+    limit = min(space, max(1, int(space * min(1.0, many * PER_CUT / max(rows, 1)))))
+    sample = data.where(F.pmod(F.xxhash64(*by, key), F.lit(space)) < limit).select(F.col(key).alias("_k"))
+    keys = sample.agg(F.array_sort(F.collect_set("_k")).alias("ks"))
     n = F.size("ks")
-
-    def cut(i: Column) -> Column:
-        return F.element_at("ks", F.greatest(F.ceil(i * n / F.lit(SIDE * SIDE)), F.lit(1)).cast("int"))
-
-    group = F.sequence(F.lit(1), F.lit(SIDE - 1))
-    coarse = F.transform(group, lambda g: cut(g * SIDE))
-    fine = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)),
-                       lambda g: F.transform(group, lambda i: cut(g * SIDE + i)))
-    bounds = keys.select(F.when(n > 0, F.struct(coarse.alias("coarse"), fine.alias("fine"))))
-    out = data.withColumn("_bounds", bounds.scalar())
-    out = out.withColumn("_c", F.size(F.filter(F.col("_bounds.coarse"), lambda b: b <= F.col(key))))
-    inner = F.filter(F.element_at(F.col("_bounds.fine"), F.col("_c") + 1), lambda b: b <= F.col(key))
-    return (out.withColumn("_block", F.col("_c") * SIDE + F.size(inner)).drop("_bounds", "_c"))
+    cuts = keys.select(F.when(n > 0, F.transform(
+        F.sequence(F.lit(1), F.lit(many - 1)),
+        lambda i: F.element_at("ks", F.greatest(F.ceil(i * n / F.lit(many)), F.lit(1)).cast("int")))))
+    out = data.withColumn("_cuts", cuts.scalar()).withColumn("_block", F.lit(0))
+    for level in reversed(range(levels)):
+        stride = SIDE ** level
+        below = F.filter(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda j: F.element_at(
+            F.col("_cuts"), F.col("_block") + j * F.lit(stride)) <= F.col(key))
+        out = out.withColumn("_block", F.when(F.col("_cuts").isNull(), F.lit(0))
+                             .otherwise(F.col("_block") + F.size(below) * stride))
+    return out.drop("_cuts")
 
 
 def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> DataFrame:
@@ -57,17 +67,18 @@ def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> Dat
     """
     by = as_list(by)
     data = cut(data)
-    if data.count() <= SMALL:
+    n = data.count()
+    if n <= SMALL:
         w = Window.partitionBy(*by).orderBy(key)
         return data.withColumns({
             **{f"before_{c}": F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                for c in sums},
             **{f"total_{c}": F.sum(c).over(Window.partitionBy(*by)) for c in sums}})
-    return _blockwise_totals(data, by, key, sums)
+    return _blockwise_totals(data, by, key, sums, n)
 
 
-def _blockwise_totals(data: DataFrame, by: list[str], key: str, sums: Sequence[str]) -> DataFrame:
-    rows = _blocks(data, by, key)
+def _blockwise_totals(data: DataFrame, by: list[str], key: str, sums: Sequence[str], n: int) -> DataFrame:
+    rows = _blocks(data, by, key, n)
     per_block = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     allof = Window.partitionBy(*by)

@@ -384,16 +384,17 @@ def simulate(rows: DataFrame, *, id_col, day_col: str, level_col: str, half: str
         above = f"greatest({pos} - coalesce({floor or '0.0D'}, 0.0D), 0.0D)"
         eaten = f"(a.pt * if({half} is null, {pos}, {above} / ({half} + {above})))"
     begin = f"x.day = {start_day}" if start_day else "a.s IS NULL"
+    now = f"IF({begin}, x.level, IF(a.s IS NULL, NULL, greatest(a.s + a.pg - a.pl * a.s - {eaten}, 0.0D)))"
+    # results are kept in runs of 256 so that appending stays cheap on long series
     body = f"""
         aggregate(_path,
           named_struct('s', cast(null as double), 'pg', 0.0D, 'pl', 0.0D, 'pt', 0.0D,
-                       'all', cast(array() as array<double>)),
+                       'run', cast(array() as array<double>), 'done', cast(array() as array<array<double>>)),
           (a, x) -> named_struct(
-             's', IF({begin}, x.level, IF(a.s IS NULL, NULL, greatest(a.s + a.pg - a.pl * a.s - {eaten}, 0.0D))),
-             'pg', coalesce(x.gain, 0.0D), 'pl', coalesce(x.loss, 0.0D), 'pt', coalesce(x.sat, 0.0D),
-             'all', array_append(a.all, IF({begin}, x.level,
-                    IF(a.s IS NULL, NULL, greatest(a.s + a.pg - a.pl * a.s - {eaten}, 0.0D))))),
-          a -> a.all)"""
+             's', {now}, 'pg', coalesce(x.gain, 0.0D), 'pl', coalesce(x.loss, 0.0D), 'pt', coalesce(x.sat, 0.0D),
+             'run', IF(size(a.run) >= 256, array({now}), array_append(a.run, {now})),
+             'done', IF(size(a.run) >= 256, array_append(a.done, a.run), a.done)),
+          a -> flatten(array_append(a.done, a.run)))"""
     path = path.withColumn("_sim", F.expr(body))
     flat = path.select(*ids, *consts, F.inline(F.arrays_zip("_path", "_sim")))
     return flat.select(*ids, *consts, F.col("_path.day").alias(day_col), F.col("_path.level").alias(level_col),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
 from fallpoint.functions.columns import hash_int, hash_key
+from fallpoint.lineage import cut
 from fallpoint.operators.ordered import dense_index, exact_quantiles
 
 
@@ -138,14 +139,15 @@ def leave_one_group_out(fit_predict: Callable[[DataFrame, DataFrame], DataFrame]
     ``fit_predict`` takes (training rows, test rows) and returns the test rows with a
     ``prediction``; ``metric`` is an aggregate over them.  One fit per group.
     """
+    rows = cut(rows)
     sizes = group_sizes(rows, group=group, min_group_size=min_group_size)
     out = None
     for r in sizes.orderBy(group).collect():
         test = rows.where(F.col(group) == r[group])
         train = rows.where(~F.col(group).eqNullSafe(F.lit(r[group])))
         one = fit_predict(train, test).agg(metric.alias("score")).select(
-            F.lit(r[group]).alias("group"), F.lit(r["n_test"]).alias("n_test"),
-            F.lit(r["n_train"]).alias("n_train"), "score")
+            F.lit(r[group]).alias("group"), F.lit(r["n_test"]).cast("long").alias("n_test"),
+            F.lit(r["n_train"]).cast("long").alias("n_train"), "score")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return rows.sparkSession.createDataFrame([], "group string, n_test long, n_train long, score double")

@@ -200,6 +200,14 @@ def test_simulate_restart_saturable_and_floor(spark):
     assert np.isnan(got[:2]).all() and np.allclose(got[2:], want[2:])
 
 
+def test_simulate_long_series(spark):
+    n = 1000
+    df = spark.range(n).selectExpr("'a' as id", "cast(id + 1 as int) as day", "10.0D as level", "1.0D as gain", "0.01D as loss", "0.0D as sat")
+    sim = panel.simulate(df, id_col="id", day_col="day", level_col="level").toPandas().sort_values("day")["simulated"].to_numpy()
+    want = 100 - 90 * 0.99 ** np.arange(n)
+    assert len(sim) == n and np.allclose(sim, want)
+
+
 def test_bounded_minimum():
     a, b = np.array([[2.0, 0.5], [0.5, 1.0]]), np.array([-1.0, 2.0])
     assert np.allclose(panel.bounded_minimum(a, b, [0.0, 0.0]), [0.0, 2.0])

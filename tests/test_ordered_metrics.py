@@ -7,12 +7,16 @@ from fallpoint.operators import compare, ordered, stats
 from fallpoint.plans import metrics, resample
 
 
-@pytest.fixture(scope="module", params=["window", "blocks"])
+@pytest.fixture(scope="module", params=["window", "blocks", "deep blocks"])
 def path(request):
-    """Both ways of forming running totals must agree with brute force."""
-    old, ordered.SMALL = ordered.SMALL, (0 if request.param == "blocks" else ordered.SMALL)
+    """All ways of forming running totals must agree with brute force."""
+    old = ordered.SMALL, ordered.PER_BLOCK
+    if request.param != "window":
+        ordered.SMALL = 0
+    if request.param == "deep blocks":
+        ordered.PER_BLOCK = 1
     yield request.param
-    ordered.SMALL = old
+    ordered.SMALL, ordered.PER_BLOCK = old
 
 
 @pytest.fixture(scope="module")
