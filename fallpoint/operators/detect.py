@@ -62,24 +62,28 @@ def first_deep_fall(path: str, cand: str, threshold: str) -> Column:
           a -> IF(a.hit, named_struct('val', a.val, 'pos', a.pos, 'low', a.low), NULL))""")
 
 
-def peak_near(path: str, pos: str, reach: int) -> Column:
+def peak_near(path: str, pos: str, reach: int | str) -> Column:
     """Day of the largest raw value within ``reach`` items of ``pos``, earliest on ties."""
     return F.expr(f"""
         (-array_max(transform(filter(
-            slice({path}, greatest({pos} - {reach}, 1), {pos} + {reach} - greatest({pos} - {reach}, 1) + 1),
+            slice({path}, cast(greatest({pos} - ({reach}), 1) as int),
+                  cast({pos} + ({reach}) - greatest({pos} - ({reach}), 1) + 1 as int)),
             x -> x.v IS NOT NULL), x -> struct(x.v, -x.day as neg))).neg)""")
 
 
+def _grid_rows(data: DataFrame, ids: list[str], day_col: str, value_col: str, regularize_grid: bool,
+               on_error: str) -> DataFrame:
+    if regularize_grid:
+        return grid.regularize(data, id_col=ids, day_col=day_col, value_cols=[value_col], on_error=on_error)
+    rows = clean(data.select(*ids, day_col, value_col), id_col=ids, value_cols=[value_col])
+    return rows.withColumn("last_day", F.max(day_col).over(grid.whole(ids)))
+
+
 def smoothed_paths(data: DataFrame, *, id_col, day_col: str, value_col: str, smooth_window: int,
                    max_run: int, regularize_grid: bool = True, on_error: str = "assert") -> DataFrame:
     """One row per id: ``path`` of (pos, day, v, s, run), ``last_day``, ``n_values``."""
     ids = as_list(id_col)
-    if regularize_grid:
-        rows = grid.regularize(data, id_col=ids, day_col=day_col, value_cols=[value_col],
-                               on_error=on_error)
-    else:
-        rows = clean(data.select(*ids, day_col, value_col), id_col=ids, value_cols=[value_col])
-        rows = rows.withColumn("last_day", F.max(day_col).over(grid.whole(ids)))
+    rows = _grid_rows(data, ids, day_col, value_col, regularize_grid, on_error)
     w = by_day(ids, day_col)
     rows = rows.withColumns({"_pos": F.row_number().over(w),
                              "_s": grid.smoothed(F.col(value_col), w, smooth_window)})
@@ -91,18 +95,21 @@ def smoothed_paths(data: DataFrame, *, id_col, day_col: str, value_col: str, smo
                                "n_values": F.count(value_col)})
 
 
-def judge_paths(paths: DataFrame, *, n: str, threshold: str, smooth_window: int,
-                refine_peak: bool = True, min_peak: float | None = None,
-                min_day: float | None = None) -> DataFrame:
-    """Add the detection result to gathered paths; ``n`` and ``threshold`` are SQL text."""
+def judge_paths(paths: DataFrame, *, n: str, threshold: str, reach: str | None,
+                min_peak: float | None = None, min_day: float | None = None) -> DataFrame:
+    """Add the detection result to gathered paths.
+
+    ``n``, ``threshold`` and ``reach`` (days searched around the point for the raw maximum,
+    None to keep the point) are SQL text: literals or columns of the paths.
+    """
     cand = f"x.run >= {n}"
     if min_peak is not None:
         cand += f" AND x.s >= {float(min_peak)!r}D"
     out = paths.withColumn("_f", F.when(F.expr(f"size(path) > {n}"),
                                         first_deep_fall("path", cand, threshold)))
     at = F.expr("element_at(path, _f.pos).day")
-    if refine_peak and smooth_window > 1:
-        at = F.coalesce(peak_near("path", "_f.pos", smooth_window // 2), at)
+    if reach is not None:
+        at = F.coalesce(peak_near("path", "_f.pos", reach), at)
     found = F.col("_f").isNotNull()
     out = out.withColumn("_day", F.when(found, at))
     early = found & (F.col("_day") < min_day) if min_day is not None else F.lit(False)
@@ -143,9 +150,9 @@ def detect_shift_batch(data: DataFrame, *, id_col, day_col: str, value_col: str,
     paths = smoothed_paths(data, id_col=id_col, day_col=day_col, value_col=value_col,
                            smooth_window=smooth_window, max_run=n_consecutive,
                            regularize_grid=regularize_grid, on_error=on_error)
+    reach = str(smooth_window // 2) if refine_peak and smooth_window > 1 else None
     out = judge_paths(paths, n=str(int(n_consecutive)), threshold=f"{float(drop_threshold)!r}D",
-                      smooth_window=smooth_window, refine_peak=refine_peak, min_peak=min_peak,
-                      min_day=min_day)
+                      reach=reach, min_peak=min_peak, min_day=min_day)
     return out.select(*as_list(id_col), *RESULT)
 
 
@@ -169,24 +176,31 @@ def label_grid(data: DataFrame, *, id_col, day_col: str, value_col: str,
                on_error: str = "assert") -> DataFrame:
     """Detection under every parameter combination, keyed by (smooth_window, n, threshold, id).
 
-    Only the smoothing width repeats work; the other parameters are data attached to each
-    gathered series, so they cost a scan of its array and no further shuffle.
+    Each series is gathered once with all its smoothed versions; the combinations are data
+    attached to it, so they cost scans of its array and no further pass over the rows.
     """
-    combos = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(t)).alias("t"))
-                       for n in runs for t in thresholds])
-    parts = []
-    for width in windows:
-        paths = smoothed_paths(data, id_col=id_col, day_col=day_col, value_col=value_col,
-                               smooth_window=width, max_run=max(runs), on_error=on_error)
-        paths = (paths.withColumn("_c", F.explode(combos))
-                 .withColumns({"smooth_window": F.lit(width), "n_consecutive": F.col("_c.n"),
-                               "drop_threshold": F.col("_c.t")}).drop("_c"))
-        parts.append(judge_paths(paths, n="n_consecutive", threshold="drop_threshold",
-                                 smooth_window=width, refine_peak=refine_peak))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("smooth_window", "n_consecutive", "drop_threshold", *as_list(id_col), *RESULT)
+    ids, widths = as_list(id_col), list(windows)
+    w = by_day(ids, day_col)
+    rows = _grid_rows(data, ids, day_col, value_col, True, on_error)
+    rows = rows.withColumns({"_pos": F.row_number().over(w),
+                             **{f"_s{i}": grid.smoothed(F.col(value_col), w, k) for i, k in enumerate(widths)}})
+    for i in range(len(widths)):
+        rows = grid.falling_runs(rows, id_col=ids, day_col=day_col, value_col=f"_s{i}", n=max(runs), out=f"_r{i}")
+    each = range(len(widths))
+    paths = gather_paths(rows, id_col=ids, order="_pos", out="_all",
+                         fields={"day": F.col(day_col).cast("double"), "v": F.col(value_col),
+                                 "s": F.array(*[F.col(f"_s{i}") for i in each]),
+                                 "run": F.array(*[F.col(f"_r{i}") for i in each])},
+                         extra={"last_day": F.max("last_day").cast("double"), "n_values": F.count(value_col)})
+    combos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("w"), F.lit(n).alias("n"), F.lit(float(t)).alias("t"))
+                       for i, k in enumerate(widths) for n in runs for t in thresholds])
+    paths = paths.withColumn("_c", F.explode(combos)).withColumns(
+        {"smooth_window": F.col("_c.w"), "n_consecutive": F.col("_c.n"), "drop_threshold": F.col("_c.t")})
+    paths = paths.withColumn("path", F.expr(
+        "transform(_all, x -> named_struct('pos', x.pos, 'day', x.day, 'v', x.v, 's', x.s[_c.i], 'run', x.run[_c.i]))"))
+    out = judge_paths(paths.drop("_all"), n="n_consecutive", threshold="drop_threshold",
+                      reach="smooth_window div 2" if refine_peak else None)
+    return out.select("smooth_window", "n_consecutive", "drop_threshold", *ids, *RESULT)
 
 
 def global_peak_rule(data: DataFrame, *, id_col, day_col: str, value_col: str,

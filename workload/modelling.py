@@ -16,6 +16,7 @@ from workload.ctes import with_ctes
 from workload.registry import query, r6
 from workload.series import KEY, LX, MEASURES, pp, rate_table, window_rows
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 BASE = list(risk.DAY_FLAGS)
 HAZARD = BASE + risk.SCHEDULE + MEASURES + ["d_exposure"]
 FEATURES = ["level_last", "level_slope", "level_mean", "exposure_last", "exposure_slope", "click_mean", "view_mean"]
@@ -35,11 +36,11 @@ def day_table(spark, sf, repeats=1, k=5):
     x = features.early_window_features(d, **KEY, value_cols=["level", "exposure", "click", "view"], window=4,
                                        static_cols=["segment"])
     lab = found(spark, sf).select("id", "occurred", F.col("day").alias("event_day"), "time")
-    return cut(folded(x.join(lab, "id").where("occurred"), repeats, k))
+    return cut(folded(cut(x.join(lab, "id").where("occurred")), repeats, k))
 
 
 def hazard_rows(spark, sf, repeats=1, lead=1):
-    rows = pp(spark, sf, lead=lead)
+    rows = cut(pp(spark, sf, lead=lead))
     return cut(folded(rows.withColumn("_has", F.max("y").over(grid.whole("id"))), repeats, stratum="_has").drop("_has"))
 
 
@@ -76,7 +77,7 @@ def _(spark, sf):
 def survival_rows(spark, sf):
     x = features.early_window_features(daily(spark, sf), **KEY, value_cols=["level", "exposure", "click", "view"], window=4)
     lab = rate_table(spark, sf).select("id", "time", F.col("event").cast("int").alias("happened"))
-    return cut(folded(x.join(lab, "id"), 1))
+    return cut(folded(cut(x.join(lab, "id")), 1))
 
 
 @query("j11_cox_concordance")
@@ -114,6 +115,17 @@ def _(spark, sf):
     return jobs.compare_day_models(day_table(spark, sf, 2), sets, y="event_day", folds=["f0", "f1"])
 
 
+@query("j13_median_error_by_fold", with_ctes(detect_sql("ud", "t") | {
+    "f": """select r::int as repeat, id, day, cast((row_number() over (partition by r order by md5(r || '|' || id) || '|' || id) - 1) % 5 as int)
+    as fold from t, generate_series(0, 1) g(r) where occurred""",
+    "m": """select a.repeat, k::int as fold, median(day) as guess from f a, generate_series(0, 4) g(k) where a.fold <> k group by 1, 2"""},
+    """select f.repeat, f.fold, cast(count(*) as int) as n, round(avg(abs(day - guess)), 6) as mae from f join m on m.repeat = f.repeat
+    and m.fold = f.fold group by 1, 2"""))
+def _(spark, sf):
+    d = models.median_errors(day_table(spark, sf, 2), y="event_day", folds=["f0", "f1"])
+    return d.select("repeat", "fold", F.col("n").cast("int").alias("n"), r6("mae"))
+
+
 @query("j14_out_of_fold_risk")
 def _(spark, sf):
     rows = hazard_rows(spark, sf, 2)
@@ -155,7 +167,7 @@ COV = ("click_prev", "view_prev")
 
 
 def folded_window(spark, sf, keep=0.85):
-    w = window_rows(spark, sf, keep)
+    w = cut(window_rows(spark, sf, keep))
     return cut(w.join(resample.fold_of(w, id_col="id").drop("repeat"), "id"))
 
 
@@ -352,12 +364,18 @@ def _(spark, sf):
     return out.withColumn("segment", F.lit(top))
 
 
-@query("j38_median_split")
+@query("j38_median_split", with_ctes(detect_sql("ud", "t") | {"x": """select t.id, c_mktsegment as segment,
+    arg_max(level, u.day) filter (where u.day <= 4 and level is not null) as l from t join ud u on u.id = t.id
+    left join customer on c_custkey = t.id where occurred group by 1, 2""", "h": """select case when l > (select median(l) from x)
+    then 'upper' else 'lower' end as half, segment from x"""}, "select half, " + ", ".join(
+    f"count(*) filter (where segment = '{g}') as \"{g}\"" for g in SEGMENTS) + """, round(greatest(""" + ", ".join(
+    f"count(*) filter (where segment = '{g}')" for g in SEGMENTS) + """) / count(segment), 6) as concentration from h group by 1"""))
 def _(spark, sf):
     rows = day_table(spark, sf)
     mid = exact_quantiles(rows, value="level_last", probs=[0.5], names=["m"]).select("m").scalar()
     rows = rows.withColumn("_m", mid).withColumn("half", F.when(F.col("level_last") > F.col("_m"), "upper").otherwise("lower"))
-    return profile.crosstab(rows, "half", "segment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    out = profile.crosstab(rows, "half", "segment", SEGMENTS)
+    return out.withColumn("concentration", F.round("concentration", 6))
 
 
 @query("j39_decision")
