@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fallpoint.contracts import as_list
 from fallpoint.functions.columns import interval_distance
 from fallpoint.functions.tails import exact_interval
+from fallpoint.lineage import cut
+from fallpoint.operators.ordered import exact_quantiles
 
 
 class OrphanRows(ValueError):
@@ -58,6 +60,21 @@ def difference_counts(compared: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("ids")))
 
 
+def label_sensitivity(labels: DataFrame, *, by, window: int = 4) -> DataFrame:
+    """Per parameter combination: excluded, modelled, events, censored and median event day.
+
+    ``labels`` is one row per (combination, series), as made by ``label_grid``; an event
+    inside the early window excludes the series.
+    """
+    by = as_list(by)
+    early = F.col("occurred") & F.coalesce(F.col("day") <= window, F.lit(False))
+    rows = cut(labels.withColumns({"_early": early, "_late": F.when(F.col("occurred") & ~early, F.col("day"))})
+               .select(*by, "occurred", "_early", "_late"))
+    out = rows.groupBy(*by).agg(F.count_if("_early").alias("excluded"), F.count_if(~F.col("_early")).alias("modelled"),
+                                F.count("_late").alias("events"), F.count_if(~F.col("occurred")).alias("censored"))
+    return out.join(exact_quantiles(rows, by=by, value="_late", probs=[0.5], names=["median_day"]), by, "left")
+
+
 def detector_accuracy(detected: DataFrame, truth: DataFrame, *, id_col, true_day: str, by=()) -> DataFrame:
     """Detected, exact, within a day, mean bias and false positives per group of runs."""
     ids, by = as_list(id_col), as_list(by)

@@ -84,6 +84,43 @@ def _array_label(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, F.col(name).cast("array<double>"))
 
 
+def baseline_comparison(rows: DataFrame, columns: Sequence[str], *, y: str, group: str, id_col: str, folds: Sequence[str],
+                        k: int = 5, resamples: int = 5000) -> dict[str, DataFrame]:
+    """Ridge against the overall and the own-group training median, entity by entity.
+
+    ``errors``: out-of-fold absolute errors per entity averaged over repeats;
+    ``intervals``: mean difference rival - ridge with its interval and reading;
+    ``by_day``: mean errors by the true day.
+    """
+    from fallpoint.plans.baselines import out_of_fold_medians
+
+    rows = cut(models.ridge_entity_errors(rows, columns, y=y, folds=folds, k=k))
+    for r, f in enumerate(folds):
+        rows = out_of_fold_medians(rows, value=y, group=group, fold_col=f, folds=k).withColumnsRenamed(
+            {"global_median": f"_g{r}", "group_median": f"_o{r}"})
+    miss = lambda t: sum((F.abs(F.col(y) - F.col(f"_{t}{r}")) for r in range(len(folds))), F.lit(0.0)) / len(folds)
+    errors = cut(rows.select(id_col, F.col(y).alias("true_day"), miss("g").alias("overall"), miss("o").alias("own_group"), "ridge"))
+    gaps = errors.select(id_col, (F.col("overall") - F.col("ridge")).alias("overall"),
+                         (F.col("own_group") - F.col("ridge")).alias("own_group"))
+    ci = resample.bootstrap_mean(gaps, id_col=id_col, values=["overall", "own_group"], resamples=resamples)
+    ci = ci.withColumnRenamed("variable", "rival").withColumn("verdict", compare.verdict(F.col("low"), F.col("high")))
+    by_day = errors.groupBy("true_day").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("overall", "own_group", "ridge")])
+    return {"errors": errors, "intervals": ci, "by_day": by_day}
+
+
+def classifier_auc(rows: DataFrame, sets: dict[str, Sequence[str]], *, y: str, folds: Sequence[str], k: int = 5,
+                   **forest) -> DataFrame:
+    """Mean and sd over repeats of the out-of-fold forest AUC of each feature set."""
+    out = None
+    for name, cols in sets.items():
+        for r, f in enumerate(folds):
+            got = models.forest_predictions(rows, cols, y=y, fold=f, k=k, seed=r, classify=True, **forest).select(
+                F.lit(name).alias("feature_set"), F.lit(r).alias("repeat"), F.col(y).alias("y"), "prediction")
+            out = got if out is None else out.unionByName(got)
+    per = metrics.auc(out, score="prediction", by=["feature_set", "repeat"])
+    return per.groupBy("feature_set").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
+
+
 # ---------------------------------------------------------------- hazard
 
 

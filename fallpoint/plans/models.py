@@ -295,30 +295,43 @@ def odds_ratios(rows: DataFrame, columns: Sequence[str], *, variables: Sequence[
 # ---------------------------------------------------------------- ridge over a grid of penalties
 
 
-def ridge_errors(rows: DataFrame, columns: Sequence[str], *, y: str, folds: Sequence[str], k: int = 5,
-                 alphas: Sequence[float] = ALPHAS, labels: int = 1) -> DataFrame:
-    """Out-of-fold mean absolute error of ridge regression: (b, repeat, fold, n, mae).
+@dataclass(frozen=True)
+class _RidgeFits:
+    """All ridge models: label means, coefficients (models, columns, labels), chosen penalties."""
+
+    member: Membership
+    scaling: Scaling
+    mean: np.ndarray
+    beta: np.ndarray
+    alpha: np.ndarray
 
-    Each training set imputes medians, standardises, and picks its penalty by exact
-    leave-one-out error.  ``y`` may be an array of ``labels`` label versions (shuffles);
-    all versions share the design moments, so refitting every shuffle costs no extra pass.
-    """
-    member, cols, p, a = Membership(tuple(folds), k), list(columns), len(columns), np.array(alphas)
-    m, build, many = member.models, member.matrix(), labels > 1
-    scale = scaling_for(rows, cols, member, "standard")
-    data = numeric(rows, cols, [*folds, y])
 
-    def label_matrix(pdf):
+def _label_reader(y: str, many: bool):
+    def read(pdf):
         import numpy as np
 
         return np.stack(pdf[y].to_numpy()).astype(float) if many else pdf[[y]].to_numpy(dtype=float)
 
-    def scaled(pdf, i, med=scale.median, cen=scale.center, sca=scale.scale):
+    return read
+
+
+def _scaler(cols, scaling: Scaling):
+    def scaled(pdf, i, cols=list(cols), med=scaling.median, cen=scaling.center, sca=scaling.scale):
         import numpy as np
 
         x = pdf[cols].to_numpy(dtype=float)
         return (np.where(np.isnan(x), med[i], np.nan_to_num(x)) - cen[i]) / sca[i]
 
+    return scaled
+
+
+def _ridge(data: DataFrame, cols: list[str], y: str, member: Membership, alphas: Sequence[float],
+           labels: int) -> _RidgeFits:
+    """Standardise and fit every training set, its penalty chosen by exact leave-one-out error."""
+    p, a, m, build = len(cols), np.array(alphas), member.models, member.matrix()
+    scale = scaling_for(data, cols, member, "standard")
+    label_matrix, scaled = _label_reader(y, labels > 1), _scaler(cols, scale)
+
     def moments(pdf):
         import numpy as np
 
@@ -357,6 +370,22 @@ def ridge_errors(rows: DataFrame, columns: Sequence[str], *, y: str, folds: Sequ
     best = _summed(data, loo, m).reshape(m, len(a), labels).argmin(axis=1)
     shrunk = values[:, :, None] + a[best][:, None, :]
     beta = np.einsum("mij,mjb->mib", vectors, turned / shrunk)
+    return _RidgeFits(member, scale, ybar, beta, a[best])
+
+
+def ridge_errors(rows: DataFrame, columns: Sequence[str], *, y: str, folds: Sequence[str], k: int = 5,
+                 alphas: Sequence[float] = ALPHAS, labels: int = 1) -> DataFrame:
+    """Out-of-fold mean absolute error of ridge regression: (b, repeat, fold, n, mae, alpha).
+
+    Each training set imputes medians, standardises, and picks its penalty by exact
+    leave-one-out error.  ``y`` may be an array of ``labels`` label versions (shuffles);
+    all versions share the design moments, so refitting every shuffle costs no extra pass.
+    """
+    member, cols = Membership(tuple(folds), k), list(columns)
+    data = numeric(rows, cols, [*folds, y])
+    fit = _ridge(data, cols, y, member, alphas, labels)
+    m, build, ybar, beta = member.models, member.matrix(), fit.mean, fit.beta
+    label_matrix, scaled = _label_reader(y, labels > 1), _scaler(cols, fit.scaling)
 
     def errors(pdf):
         import numpy as np
@@ -368,11 +397,36 @@ def ridge_errors(rows: DataFrame, columns: Sequence[str], *, y: str, folds: Sequ
         return np.array(out)
 
     e = _summed(data, errors, m)
-    found = [(b, i // k, i % k, int(e[i, 0]), float(e[i, 1 + b] / e[i, 0]), float(a[best[i, b]]))
+    found = [(b, i // k, i % k, int(e[i, 0]), float(e[i, 1 + b] / e[i, 0]), float(fit.alpha[i, b]))
              for i in range(m) if e[i, 0] > 0 for b in range(labels)]
     return rows.sparkSession.createDataFrame(found, "b int, repeat int, fold int, n int, mae double, alpha double")
 
 
+def ridge_entity_errors(rows: DataFrame, columns: Sequence[str], *, y: str, folds: Sequence[str], k: int = 5,
+                        alphas: Sequence[float] = ALPHAS, out: str = "ridge") -> DataFrame:
+    """Rows with their out-of-fold absolute ridge error, averaged over repeats."""
+    cols, folds = list(columns), list(folds)
+    fit = _ridge(numeric(rows, cols, [*folds, y]), cols, y, Membership(tuple(folds), k), alphas, 1)
+    s, mean, beta = fit.scaling, fit.mean[:, 0], fit.beta[:, :, 0]
+
+    @F.pandas_udf("double")
+    def error(packed):
+        import numpy as np
+        import pandas as pd
+
+        x, t = packed[[f"x{i}" for i in range(len(cols))]].to_numpy(dtype=float), packed["t"].to_numpy(dtype=float)
+        gap, base, total = np.isnan(x), np.nan_to_num(x), np.zeros(len(x))
+        for r in range(len(folds)):
+            model = packed[f"f{r}"].to_numpy() + r * k
+            xi = (np.where(gap, s.median[model], base) - s.center[model]) / s.scale[model]
+            total += np.abs(t - mean[model] - (xi * beta[model]).sum(axis=1))
+        return pd.Series(total / len(folds))
+
+    packed = F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
+                      *[F.col(c).cast("int").alias(f"f{i}") for i, c in enumerate(folds)], F.col(y).cast("double").alias("t"))
+    return rows.withColumn(out, error(packed))
+
+
 def median_errors(rows: DataFrame, *, y: str, folds: Sequence[str], k: int = 5) -> DataFrame:
     """Out-of-fold mean absolute error of the training median: (repeat, fold, n, mae)."""
     member = Membership(tuple(folds), k)

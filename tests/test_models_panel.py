@@ -224,3 +224,16 @@ def test_expected_trajectory_of_a_sure_switch_is_the_sharp_profile(spark):
     params = fits.frame(spark).withColumn("fold", F.lit(-1)).withColumn("shrink", F.lit(0.0))
     got = panel.expected_trajectory(df, params, kin, id_col="id").toPandas()
     assert np.allclose(got["level"], got["expected"], atol=1e-4) and (got["modal_day"] == 8).all()
+
+
+def test_ridge_entity_errors_average_to_the_fold_errors(spark, data):
+    from fallpoint.plans import jobs
+
+    df = frame(spark, data.assign(id=np.arange(len(data)), g=np.where(data.x0 > 0, "a", "b")))
+    one = models.ridge_entity_errors(df, COLS, y="t", folds=["f0"], k=4).toPandas()
+    per = models.ridge_errors(df, COLS, y="t", folds=["f0"], k=4).toPandas().set_index("fold")["mae"]
+    assert np.allclose(one.groupby("f0")["ridge"].mean(), per.sort_index())
+    got = jobs.baseline_comparison(df, COLS, y="t", group="g", id_col="id", folds=["f0"], k=4, resamples=20)
+    ci = got["intervals"].toPandas().set_index("rival")
+    assert (ci["low"] <= ci["mean"]).all() and (ci["verdict"] == "wins").all()
+    assert got["errors"].count() == len(data)

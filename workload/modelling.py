@@ -292,6 +292,12 @@ def _(spark, sf):
     return jobs.ridge_permutation(day_table(spark, sf), FEATURES, y="event_day", id_col="id", folds=["f0"], n_permutations=40)
 
 
+@query("j28_ridge_against_medians")
+def _(spark, sf):
+    return jobs.baseline_comparison(day_table(spark, sf, 2), FEATURES, y="event_day", group="segment", id_col="id",
+                                    folds=["f0", "f1"], resamples=50)["intervals"]
+
+
 @query("j30_permutation_importance")
 def _(spark, sf):
     return models.permutation_importance(day_table(spark, sf, k=3), FEATURES[:5], y="event_day", fold="f0", id_col="id", k=3,
@@ -332,8 +338,8 @@ def _(spark, sf):
     ev = rows.select("id", "event_day")
     back = grid.rebound(user_days(spark, sf), ev, id_col="id", day_col="day", value_col="level", event_col="event_day")
     rows = cut(rows.join(back.withColumn("rebound", F.col("rebound").cast("int")), "id"))
-    got = models.forest_predictions(rows, FEATURES, y="rebound", fold="f0", k=3, trees=10, min_leaf=2, depth=6, classify=True)
-    return metrics.auc(got, score="prediction", y="rebound")
+    return jobs.classifier_auc(rows, {"level": FEATURES[:3], "all": FEATURES}, y="rebound", folds=["f0"], k=3, trees=10,
+                               min_leaf=2, depth=6)
 
 
 @query("j36_hazard_ladder")

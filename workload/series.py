@@ -390,12 +390,7 @@ for _w in (1, 3, 5):
     median(day) filter (where occurred and day > 4) as median_day from u group by 1, 2, 3"""))
 def _(spark, sf):
     g = detect.label_grid(user_days(spark, sf), **UD, on_error="trust")
-    keys = ["smooth_window", "n_consecutive", "drop_threshold"]
-    early = F.col("occurred") & F.coalesce(F.col("day") <= 4, F.lit(False))
-    g = g.withColumn("late_day", F.when(F.col("occurred") & ~early, F.col("day")))
-    out = g.groupBy(*keys).agg(F.count_if(early).alias("excluded"), F.count_if(~early).alias("modelled"),
-                               F.count("late_day").alias("events"), F.count_if(~F.col("occurred")).alias("censored"))
-    return out.join(exact_quantiles(g, by=keys, value="late_day", probs=[0.5], names=["median_day"]), keys, "left")
+    return compare.label_sensitivity(g, by=["smooth_window", "n_consecutive", "drop_threshold"])
 
 
 @query("i25_detector_accuracy", with_ctes(detect_sql("ud", "t") | detect_sql("ud", "u", refine=False) | _rk | {"a": """select 1 as refined, t.*, k.day as tr
