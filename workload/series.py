@@ -38,8 +38,13 @@ def rate_rows(spark, sf, dilutions=(0.0,)):
     return rates.interval_rates(daily(spark, sf), **LX, dilutions=dilutions, on_error="trust")
 
 
-def rate_table(spark, sf):
-    return rates.label_table(daily(spark, sf), **LX, on_error="trust")
+def rate_table(spark, sf, d=None):
+    return rates.label_table(daily(spark, sf) if d is None else d, **LX, on_error="trust")
+
+
+def stored_daily(spark, sf):
+    """The daily table written once: it is far smaller than the raw rows and read several times."""
+    return cut(daily(spark, sf))
 
 
 # ---------------------------------------------------------------- event rules
@@ -206,7 +211,8 @@ def _(spark, sf):
 
 
 def pp(spark, sf, lead=1, blind=False):
-    return risk.person_period(daily(spark, sf), rate_table(spark, sf), **KEY, measures=MEASURES, exposure_col="exposure",
+    d = stored_daily(spark, sf)
+    return risk.person_period(d, rate_table(spark, sf, d), **KEY, measures=MEASURES, exposure_col="exposure",
                               setpoint_col="setpoint", group_col="segment", lead=lead, blind=blind)
 
 
@@ -298,7 +304,8 @@ _mw = {"mi": """select dy.*, case when level is not null and exposure is not nul
 
 
 def window_rows(spark, sf, keep=0.85):
-    return risk.modelling_window(daily(spark, sf), rate_table(spark, sf), **LX, covariates=["click", "view"], keep=keep)
+    d = stored_daily(spark, sf)
+    return risk.modelling_window(d, rate_table(spark, sf, d), **LX, covariates=["click", "view"], keep=keep)
 
 
 @query("i19_modelling_window", with_ctes(_lab | _mw, """select id, day, round(level, 6) as level, round(exposure, 6) as exposure,
