@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fallpoint.llm.bpe import decode, encode
+from fallpoint.llm.chat_format import format_chats, read_chats
 from fallpoint.llm.exact_dedup import exact_dedup
 from fallpoint.llm.packing import pack
 
@@ -50,6 +51,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
 
+@query("op9_chat_format", """
+    WITH every AS (
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+    clean AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM every),
+    told AS (
+        SELECT *, replace(replace(replace(text, '\\', '\\\\'), '#', '\\#'), '</turn>', '<\\/turn>') AS e_text,
+               replace(replace(replace(replace(role, '\\', '\\\\'), '#', '\\#'), '</turn>', '<\\/turn>'), ':', '\\:') AS e_role,
+               coalesce(lag(role) OVER turns <> role, TRUE) AS opens
+        FROM clean WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length(e_text) + 7 + CASE WHEN opens THEN 7 + length(e_role) ELSE 0 END) AS BIGINT) AS formatted_chars
+    FROM told GROUP BY conv_id""")
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    back = read_chats(format_chats(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(more)))
+    said_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_turns, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
