@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fallpoint.llm.bpe import decode, encode
 from fallpoint.llm.chat_format import format_chats, read_chats
 from fallpoint.llm.exact_dedup import exact_dedup
+from fallpoint.llm.html_extract import extract_main
 from fallpoint.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query("op2_html_extract")
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
