@@ -13,6 +13,7 @@ from fallpoint.llm.chat_format import format_chats, read_chats
 from fallpoint.llm.exact_dedup import exact_dedup
 from fallpoint.llm.html_extract import extract_main
 from fallpoint.llm.packing import pack
+from fallpoint.llm.simhash import simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query("op1_simhash_dedup")
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op2_html_extract")
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_main(table(spark, sf_dir, "pages", "page_id", "url", "html"))
