@@ -12,6 +12,7 @@ from fallpoint.llm.bpe import decode, encode
 from fallpoint.llm.chat_format import format_chats, read_chats
 from fallpoint.llm.exact_dedup import exact_dedup
 from fallpoint.llm.html_extract import extract_main
+from fallpoint.llm.language_id import fit, held_out, identify
 from fallpoint.llm.packing import pack
 from fallpoint.llm.simhash import simhash_dedup
 
@@ -64,6 +65,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op9_chat_format", """
     WITH every AS (
         SELECT conv_id, turn, role, text FROM conversations
