@@ -14,6 +14,7 @@ from fallpoint.llm.exact_dedup import exact_dedup
 from fallpoint.llm.html_extract import extract_main
 from fallpoint.llm.language_id import fit, held_out, identify
 from fallpoint.llm.packing import pack
+from fallpoint.llm.pii import pseudonymise
 from fallpoint.llm.simhash import simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,9 @@ SQL: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+#: The key of the surrogates; whoever runs this on real data gives one of their own.
+PII_KEY = "public example key"
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -56,6 +60,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query("op5_pii_surrogates")
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY, count_col="n_replaced")
+
+
 @query("op6_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
