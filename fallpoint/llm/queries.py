@@ -15,6 +15,7 @@ from fallpoint.llm.html_extract import extract_main
 from fallpoint.llm.language_id import fit, held_out, identify
 from fallpoint.llm.packing import pack
 from fallpoint.llm.pii import pseudonymise
+from fallpoint.llm.quality_rules import quality_rules
 from fallpoint.llm.simhash import simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,11 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
