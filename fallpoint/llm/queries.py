@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fallpoint.llm.bpe import decode, encode
 from fallpoint.llm.chat_format import format_chats, read_chats
+from fallpoint.llm.cotraining import classify_quality
 from fallpoint.llm.exact_dedup import exact_dedup
 from fallpoint.llm.html_extract import extract_main
 from fallpoint.llm.language_id import fit, held_out, identify
@@ -80,6 +81,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
 
 
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"),
+                            table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
