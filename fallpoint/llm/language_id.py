@@ -142,9 +142,10 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             idf[r["feature"]] = np.log((1 + total) / (1 + r["n"])) + 1e-3
     if not per_lang:
         return LanguageModel(idf)
+    # One row per language, and the driver holds as many already.
     share = data.sparkSession.createDataFrame([(k, min(1.0, sample_per_language / n)) for k, n in per_lang.items()], "lang string, share double")
     draw: Column = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = data.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    sample = data.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def cluster(some: pd.DataFrame) -> pd.DataFrame:
         x = vectors(some["text"].tolist(), idf)
