@@ -37,3 +37,16 @@ def prepared(data: DataFrame) -> SparkSession:
     """The session of a frame, with this package sent to its executors."""
     ship_package(data.sparkSession)
     return data.sparkSession
+
+
+def row_key(id_col: str | Column = "doc_id", text_col: str | Column = "text") -> list[Column]:
+    """What tells rows apart that may share an id or a text: the id as text and a digest of the whole text."""
+    id_ = F.col(id_col) if isinstance(id_col, str) else id_col
+    return [F.coalesce(id_.cast("string"), F.lit("null")).alias("_key"), F.sha2(text_of(text_col), 256).alias("_sha")]
+
+
+def only_rows(docs: DataFrame, stays: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is in ``stays`` (_key, _sha); of rows that repeat id and text one is left."""
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_key(id_col, text_col))
+    return keyed.join(stays, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select("row.*")

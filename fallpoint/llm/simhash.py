@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fallpoint.llm.common import prepared, store, text_of
+from fallpoint.llm.common import only_rows, prepared, row_key, store, text_of
 from fallpoint.llm.components import components
 
 WORDS = 3  # of a shingle in the plain query
@@ -54,16 +55,18 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(POWERS[2 * counts > len(h)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id and fp (64 bits as a long) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, *more: Column) -> DataFrame:
+    """doc_id, fp (64 bits as a long) and ``more`` columns of every row; null text counts as empty."""
     prepared(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, text_of(text_col).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.columns[-1]), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -108,3 +111,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = near_groups(fingerprints(docs, id_col, text_col, words))
     hexed: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return groups.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row of each group of near copies, all columns: that of the smallest id, of a null id only where there is no other.
+
+    Rows that repeat id and text count once; where an id is repeated with other texts of the group, the
+    text with the smallest digest stays.
+    """
+    groups = near_groups(fingerprints(docs, id_col, text_col, words, *row_key(id_col, text_col)))
+    # Fingerprints of null ids alone have no number; each is a group of its own.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    first = groups.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha", "_key")).alias("first"))
+    return only_rows(docs, first.select("first._key", "first._sha"), id_col, text_col)
