@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,14 +113,85 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return groups.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+WIDE = 5  # differing bits of a candidate in the wider search
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def wider_candidates(prints: DataFrame, rounds: int = 2) -> DataFrame:
+    """Pairs (fp, other) that differ in at most five bits, out of ``prints`` (fp, each once).
+
+    Of two fingerprints within five bits one half differs in at most two, so both halves' balls of
+    radius one share a value.  In each such bucket fingerprints are held against its leader alone, the
+    first in a hashed order that is drawn anew each round: candidates grow with the fingerprints, not
+    with the pairs of a large group, and links between two followers may be missed.
+    """
+    low, high = F.col("fp").bitwiseAND(F.lit(MASK)), F.shiftrightunsigned("fp", 32)
+    halves = prints.select("fp", F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("side"), low.alias("half")),
+                                                  F.struct(F.lit(1).cast("byte").alias("side"), high.alias("half")))).alias("h"))
+    half = F.col("h.half")
+    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: half.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+    filed = halves.select("fp", "h.side", F.explode(F.concat(F.array(half), flips)).alias("value"))
+    bucket = Window.partitionBy("side", "value")
+    leader = lambda k: F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp")).over(bucket)["fp"]
+    led = filed.select("fp", F.array(*map(leader, range(rounds))).alias("leaders")).where(F.exists("leaders", lambda x: x != F.col("fp")))
+    pairs = led.select("fp", F.explode("leaders").alias("other")).where("fp <> other")
+    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE).distinct()
+
+
+def shingle_sets(texts: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """fp and the sorted distinct hashes of a text's shingles, as little-endian 64-bit numbers, from (fp, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                parts = t.as_py().encode("utf-8", "surrogatepass").lower().split()
+                found = {xxh64_intdigest(b" ".join(parts[k:k + words])) for k in range(max(1, len(parts) - words + 1))}
+                sets.append(np.sort(np.fromiter(found, dtype=np.uint64, count=len(found))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    return texts.select("fp", text_of("text")).mapInArrow(run, "fp long, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (fp, other) whose sets of shingles overlap in at least that share of their union."""
+    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("other"), F.col("shingles").alias("shingles_b")), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= least * (len(x) + len(y) - common))
+            kept = b.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return both.select("fp", "other", "shingles", "shingles_b").mapInArrow(run, "a long, b long")
+
+
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, wider: bool = True) -> DataFrame:
     """One row of each group of near copies, all columns: that of the smallest id, of a null id only where there is no other.
 
+    Fingerprints within two bits are linked.  With ``wider``, one text of each such group is then held against
+    others within five bits and linked if their five-word shingles have a Jaccard similarity of 0.8 or more.
     Rows that repeat id and text count once; where an id is repeated with other texts of the group, the
     text with the smallest digest stays.
     """
     groups = near_groups(fingerprints(docs, id_col, text_col, words, *row_key(id_col, text_col)))
     # Fingerprints of null ids alone have no number; each is a group of its own.
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    first = groups.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha", "_key")).alias("first"))
-    return only_rows(docs, first.select("first._key", "first._sha"), id_col, text_col)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha", "_key", "fp")).alias("first")
+    first = groups.groupBy(group.alias("group")).agg(one).select("first.*")
+    if wider:
+        first = store(first, "group-texts")
+        pairs = store(wider_candidates(first.select("fp")), "candidates")
+        taking = pairs.select("fp").union(pairs.select("other")).distinct()
+        wanted = store(first.join(taking, "fp").select("fp", "_key", "_sha"), "candidate-texts")
+        keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+        texts = keyed.join(wanted, ["_key", "_sha"]).dropDuplicates(["_key", "_sha"])
+        found = components(similar(pairs, store(shingle_sets(texts), "shingles")))
+        joined = first.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
+        first = joined.groupBy(F.coalesce("component", "fp").alias("group")).agg(one).select("first.*")
+    return only_rows(docs, first.select("_key", "_sha"), id_col, text_col)

@@ -141,6 +141,34 @@ def test_near_representatives(odd, empty):
     assert simhash.near_representatives(empty).count() == 0
 
 
+def test_wider_search_links_similar_texts_only(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    rows, base_of = [], {}
+    for g in range(30):
+        base = rng.choices(words, k=300)
+        for c in range(4):
+            copy = list(base)
+            for _ in range(c):
+                copy[rng.randrange(300)] = rng.choice(words)
+            base_of[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.near_representatives(data).collect()}
+    narrow = {r["doc_id"] for r in simhash.near_representatives(data, wider=False).collect()}
+    assert {base_of[i] for i in kept} == set(range(30)) and all(min(i for i in kept if base_of[i] == g) == 4 * g for g in range(30))
+    assert len(kept) <= 48 and kept < narrow and len(narrow) >= 60
+
+
+def test_wider_candidates_against_all_pairs(spark):
+    rng = random.Random(11)
+    prints = {rng.getrandbits(63) for _ in range(40)}
+    prints |= {x ^ sum(1 << b for b in rng.sample(range(63), 5)) for x in list(prints)}
+    got = {tuple(sorted((r["fp"], r["other"]))) for r in simhash.wider_candidates(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()}
+    want = {tuple(sorted((x, y))) for x in prints for y in prints if 0 < (x ^ y).bit_count() <= 5}
+    assert got == want  # pairs stand alone here, so every bucket's leader is one of the two
+
+
 def test_bpe_round_trip(odd, empty):
     from tokenizers import Tokenizer
 
