@@ -1,12 +1,10 @@
 """Order statistics over whole tables without a single-task sort.
 
 Ranks, quantiles, dense indexes and rank-sum metrics all need running totals along a
-sorted key.  :func:`running_totals` stores its input - already one row per distinct key -
-and counts it.  Up to ``SMALL`` rows a plain window does; beyond, it splits the sorted keys of a group into blocks of
-near-equal size, sums inside each block and adds the totals of the blocks before it, so
-no task ever holds more than one block of one group.  The block bounds come from a sample
-by hash that depends only on the stored data, so the two branches that use it always
-agree, also after a lost executor.
+sorted key.  :func:`running_totals` deals its input - already one row per distinct key -
+into key ranges with Spark's own range partitioning, stores it with the number of the
+range, sums inside each range and adds the totals of the ranges before it.  There is one way for
+every size: a small table simply has few ranges.
 """
 
 from __future__ import annotations
@@ -19,82 +17,30 @@ from pyspark.sql import functions as F
 from fallpoint.contracts import as_list
 from fallpoint.lineage import cut
 
-SMALL = 500_000          # rows one task may hold in a plain window
-SIDE = 16                # key intervals are found by levels of sixteen
-PER_BLOCK = 500_000      # rows aimed at per key interval
-PER_CUT = 32             # sampled keys per interval bound
-
-
-def _levels(rows: int) -> int:
-    """Levels of sixteen needed so that an interval holds about ``PER_BLOCK`` rows (1 to 4)."""
-    levels = 1
-    while SIDE ** levels * PER_BLOCK < rows and levels < 4:
-        levels += 1
-    return levels
-
-
-def _blocks(data: DataFrame, by: list[str], key: str, rows: int) -> DataFrame:
-    """Add ``_block``, the number of the key interval a row falls into.
-
-    The number of intervals grows with the table.  Bounds are quantiles of the keys whose
-    hash falls below a threshold; a key is compared with fifteen bounds per level.
-    """
-    levels = _levels(rows)
-    many = SIDE ** levels
-    space = 1 << 30
-    limit = min(space, max(1, int(space * min(1.0, many * PER_CUT / max(rows, 1)))))
-    sample = data.where(F.pmod(F.xxhash64(*by, key), F.lit(space)) < limit).select(F.col(key).alias("_k"))
-    keys = sample.agg(F.array_sort(F.collect_set("_k")).alias("ks"))
-    n = F.size("ks")
-    cuts = keys.select(F.when(n > 0, F.transform(
-        F.sequence(F.lit(1), F.lit(many - 1)),
-        lambda i: F.element_at("ks", F.greatest(F.ceil(i * n / F.lit(many)), F.lit(1)).cast("int")))))
-    out = data.withColumn("_cuts", cuts.scalar()).withColumn("_block", F.lit(0))
-    for level in reversed(range(levels)):
-        stride = SIDE ** level
-        below = F.filter(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda j: F.element_at(
-            F.col("_cuts"), F.col("_block") + j * F.lit(stride)) <= F.col(key))
-        out = out.withColumn("_block", F.when(F.col("_cuts").isNull(), F.lit(0))
-                             .otherwise(F.col("_block") + F.size(below) * stride))
-    return out.drop("_cuts")
-
 
 def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> DataFrame:
     """Add ``before_<c>`` (total over smaller keys of the group) and ``total_<c>``.
 
     ``data`` must hold one row per (by, key); aggregate first, which also removes the
-    effect of one key value being very common.
+    effect of one key value being very common.  The ranges are sampled, so they are stored
+    before two branches use them.
     """
     by = as_list(by)
-    data = cut(data)
-    n = data.count()
-    if n <= SMALL:
-        w = Window.partitionBy(*by).orderBy(key)
-        return data.withColumns({
-            **{f"before_{c}": F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-               for c in sums},
-            **{f"total_{c}": F.sum(c).over(Window.partitionBy(*by)) for c in sums}})
-    return _blockwise_totals(data, by, key, sums, n)
-
-
-def _blockwise_totals(data: DataFrame, by: list[str], key: str, sums: Sequence[str], n: int) -> DataFrame:
-    rows = _blocks(data, by, key, n)
-    per_block = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut(data.repartitionByRange(*by, key).withColumn("_range", F.spark_partition_id()))
+    # One row per group and range it touches: at most groups plus ranges.
+    per = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     allof = Window.partitionBy(*by)
-    per_block = per_block.select(
-        *by, "_block",
-        *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in sums],
-        *[F.sum(f"_t_{c}").over(allof).alias(f"total_{c}") for c in sums])
-    inside = (Window.partitionBy(*by, "_block").orderBy(key)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in sums],
+                     *[F.sum(f"_t_{c}").over(allof).alias(f"total_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    out = _null_safe_join(out, per_block, by + ["_block"])
+    out = null_safe_join(out, per, by + ["_range"])
     out = out.withColumns({f"before_{c}": F.col(f"_o_{c}") + F.col(f"_i_{c}") for c in sums})
-    return out.drop("_block", *[f"_{x}_{c}" for x in "io" for c in sums])
+    return out.drop("_range", *[f"_{x}_{c}" for x in "io" for c in sums])
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join in which NULL keys meet NULL keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = F.lit(True)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
-from fallpoint.operators.ordered import exact_quantiles, running_totals
+from fallpoint.lineage import cut
+from fallpoint.operators.ordered import dense_index, exact_quantiles, null_safe_join, running_totals
 from fallpoint.plans.resample import bootstrap_counts
 
 
@@ -55,21 +56,23 @@ def concordance(rows: DataFrame, *, time: str, event: str, score: str, by=()) ->
     """Share of comparable pairs ordered as their scores, ties half (larger score = later).
 
     A pair is comparable when the earlier time is an event; at equal times an event comes
-    before a censored row and two events are not compared.  No pairs are formed: times are
-    split by their binary digits, which puts each comparable pair into exactly one node of
-    a tree of depth log2(days), and every node is a rank sum along the score.
+    before a censored row and two events are not compared.  No pairs are formed: the places of
+    the distinct (time, event) along the order are split by their binary digits, which puts each
+    comparable pair into exactly one node of a tree, and every node is a rank sum along the
+    score.  Times may be fractional and as large as doubles go.
     """
     by = as_list(by)
     d = rows.where(F.col(score).isNotNull() & F.col(time).isNotNull()).select(
-        *by, (2 * F.col(time).cast("int") + 1 - F.col(event).cast("int")).alias("_t"),
+        *by, F.struct(F.col(time).cast("double").alias("t"), (1 - F.col(event).cast("int")).alias("c")).alias("_t"),
         F.col(event).cast("int").alias("_e"), F.col(score).alias("_s"))
-    d = d.groupBy(*by, "_t", "_e", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    top = d.agg(F.max("_t").alias("m")).scalar()
-    d = d.withColumn("_m", top)
-    d = d.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(17))))
-    bit = F.expr("shiftright(_t, _l) & 1")
-    d = d.where(F.expr("shiftright(_m, _l)") > 0)
-    d = d.withColumns({"_node": F.expr("shiftright(_t, _l + 1)"),
+    d = cut(d.groupBy(*by, "_t", "_e", "_s").agg(F.count(F.lit(1)).alias("_n")))
+    places = dense_index(d.select(*by, "_t").distinct(), by=by, key=F.col("_t"), out="_p").select(*by, "_t", "_p", "n_group")
+    d = null_safe_join(d, places, by + ["_t"])
+    # As many digits as the last place of the group has.
+    digits = F.length(F.bin(F.col("n_group") - 1))
+    d = d.withColumn("_l", F.explode(F.sequence(F.lit(0), digits - 1)))
+    bit = F.expr("shiftright(_p, _l) & 1")
+    d = d.withColumns({"_node": F.expr("shiftright(shiftright(_p, _l), 1)"),
                        "left": F.when(bit == 0, F.col("_e") * F.col("_n")).otherwise(0),
                        "right": F.when(bit == 1, F.col("_n")).otherwise(0)})
     d = d.where((F.col("left") > 0) | (F.col("right") > 0))

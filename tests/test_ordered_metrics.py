@@ -7,16 +7,16 @@ from fallpoint.operators import compare, ordered, stats
 from fallpoint.plans import metrics, resample
 
 
-@pytest.fixture(scope="module", params=["window", "blocks", "deep blocks"])
-def path(request):
-    """All ways of forming running totals must agree with brute force."""
-    old = ordered.SMALL, ordered.PER_BLOCK
-    if request.param != "window":
-        ordered.SMALL = 0
-    if request.param == "deep blocks":
-        ordered.PER_BLOCK = 1
+@pytest.fixture(scope="module", params=[1, 40])
+def path(request, spark):
+    """Few and many key ranges must agree with brute force."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], str(request.param))
+    spark.conf.set(names[1], "false")
     yield request.param
-    ordered.SMALL, ordered.PER_BLOCK = old
+    for n, v in zip(names, old):
+        spark.conf.set(n, v)
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,15 @@ def test_concordance(spark, path):
     assert got["pairs"] == pairs and got["concordance"] == pytest.approx(good / pairs)
 
 
+def test_concordance_of_large_and_fractional_times(spark, path):
+    both = spark.createDataFrame([(1.0, 1, 0.1), (3_000_000.0, 1, 0.2)], "t double, e int, s double")
+    got = metrics.concordance(both, time="t", event="e", score="s").first()
+    assert got["pairs"] == 1 and got["concordance"] == 1
+    close = spark.createDataFrame([(1.2, 1, 0.5), (1.8, 1, 0.2), (1.8, 0, 0.9)], "t double, e int, s double")
+    got = metrics.concordance(close, time="t", event="e", score="s").first()
+    assert got["pairs"] == 3 and got["concordance"] == pytest.approx(2 / 3)
+
+
 def test_spearman(spark, path, points):
     pdf = points.assign(z=lambda d: np.round(d.x + np.random.default_rng(1).normal(size=len(d)), 1))
     got = stats.spearman(spark.createDataFrame(pdf), x="x", y="z", by="g", p_value=True).toPandas().set_index("g")
