@@ -2,8 +2,8 @@
 
 A series table has one row per (id, day).  Ids may span several columns, days are
 whole numbers starting at 1, measures are doubles with NULL as the only missing value.
-Because (id, day) is unique and days are calendar steps, one series never holds more
-than ``MAX_DAY`` rows; that bound is what makes per-id windows and per-id arrays safe.
+Because (id, day) is unique, one series never holds more rows than its calendar has days,
+whatever the number of raw rows; there is no fixed limit to its length.
 Raw tables where one id owns a large share of the rows are first reduced with
 :func:`to_daily`, whose partial aggregation runs before the shuffle.
 """
@@ -15,14 +15,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DAY = 100_000
-
 PROBLEMS = {
     "day_not_finite": "days contain missing or infinite values",
     "day_not_integer": "days must be whole numbers",
     "day_repeated": "days are repeated",
     "day_below_one": "days start at 1",
-    "day_out_of_range": f"days beyond {MAX_DAY} are not calendar days",
 }
 
 
@@ -83,8 +80,7 @@ def day_problem(day: Column, repeated: Column) -> Column:
     return (F.when(finite(day).isNull(), "day_not_finite")
             .when(d != F.floor(d), "day_not_integer")
             .when(repeated, "day_repeated")
-            .when(d < 1, "day_below_one")
-            .when(d > MAX_DAY, "day_out_of_range"))
+            .when(d < 1, "day_below_one"))
 
 
 def series_problems(data: DataFrame, *, id_col, day_col: str) -> DataFrame:
@@ -100,8 +96,7 @@ def series_problems(data: DataFrame, *, id_col, day_col: str) -> DataFrame:
         F.max(d.isNull()).alias("day_not_finite"),
         F.max(F.coalesce(d != F.floor(d), F.lit(False))).alias("day_not_integer"),
         F.max(d.isNotNull() & (F.col("_n") > 1)).alias("day_repeated"),
-        F.max(F.coalesce(d < 1, F.lit(False))).alias("day_below_one"),
-        F.max(F.coalesce(d > MAX_DAY, F.lit(False))).alias("day_out_of_range"))
+        F.max(F.coalesce(d < 1, F.lit(False))).alias("day_below_one"))
     code = F.coalesce(*[F.when(F.col(p), p) for p in PROBLEMS])
     text = F.create_map(*[F.lit(x) for kv in PROBLEMS.items() for x in kv])
     return (flags.select(*ids, code.alias("problem")).where(F.col("problem").isNotNull())

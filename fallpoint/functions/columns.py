@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -19,16 +20,15 @@ def lenient_number(text: Column, decimal_comma: bool = False) -> Column:
     return t.try_cast("double")
 
 
-def split_key(key: Column) -> tuple[Column, Column]:
-    """``C12_d7`` to id ``C12`` and day 7; NULL where the pattern is absent."""
-    ident = F.nullif(F.regexp_extract(key, r"^(C\d+)_", 1), F.lit(""))
-    day = F.nullif(F.regexp_extract(key, r"_d(\d+)$", 1), F.lit("")).cast("int")
-    return ident, day
+def split_key(key: Column, pattern: str = r"^(.+)_d(\d+)$") -> tuple[Column, Column]:
+    """Id and day out of one text such as ``A12_d7``; NULL where the pattern, two groups, does not match."""
+    part = lambda k: F.nullif(F.regexp_extract(key, pattern, k), F.lit(""))
+    return part(1), part(2).cast("int")
 
 
 def clean_name(name: str) -> str:
-    """Column header to plain snake case: drops brackets and signs, spaces to ``_``."""
-    return name.translate(str.maketrans({"[": "", "]": "", "+": "", "-": "", " ": "_"})).lower()
+    """Snake case of any header: each run of characters other than letters and digits is one ``_``, none at the ends."""
+    return re.sub(r"[\W_]+", "_", name).strip("_").lower()
 
 
 def base_variable(name: Column) -> Column:
@@ -36,9 +36,14 @@ def base_variable(name: Column) -> Column:
 
 
 def natural_key(ident: Column) -> Column:
-    """Sort key that puts C2 before C10: text parts lower-cased, numbers zero-padded."""
+    """Sort key that puts C2 before C10: text parts lower-cased, numbers of any length by length, then by digits."""
     parts = F.regexp_extract_all(F.lower(ident.cast("string")), F.lit(r"(\d+|\D+)"), 1)
-    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 24, "0")).otherwise(p))
+
+    def numbered(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), numbered(p)).otherwise(p))
 
 
 def half_even(x: Column, digits: int = 0) -> Column:

@@ -179,7 +179,11 @@ def rank_stability(importance: DataFrame, *, fold: str, name: str, value: str) -
             .agg(F.stddev_samp("_r").alias("rank_sd"), F.avg("_r").alias("mean_rank")))
 
 
-def verdict(low: Column, high: Column, margin: float = 0.01) -> Column:
+# Fixed value: the published margin that counts as a win.
+WIN_MARGIN = 0.01
+
+
+def verdict(low: Column, high: Column, margin: float = WIN_MARGIN) -> Column:
     """Reading of an interval of error differences (rival minus model)."""
     return (F.when(low >= margin, "wins").when(high < 0, "loses")
             .when(low >= 0, "touches zero").otherwise("inconclusive"))

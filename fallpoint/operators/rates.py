@@ -17,6 +17,7 @@ from fallpoint.operators import grid
 from fallpoint.operators.detect import first_deep_fall, gather_paths, peak_near
 from fallpoint.operators.quality import drop_incomplete
 
+# The published rule of the rate label.
 MIN_FALL = 0.15      # fall below the smoothed point that the rate label requires
 SMOOTH = 3
 
@@ -158,6 +159,7 @@ def magnitude_sensitivity(rates: DataFrame, labels: DataFrame, *, id_col, day_co
         F.count_if(both).alias("comparable"))
 
 
+# The published rules of renewed production, as (base, share).
 RULES = (("amplitude", 0.15), ("minimum", 0.15), ("minimum", 0.0))
 
 

@@ -445,7 +445,7 @@ def predicted_switch(blind: DataFrame, *, id_col, day_col: str, hazard: str = "h
 
 def expected_trajectory(rows: DataFrame, params: DataFrame, kin: Kinetics, *, id_col: str, fold: str = "fold",
                         state: str = "state", half: str | None = None, floor: str | None = None,
-                        negligible: float = 1e-6) -> DataFrame:
+                        negligible: float = 0.0) -> DataFrame:
     """Profiles with a sharp switch on each candidate day, weighted by its probability.
 
     Returns (id, day, level, expected) and ``modal_day``, the likeliest switch day (NULL if

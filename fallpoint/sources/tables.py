@@ -52,9 +52,9 @@ def load_series(spark: SparkSession, path: str, *, id_col: str = "culture", day_
     return data.withColumns({c: lenient_number(F.col(c), comma) for c in (day_col, value_col)})
 
 
-def with_split_key(data: DataFrame, key: str, id_name: str = "cult", day_name: str = "day") -> DataFrame:
-    """Split ``C12_d7`` into id and day."""
-    ident, day = split_key(F.col(key))
+def with_split_key(data: DataFrame, key: str, id_name: str = "id", day_name: str = "day", pattern: str = r"^(.+)_d(\d+)$") -> DataFrame:
+    """Split a composite key into id and day; ``pattern`` has a group for each."""
+    ident, day = split_key(F.col(key), pattern)
     return data.withColumns({id_name: ident, day_name: day})
 
 

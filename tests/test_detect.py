@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,29 +9,33 @@ from fallpoint.operators import detect, grid
 ARGS = dict(id_col="id", day_col="day", value_col="v")
 
 
-def scalar_detect(v, width=3, n=2, thr=0.30, refine=True, min_peak=None):
-    """Plain restatement of the rule on one daily series, for checking only."""
-    v = np.array([np.nan if x is None else x for x in v], float)
-    idx, ok = np.arange(len(v)), ~np.isnan(v)
-    if not ok.any():
-        return None
-    v = np.interp(idx, idx[ok], v[ok])
-    s = v if width <= 1 else np.array([v[max(0, i - width // 2): i + (width - 1) // 2 + 1].mean() for i in idx])
-    for i in range(len(s) - n):
-        if s[i] <= 0 or (min_peak is not None and s[i] < min_peak) or not np.all(np.diff(s)[i:i + n] < 0):
-            continue
-        low = s[i]
-        for x in s[i + 1:]:
-            if x > s[i]:
-                break
-            low = min(low, x)
-        if (s[i] - low) / s[i] >= thr:
-            j = i
-            if refine and width > 1:
-                lo = max(0, i - width // 2)
-                j = lo + int(np.argmax(v[lo:i + width // 2 + 1]))
-            return j + 1, (s[i] - low) / s[i], s[i]
-    return None
+PAIRS = """
+    with s as (select * from smooth),
+    steps as (select id, day, sm, lead(sm) over (partition by id order by day) < sm as falls from s),
+    starts as (select a.id, a.day, a.sm from steps a join steps b on a.id = b.id and b.day between a.day and a.day + {n} - 1
+               where a.sm > 0 group by a.id, a.day, a.sm having count(*) filter (b.falls) = {n}),
+    risen as (select a.id, a.day, min(b.day) as again from starts a join s b on a.id = b.id and b.day > a.day and b.sm > a.sm group by a.id, a.day),
+    deep as (select a.id, a.day, a.sm, 1 - min(b.sm) / a.sm as drop
+             from starts a left join risen r using (id, day) join s b on a.id = b.id and b.day > a.day and b.day < coalesce(r.again, 1e9)
+             group by a.id, a.day, a.sm having 1 - min(b.sm) / a.sm >= {thr}),
+    first as (select id, min(day) as day from deep group by id)
+    select f.id, d.drop, d.sm,
+           (select arg_max(p.day, (p.raw, -p.day)) from smooth p where p.id = f.id and abs(p.day - f.day) <= {near}) as day
+    from first f join deep d on d.id = f.id and d.day = f.day"""
+
+
+def by_pairs(series, width=3, n=2, thr=0.30):
+    """The rule said as relations: all pairs of a start and a later day, for checking only."""
+    duckdb = pytest.importorskip("duckdb")
+    parts = []
+    for k, v in series.items():
+        raw = pd.Series(v, dtype=float).interpolate(limit_direction="both")
+        around = pd.concat([raw.shift(d) for d in range(-((width - 1) // 2), width // 2 + 1)], axis=1)
+        parts.append(pd.DataFrame({"id": k, "day": range(1, len(v) + 1), "raw": raw, "sm": around.mean(axis=1)}).dropna())
+    con = duckdb.connect()
+    con.register("smooth", pd.concat(parts))
+    got = con.execute(PAIRS.format(n=n, thr=thr, near=width // 2 if width > 1 else 0)).df()
+    return {r.id: (r.day, r.drop, r.sm) for r in got.itertuples()}
 
 
 def run(df, **kw):
@@ -39,13 +44,13 @@ def run(df, **kw):
 
 def test_literal_series(long_frame):
     got = run(long_frame({
-        "clean": [1, 2, 4, 7, 9, 6, 3, 2], "monotone": [0.1 * k for k in range(1, 11)], "flat": [0.5] * 10,
-        "dip": [1, 2, 3, 4, 3.8, 3.6, 5, 6, 7, 8], "rebound": [1, 2, 3, 4, 5, 6, 7, 10, 7, 5, 4, 3, 12, 13],
-        "gap": [1, 2, None, 7, 9, 6, 3, 2], "short": [1, 2], "none": [None, None, None],
-        "low": [.001, .002, .003, .002, .001, .0005, .0004, .0004, .0004],
-        "forward": [1, 2, 3, 4, 5, 6, 10, 9.5, 9, 8.5, 8, 7.5, 7, 6, 5]}))
+        "clean": [2, 3, 5, 8, 11, 7, 4, 3], "monotone": [0.2 * k for k in range(1, 12)], "flat": [0.7] * 9,
+        "dip": [2, 3, 4, 5, 4.7, 4.5, 6, 7, 8, 9], "rebound": [2, 3, 4, 5, 6, 7, 8, 12, 8, 6, 5, 4, 14, 15],
+        "gap": [2, 3, None, 8, 11, 7, 4, 3], "short": [3, 4], "none": [None, None, None, None],
+        "low": [.002, .003, .005, .003, .002, .001, .0006, .0005, .0005],
+        "forward": [2, 3, 4, 5, 6, 7, 12, 11.4, 10.8, 10.2, 9.6, 9, 8.4, 7.2, 6]}))
     assert got["clean"]["day"] == 5 and got["clean"]["drop_fraction"] > 0.5
-    assert not got["monotone"]["occurred"] and got["monotone"]["time"] == 10
+    assert not got["monotone"]["occurred"] and got["monotone"]["time"] == 11
     for k in ("flat", "dip"):
         assert got[k]["reason_code"] == "no_fall"
     for k in ("rebound", "gap", "low"):
@@ -55,18 +60,23 @@ def test_literal_series(long_frame):
 
 
 def test_options(long_frame):
-    base = long_frame({"a": [1, 2, 3, 4, 3.9, 3.8, 3.7, 3.6]})
-    assert not run(base, drop_threshold=0.5)["a"]["occurred"] and run(base, drop_threshold=0.05)["a"]["occurred"]
-    low = long_frame({"a": [.001, .002, .003, .002, .001, .0005, .0004, .0004, .0004]})
-    assert not run(low, min_peak=0.01)["a"]["occurred"]
-    assert run(long_frame({"a": [1, 3, 3, 3, 2, 1, .5, .4]}), smooth_window=1)["a"]["day"] == 4
-    strict = long_frame({"a": [1, 2, 3, 4, 2, 3.5, 4.5, 5.5, 6.5, 7.5]})
+    base = long_frame({"a": [2, 3, 4, 5, 4.9, 4.8, 4.7, 4.5]})
+    assert not run(base, drop_threshold=0.5)["a"]["occurred"] and run(base, drop_threshold=0.04)["a"]["occurred"]
+    low = long_frame({"a": [.002, .003, .005, .003, .002, .001, .0006, .0005, .0005]})
+    assert not run(low, min_peak=0.02)["a"]["occurred"]
+    assert run(long_frame({"a": [2, 5, 5, 5, 3, 2, 1, .8]}), smooth_window=1)["a"]["day"] == 4
+    strict = long_frame({"a": [2, 3, 4, 6, 3, 5.5, 6.5, 7.5, 8.5, 9.5]})
     assert run(strict, smooth_window=1, n_consecutive=1)["a"]["occurred"]
     assert not run(strict, smooth_window=1, n_consecutive=3)["a"]["occurred"]
-    fwd = long_frame({"a": [1, 2, 3, 4, 5, 6, 10, 9.5, 9, 8.5, 8, 7.5, 7, 6, 5]})
+    fwd = long_frame({"a": [2, 3, 4, 5, 6, 7, 12, 11.4, 10.8, 10.2, 9.6, 9, 8.4, 7.2, 6]})
     assert run(fwd, refine_peak=False)["a"]["day"] == 8
-    early = run(long_frame({"a": [5, 9, 6, 3, 2, 1.5, 1.2, 1.0]}), min_day=5)["a"]
-    assert not early["occurred"] and early["drop_fraction"] is not None and "min_day=5" in early["reason"]
+    early = run(long_frame({"a": [6, 10, 7, 4, 3, 2, 1.6, 1.3]}), min_day=6)["a"]
+    assert not early["occurred"] and early["drop_fraction"] is not None and "min_day=6" in early["reason"]
+
+
+def test_days_far_out(long_frame):
+    far = run(long_frame({"a": [2, 3, 5, 8, 11, 7, 4, 3]}, {"a": range(150_001, 150_009)}))["a"]
+    assert far["occurred"] and far["day"] == 150_005
 
 
 def test_parameters_and_bad_days(spark, long_frame):
@@ -92,19 +102,18 @@ def test_parameters_and_bad_days(spark, long_frame):
 
 
 @pytest.mark.parametrize("width,n,thr", [(3, 2, 0.30), (1, 2, 0.2), (5, 3, 0.4), (3, 1, 0.1), (4, 2, 0.3)])
-def test_random_series_against_scalar_rule(long_frame, width, n, thr):
+def test_random_series_against_all_pairs(long_frame, width, n, thr):
     rng = np.random.default_rng(width * 100 + n)
     series = {}
     for i in range(150):
         v = np.round(np.abs(np.cumsum(rng.normal(0, 1, rng.integers(2, 30)))) + rng.integers(0, 2), 2).tolist()
         series[f"s{i}"] = [None if rng.random() < 0.15 else x for x in v[:-1]] + [v[-1]]
     got = run(long_frame(series), smooth_window=width, n_consecutive=n, drop_threshold=thr)
-    for k, v in series.items():
-        want, r = scalar_detect(v, width, n, thr), got[k]
-        assert r["occurred"] == (want is not None), (k, v)
-        if want:
-            assert r["day"] == want[0]
-            assert r["drop_fraction"] == pytest.approx(want[1]) and r["peak_value"] == pytest.approx(want[2])
+    want = by_pairs(series, width, n, thr)
+    assert {k for k, r in got.items() if r["occurred"]} == set(want)
+    for k, (day, drop, peak) in want.items():
+        assert got[k]["day"] == day
+        assert got[k]["drop_fraction"] == pytest.approx(drop) and got[k]["peak_value"] == pytest.approx(peak)
 
 
 def test_order_partitions_and_other_series_change_nothing(long_frame):

@@ -85,7 +85,7 @@ def test_csv_variants_and_natural_order(spark, tmp_path):
 
 def test_split_key_and_fingerprint(spark, tmp_path):
     df = tables.with_split_key(spark.createDataFrame([("C12_d7",), ("x",)], "k string"), "k")
-    assert [(r["cult"], r["day"]) for r in df.collect()] == [("C12", 7), (None, None)]
+    assert [(r["id"], r["day"]) for r in df.collect()] == [("C12", 7), (None, None)]
     import hashlib
 
     p = write(tmp_path, "abc")

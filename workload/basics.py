@@ -22,7 +22,7 @@ COVS = list(KINDS)
 
 
 def found(spark, sf, src=user_days, **kw):
-    return detect.detect_shift_batch(src(spark, sf), **UD, on_error="trust", **kw)
+    return detect.detect_shift_batch(src(spark, sf), **UD, on_error="assert", **kw)
 
 
 # ---------------------------------------------------------------- scans
@@ -255,7 +255,7 @@ def _(spark, sf):
 
 @query("c9_fall_before_recovery", with_ctes(_t, """select id, day as pos, round(s, 6) as value, round(low, 6) as low from t_f"""))
 def _(spark, sf):
-    p = detect.smoothed_paths(user_days(spark, sf), **UD, smooth_window=3, max_run=2, on_error="trust")
+    p = detect.smoothed_paths(user_days(spark, sf), **UD, smooth_window=3, max_run=2, on_error="assert")
     p = p.withColumn("f", detect.first_deep_fall("path", "x.run >= 2", "0.3D")).where("f is not null")
     return p.select("id", F.col("f.pos").alias("pos"), r6("f.val", "value"), r6("f.low", "low"))
 
@@ -283,7 +283,7 @@ def _(spark, sf):
 @query("c12_aligned_mean", with_ctes(grid_sql("ud", "g"), """select day, round(avg(level), 6) as level, count(*) as ids
     from g group by day"""))
 def _(spark, sf):
-    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="trust")
+    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="assert")
     return g.groupBy("day").agg(r6(F.avg("level"), "level"), F.count(F.lit(1)).alias("ids"))
 
 
@@ -339,9 +339,9 @@ def _(spark, sf):
 
 
 @query("d7_pivot_by_day", with_ctes({}, "select id, " + ", ".join(
-    f'round(max(level) filter (where day = {k}), 6) as "{k}"' for k in range(1, 6)) + " from ud group by id"))
+    f'round(max(level) filter (where day = {k}), 6) as "{k}"' for k in range(1, 31)) + " from ud group by id"))
 def _(spark, sf):
-    return profile.pivoted(user_days(spark, sf), index="id", column="day", levels=range(1, 6),
+    return profile.pivoted(user_days(spark, sf), index="id", column="day", levels=range(1, 31),
                            agg=F.round(F.max("level"), 6))
 
 
@@ -417,7 +417,7 @@ _fold = """select id, cast((row_number() over (order by md5('0|' || id) || '|' |
     """select k::int as fold, day, round(avg(level) filter (where fold <> k), 6) as mean_value,
     round(avg(inc) filter (where fold <> k), 6) as mean_increment from x, generate_series(0, 4) t(k) group by 1, 2"""))
 def _(spark, sf):
-    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="trust")
+    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="assert")
     folds = resample.fold_of(g, id_col="id").drop("repeat")
     d = profile.training_profile(g.join(folds, "id"), **UD, fold_col="fold", folds=5)
     return d.select("fold", "day", r6("mean_value"), r6("mean_increment"))
@@ -534,7 +534,7 @@ def _(spark, sf):
 
 @query("e1_regularize", with_ctes(grid_sql("ud", "g"), "select id, day, round(level, 6) as level, last_day from g"))
 def _(spark, sf):
-    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="trust")
+    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="assert")
     return g.select("id", "day", r6("level"), "last_day")
 
 
@@ -547,7 +547,7 @@ def _(spark, sf):
 @query("e2_smooth", with_ctes(grid_sql("ud", "g"), """select id, day, round(avg(level) over (partition by id order by day
     rows between 2 preceding and 1 following), 9) as smoothed from g"""))
 def _(spark, sf):
-    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="trust")
+    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="assert")
     return grid.smooth(g, **UD, window=4).select("id", "day", F.round("smoothed", 9).alias("smoothed"))
 
 
@@ -556,7 +556,7 @@ def _(spark, sf):
     when not coalesce(lead(level, 3) over w < lead(level, 2) over w, false) then 2 else 3 end as int) as run from g
     window w as (partition by id order by day)"""))
 def _(spark, sf):
-    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="trust")
+    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="assert")
     return grid.falling_runs(g, **UD, n=3).select("id", "day", "run")
 
 
@@ -606,7 +606,7 @@ def _(spark, sf):
     round(rate, 6) as rate from r"""))
 def _(spark, sf):
     d = rates.interval_rates(daily(spark, sf), **KEY, level_col="level", exposure_col="exposure",
-                             dilutions=[0.0, 0.02], on_error="trust")
+                             dilutions=[0.0, 0.02], on_error="assert")
     return d.select("dilution", "id", "day", r6("smoothed"), r6("rate"))
 
 
@@ -638,7 +638,7 @@ def _(spark, sf):
 @query("e14_local_argmax", with_ctes(grid_sql("ud", "g"), """select a.id, a.day, arg_max(b.day, struct_pack(v := b.level, d := -b.day))
     as peak_day from g a join g b on b.id = a.id and b.day between a.day - 2 and a.day + 2 group by 1, 2"""))
 def _(spark, sf):
-    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="trust")
+    g = grid.regularize(user_days(spark, sf), **KEY, value_cols=["level"], on_error="assert")
     return grid.local_argmax(g, **UD, reach=2).select("id", "day", "peak_day")
 
 

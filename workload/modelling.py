@@ -151,7 +151,8 @@ def _(spark, sf):
 def _(spark, sf):
     from fallpoint.operators.quality import varying_columns
 
-    rows, out, groups = cut(pp(spark, sf)), None, ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
+    rows, out = cut(pp(spark, sf)), None
+    groups = sorted(r["segment"] for r in rows.select("segment").where("segment is not null").distinct().collect())
     for g in groups:
         sub = rows.where(F.col("segment") == g)
         cols = varying_columns(sub, BASE + MEASURES)

@@ -35,11 +35,11 @@ def _det(df):
 
 
 def rate_rows(spark, sf, dilutions=(0.0,)):
-    return rates.interval_rates(daily(spark, sf), **LX, dilutions=dilutions, on_error="trust")
+    return rates.interval_rates(daily(spark, sf), **LX, dilutions=dilutions, on_error="assert")
 
 
 def rate_table(spark, sf, d=None):
-    return rates.label_table(daily(spark, sf) if d is None else d, **LX, on_error="trust")
+    return rates.label_table(daily(spark, sf) if d is None else d, **LX, on_error="assert")
 
 
 def stored_daily(spark, sf):
@@ -110,7 +110,7 @@ def _(spark, sf):
     not (t.occurred = u.occurred and t.day is not distinct from u.day) as changed from t join u on u.id = t.id
     join (select id, string_agg(cast(day as varchar), ' ' order by day) as suspect_days from low group by id) l on l.id = t.id"""))
 def _(spark, sf):
-    return detect.recheck_without_low_points(user_days(spark, sf), **UD, on_error="trust")
+    return detect.recheck_without_low_points(user_days(spark, sf), **UD, on_error="assert")
 
 
 _feat = lambda c: f"""round(arg_max("{c}", day) filter (where day between 1 and 4 and "{c}" is not null), 6) as {c}_last,
@@ -396,7 +396,7 @@ for _w in (1, 3, 5):
     count(*) filter (where occurred and day > 4) as events, count(*) filter (where not occurred) as censored,
     median(day) filter (where occurred and day > 4) as median_day from u group by 1, 2, 3"""))
 def _(spark, sf):
-    g = detect.label_grid(user_days(spark, sf), **UD, on_error="trust")
+    g = detect.label_grid(user_days(spark, sf), **UD, on_error="assert")
     return compare.label_sensitivity(g, by=["smooth_window", "n_consecutive", "drop_threshold"])
 
 
