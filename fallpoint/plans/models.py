@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallpoint.operators.ordered import exact_quantiles, pick_quantiles, running_totals
@@ -168,7 +168,7 @@ def scaling_for(rows: DataFrame, columns: Sequence[str], member: Membership, how
 
 def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", member: Membership = Membership(),
                  c: float = 1.0, how: str = "robust", scaling: Scaling | None = None,
-                 rounds: int = 30, tol: float = 1e-8) -> LinearFits:
+                 rounds: int = 100, tol: float = 1e-8) -> LinearFits:
     """L2-penalised logistic regressions of all training sets by Newton steps.
 
     Minimises |beta|^2 / 2 + C * loss with an unpenalised intercept; one pass over the
@@ -220,6 +220,8 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", membe
             worst = max(worst, np.abs(step).max())
         if worst < tol:
             break
+    else:
+        raise RuntimeError(f"the fit did not settle: the last step was {worst}")
     return LinearFits(tuple(cols), beta[:, 1:].copy(), beta[:, 0].copy(), scale, usable)
 
 
@@ -453,18 +455,57 @@ def summary_of_errors(errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------- penalised Cox regression
 
 
+def _inverse_sums(d, whole, tied):
+    """Sums over j < d of 1 / s and 1 / s^2 for s = whole - j / d * tied, per row of the arrays.
+
+    They are differences of the digamma and trigamma functions: s is tied / d times
+    (c - j) with c = d * whole / tied >= d.
+    """
+    import numpy as np
+
+    def gammas(x):  # digamma and trigamma for x >= 1: nine steps up, then the asymptotic series
+        first, second = np.zeros_like(x), np.zeros_like(x)
+        for _ in range(9):
+            first, second, x = first - 1 / x, second + 1 / x ** 2, x + 1
+        r = 1 / x ** 2
+        first += np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+        second += 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30)))
+        return first, second
+
+    if not len(d):
+        return np.zeros(0), np.zeros(0)
+    c = np.maximum(d * whole / tied, d)
+    top, low = gammas(c + 1), gammas(c - d + 1)
+    f = d / tied
+    one, two = f * (top[0] - low[0]), f ** 2 * (low[1] - top[1])
+    for n in range(1, 9):  # few ties: add up, differences of nearly equal values would lose digits
+        at = d == n
+        if at.any():
+            terms = [whole[at] - k / n * tied[at] for k in range(n)]
+            one[at], two[at] = sum(1 / t for t in terms), sum(1 / t ** 2 for t in terms)
+    return one, two
+
+
 def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, member: Membership = Membership(),
-            penalizer: float = 0.5, rounds: int = 25, tol: float = 1e-7) -> LinearFits:
-    """Penalised Cox regressions (Efron ties) of all training sets by Newton steps.
+            penalizer: float = 0.5, rounds: int = 50, tol: float = 1e-7) -> LinearFits:
+    """Penalised Cox regressions (Efron ties) of all training sets by Newton steps; columns are scaled by their sample sd.
 
-    Tasks add up exp(xb), x exp(xb) and xx' exp(xb) per distinct time; the driver walks the
-    times from last to first keeping only the running risk-set sums.
+    Tasks add up exp(xb), x exp(xb) and xx' exp(xb) per distinct time; running sums from the
+    last time on, the closed sums over tied events and the totals are formed by Spark as well, so the
+    driver gets p + p x p cells per model.  Raises if a model does not settle.
     """
     cols, p, m, build = list(columns), len(columns), member.models, member.matrix()
     scale = scaling_for(rows, cols, member, "standard")
     data = numeric(rows, cols, [*member.columns, time, event]).withColumns(
         {time: F.col(time).cast("double"), event: F.col(event).cast("int")})
-    beta = np.zeros((m, p))
+
+    def weights(pdf):
+        return build(pdf).sum(axis=0)[:, None]
+
+    size = _summed(data, weights, m)[:, 0]
+    scale = Scaling(scale.median, scale.center, scale.scale * np.sqrt(size / np.maximum(size - 1, 1))[:, None])
+    beta, q, worst = np.zeros((m, p)), 1 + p + p * p, np.inf
+    inverse_sums = _inverse_sums
     for _ in range(rounds):
         args = (beta.copy(), scale.median, scale.center, scale.scale)
 
@@ -475,47 +516,82 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
             b, med, cen, sca = args
             found = {}
             for pdf in batches:
+                if not len(pdf):
+                    continue
+                pdf = pdf.sort_values(time, kind="stable")
                 w, x = build(pdf), pdf[cols].to_numpy(dtype=float)
-                t, e = pdf[time].to_numpy(), pdf[event].to_numpy()
+                e = (pdf[event].to_numpy() == 1).astype(float)
+                times, first = np.unique(pdf[time].to_numpy(), return_index=True)
                 for i in range(m):
                     xi = (np.where(np.isnan(x), med[i], np.nan_to_num(x)) - cen[i]) / sca[i]
-                    r = np.exp(np.clip(xi @ b[i], -50, 50)) * w[:, i]
-                    for u in np.unique(t):
-                        pick = (t == u) & (w[:, i] > 0)
-                        hit = pick & (e == 1)
-                        part = [np.concatenate([[r[q].sum()], r[q] @ xi[q], ((xi[q] * r[q][:, None]).T @ xi[q]).ravel()])
-                                for q in (pick, hit)]
-                        cell = np.concatenate([*part, [w[hit, i].sum(), w[pick, i].sum()], w[hit, i] @ xi[hit]])
-                        found[(i, u)] = found.get((i, u), 0) + cell
+                    z = xi @ b[i]
+                    top = z.max()
+                    r = np.exp(z - top) * w[:, i]
+                    every = np.concatenate([r[:, None], xi * r[:, None], np.einsum("n,na,nb->nab", r, xi, xi).reshape(len(r), -1)], axis=1)
+                    hit = (e * w[:, i])[:, None]
+                    cells = np.add.reduceat(np.concatenate([every, every * e[:, None], hit, xi * hit], axis=1), first, axis=0)
+                    for u, cell in zip(times, cells):
+                        old = found.get((i, u))
+                        if old is not None:  # both on the scale of the larger exponent
+                            high = max(top, old[0])
+                            both = np.concatenate([cell[:2 * q] * np.exp(top - high) + old[1][:2 * q] * np.exp(old[0] - high),
+                                                   cell[2 * q:] + old[1][2 * q:]])
+                            found[(i, u)] = (high, both)
+                        else:
+                            found[(i, u)] = (top, cell)
             if found:
                 yield pd.DataFrame({"model": [k[0] for k in found], "time": [k[1] for k in found],
-                                    "cells": list(found.values())})
-
-        parts = data.mapInPandas(per_partition, "model int, time double, cells array<double>")
-        long = parts.select("model", "time", F.posexplode("cells").alias("i", "v"))
-        sums = long.groupBy("model", "time", "i").agg(F.sum("v").alias("v")).groupBy("model", "time").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("cells"))
-        grad, hess, size = np.zeros((m, p)), np.zeros((m, p, p)), np.zeros(m)
-        run, q = np.zeros((m, 1 + p + p * p)), 1 + p + p * p
-        for row in sums.orderBy("model", F.col("time").desc()).toLocalIterator():
-            i, v = row["model"], np.array(row["cells"])
-            run[i] += v[:q]
-            tied, d, size[i] = v[q:2 * q], v[2 * q], size[i] + v[2 * q + 1]
-            grad[i] += v[2 * q + 2:]
-            for j in range(int(round(d))):
-                s = run[i] - j / d * tied
-                mean = s[1:1 + p] / s[0]
-                grad[i] -= mean
-                hess[i] += s[1 + p:].reshape(p, p) / s[0] - np.outer(mean, mean)
+                                    "top": [v[0] for v in found.values()], "cells": [v[1] for v in found.values()]})
+
+        parts = data.mapInPandas(per_partition, "model int, time double, top double, cells array<double>")
+        summed = _walked_back(parts, q)
+
+        def per_time(batches):
+            import numpy as np
+            import pandas as pd
+
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                c = np.stack(pdf["cells"].to_numpy())
+                run, tied, d, seen = c[:, :q], c[:, q:2 * q], c[:, 2 * q], c[:, 2 * q + 1:]
+                at = d > 0
+                run, tied, d, seen, model = run[at], tied[at], d[at], seen[at], pdf["model"].to_numpy()[at]
+                one, two = inverse_sums(d, run[:, 0], tied[:, 0])
+                u = tied[:, 1:1 + p] / tied[:, :1]
+                v = run[:, 1:1 + p] - run[:, :1] * u
+                grad = seen - d[:, None] * u - one[:, None] * v
+                second = tied[:, 1 + p:] / tied[:, :1]
+                square = d[:, None] * second + one[:, None] * (run[:, 1 + p:] - run[:, :1] * second)
+                outer = lambda a, b, k: (k[:, None, None] * a[:, :, None] * b[:, None, :]).reshape(len(k), -1)
+                square = square - outer(u, u, d) - outer(u, v, one) - outer(v, u, one) - outer(v, v, two)
+                cells = np.concatenate([grad, square], axis=1)
+                n = cells.shape[1]
+                yield pd.DataFrame({"model": np.repeat(model, n), "cell": np.tile(np.arange(n), len(model)), "value": cells.ravel()})
+
+        got = summed.mapInPandas(per_time, "model int, cell int, value double").groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()
+        table = np.zeros((m, p + p * p))
+        table[got["model"].to_numpy(), got["cell"].to_numpy()] = got["value"].to_numpy()
         worst = 0.0
         for i in range(m):
             pull = penalizer * size[i]
-            step = np.linalg.solve(hess[i] + pull * np.eye(p) + 1e-12 * np.eye(p), grad[i] - pull * beta[i])
+            step = np.linalg.solve(table[i, p:].reshape(p, p) + (pull + 1e-12) * np.eye(p), table[i, :p] - pull * beta[i])
             beta[i] += step
             worst = max(worst, np.abs(step).max())
         if worst < tol:
-            break
-    return LinearFits(tuple(cols), beta, np.zeros(m), scale, np.ones(m, bool))
+            return LinearFits(tuple(cols), beta, np.zeros(m), scale, np.ones(m, bool))
+    raise RuntimeError(f"the fit did not settle: the last step was {worst}")
+
+
+def _walked_back(parts: DataFrame, q: int) -> DataFrame:
+    """Cells per (model, time) on one scale per model; the first ``q`` are running sums from the last time on."""
+    scaled = parts.withColumn("_by", F.exp(F.col("top") - F.max("top").over(Window.partitionBy("model"))))
+    long = scaled.select("model", "time", "_by", F.posexplode("cells").alias("i", "v")).withColumn(
+        "v", F.when(F.col("i") < 2 * q, F.col("v") * F.col("_by")).otherwise(F.col("v")))
+    per = long.groupBy("model", "i", "time").agg(F.sum("v").alias("v"))
+    back = Window.partitionBy("model", "i").orderBy(F.col("time").desc())
+    per = per.withColumn("v", F.when(F.col("i") < q, F.sum("v").over(back)).otherwise(F.col("v")))
+    return per.groupBy("model", "time").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("cells"))
 
 
 def cox_concordance(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, folds: Sequence[str],

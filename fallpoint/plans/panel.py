@@ -122,15 +122,19 @@ def series_moments(intervals: DataFrame, kin: Kinetics, *, id_col, keys: Sequenc
 
 
 def covariate_scaling(rows: DataFrame, kin: Kinetics, *, fold: str, folds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample sd of each covariate over the training folds: two (folds, c) arrays."""
+    """Mean and sample sd of each covariate over the training folds: two (folds, c) arrays.
+
+    Rows of a fold outside 0 .. folds - 1 train every model, so -1 everywhere trains on all rows.
+    """
     if not kin.covariates:
         return np.zeros((folds, 0)), np.ones((folds, 0))
     aggs = [a for i, c in enumerate(kin.covariates) for a in (
         F.count(c).alias(f"n{i}"), F.sum(c).alias(f"s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"q{i}"))]
-    got = rows.groupBy(fold).agg(*aggs).toPandas().set_index(fold).reindex(range(folds)).fillna(0.0)
+    every = rows.groupBy(fold).agg(*aggs).toPandas().set_index(fold).fillna(0.0)
+    got = every.reindex(range(folds)).fillna(0.0)
     mean, sd = [], []
     for i in range(len(kin.covariates)):
-        n, s, q = (got[f"{x}{i}"].sum() - got[f"{x}{i}"].to_numpy(dtype=float) for x in "nsq")
+        n, s, q = (every[f"{x}{i}"].sum() - got[f"{x}{i}"].to_numpy(dtype=float) for x in "nsq")
         m = s / np.maximum(n, 1)
         mean.append(m)
         v = np.maximum((q - n * m * m) / np.maximum(n - 1, 1), 0)
@@ -181,7 +185,7 @@ class PanelFits:
 
 
 def fit_panel(moments: DataFrame, kin: Kinetics, *, fold: str, folds: int, mean: np.ndarray, sd: np.ndarray,
-              variant: str | None = None, variants: int = 1, rounds: int = 40, tol: float = 1e-10) -> PanelFits:
+              variant: str | None = None, variants: int = 1, rounds: int = 200, tol: float = 1e-10) -> PanelFits:
     """Least squares with alpha_i >= 0 per series and bounded shared parameters.
 
     For given shared parameters the best alpha_i is max(0, .), so the profiled objective is
@@ -243,6 +247,8 @@ def fit_panel(moments: DataFrame, kin: Kinetics, *, fold: str, folds: int, mean:
             theta[i] = new
         if worst < tol:
             break
+    else:
+        raise RuntimeError(f"the fit did not settle: the last step was {worst}")
     tail = s[:, (p - 1) ** 2 + p - 1:]
     mse = tail[:, 0] / np.maximum(tail[:, 1], 1)
     alpha = tail[:, 2] / np.maximum(tail[:, 3], 1)
@@ -302,13 +308,15 @@ def fit_own(moments: DataFrame, *, columns: Sequence[int] = (0, 1, 2), size: int
     return moments.select(id_col, "g").mapInPandas(per_batch, f"{id_col} {kind}, alpha double, beta double, k double")
 
 
-def fit_pooled(moments: DataFrame, *, columns: Sequence[int], size: int, lower: Sequence[float]) -> np.ndarray:
-    """One bounded fit over all series with common parameters."""
-    n = size + 2
+def fit_pooled(moments: DataFrame, kin: Kinetics, *, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """One bounded fit over all series with common parameters: (alpha, shared parameters) in model columns."""
+    q, p = len(kin.raw), len(kin.names)
+    n = q + 2
     row = moments.agg(*[F.sum(F.col("g")[i]).alias(f"_{i}") for i in range(n * n)]).first()
     g = np.array([row[f"_{i}"] or 0.0 for i in range(n * n)]).reshape(n, n)
-    pick = list(columns)
-    return bounded_minimum(g[np.ix_(pick, pick)], g[pick, size + 1], list(lower))
+    to_model = kin.to_model(mean, sd)
+    moved = to_model.T @ g[:q, :q] @ to_model
+    return bounded_minimum(moved[:p, :p], to_model.T @ g[:q, q + 1], [0.0, *kin.lower])
 
 
 # ---------------------------------------------------------------- scoring

@@ -101,7 +101,7 @@ def test_median_errors(spark, data):
 def test_cox_score_is_zero_at_the_fit(spark, data):
     fits = models.fit_cox(frame(spark, data), COLS, time="time", event="e", penalizer=0.1)
     x = data[COLS].fillna(data[COLS].median())
-    x = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
+    x = ((x - x.mean()) / x.std(ddof=1)).to_numpy()
     t, e, b = data.time.to_numpy(), data.e.to_numpy(), fits.beta[0]
 
     def loglik(b):

@@ -134,7 +134,7 @@ def _(spark, sf):
 
 @query("j17_odds_ratios")
 def _(spark, sf):
-    return models.odds_ratios(cut(pp(spark, sf)), HAZARD, variables=risk.SCHEDULE + MEASURES, id_col="id", resamples=50)
+    return models.odds_ratios(cut(pp(spark, sf)), HAZARD, variables=risk.SCHEDULE + MEASURES, id_col="id", resamples=300)
 
 
 @query("j17_odds_ratios_group_effects")
@@ -144,7 +144,7 @@ def _(spark, sf):
     rows = pp(spark, sf)
     ind = group_indicators(F.col("segment"), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"])
     rows = cut(rows.withColumns(ind))
-    return models.odds_ratios(rows, HAZARD + list(ind), variables=MEASURES, id_col="id", resamples=30, how="standard")
+    return models.odds_ratios(rows, HAZARD + list(ind), variables=MEASURES, id_col="id", resamples=300, how="standard")
 
 
 @query("j17_direction_by_group")
@@ -208,12 +208,11 @@ def _(spark, sf):
 @query("j18_pooled_against_within")
 def _(spark, sf):
     w = cut(window_rows(spark, sf).withColumn("fold", F.lit(-1)))
-    mean, sd = panel.covariate_scaling(w.withColumn("fold", F.lit(1)), KINH, fold="fold", folds=1)
+    mean, sd = panel.covariate_scaling(w, KINH, fold="fold", folds=1)
     mom = cut(panel.series_moments(panel.interval_columns(w, KINH, id_col="id"), KINH, id_col="id", keys=["fold"]))
-    inf = float("inf")
-    pooled = panel.fit_pooled(mom, columns=range(8), size=8, lower=[0, 0, 0, -inf, -inf, -inf, -inf, -inf])
+    pooled = panel.fit_pooled(mom, KINH, mean=mean[0], sd=sd[0])
     free = panel.fit_panel(mom, KINH, fold="fold", folds=1, mean=mean, sd=sd)
-    return spark.createDataFrame([(float(pooled[7]), float(free.theta[0, 0, -1]))], "c_pooled double, c_within double")
+    return spark.createDataFrame([(float(pooled[-1]), float(free.theta[0, 0, -1]))], "c_pooled double, c_within double")
 
 
 @query("j19_simulated_profiles")
@@ -290,13 +289,13 @@ def _(spark, sf):
 
 @query("j26_ridge_permutation")
 def _(spark, sf):
-    return jobs.ridge_permutation(day_table(spark, sf), FEATURES, y="event_day", id_col="id", folds=["f0"], n_permutations=40)
+    return jobs.ridge_permutation(day_table(spark, sf), FEATURES, y="event_day", id_col="id", folds=["f0"], n_permutations=200)
 
 
 @query("j28_ridge_against_medians")
 def _(spark, sf):
     return jobs.baseline_comparison(day_table(spark, sf, 2), FEATURES, y="event_day", group="segment", id_col="id",
-                                    folds=["f0", "f1"], resamples=50)["intervals"]
+                                    folds=["f0", "f1"], resamples=2000)["intervals"]
 
 
 @query("j30_permutation_importance")
@@ -323,7 +322,7 @@ def _(spark, sf):
 @query("j33_anticipation")
 def _(spark, sf):
     by_lead = {n: hazard_rows(spark, sf, lead=n) for n in (1, 2)}
-    return jobs.anticipation(by_lead, BASE, HAZARD, id_col="id", folds=["f0"], resamples=50)
+    return jobs.anticipation(by_lead, BASE, HAZARD, id_col="id", folds=["f0"], resamples=300)
 
 
 @query("j34_expected_trajectory")
@@ -367,7 +366,7 @@ def _(spark, sf):
     rows = day_table(spark, sf)
     top = profile.most_frequent(rows, "segment").first()["segment"]
     sub = cut(rows.where(F.col("segment") == top))
-    out = jobs.ridge_permutation(sub, FEATURES[:5], y="event_day", id_col="id", folds=["f0"], n_permutations=40)
+    out = jobs.ridge_permutation(sub, FEATURES[:5], y="event_day", id_col="id", folds=["f0"], n_permutations=200)
     return out.withColumn("segment", F.lit(top))
 
 
@@ -391,7 +390,7 @@ def _(spark, sf):
     scores = jobs.score_profiles(w, jobs.fit_on_folds(w, KIN, id_col="id", fold="fold", folds=5), KIN, id_col="id", name="always_on")
     scores = cut(scores.unionByName(jobs.score_profiles(
         s, jobs.fit_on_folds(w, KIN2, id_col="id", fold="fold", folds=5), KIN2, id_col="id", name="two_state")))
-    ci = jobs.paired_difference(scores, id_col="id", metric="rmse2", model="two_state", rival="always_on", resamples=100)
+    ci = jobs.paired_difference(scores, id_col="id", metric="rmse2", model="two_state", rival="always_on", resamples=2000)
     truth = w.groupBy("id").agg(F.max(F.when(F.col("event_day") < F.col("end_day"), F.col("event_day"))).alias("truth"))
     wide = scores.groupBy("id").agg(*[F.max(F.when(F.col("model") == m, F.col("simulated_day"))).alias(m)
                                       for m in ("two_state", "always_on")])

@@ -572,27 +572,30 @@ def _(spark, sf):
     return profile_event_day(user_days(spark, sf), **UD)
 
 
-_boot = {"i": "select *, row_number() over (order by md5('0|' || id) || '|' || id) - 1 as ix, count(*) over () as n from (select distinct id from e0)",
-         "dr": f"select b, {_hash(chr(39) + '0' + chr(39), 'b', 'id')} % n as ix from i, generate_series(0, 49) t(b)",
+# The published numbers of resamples and shuffles.
+RESAMPLES, PAIRED, SHUFFLES, COINCIDENCES = 1000, 5000, 200, 5000
+
+_boot = lambda n: {"i": "select *, row_number() over (order by md5('0|' || id) || '|' || id) - 1 as ix, count(*) over () as n from (select distinct id from e0)",
+         "dr": f"select b, {_hash(chr(39) + '0' + chr(39), 'b', 'id')} % n as ix from i, generate_series(0, {n - 1}) t(b)",
          "ct": "select b, i.id, count(*) as times from dr join i on i.ix = dr.ix group by 1, 2"}
 
 
-@query("j25_bootstrap_counts", with_ctes({"e0": "select distinct user_id as id from events"} | _boot, "select cast(b as int) as b, id, times from ct"))
+@query("j25_bootstrap_counts", with_ctes({"e0": "select distinct user_id as id from events"} | _boot(RESAMPLES), "select cast(b as int) as b, id, times from ct"))
 def _(spark, sf):
-    return resample.bootstrap_counts(_ids(spark, sf), id_col="id", resamples=50)
+    return resample.bootstrap_counts(_ids(spark, sf), id_col="id", resamples=RESAMPLES)
 
 
 @query("j25_bootstrap_mean", with_ctes(detect_sql("ud", "t") | detect_sql("ud", "u", refine=False) | {"e0": """select t.id, t.day - u.day as gap
-    from t join u on u.id = t.id where t.day is not null and u.day is not null"""} | _boot | {"mm": """select b, sum(times * gap) / sum(times) as m
+    from t join u on u.id = t.id where t.day is not null and u.day is not null"""} | _boot(RESAMPLES) | {"mm": """select b, sum(times * gap) / sum(times) as m
     from ct join e0 on e0.id = ct.id group by b"""}, """select 'gap' as variable, (select round(avg(gap), 6) from e0) as mean,
     round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from mm"""))
 def _(spark, sf):
     d = compare.compare_labels(found(spark, sf), found(spark, sf, refine_peak=False), id_col="id")
     d = d.where(F.col("day_difference").isNotNull()).select("id", F.col("day_difference").alias("gap"))
-    return resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=50).select("variable", r6("mean"), r6("low"), r6("high"))
+    return resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=RESAMPLES).select("variable", r6("mean"), r6("low"), r6("high"))
 
 
-@query("j25_bootstrap_auc", with_ctes(_scores | {"e0": "select distinct id from p"} | _boot | {
+@query("j25_bootstrap_auc", with_ctes(_scores | {"e0": "select distinct id from p"} | _boot(RESAMPLES) | {
     "lg": "select id, 'a' as m, s0 as s, y from sx union all select id, 'b', s1, y from sx",
     "wt": "select b, m, s, sum(times * y) as pos, sum(times * (1 - y)) as neg from lg join ct on ct.id = lg.id group by 1, 2, 3",
     "cm": "select *, coalesce(sum(neg) over (partition by b, m order by s rows between unbounded preceding and 1 preceding), 0) as bn from wt",
@@ -602,18 +605,18 @@ def _(spark, sf):
     f"""select 'auc_b' as metric, (select round({_auc('')}, 6) from k) as value, round(quantile_cont(auc_b, 0.025), 6) as low, round(quantile_cont(auc_b, 0.975), 6) as high
     from gn union all select 'gain', round((select {_auc('')} from k) - (select {_auc('')} from k0), 6), round(quantile_cont(gain, 0.025), 6), round(quantile_cont(gain, 0.975), 6) from gn"""))
 def _(spark, sf):
-    d = metrics.bootstrap_auc(scored_rows(spark, sf), id_col="id", score_a="s0", score_b="s1", resamples=50)
+    d = metrics.bootstrap_auc(scored_rows(spark, sf), id_col="id", score_a="s0", score_b="s1", resamples=RESAMPLES)
     return d.select("metric", r6("value"), r6("low"), r6("high"))
 
 
-_perm = lambda within="": {
+_perm = lambda rounds, within="": {
     "dn": f"select {'segment, ' if within else ''}v, row_number() over ({'partition by segment ' if within else ''}order by md5('0d|' || id) || '|' || id) as ix from e",
-    "rc": f"select b, e.*, row_number() over (partition by b{', segment' if within else ''} order by md5('0/' || b || '|' || id) || '|' || id) as ix from e, generate_series(0, 49) t(b)",
+    "rc": f"select b, e.*, row_number() over (partition by b{', segment' if within else ''} order by md5('0/' || b || '|' || id) || '|' || id) as ix from e, generate_series(0, {rounds - 1}) t(b)",
     "sh": f"select rc.b, rc.id, rc.v as own, dn.v as v from rc join dn on dn.ix = rc.ix{' and dn.segment is not distinct from rc.segment' if within else ''}"}
 
 
 @query("j26_permutation_test", with_ctes(detect_sql("ud", "t") | {"x": f"select t.id, day as v, fs.x from t join ({_early}) fs on fs.id = t.id where occurred and x is not null",
-    "e": "select * from x"} | _perm() | {"nl": """select b, round(abs(corr(sh.v, x.x)), 9) as score from sh join x on x.id = sh.id group by b""",
+    "e": "select * from x"} | _perm(SHUFFLES) | {"nl": """select b, round(abs(corr(sh.v, x.x)), 9) as score from sh join x on x.id = sh.id group by b""",
     "ob": "select round(abs(corr(v, x)), 9) as score from x"}, """select round(max(ob.score), 6) as observed, round(avg(nl.score), 6) as null_mean,
     round(stddev_pop(nl.score), 6) as null_sd, round((count(*) filter (where nl.score >= ob.score) + 1) / (count(*) + 1), 6) as p_value,
     round(1 / (count(*) + 1), 6) as p_min, count(*) as n_permutations from nl, ob"""))
@@ -621,7 +624,7 @@ def _(spark, sf):
     early = user_days(spark, sf).groupBy("id").agg(F.max(F.when(F.col("day") <= 4, F.col("level"))).alias("x"))
     rows = found(spark, sf).where("occurred").select("id", "day").join(early, "id").where("x is not null")
     out = resample.permutation_test(lambda d: d.groupBy("b").agg(F.round(F.abs(F.corr("day", "x")), 9).alias("score")), rows,
-                                    id_col="id", label="day", n_permutations=50, lower_is_better=False)
+                                    id_col="id", label="day", n_permutations=SHUFFLES, lower_is_better=False)
     return out.select(*[r6(c) for c in ("observed", "null_mean", "null_sd", "p_value", "p_min")], "n_permutations")
 
 
@@ -637,7 +640,7 @@ def _coincide(spark, sf, within):
     sched = features.schedule_summary(daily(spark, sf), **KEY, setpoint_col="setpoint").select("id", "change_day")
     seg = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
     rows = found(spark, sf).where("occurred").select("id", "day").join(sched, "id").join(seg, "id", "left")
-    d = resample.coincidence_test(rows, id_col="id", day="day", other_day="change_day", rounds=50, within=within)
+    d = resample.coincidence_test(rows, id_col="id", day="day", other_day="change_day", rounds=COINCIDENCES, within=within)
     return d.select(r6("observed"), r6("null_mean"), r6("p_value"), "n_permutations")
 
 
@@ -645,18 +648,18 @@ _coin["cd"] = """select id, min(day) filter (where setpoint <> s0) as cd, any_va
     (partition by id order by day) as s0 from dy) group by id"""
 
 
-@query("j27_coincidence", with_ctes(_coin | _perm() | _coin_end, _coin_fin))
+@query("j27_coincidence", with_ctes(_coin | _perm(COINCIDENCES) | _coin_end, _coin_fin))
 def _(spark, sf):
     return _coincide(spark, sf, None)
 
 
-@query("j27_coincidence_within_group", with_ctes(_coin | _perm("segment") | _coin_end, _coin_fin))
+@query("j27_coincidence_within_group", with_ctes(_coin | _perm(COINCIDENCES, "segment") | _coin_end, _coin_fin))
 def _(spark, sf):
     return _coincide(spark, sf, "segment")
 
 
 @query("j28_paired_baselines", with_ctes(detect_sql("ud", "t") | _base_rows | {"e0": """select fx.id, abs(day - g) - abs(day - coalesce(s, g)) as gap
-    from fx join gm on gm.fold = fx.fold left join sm on sm.fold = fx.fold and sm.segment is not distinct from fx.segment"""} | _boot | {
+    from fx join gm on gm.fold = fx.fold left join sm on sm.fold = fx.fold and sm.segment is not distinct from fx.segment"""} | _boot(PAIRED) | {
     "mm": "select b, sum(times * gap) / sum(times) as m from ct join e0 on e0.id = ct.id group by b",
     "ci": "select (select avg(gap) from e0) as mean, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from mm"},
     """select round(mean, 6) as mean, round(low, 6) as low, round(high, 6) as high, case when low >= 0.01 then 'wins' when high < 0 then 'loses'
@@ -664,7 +667,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = baselines.out_of_fold_medians(_day_rows(spark, sf), value="day", group="segment", fold_col="fold", folds=5)
     d = d.select("id", (F.abs(F.col("day") - F.col("global_median")) - F.abs(F.col("day") - F.col("group_median"))).alias("gap"))
-    ci = resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=50)
+    ci = resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=PAIRED)
     return ci.select(r6("mean"), r6("low"), r6("high"), compare.verdict(F.col("low"), F.col("high")).alias("verdict"))
 
 
