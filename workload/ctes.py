@@ -188,4 +188,4 @@ def with_ctes(parts: dict[str, str], final: str) -> str:
         visit(t)
     visit(final)
     body = ", ".join(f"{k} as ({v})" for k, v in {**need, **parts}.items())
-    return f"with {body} {final}" if body else final
+    return f"with recursive {body} {final}" if body else final

@@ -14,7 +14,8 @@ from workload.bindings import KINDS, daily, table, user_days
 from workload.ctes import detect as detect_sql
 from workload.ctes import with_ctes
 from workload.registry import query, r6
-from workload.series import KEY, LX, MEASURES, pp, rate_table, window_rows
+from workload.ctes import labels as labels_sql
+from workload.series import KEY, LX, MEASURES, _scores, pp, rate_table, scored_rows, window_rows
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 BASE = list(risk.DAY_FLAGS)
@@ -415,3 +416,42 @@ def _(spark, sf):
             one = one.select(F.lit(keep).cast("double").alias("keep"), F.lit(d).alias("dilution"), "ids", "rmse", "rmse2")
             out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- fits with one column, which SQL can follow step by step
+
+_STEPS = 30  # Newton steps of the check; both fits settle long before
+
+
+@query("j9_hazard_one_column", with_ctes(_scores | {
+    "st": "select avg(s0) as m, stddev_pop(s0) as s from sx", "xy": "select (s0 - m) / s as x, y from sx, st",
+    "nt": f"""select 0 as k, 0.0::double as a, 0.0::double as b union all
+        select k + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+        from (select k, any_value(a) as a, any_value(b) as b, sum(p - y) as g0, sum(x * (p - y)) + any_value(b) as g1, sum(p * (1 - p)) as h00,
+                     sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) + 1 as h11
+              from (select k, a, b, x, y, 1 / (1 + exp(-(a + b * x))) as p from nt, xy where k < {_STEPS}) group by k)"""},
+    f"select round(a, 6) as intercept, round(b, 6) as coefficient from nt where k = {_STEPS}"))
+def _(spark, sf):
+    fits = models.fit_logistic(cut(scored_rows(spark, sf).select("s0", "y")), ["s0"], how="standard")
+    return spark.createDataFrame([(float(fits.intercept[0]), float(fits.beta[0, 0]))], "intercept double, coefficient double").select(
+        r6("intercept"), r6("coefficient"))
+
+
+@query("j11_cox_one_column", with_ctes(labels_sql("dy", "lab") | {
+    "xx": "select id, max(level) filter (where day <= 4) as x from dy group by id",
+    "ts": "select lab.time as t, cast(lab.event as int) as e, x from lab join xx on xx.id = lab.id where x is not null and lab.time is not null",
+    "st": "select avg(x) as m, stddev_samp(x) as s, count(*) as n from ts", "zs": "select t, e, (x - m) / s as z from ts, st",
+    "hits": "select t as u, count(*) as d from zs where e = 1 group by t", "ej": "select u, d, unnest(generate_series(0, d - 1)) as j from hits",
+    "nt": f"""select 0 as k, 0.0::double as b union all
+        select k + 1, b + ((select sum(z) from zs where e = 1) - g - 0.5 * n * b) / (h + 0.5 * n)
+        from (select k, any_value(b) as b, sum(s1 / s0) as g, sum(s2 / s0 - (s1 / s0) * (s1 / s0)) as h
+              from (select k, any_value(b) as b, u, j, sum(r * w) as s0, sum(r * w * z) as s1, sum(r * w * z * z) as s2
+                    from (select k, b, u, j, z, exp(b * z) as r, case when t = u and e = 1 then 1 - j / d when t >= u then 1.0 else 0.0 end as w
+                          from nt, ej, zs where k < {_STEPS}) group by k, u, j) group by k), st"""},
+    f"select round(b, 6) as coefficient from nt where k = {_STEPS}"))
+def _(spark, sf):
+    early = daily(spark, sf).groupBy("id").agg(F.max(F.when(F.col("day") <= 4, F.col("level"))).alias("x"))
+    lab = rate_table(spark, sf).select("id", "time", F.col("event").cast("int").alias("happened"))
+    rows = cut(early.join(lab, "id").where("x is not null and time is not null"))
+    fits = models.fit_cox(rows, ["x"], time="time", event="happened")
+    return spark.createDataFrame([(float(fits.beta[0, 0]),)], "coefficient double").select(r6("coefficient"))
