@@ -59,17 +59,27 @@ def check_table(data: DataFrame, *, required: Sequence[str], numeric: Sequence[s
                 f"found {data.columns}")
     if data.isEmpty():
         return "the table has no data, only a header"
-    for c in numeric:
-        bad = bad_cells(data, c, decimal_comma).orderBy("row").first()
-        if bad is not None:
+    first = first_faults(data, numeric=numeric, day_col=day_col, decimal_comma=decimal_comma).first()
+    for i, c in enumerate(numeric):
+        if (bad := first[f"bad_{i}"]) is not None:
             return f"column {c}, row {bad['row'] + 1} of the file: '{bad['cell']}' is not a number"
-    blank = (numbered(data.select(day_col)).where(F.col(day_col).isNull())
-             .agg(F.min("row").alias("row")).first())
-    if blank["row"] is not None:
-        return f"row {blank['row'] + 1} of the file has no day"
+    if first["no_day"] is not None:
+        return f"row {first['no_day'] + 1} of the file has no day"
     return None
 
 
+def first_faults(data: DataFrame, *, numeric: Sequence[str], day_col: str, decimal_comma: bool = False) -> DataFrame:
+    """One row from one pass: for the i-th numeric column ``bad_i``, its first (row, cell) that is no number, and
+    ``no_day``, the first row without a day; NULL where there is none."""
+    def bad(c: str) -> Column:
+        cell = F.col(c)
+        wrong = cell.isNotNull() & lenient_number(cell, decimal_comma).isNull()
+        return F.min(F.when(wrong, F.struct("row", cell.cast("string").alias("cell"))))
+
+    rows = numbered(data.select(*dict.fromkeys([*numeric, day_col])))
+    return rows.agg(*[bad(c).alias(f"bad_{i}") for i, c in enumerate(numeric)], F.min(F.when(F.col(day_col).isNull(), F.col("row"))).alias("no_day"))
+
+
 def drop_incomplete(data: DataFrame, *, id_col, need: Sequence[str],
                     min_rows: int = 1) -> DataFrame:
     """Drop rows missing any needed column, then series left with too few rows."""

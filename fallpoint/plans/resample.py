@@ -132,6 +132,12 @@ def group_sizes(rows: DataFrame, *, group: str, min_group_size: int = 1) -> Data
             .select(group, "n_test", (F.col("_n") - F.col("n_test")).alias("n_train")))
 
 
+def weighted_score(scores: DataFrame) -> DataFrame:
+    """Mean over the groups left out, each counted by its size, with the number of groups and rows."""
+    return scores.agg(F.count(F.lit(1)).alias("groups"), F.sum("n_test").alias("n_test"),
+                      (F.sum(F.col("score") * F.col("n_test")) / F.sum("n_test")).alias("score"))
+
+
 def leave_one_group_out(fit_predict: Callable[[DataFrame, DataFrame], DataFrame], rows: DataFrame, *,
                         group: str, metric: Column, min_group_size: int = 1) -> DataFrame:
     """Train without one whole group, predict on it: group, n_test, n_train, score.

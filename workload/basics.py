@@ -271,6 +271,40 @@ def _(spark, sf):
     return out.select(F.col("pairs").cast("long").alias("pairs"), r6("concordance"))
 
 
+@query("c10_concordance_fractional", """with x as (select user_id, max(epoch_us(ts)) / 8.64e10 as time, bool_or(event_type = 'purchase') as occurred,
+    count(*) as l from events group by user_id) select count(*) as pairs,
+    round(sum(case when a.l < b.l then 1.0 when a.l = b.l then 0.5 else 0 end) / count(*), 6) as concordance
+    from x a join x b on a.occurred and (a.time < b.time or (a.time = b.time and not b.occurred))""")
+def _(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_type")
+    rows = ev.groupBy("user_id").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 8.64e10).alias("time"),
+                                     F.max(F.col("event_type") == "purchase").alias("occurred"), F.count(F.lit(1)).alias("l"))
+    out = metrics.concordance(rows, time="time", event="occurred", score="l")
+    return out.select(F.col("pairs").cast("long").alias("pairs"), r6("concordance"))
+
+
+@query("b1_first_faults", """with n as (select row_number() over () as row, o_orderpriority as p, o_orderstatus as s, o_orderdate as d from orders)
+    select min(row) filter (where try_cast(split_part(p, '-', 2) as double) is null) as priority_row,
+    arg_min(split_part(p, '-', 2), row) filter (where try_cast(split_part(p, '-', 2) as double) is null) as priority_cell,
+    min(row) filter (where s = 'P') as status_row, min(row) filter (where d is null) as no_day from n""")
+def _(spark, sf):
+    text = table(spark, sf, "orders").select(F.split("o_orderpriority", "-")[1].alias("p"), F.when(F.col("o_orderstatus") == "P", "P").otherwise("0").alias("s"), "o_orderdate")
+    got = quality.first_faults(text, numeric=["p", "s"], day_col="o_orderdate")
+    return got.select(F.col("bad_0.row").alias("priority_row"), F.col("bad_0.cell").alias("priority_cell"), F.col("bad_1.row").alias("status_row"), "no_day")
+
+
+@query("d17_label_correlations", with_ctes(_t | {"x": """select t.day as y, max(level) filter (where ud.day <= 4) as level,
+    max(n_events) filter (where ud.day <= 4) as n_events from t join ud on ud.id = t.id where t.occurred group by t.id, t.day""",
+    "l": "select 'level' as variable, level as v, y from x where level is not null union all select 'n_events', n_events, y from x where n_events is not null",
+    "r": """select variable, rank() over (partition by variable order by v) + (count(*) over (partition by variable, v) - 1) / 2.0 as rv,
+    rank() over (partition by variable order by y) + (count(*) over (partition by variable, y) - 1) / 2.0 as ry from l"""},
+    "select variable, count(*) as pairs, round(corr(rv, ry), 6) as rho from r group by 1"))
+def _(spark, sf):
+    early = user_days(spark, sf).where("day <= 4").groupBy("id").agg(F.max("level").alias("level"), F.max("n_events").alias("n_events"))
+    rows = found(spark, sf).where("occurred").select("id", F.col("day").alias("y")).join(early, "id")
+    return stats.label_correlations(rows, columns=["level", "n_events"], label="y").select("variable", "pairs", r6("rho"))
+
+
 @query("c11_wide_join", with_ctes(_t | detect_sql("ud", "u", refine=False) | detect_sql("fl", "v", n=3),
     """select t.id, t.day as base_day, u.day as raw_day, v.day as strict_day from t left join u on u.id = t.id
     left join v on v.id = t.id"""))

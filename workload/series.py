@@ -466,11 +466,13 @@ def _(spark, sf):
 _early = """select id, max(level) filter (where day <= 4) as x from ud group by id"""
 
 
-@query("j3_leave_one_group_out", with_ctes(detect_sql("ud", "t") | {"x": _seg, "e": "select segment, day from x where occurred",
+_group_out = detect_sql("ud", "t") | {"x": _seg, "e": "select segment, day from x where occurred",
     "m": """select a.segment, median(b.day) as guess, count(b.day) as n_train from (select distinct segment from e) a join e b
-    on b.segment <> a.segment group by 1"""}, """select e.segment as "group", count(*) as n_test, n_train, round(avg(abs(day - guess)), 6) as score
-    from e join m on m.segment = e.segment group by 1, 3 having count(*) >= 5"""))
-def _(spark, sf):
+    on b.segment <> a.segment group by 1""", "go": """select e.segment as "group", count(*) as n_test, n_train, avg(abs(day - guess)) as score
+    from e join m on m.segment = e.segment group by 1, 3 having count(*) >= 5"""}
+
+
+def _groups_left_out(spark, sf):
     rows = found(spark, sf).where("occurred").join(table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), "id", "left").select("id", "segment", "day")
 
@@ -478,9 +480,19 @@ def _(spark, sf):
         guess = exact_quantiles(train, value="day", probs=[0.5], names=["prediction"]).select("prediction").scalar()
         return test.withColumn("prediction", guess)
 
-    out = resample.leave_one_group_out(median_fit, rows, group="segment", min_group_size=5,
-                                       metric=F.avg(F.abs(F.col("day") - F.col("prediction"))))
-    return out.select("group", "n_test", "n_train", r6("score"))
+    return resample.leave_one_group_out(median_fit, rows, group="segment", min_group_size=5,
+                                        metric=F.avg(F.abs(F.col("day") - F.col("prediction"))))
+
+
+@query("j3_leave_one_group_out", with_ctes(_group_out, 'select "group", n_test, n_train, round(score, 6) as score from go'))
+def _(spark, sf):
+    return _groups_left_out(spark, sf).select("group", "n_test", "n_train", r6("score"))
+
+
+@query("j3_weighted_mean", with_ctes(_group_out, """select count(*) as groups, cast(sum(n_test) as bigint) as n_test,
+    round(sum(score * n_test) / sum(n_test), 6) as score from go"""))
+def _(spark, sf):
+    return resample.weighted_score(_groups_left_out(spark, sf)).select("groups", "n_test", r6("score"))
 
 
 _wf = {"w": "select id, max(purchase) filter (where day <= 4) as purchase, max(click) filter (where day <= 4) as click from ud group by id",
