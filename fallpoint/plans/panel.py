@@ -291,17 +291,27 @@ def fit_own(moments: DataFrame, *, columns: Sequence[int] = (0, 1, 2), size: int
     Series with fewer than two consuming or three producing intervals should be left out
     by the caller, they do not determine their parameters.
     """
-    pick, bounds = list(columns), list(lower)
-    solve = bounded_minimum
+    pick, tied = list(columns), [j for j, low in enumerate(lower) if np.isfinite(low)]
 
     def per_batch(batches):
+        """All series of a batch at once: the free minimum under every choice of parameters held at zero, the best sound one kept."""
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
             if len(pdf):
                 g = np.stack(pdf["g"].to_numpy()).reshape(len(pdf), size + 2, size + 2)
-                x = np.array([solve(m[np.ix_(pick, pick)], m[pick, size + 1], bounds) for m in g])
+                a, b = g[:, pick][:, :, pick], g[:, pick, size + 1]
+                x, least = np.zeros(b.shape), np.full(len(b), np.inf)
+                for choice in range(1 << len(tied)):
+                    on = [j for j in range(len(pick)) if not (j in tied and choice >> tied.index(j) & 1)]
+                    y = np.zeros(b.shape)
+                    if on:
+                        y[:, on] = np.einsum("nij,nj->ni", np.linalg.pinv(a[:, on][:, :, on]), b[:, on])
+                    value = 0.5 * np.einsum("ni,nij,nj->n", y, a, y) - np.einsum("ni,ni->n", b, y)
+                    better = (value < least - 1e-15) & (y[:, tied] >= -1e-12).all(axis=1)
+                    x[better], least[better] = y[better], value[better]
+                x[:, tied] = np.maximum(x[:, tied], 0.0)
                 yield pd.DataFrame({id_col: pdf[id_col], "alpha": x[:, 0], "beta": x[:, 1], "k": x[:, 2]})
 
     kind = dict(moments.dtypes)[id_col]
@@ -341,8 +351,10 @@ def with_own_alpha(intervals: DataFrame, params: DataFrame, kin: Kinetics, *, id
     x = F.when(early, F.col("u_grow"))
     whole = grid.whole(ids)
     xr, xx = F.sum(x * (F.col("dy") - base)).over(whole), F.sum(x * x).over(whole)
-    est = (F.coalesce(xr, F.lit(0.0)) + F.col("shrink") * F.col("p0")) / (F.coalesce(xx, F.lit(0.0)) + F.col("shrink"))
-    alpha = F.when(F.count(x).over(whole) == 0, F.col("p0")).otherwise(not_below_zero(est))
+    room = F.coalesce(xx, F.lit(0.0)) + F.col("shrink")
+    est = (F.coalesce(xr, F.lit(0.0)) + F.col("shrink") * F.col("p0")) / F.nullif(room, F.lit(0.0))
+    # Nothing measured and nothing to shrink to a mean of its own: the mean itself.
+    alpha = F.when((F.count(x).over(whole) == 0) | (room == 0), F.col("p0")).otherwise(not_below_zero(est))
     return rows.withColumn("alpha", alpha)
 
 
@@ -471,7 +483,7 @@ def expected_trajectory(rows: DataFrame, params: DataFrame, kin: Kinetics, *, id
     total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["w"])
     tails = tails.withColumns({"_total": F.greatest(total, F.lit(1e-9)),
                                "modal_day": F.when(F.col("_top")["w"] >= never, -F.col("_top")["d"])})
-    tails = tails.select(id_col, "_total", "modal_day", F.inline(F.filter("_c", lambda x: x["w"] >= negligible)))
+    tails = tails.select(id_col, "_total", "modal_day", F.inline(F.filter("_c", lambda x: x["w"] > negligible)))
     tails = tails.withColumn("tau", F.coalesce("tau", F.lit(0)))
     pairs = rows.drop("_w").join(tails.select(id_col, "tau", "w", "_total", "modal_day"), id_col)
     sharp = F.when((F.col("tau") > 0) & (F.col(kin.day) >= F.col("tau")), 1.0).otherwise(0.0)

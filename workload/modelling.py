@@ -280,7 +280,7 @@ def _(spark, sf):
 
 @query("j24_consumption_forms")
 def _(spark, sf):
-    forms = panel.consumption_forms((5.0, 20.0, 80.0), (0.0, 5.0))
+    forms = panel.consumption_forms()
     w = folded_window(spark, sf)
     fits = jobs.fit_on_folds(w, KIN2, id_col="id", fold="fold", folds=5, forms=forms)
     best = panel.choose_form(fits)
@@ -406,9 +406,9 @@ def _(spark, sf):
     from dataclasses import replace
 
     out = None
-    for keep in (0.85, None):
+    for keep in (0.85, 0.75, None):
         w = folded_window(spark, sf, keep)
-        for d in (0.0, 0.02):
+        for d in (0.0, 0.01, 0.02, 0.03) if keep == 0.85 else (0.0, 0.02):  # fixed values: the published grid
             kin = replace(KIN, dilution=d)
             fits = jobs.fit_on_folds(w, kin, id_col="id", fold="fold", folds=5)
             one = jobs.score_profiles(w, fits, kin, id_col="id", name="always_on").agg(
