@@ -35,7 +35,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    LIMIT = 300_000  # entries that each memory may hold before it starts afresh
+    LIMIT = 700_000  # runs that the memory may hold; beyond, those met in one batch only are forgotten
 
     def __init__(self, path: str):
         import regex
@@ -64,8 +64,8 @@ class Codec:
         self.split = regex.compile(PATTERN).findall
         self.gap = regex.compile(r" (?!\S)").search
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[str | int, bytes] = {}
+        self.again: set[str] = set()
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of adjacent parts, ``none`` where no merge joins them."""
@@ -73,22 +73,26 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.ranks[at], self.none)
 
-    def merge_short(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of pieces of one length."""
+    def merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of pieces of one length, as little-endian unsigned 32-bit numbers."""
         parts = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(len(pieces), -1)]
         ranks = self.rank(parts[:, :-1], parts[:, 1:])
         who = np.arange(len(pieces))
-        done: list[np.ndarray] = [None] * len(pieces)
+        done: list[bytes] = [b""] * len(pieces)
+
+        def finish(which: np.ndarray, rows: np.ndarray) -> None:
+            data, width = rows.astype("<u4").tobytes(), 4 * rows.shape[1]
+            for k, i in enumerate(which.tolist()):
+                done[i] = data[k * width:(k + 1) * width]
+
         while len(who):
             if not ranks.shape[1]:
-                for i, row in zip(who, parts):
-                    done[i] = row
+                finish(who, parts)
                 break
             at = ranks.argmin(axis=1)
             low = ranks[np.arange(len(who)), at]
             live = low < self.none
-            for i, row in zip(who[~live], parts[~live]):
-                done[i] = row
+            finish(who[~live], parts[~live])
             who, parts, ranks, at, low = who[live], parts[live], ranks[live], at[live], low[live]
             n, r = len(who), np.arange(len(who))
             if not n:
@@ -104,8 +108,8 @@ class Codec:
             ranks[r[right], at[right]] = self.rank(parts[r[right], at[right]], parts[r[right], at[right] + 1])
         return done
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """Token ids of one long piece: smallest rank first, leftmost among equals, from a heap."""
+    def merge_long(self, piece: bytes) -> bytes:
+        """The same of one long piece: smallest rank first, leftmost among equals, from a heap."""
         parts = self.of_byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
         n = len(parts)
         before, after, rank_of = list(range(-1, n - 1)), list(range(1, n + 1)), self.rank_of
@@ -123,25 +127,30 @@ class Codec:
             for x in (before[i], i):
                 if x >= 0 and after[x] < n and (p := (parts[x], parts[after[x]])) in rank_of:
                     heapq.heappush(heap, (rank_of[p], x, *p))
-        return np.array([p for p in parts if p >= 0], dtype=np.int64)
+        return np.array([p for p in parts if p >= 0], dtype="<u4").tobytes()
 
     def learn(self, runs: list[str]) -> None:
-        """Put the ids of new runs into memory."""
-        split = [self.split(r) for r in runs]
-        if len(self.pieces) > self.LIMIT:
-            self.pieces = {}
+        """Put the ids of new runs into memory, and of their pieces, which are short runs themselves."""
+        split = [self.parts(r) for r in runs]
         by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for p in set().union(*split).difference(self.pieces):
+        for p in set().union(*split).difference(self.runs):
             data = p.encode()
             by_length.setdefault(len(data), []).append((p, data))
         for length, some in by_length.items():
             for at in range(0, len(some), 8192):
                 part = some[at:at + 8192]
                 ids = self.merge_short([d for _, d in part]) if length <= SHORT else [self.merge_long(d) for _, d in part]
-                for (p, _), got in zip(part, ids):
-                    self.pieces[p] = got.astype("<u4").tobytes()
-        for run, pieces in zip(runs, split):
-            self.runs[run] = b"".join(map(self.pieces.__getitem__, pieces))
+                self.runs.update((p, got) for (p, _), got in zip(part, ids))
+        get = self.runs.__getitem__
+        self.runs.update((run, b"".join(map(get, pieces))) for run, pieces in zip(runs, split) if len(pieces) > 1)
+
+    def parts(self, run: str) -> list[str]:
+        """Pieces of a run by the pattern; letters alone, or with a stop after them, need no search."""
+        if run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
+            return [run]
+        if len(run) > 2 and run[-1] in ".," and run[1:-1].isalpha() and (run[0] == " " or run[0].isalpha()):
+            return [run[:-1], run[-1]]
+        return self.split(run)
 
     def cut(self, text: str) -> list[str]:
         """Runs of a text: a cut stands before each space that a non-space follows.  The pattern never joins across it."""
@@ -160,7 +169,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text; strings of special tokens become their ids."""
-        jobs: list[list[str | bytes]] = []
+        jobs: list[list[str | int]] = []
         for t in texts:
             if self.specials is None or not any(s in t for s in self.special):
                 jobs.append(self.cut(t))
@@ -170,14 +179,19 @@ class Codec:
                 job += [*self.cut(t[at:m.start()]), self.special[m[0]]]
                 at = m.end()
             jobs.append([*job, *self.cut(t[at:])])
-        if len(self.runs) > self.LIMIT:
-            self.runs = {}
-        fresh = {r for job in jobs for r in job if r.__class__ is str and r not in self.runs}
-        if fresh:
-            self.learn(list(fresh))
+        used = set().union(*jobs)
+        fresh = used.difference(self.runs)
+        if len(self.runs) + len(fresh) > self.LIMIT:
+            kept = (self.again | used) & self.runs.keys()
+            self.runs = {r: self.runs[r] for r in kept} if len(kept) < self.LIMIT // 2 else {}
+            self.again = set()
+            fresh = used.difference(self.runs)
+        self.again.update(used.difference(fresh))
+        whole = [r for r in fresh if r.__class__ is int]  # a special token is its own run
+        self.runs.update((i, i.to_bytes(4, "little")) for i in whole)
+        self.learn(list(fresh.difference(whole)))
         get = self.runs.__getitem__
-        return [np.frombuffer(b"".join(get(r) if r.__class__ is str else r.to_bytes(4, "little") for r in job), dtype="<u4")
-                if any(r.__class__ is int for r in job) else np.frombuffer(b"".join(map(get, job)), dtype="<u4") for job in jobs]
+        return [np.frombuffer(b"".join(map(get, job)), dtype="<u4") for job in jobs]
 
     def decode(self, ids: list[int]) -> str:
         """Text of a list of ids; bytes that are no UTF-8 become the replacement character, unknown ids nothing."""

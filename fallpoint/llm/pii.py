@@ -10,6 +10,7 @@ entities and the surrogates in the entity's own format.  Only texts with an enti
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,11 +96,16 @@ def normal_form(kind: Column, entity: Column) -> Column:
             .otherwise(F.lower(entity)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it inside other functions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def noise(seed: Column, length: Column) -> Column:
     """An array of at least ``length`` bytes (0 to 255) that a keyed digest gives."""
-    hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")),
-                                     lambda k: F.sha2(F.concat(seed, F.lit("|"), k.cast("string")).cast("binary"), 512)), "")
-    return F.transform(F.sequence(F.lit(0), length), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    hexed = bound(seed, lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")),
+                                                           lambda k: F.sha2(F.concat(s, F.lit("|"), k.cast("string")).cast("binary"), 512)), ""))
+    return bound(hexed, lambda h: F.transform(F.sequence(F.lit(0), length), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def pick(alphabet: str, byte: Column) -> Column:
@@ -108,18 +114,17 @@ def pick(alphabet: str, byte: Column) -> Column:
 
 def redrawn(value: Column, seed: Column, hexadecimal: Column | bool = False) -> Column:
     """Every digit, letter and letter of a known script replaced by one of its sort; all else stays."""
-    bytes_ = noise(seed, F.length(value))
     small = F.lit(hexadecimal) if isinstance(hexadecimal, bool) else hexadecimal
 
-    def one(c: Column, i: Column) -> Column:
-        b = F.get(bytes_, i)
+    def one(c: Column, b: Column) -> Column:
         out = F.when(c.rlike("^[0-9]"), pick(DIGITS, b)).when(c.rlike("^[a-z]"), F.when(small, pick(HEX, b)).otherwise(pick(SMALL, b)))
         out = out.when(c.rlike("^[A-Z]"), pick(LARGE, b))
         for script, alphabet in SCRIPTS.items():
             out = out.when(c.rlike(script), pick(alphabet, b))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    # The array of bytes is the longer one; where no letter is left there is nothing to write.
+    return F.array_join(F.zip_with(F.split(value, ""), noise(seed, F.length(value)), lambda c, b: F.when(c.isNotNull(), one(c, b))), "")
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -138,11 +143,14 @@ def invented_name(norm: Column, seed: Column) -> Column:
     def spoken(script: str) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
         say = lambda b, n: F.initcap(F.array_join(F.transform(F.slice(b, 1, n), lambda x: F.get(syllables, x % len(SYLLABLES[script]))), ""))
-        b = noise(seed, F.lit(8))
-        end = reduce(lambda out, k: out.when(sex == k, F.get(F.array(*map(F.lit, ENDINGS[script][k])), F.get(b, F.lit(7)) % len(ENDINGS[script][k]))),
-                     "mf", F.when(sex == "n", F.get(F.array(*map(F.lit, ENDINGS[script]["n"])), F.get(b, F.lit(7)) % 2)))
         family = say(noise(family_seed, F.lit(8)), 5)
-        return F.when(F.size(words) == 1, family).otherwise(F.concat(say(b, 3), end, F.lit(" "), family))
+
+        def given(b: Column) -> Column:
+            end = reduce(lambda out, k: out.when(sex == k, F.get(F.array(*map(F.lit, ENDINGS[script][k])), F.get(b, F.lit(7)) % len(ENDINGS[script][k]))),
+                         "mf", F.when(sex == "n", F.get(F.array(*map(F.lit, ENDINGS[script]["n"])), F.get(b, F.lit(7)) % 2)))
+            return F.concat(say(b, 3), end)
+
+        return F.when(F.size(words) == 1, family).otherwise(F.concat(bound(noise(seed, F.lit(8)), given), F.lit(" "), family))
 
     return F.when(norm.rlike(r"[\u0400-\u04ff]"), spoken("Cyrillic")).otherwise(spoken("Latin"))
 
@@ -172,7 +180,8 @@ def in_format(kind: Column, entity: Column, made: Column) -> Column:
     """The surrogate written as the entity was: its spaces, brackets, quotes, form of address and capitals."""
     shown = F.when(kind == "phone", F.regexp_replace(made, "[^0-9]", "")).otherwise(made)
     place = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-    filled = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"^[\p{L}\p{N}]"), F.substring(shown, place(i), F.lit(1))).otherwise(c)), "")
+    filled = bound(shown, lambda s: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(
+        c.rlike(r"^[\p{L}\p{N}]"), F.substring(s, place(i), F.lit(1))).otherwise(c)), ""))
     value = F.regexp_extract(entity, SECRET_HEAD, 2)
     large = lambda of: (of == F.upper(of)) & (of != F.lower(of))
     secret = F.concat(F.regexp_extract(entity, SECRET_HEAD, 1), F.when(large(value) & value.rlike("^[0-9A-F]+$"), F.upper(made)).otherwise(made),
@@ -196,8 +205,9 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     open_ = store(found.select("kind", "norm").distinct(), "entities")
     real = open_.select("kind", F.col("norm").alias("made"))
     settled: DataFrame | None = None
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # drawing is the work here, so it is spread
     for attempt in range(ROUNDS):
-        drawn = open_.withColumn("made", surrogate(F.col("kind"), F.col("norm"), key, attempt))
+        drawn = open_.repartition(tasks).withColumn("made", surrogate(F.col("kind"), F.col("norm"), key, attempt))
         taken = real if settled is None else real.unionByName(settled.select("kind", "made"))
         first = F.row_number().over(Window.partitionBy("kind", "made").orderBy("norm")) == 1
         clash = drawn.withColumn("first", first).join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "made"], "left")
