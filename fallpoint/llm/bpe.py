@@ -35,7 +35,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    LIMIT = 700_000  # runs that the memory may hold; beyond, those met in one batch only are forgotten
+    LIMIT = 700_000  # runs that the memory may hold; beyond, those not met in the latest batch are forgotten
 
     def __init__(self, path: str):
         import regex
@@ -53,6 +53,9 @@ class Codec:
         for letter, b in letters.items():
             self.of_byte[b] = vocab[letter]
         self.width = max(self.table) + 1
+        self.bytes_of = np.full(self.width, b"", dtype=object)
+        for i, data in self.table.items():
+            self.bytes_of[i] = data
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in
                  (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
         key = np.array([a * self.width + b for a, b, _ in pairs], dtype=np.int64)
@@ -62,10 +65,10 @@ class Codec:
         self.none = len(pairs)  # the rank of a pair that no merge joins
         self.rank_of = {(a, b): r for r, (a, b, _) in reversed(list(enumerate(pairs)))}
         self.split = regex.compile(PATTERN).findall
-        self.gap = regex.compile(r" (?!\S)").search
+        space = regex.compile(r"\s").fullmatch
+        self.gaps = [" " + c for c in map(chr, range(0x3001)) if space(c)]  # a space that no non-space follows, but at the end
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.runs: dict[str | int, bytes] = {}
-        self.again: set[str] = set()
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of adjacent parts, ``none`` where no merge joins them."""
@@ -157,7 +160,7 @@ class Codec:
         first, *more = text.split(" ")
         if not more:
             return [first] if first else []
-        if not self.gap(text):
+        if not text.endswith(" ") and not any(g in text for g in self.gaps):
             return [first, *[" " + m for m in more]] if first else [" " + m for m in more]
         out = [first]
         for m in more:
@@ -182,24 +185,19 @@ class Codec:
         used = set().union(*jobs)
         fresh = used.difference(self.runs)
         if len(self.runs) + len(fresh) > self.LIMIT:
-            kept = (self.again | used) & self.runs.keys()
-            self.runs = {r: self.runs[r] for r in kept} if len(kept) < self.LIMIT // 2 else {}
-            self.again = set()
+            self.runs = {r: self.runs[r] for r in used & self.runs.keys()}
             fresh = used.difference(self.runs)
-        self.again.update(used.difference(fresh))
         whole = [r for r in fresh if r.__class__ is int]  # a special token is its own run
         self.runs.update((i, i.to_bytes(4, "little")) for i in whole)
         self.learn(list(fresh.difference(whole)))
         get = self.runs.__getitem__
         return [np.frombuffer(b"".join(map(get, job)), dtype="<u4") for job in jobs]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of a list of ids; bytes that are no UTF-8 become the replacement character, unknown ids nothing."""
-        try:
-            data = b"".join(map(self.table.__getitem__, ids))
-        except KeyError:
-            data = b"".join(self.table.get(i, b"") for i in ids)
-        return data.decode("utf-8", errors="replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """Text of ids; bytes that are no UTF-8 become the replacement character, unknown ids nothing."""
+        ids = np.asarray(ids, dtype=np.int64)
+        known = (ids >= 0) & (ids < self.width)
+        return b"".join(self.bytes_of[ids if known.all() else ids[known]].tolist()).decode("utf-8", errors="replace")
 
 
 _CODECS: dict[str, Codec] = {}
@@ -253,7 +251,7 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [None if not i.is_valid else codec.decode(i.values.to_pylist()) for i in part.column(at_ids)]
+                texts = [None if not i.is_valid else codec.decode(i.values.to_numpy(zero_copy_only=False)) for i in part.column(at_ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
     return rows.select(*names).mapInArrow(run, schema)
