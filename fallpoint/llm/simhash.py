@@ -7,10 +7,15 @@ with its Hamming ball of radius one, and whole distances are verified in the joi
 two halves that differ in one bit exactly one has that bit set, so clearing set bits is enough
 to enumerate the ball.  A fingerprint has at most 64 + 2016 others within two bits, so the
 links grow in proportion to the distinct fingerprints however large a group of copies is.
+
+Fingerprints of 64 bits do not find all texts of a given Jaccard similarity.  ``near_representatives``
+therefore also joins the texts on the first shingles of each set in one common order: sets that are similar
+enough share one there, so no pair is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,16 +95,16 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_groups(prints: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of up to two bits lead to, the row's own included.
 
-    Rows of one fingerprint are linked.  Null ids are carried along without being a smallest id unless a
-    group has no other.  Repeated rows each stay.
+    Fingerprints are the nodes, so ids that are null or repeated with other texts link nothing.  Null ids are
+    carried along without being a smallest id unless a group has no other.  Repeated rows each stay.
     """
     prints = store(prints, "fingerprints")
-    # The number of a fingerprint is its smallest doc_id; only fingerprints of null ids alone have none and stay by themselves.
-    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-prints")
-    found = components(links(distinct.where("id is not null")))
-    named = distinct.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp")
+    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    found = components(links(distinct.select(F.col("fp").alias("id"), "fp")))
+    named = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("group"))
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "group").select("fp", "component_id"), "fp")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -123,7 +128,8 @@ def wider_candidates(prints: DataFrame, rounds: int = 2) -> DataFrame:
     Of two fingerprints within five bits one half differs in at most two, so both halves' balls of
     radius one share a value.  In each such bucket fingerprints are held against its leader alone, the
     first in a hashed order that is drawn anew each round: candidates grow with the fingerprints, not
-    with the pairs of a large group, and links between two followers may be missed.
+    with the pairs of a large group, and links between two followers may be missed.  Where no link may be
+    missed, as in ``near_representatives``, use ``similar_links``.
     """
     low, high = F.col("fp").bitwiseAND(F.lit(MASK)), F.shiftrightunsigned("fp", 32)
     halves = prints.select("fp", F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("side"), low.alias("half")),
@@ -138,25 +144,76 @@ def wider_candidates(prints: DataFrame, rounds: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE).distinct()
 
 
+def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than a shingle make one of all."""
+    from xxhash import xxh64_intdigest
+
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxh64_intdigest(joined)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    found = {xxh64_intdigest(joined[a:b]) for a, b in zip(starts[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())}
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+
+
 def shingle_sets(texts: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """fp and the sorted distinct hashes of a text's shingles, as little-endian 64-bit numbers, from (fp, text)."""
+    """item, fp and the text's shingles as little-endian 64-bit numbers, from (item, fp, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), words).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["item", "fp", "shingles"])
+
+    return texts.select("item", "fp", text_of("text")).mapInArrow(run, "item long, fp long, shingles binary")
+
+
+HOT_SAMPLE, HOT_TIMES, HOT_MOST = 64, 3, 100_000  # one text of so many is asked; shingles met so often in it; at most so many
+
+
+def hot_shingles(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many texts share, by a sample.  They only come last in the order: results do not hang on them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["token"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select(text_of("text")).mapInArrow(run, "token long")
+    often = some.groupBy("token").count().where(F.col("count") >= HOT_TIMES).orderBy(F.desc("count"), "token").limit(HOT_MOST)
+    return np.sort(often.select("token").toArrow()["token"].to_numpy().view(np.uint64))
+
+
+def prefix_length(size: int, least: float) -> int:
+    """So many shingles of a set, in a common order, hold one of every set that is similar enough."""
+    return size - math.ceil(least * size - 1e-6) + 1
+
+
+def prefixes(texts: DataFrame, hot: np.ndarray, least: float = SIMILARITY) -> DataFrame:
+    """token, item, size: the first shingles of every text, rare ones before hot ones and then by hash; size is that of the whole set."""
+    shipped = texts.sparkSession.sparkContext.broadcast(hot)  # HOT_MOST entries at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shipped.value
         for b in batches:
-            sets = []
+            tokens, sizes, taken = [np.zeros(0, np.uint64)], [], []
             for t in b.column(1):
-                parts = t.as_py().encode("utf-8", "surrogatepass").lower().split()
-                found = {xxh64_intdigest(b" ".join(parts[k:k + words])) for k in range(max(1, len(parts) - words + 1))}
-                sets.append(np.sort(np.fromiter(found, dtype=np.uint64, count=len(found))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+                x = shingles(t.as_py())
+                last = np.isin(x, late, assume_unique=True) if len(late) else np.zeros(len(x), bool)
+                tokens.append(np.concatenate((x[~last], x[last]))[:prefix_length(len(x), least)])
+                sizes.append(len(x))
+                taken.append(len(tokens[-1]))
+            items = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(items, taken), pa.int64()),
+                                              pa.array(np.repeat(np.array(sizes, np.int32), taken), pa.int32())], names=["token", "item", "size"])
 
-    return texts.select("fp", text_of("text")).mapInArrow(run, "fp long, shingles binary")
+    return texts.select("item", text_of("text")).mapInArrow(run, "token long, item long, size int")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (fp, other) whose sets of shingles overlap in at least that share of their union."""
-    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("other"), F.col("shingles").alias("shingles_b")), "other")
+    """Fingerprints (a, b) of the pairs (item, other) whose sets of shingles overlap in at least that share of their union."""
+    mine = sets.select("item", F.col("fp").alias("a"), "shingles")
+    theirs = sets.select(F.col("item").alias("other"), F.col("fp").alias("b"), F.col("shingles").alias("shingles_b"))
+    both = pairs.join(mine, "item").join(theirs, "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,30 +225,77 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Dat
             kept = b.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return both.select("fp", "other", "shingles", "shingles_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "shingles", "shingles_b").mapInArrow(run, "a long, b long")
+
+
+def likely(matches: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (item, other) that share as many first shingles as similar sets of their sizes must; one row of ``matches``
+    (item, size, other, size_b) for each shared one."""
+    taken = lambda n: 1 - F.ceil(F.lit(least) * F.col(n) - 1e-6)  # prefix less size
+    overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("size") + F.col("size_b")) - 1e-6)
+    counted = matches.groupBy("item", "other", "size", "size_b").count()
+    return counted.where(F.col("count") >= overlap + F.least(taken("size"), taken("size_b"))).select("item", "other")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+    """Links (a, b) of fingerprints that, with ``known`` ones, connect all texts of at least that Jaccard similarity.
+
+    ``prints`` holds (fp, _sha) of the rows.  Texts that share a first shingle are candidates.  In ``rounds`` rounds the
+    texts of a shingle meet one of them, the leader, which puts large groups together with few pairs.  Then all pairs
+    that are not yet connected meet: no pair is left out, and those of one component need no look.
+    """
+    keyed = docs.select(row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
+    texts = keyed.select(F.xxhash64("_sha").alias("item"), "text")
+    tokens = prefixes(texts, hot_shingles(texts), least)
+    shared = tokens.groupBy("token").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("token")
+    live = store(tokens.join(shared, "token").distinct(), "shared-shingles")
+    items = live.select("item").distinct()
+    wanted = store(prints.select("_sha", "fp", F.xxhash64("_sha").alias("item")).distinct().join(items, "item"), "candidate-texts")
+    sets = store(shingle_sets(keyed.join(wanted, "_sha").dropDuplicates(["_sha"])), "shingles")
+    live = store(live.join(sets.select("item", "fp"), "item"), "shared-shingles")
+    fits = F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b") - 1e-6
+
+    def open_rows() -> DataFrame:
+        found = components(known).select(F.col("node").alias("fp"), "component")
+        rows = live.join(found, "fp", "left").select("token", "item", "size", F.coalesce("component", "fp").alias("comp"))
+        apart = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        return store(rows.join(apart, "token"), "open-shingles")
+
+    for k in range(rounds):
+        rows = open_rows()
+        leader = F.min(F.struct(F.xxhash64("item", F.lit(k)), F.col("item").alias("other"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b")))
+        met = rows.join(rows.groupBy("token").agg(leader.alias("l")), "token").select("item", "size", "comp", "l.other", "l.size_b", "l.comp_b")
+        pairs = store(likely(met.where((F.col("comp") != F.col("comp_b")) & fits), least), "candidates")
+        new = store(similar(pairs, sets, least), "links")
+        if new.isEmpty():
+            break
+        known = known.union(new)
+    rows = open_rows()
+    # Of two components at least one is not the largest of the shingle, so its rows meet all others and the largest one's do not meet each other.
+    most = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("largest"))
+    few = rows.join(most, "token").where("comp <> largest")
+    theirs = rows.select("token", F.col("item").alias("other"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
+    once = (F.col("comp_b") == F.col("largest")) | (F.col("item") < F.col("other"))
+    met = few.join(theirs, "token").where((F.col("comp") != F.col("comp_b")) & once & fits)
+    # Which of two is named first may differ by shingle.
+    met = met.select(*[F.when(F.col("item") < F.col("other"), F.col(x)).otherwise(F.col(y)).alias(x)
+                       for x, y in (("item", "other"), ("other", "item"), ("size", "size_b"), ("size_b", "size"))])
+    return known.union(store(similar(store(likely(met, least), "candidates"), sets, least), "links"))
 
 
 def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, wider: bool = True) -> DataFrame:
     """One row of each group of near copies, all columns: that of the smallest id, of a null id only where there is no other.
 
-    Fingerprints within two bits are linked.  With ``wider``, one text of each such group is then held against
-    others within five bits and linked if their five-word shingles have a Jaccard similarity of 0.8 or more.
+    Fingerprints within two bits are linked.  With ``wider``, all texts whose five-word shingles have a Jaccard
+    similarity of 0.8 or more are linked as well, however far apart their fingerprints are.
     Rows that repeat id and text count once; where an id is repeated with other texts of the group, the
     text with the smallest digest stays.
     """
-    groups = near_groups(fingerprints(docs, id_col, text_col, words, *row_key(id_col, text_col)))
-    # Fingerprints of null ids alone have no number; each is a group of its own.
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha", "_key", "fp")).alias("first")
-    first = groups.groupBy(group.alias("group")).agg(one).select("first.*")
+    prints = store(fingerprints(docs, id_col, text_col, words, *row_key(id_col, text_col)), "fingerprints")
+    known = store(links(prints.select(F.col("fp").alias("id"), "fp").distinct()), "links")
     if wider:
-        first = store(first, "group-texts")
-        pairs = store(wider_candidates(first.select("fp")), "candidates")
-        taking = pairs.select("fp").union(pairs.select("other")).distinct()
-        wanted = store(first.join(taking, "fp").select("fp", "_key", "_sha"), "candidate-texts")
-        keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-        texts = keyed.join(wanted, ["_key", "_sha"]).dropDuplicates(["_key", "_sha"])
-        found = components(similar(pairs, store(shingle_sets(texts), "shingles")))
-        joined = first.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        first = joined.groupBy(F.coalesce("component", "fp").alias("group")).agg(one).select("first.*")
+        known = similar_links(docs, prints, known, id_col, text_col)
+    found = components(known).select(F.col("node").alias("fp"), "component")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_sha", "_key")).alias("first")
+    first = prints.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(one).select("first.*")
     return only_rows(docs, first.select("_key", "_sha"), id_col, text_col)
