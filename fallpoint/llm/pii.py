@@ -26,24 +26,32 @@ NEUTRAL = ("Dr", "Prof")
 
 #: Kind -> pattern, tried in this order at each place.  No pattern holds a capturing group.
 KINDS: dict[str, str] = {
-    "secret": rf"(?i:\b(?:{SECRET_WORDS})\b[\"']?\s{{0,3}}[:=]\s{{0,3}}(?:\"[^\"\n]{{6,200}}\"|'[^'\n]{{6,200}}'|[A-Za-z0-9_\-+/=.]{{8,200}}))"
-              r"|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100}|xox[abprs]-[A-Za-z0-9-]{10,100})\b"
-              r"|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,64}[0-9])(?=[0-9A-Fa-f]{0,64}[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "secret": rf"(?i:\b(?:{SECRET_WORDS})\b[\"']?\s{{0,3}}[:=]\s{{0,3}}(?:\"[^\"\n]{{6,}}+\"|'[^'\n]{{6,}}+'|[A-Za-z0-9_\-+/=.]{{8,}}+))"
+              r"|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"
+              r"|(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
     "mac": r"(?<![\p{L}\p{N}:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\p{L}\p{N}:])",
-    "ipv6": r"(?<![\p{L}\p{N}:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\p{L}\p{N}:])",
+    # Eight groups, or fewer with one gap and a digit: words around a double colon are names in program text.
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}"
+            r"|(?=[A-Fa-f:]*+[0-9])(?!(?:[0-9A-Fa-f]{0,4}:){9})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?"
+            r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}))(?![\p{L}\p{N}:]|\.[0-9])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
+    # With a country's number; 3-3-4; pairs after a zero; an area with a zero and blocks of three to eight.
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}"
-             r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}])",
-    "name": rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? \p{{Lu}}\p{{Ll}}{{1,20}}(?: \p{{Lu}}\p{{Ll}}{{1,20}})?",
+             r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+             r"|0[1-9](?:[ .-][0-9]{2}){4}|(?:0[1-9][0-9]{1,4}[ /-]|\(0[1-9][0-9]{0,4}\) ?)[0-9]{3,8}(?:[ -][0-9]{2,6}){0,3})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}.-])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![\p{L}\p{N}])",
+    "name": rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
 }
 PATTERN = "|".join(KINDS.values())
 #: Forms of address of which no other one is the beginning.
 STEMS = tuple(t for t in MALE + FEMALE + NEUTRAL if not any(t != o and t.startswith(o) for o in MALE + FEMALE + NEUTRAL))
 
+#: Beginnings of keys that may hold neither a digit nor a sign.
+KEY_HEADS = ("AKIA", "ghp_", "sk-", "xox")
+
 # Letters to draw from, by what they replace.
 DIGITS, SMALL, LARGE, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"
 SCRIPTS = {
@@ -69,10 +77,10 @@ def is_kind(entity: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """False where a text has none of the characters or forms of address that an entity needs: cheap plain searches."""
-    return reduce(lambda a, b: a | b, [text.contains(t) for t in STEMS], text.rlike("[0-9@:=]"))
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in STEMS + KEY_HEADS], text.rlike("[0-9@:=]"))
 
 
-SECRET_HEAD = rf"(?i)^((?:(?:{SECRET_WORDS})[\"']?\s{{0,3}}[:=]\s{{0,3}})?[\"']?)(.*?)([\"']?)$"
+SECRET_HEAD = rf"(?is)^((?:(?:{SECRET_WORDS})[\"']?\s{{0,3}}[:=]\s{{0,3}})?[\"']?)(.*?)([\"']?)$"
 TITLE = rf"^((?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? )(.*)$"
 
 
@@ -81,6 +89,13 @@ def gender(entity: Column) -> Column:
     return F.when(starts(MALE), "m").when(starts(FEMALE), "f").otherwise("n")
 
 
+def all_groups(address: Column) -> Column:
+    """An IPv6 address in lower case with its eight groups, without zeros before them."""
+    side = lambda k: F.filter(F.split(F.coalesce(F.get(F.split(F.lower(address), "::"), F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(side(0)) - F.size(side(1))))
+    return F.array_join(F.transform(F.concat(side(0), gap, side(1)), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def normal_form(kind: Column, entity: Column) -> Column:
     """The same for all spellings of an entity: digits only, lower case, without quotes, spaces or form of address."""
     value = F.regexp_extract(entity, SECRET_HEAD, 2)
@@ -93,6 +108,7 @@ def normal_form(kind: Column, entity: Column) -> Column:
             .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
             .when(kind == "name", F.concat(gender(entity), F.lit(" "), F.lower(F.regexp_extract(entity, TITLE, 2))))
             .when(kind == "mac", F.replace(F.lower(entity), F.lit("-"), F.lit(":")))
+            .when(kind == "ipv6", all_groups(entity))
             .otherwise(F.lower(entity)))
 
 
@@ -103,9 +119,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def noise(seed: Column, length: Column) -> Column:
     """An array of at least ``length`` bytes (0 to 255) that a keyed digest gives."""
-    hexed = bound(seed, lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")),
-                                                           lambda k: F.sha2(F.concat(s, F.lit("|"), k.cast("string")).cast("binary"), 512)), ""))
-    return bound(hexed, lambda h: F.transform(F.sequence(F.lit(0), length), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    # Block by block, as a place in a long string is found by counting from its start.
+    block = lambda s, k: bound(F.sha2(F.concat(s, F.lit("|"), k.cast("string")).cast("binary"), 512), lambda h: F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(63), length - k * 64)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    return bound(seed, lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")), lambda k: block(s, k))))
 
 
 def pick(alphabet: str, byte: Column) -> Column:
