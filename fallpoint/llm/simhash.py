@@ -158,14 +158,32 @@ def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
     return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
 
 
-def shingle_sets(texts: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """item, fp and the text's shingles as little-endian 64-bit numbers, from (item, fp, text)."""
+PLACES = 1 << 22  # bits by which a scan tells most texts that are not wanted
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """item, fp and the text's shingles as little-endian 64-bit numbers, of ``texts`` (_sha, text) that are in ``wanted`` (item, fp, _sha).
+
+    The tasks that read the texts leave out most others by a table of ``PLACES`` bits, so that few sets are
+    shuffled; the join leaves out the rest.
+    """
+    places = wanted.select(F.pmod("item", F.lit(PLACES)).alias("place")).distinct().toArrow()["place"].to_numpy()  # PLACES rows at most
+    bits = np.zeros(PLACES, dtype=bool)
+    bits[places] = True
+    shipped = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(shipped.value).astype(bool)
         for b in batches:
-            sets = [shingles(t.as_py(), words).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["item", "fp", "shingles"])
+            some = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
+            for k in range(0, some.num_rows, 500):
+                part = some.slice(k, 500)
+                sets = [shingles(t.as_py(), words).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["_sha", "shingles"])
 
-    return texts.select("item", "fp", text_of("text")).mapInArrow(run, "item long, fp long, shingles binary")
+    place = F.pmod(F.xxhash64("_sha"), F.lit(PLACES)).alias("place")
+    found = texts.select("_sha", text_of("text"), place).mapInArrow(run, "_sha string, shingles binary")
+    return found.join(wanted, "_sha").dropDuplicates(["_sha"]).select("item", "fp", "shingles")
 
 
 HOT_SAMPLE, HOT_TIMES, HOT_MOST = 64, 3, 100_000  # one text of so many is asked; shingles met so often in it; at most so many
@@ -247,17 +265,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col:
     keyed = docs.select(row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
     texts = keyed.select(F.xxhash64("_sha").alias("item"), "text")
     tokens = prefixes(texts, hot_shingles(texts), least)
-    shared = tokens.groupBy("token").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("token")
+    fit = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-6
+    fits = fit(F.col("size"), F.col("size_b"))
+    # Where only two texts share a shingle, their sizes tell at once.
+    shared = tokens.groupBy("token").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    shared = shared.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | fit(F.col("least"), F.col("most")))).select("token")
     live = store(tokens.join(shared, "token").distinct(), "shared-shingles")
-    items = live.select("item").distinct()
-    wanted = store(prints.select("_sha", "fp", F.xxhash64("_sha").alias("item")).distinct().join(items, "item"), "candidate-texts")
-    sets = store(shingle_sets(keyed.join(wanted, "_sha").dropDuplicates(["_sha"])), "shingles")
-    live = store(live.join(sets.select("item", "fp"), "item"), "shared-shingles")
-    fits = F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b") - 1e-6
+    numbered = store(prints.select("_sha", "fp", F.xxhash64("_sha").alias("item")).distinct(), "items")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        pairs = store(likely(candidates, least), "candidates")
+        taking = pairs.select("item").union(pairs.select("other")).distinct()
+        wanted = store(numbered.join(taking, "item"), "candidate-texts")
+        return store(similar(pairs, store(shingle_sets(keyed, wanted), "shingles"), least), "links")
 
     def open_rows() -> DataFrame:
         found = components(known).select(F.col("node").alias("fp"), "component")
-        rows = live.join(found, "fp", "left").select("token", "item", "size", F.coalesce("component", "fp").alias("comp"))
+        named = numbered.join(found, "fp", "left").select("item", F.coalesce("component", "fp").alias("comp")).distinct()
+        rows = live.join(named, "item").select("token", "item", "size", "comp")
         apart = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         return store(rows.join(apart, "token"), "open-shingles")
 
@@ -265,8 +290,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col:
         rows = open_rows()
         leader = F.min(F.struct(F.xxhash64("item", F.lit(k)), F.col("item").alias("other"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b")))
         met = rows.join(rows.groupBy("token").agg(leader.alias("l")), "token").select("item", "size", "comp", "l.other", "l.size_b", "l.comp_b")
-        pairs = store(likely(met.where((F.col("comp") != F.col("comp_b")) & fits), least), "candidates")
-        new = store(similar(pairs, sets, least), "links")
+        new = verified(met.where((F.col("comp") != F.col("comp_b")) & fits))
         if new.isEmpty():
             break
         known = known.union(new)
@@ -280,7 +304,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col:
     # Which of two is named first may differ by shingle.
     met = met.select(*[F.when(F.col("item") < F.col("other"), F.col(x)).otherwise(F.col(y)).alias(x)
                        for x, y in (("item", "other"), ("other", "item"), ("size", "size_b"), ("size_b", "size"))])
-    return known.union(store(similar(store(likely(met, least), "candidates"), sets, least), "links"))
+    return known.union(verified(met))
 
 
 def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, wider: bool = True) -> DataFrame:
