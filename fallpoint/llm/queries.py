@@ -16,8 +16,11 @@ from fallpoint.llm.html_extract import extract_main
 from fallpoint.llm.language_id import fit, held_out, identify
 from fallpoint.llm.packing import pack
 from fallpoint.llm.pii import pseudonymise
+from fallpoint.llm.prefix_trie import borrowed_prefixes, prefix_trie
 from fallpoint.llm.quality_rules import quality_rules
 from fallpoint.llm.simhash import simhash_dedup
+from fallpoint.llm.substring_dedup import substring_dedup
+from fallpoint.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,3 +127,69 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_prefix_trie", """
+    WITH own AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    low AS (SELECT unnest(range(256)) AS v),
+    crc_table AS (
+        WITH RECURSIVE step(v, k, c) AS (
+            SELECT v, 0, v::UBIGINT FROM low UNION ALL
+            SELECT v, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM step WHERE k < 8)
+        SELECT list(c ORDER BY v) AS t FROM step WHERE k = 8),
+    ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base FROM own),
+    h AS (
+        SELECT conv_id, base, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(str_split(CAST(conv_id AS VARCHAR), ''),
+                   lambda x: ascii(x)::UBIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT) % 6 AS INT) AS h
+        FROM ids, crc_table),
+    lent AS (SELECT h.conv_id, o.pos, o.role, o.text FROM h JOIN own o ON o.conv_id = h.base AND o.pos <= h.h),
+    turns AS (
+        SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY side, pos) AS depth
+        FROM (SELECT conv_id, 0 AS side, pos, role, text FROM lent
+              UNION ALL SELECT o.conv_id, 1, o.pos, o.role, o.text FROM own o JOIN h USING (conv_id) WHERE o.pos > h.h)),
+    paths AS (
+        SELECT conv_id, depth, length(text) AS chars,
+               sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path
+        FROM turns
+        UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+    parents AS (SELECT a.*, b.path AS above FROM paths a LEFT JOIN paths b ON b.conv_id = a.conv_id AND b.depth = a.depth - 1),
+    last AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+    nodes AS (
+        SELECT path, any_value(above) AS above, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+        FROM parents JOIN last USING (conv_id) GROUP BY path),
+    below AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+    worth AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN below USING (path)),
+    sums AS (
+        SELECT p.path, count(*) FILTER (w.n_children = 0) AS n_leaves, CAST(sum((w.n_convs - 1) * w.chars) AS BIGINT) AS saved_tokens
+        FROM worth w JOIN paths p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.path)
+    SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+    FROM worth w JOIN sums s USING (path) LEFT JOIN nodes u ON u.path = w.above""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, turns = borrowed_prefixes(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return prefix_trie(ids, turns)
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_substring_dedup", r"""
+    WITH told AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    placed AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS pos FROM told),
+    windows AS (SELECT r, pos, word, string_agg(word, ' ') OVER w AS said, count(*) OVER w AS n
+                FROM placed WINDOW w AS (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+    again AS (SELECT said FROM windows WHERE n = 35 GROUP BY said HAVING count(*) > 1),
+    marked AS (SELECT w.r, w.pos, w.word, CASE WHEN a.said IS NULL THEN 0 ELSE 1 END AS hit FROM windows w LEFT JOIN again a ON a.said = w.said AND w.n = 35),
+    covered AS (SELECT r, pos, word, max(hit) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+    kept AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM covered GROUP BY r)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM told LEFT JOIN kept USING (r)""")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
