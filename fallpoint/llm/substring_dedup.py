@@ -3,7 +3,8 @@
 Seeds are winnowed word n-grams: of all windows of ``window`` words each chooses its least
 n-gram, so equal windows choose alike and neighbouring windows mostly share one seed.  The
 windows of one seed that follow one another are a run; its span is the seed extended to both
-sides as far as the seed is the choice.  Occurrences meet by seed:
+sides as far as the seed is the choice.  Occurrences meet by seed; those whose seed occurs nowhere
+else go no further.  Of the others,
 
 * spans that are equal as a whole are repeated as a whole, told by one count per distinct span;
 * where spans of one seed differ, each distinct span sends one of its occurrences, and its windows
@@ -15,6 +16,7 @@ that touch make maximal repeats.  Windows are compared by 128-bit hashes of thei
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fallpoint.llm.common import prepared, store, text_of
+from fallpoint.llm.common import prepared, shared_folder, store, text_of
 
 WINDOW = 35         # words of a window
-SEED_WORDS = 12     # words of a seed
+SEED_WORDS = 8      # words of a seed
 PIECE = 1 << 20     # bytes that a task works on at a time; longer texts go through in pieces that overlap by a window
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -216,6 +218,16 @@ def _windows(spans: DataFrame, rows: DataFrame, window: int) -> DataFrame:
     return data.mapInArrow(run, "w1 long, w2 long, r1 long, r2 long, k int, times long")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """The rows stored once in buckets of ``row``: both later joins find the texts in place, without a shuffle of theirs."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"passages_{uuid.uuid4().hex}"
+    (rows.repartition(parts, "row").write.format("parquet").bucketBy(parts, "row").sortBy("row")
+     .option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
+
+
 def repeated_runs(rows: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """(row, lo, mask): windows from word ``lo`` on whose words also start elsewhere, bit k for window lo + k.
 
@@ -223,7 +235,10 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS)
     """
     if not 1 <= seed <= window or window - seed > 62:
         raise ValueError("a seed has at most as many words as a window and at most 62 less")
-    found = store(_occurrences(rows, window, seed), "runs")
+    # A seed that occurs once starts no match: told before anything else about a run travels.
+    every = _occurrences(rows, window, seed)
+    often = every.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
+    found = store(every.join(often, "seed", "left_semi"), "runs")
     spans = store(found.groupBy("seed", "r1", "r2").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"),
                                                         F.min(F.struct("row", "lo")).alias("at")), "spans")
     mixed = spans.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed")
@@ -250,8 +265,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in pieces; a row of the result holds what is left of its text.  An empty table gives no rows; other columns are ignored.
     """
     prepared(docs)
-    rows = store(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
-                             text_of(F.col(f"`{text_col}`")).cast("binary").alias("content")), "passages")
+    rows = _bucketed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
+                                 text_of(F.col(f"`{text_col}`")).cast("binary").alias("content")))
     id_type = rows.schema["id"].dataType.simpleString()
     lists = repeated_runs(rows, window, seed).groupBy("row").agg(F.collect_list(F.struct("lo", "mask")).alias("found"))
     data = rows.join(lists, "row", "left").select("id", "found", "content")
