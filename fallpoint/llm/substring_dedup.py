@@ -237,20 +237,21 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS)
         raise ValueError("a seed has at most as many words as a window and at most 62 less")
     # A seed that occurs once starts no match: told before anything else about a run travels.
     every = _occurrences(rows, window, seed)
-    often = every.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
+    # Small sides of the joins are stored: a join that reads both sides from shuffles can be split where a key is very common.
+    often = store(every.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed"), "seeds")
     found = store(every.join(often, "seed", "left_semi"), "runs")
     spans = store(found.groupBy("seed", "r1", "r2").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"),
                                                         F.min(F.struct("row", "lo")).alias("at")), "spans")
-    mixed = spans.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed")
+    mixed = store(spans.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed"), "mixed-seeds")
     one = spans.join(mixed, "seed", "left_semi").select("at.row", "at.lo", "n", "r1", "r2", "times")
     windows = store(_windows(one, rows, window), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
+    again = store(windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2"), "repeated-windows")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))
     partly = windows.join(again, ["w1", "w2"], "left_semi").groupBy("r1", "r2").agg(F.bit_or(bit).alias("mask"))
     full = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     whole = spans.where("times > 1").select("r1", "r2", full.alias("mask"))
     # A span that occurs twice is repeated as a whole; its windows say nothing new.
-    masks = whole.union(partly).groupBy("r1", "r2").agg(F.bit_or("mask").alias("mask"))
+    masks = store(whole.union(partly).groupBy("r1", "r2").agg(F.bit_or("mask").alias("mask")), "masks")
     return found.select("row", "lo", "r1", "r2").join(masks, ["r1", "r2"]).select("row", "lo", "mask")
 
 
