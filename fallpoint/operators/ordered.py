@@ -40,6 +40,39 @@ def running_totals(data: DataFrame, *, by, key: str, sums: Sequence[str]) -> Dat
     return out.drop("_range", *[f"_{x}_{c}" for x in "io" for c in sums])
 
 
+def row_ranks(data: DataFrame, *, by=(), key: str, salt: Column, weight: Column | None = None, keep_range: bool = False) -> DataFrame:
+    """Rows with ``before`` (weight at smaller keys of the group), ``ties`` (weight at the row's key) and ``total``.
+
+    Rows travel with their key through one range partitioning; ``salt`` parts rows of one value, so a value that
+    most rows share spreads over many ranges.  A range knows the smaller keys and the ties inside it; of what
+    lies outside only totals and the ties of its first and last key matter, one row per group and range.
+    ``salt`` may be drawn row by row, since rows are stored once.  Keys must not be NULL.
+    """
+    by, k = as_list(by), F.col(key)
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = data.withColumns({"_w": F.lit(1).cast("long") if weight is None else weight, "_salt": salt})
+    rows = cut(rows.repartitionByRange(parts, *by, key, "_salt").withColumn("_range", F.spark_partition_id()).drop("_salt"))
+    inside = Window.partitionBy(*by, "_range").orderBy(key)
+    rows = rows.withColumn("_ties", F.sum("_w").over(inside.rangeBetween(Window.currentRow, Window.currentRow)))
+    rows = rows.withColumn("_less", F.sum("_w").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_ties"))
+    per = rows.groupBy(*by, "_range").agg(F.sum("_w").alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"),
+                                          F.min_by("_ties", key).alias("_lo_n"), F.max_by("_ties", key).alias("_hi_n"))
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = cut(per.withColumns({"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "total": F.sum("_n").over(Window.partitionBy(*by))}))
+    # The keys at the ends of ranges: where they begin, and all their ties.
+    ends = per.select(*by, F.col("_lo").alias("end"), F.col("_ahead").alias("_from"), F.col("_lo_n").alias("_here")).union(
+        per.where("_lo <> _hi").select(*by, "_hi", F.col("_ahead") + F.col("_n") - F.col("_hi_n"), "_hi_n"))
+    ends = ends.groupBy(*by, "end").agg(F.min("_from").alias("_before"), F.sum("_here").alias("_all"))
+    for side in ("_lo", "_hi"):
+        per = null_safe_join(per, ends.select(*by, F.col("end").alias(side), F.col("_before").alias(f"{side}_before"), F.col("_all").alias(f"{side}_all")),
+                             [*by, side])
+    per = per.select(*by, "_range", "_ahead", "total", "_lo", "_hi", *[f"{s}_{c}" for s in ("_lo", "_hi") for c in ("before", "all")])
+    out = null_safe_join(rows, per, [*by, "_range"])
+    pick = lambda c, other: F.when(k == F.col("_lo"), F.col(f"_lo_{c}")).when(k == F.col("_hi"), F.col(f"_hi_{c}")).otherwise(other)
+    return out.select(*data.columns, *(["_range"] if keep_range else []), pick("before", F.col("_ahead") + F.col("_less")).alias("before"),
+                      pick("all", F.col("_ties")).alias("ties"), "total")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join in which NULL keys meet NULL keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list, by_day
 from fallpoint.functions.tails import exact_interval, normal_two_sided, student_two_sided
-from fallpoint.operators.ordered import average_ranks, running_totals
+from fallpoint.operators.ordered import row_ranks, running_totals
 
 
 def weighted_corr(x: Column, y: Column, n: Column) -> Column:
@@ -27,20 +27,16 @@ def weighted_corr(x: Column, y: Column, n: Column) -> Column:
 def spearman(data: DataFrame, *, x: str, y: str, by=(), p_value: bool = False) -> DataFrame:
     """Spearman correlation per group over complete pairs: ``pairs``, ``rho`` (and ``p``).
 
-    Pairs are counted per distinct (x, y) first; ranks are computed per distinct value and
-    joined back, so common values do not multiply.
+    Pairs are counted per distinct (x, y) first; each pair then carries its ranks through range
+    partitions along x and along y, where the other value parts the pairs of a common one.
     """
     by = as_list(by)
-    pairs = (data.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-             .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-             .groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
-
-    def ranks(c: str) -> DataFrame:
-        one = pairs.groupBy(*by, c).agg(F.sum("n").alias("n"))
-        one = running_totals(one, by=by, key=c, sums=["n"])
-        return one.select(*by, c, (F.col("before_n") + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
-
-    rows = pairs.join(ranks("_x"), by + ["_x"]).join(ranks("_y"), by + ["_y"])
+    rows = (data.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+            .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+            .groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
+    for c, other in (("_x", "_y"), ("_y", "_x")):
+        rows = row_ranks(rows, by=by, key=c, salt=F.col(other), weight=F.col("n"))
+        rows = rows.withColumn(f"{c}_rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before", "ties", "total")
     out = rows.groupBy(*by).agg(F.sum("n").alias("pairs"),
                                 weighted_corr(F.col("_x_rank"), F.col("_y_rank"), F.col("n")).alias("rho"))
     if p_value:
@@ -155,7 +151,8 @@ def hit_rate_interval(data: DataFrame, *, hit: Column, by=(), alpha: float = 0.0
 
 
 def ranked(data: DataFrame, *, value: str, by=(), out: str = "rank") -> DataFrame:
-    """Rows with the tie-averaged descending rank of their value in the group."""
-    by = as_list(by)
-    ranks = average_ranks(data, by=by, key=value, out=out, descending=True).select(*by, value, out)
-    return data.join(ranks, by + [value], "left")
+    """Rows with the tie-averaged descending rank of their value in the group; NULL where the value is."""
+    found = row_ranks(data.where(F.col(value).isNotNull()), by=by, key=value, salt=F.monotonically_increasing_id())
+    rank = F.col("total") + 1 - (F.col("before") + (F.col("ties") + 1) / 2)
+    found = found.select(*data.columns, rank.alias(out))
+    return found.unionByName(data.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -74,7 +74,7 @@ def ridge_permutation(rows: DataFrame, columns: Sequence[str], *, y: str, id_col
     mixed = resample.shuffled(rows, id_col=id_col, value=y, rounds=n_permutations, within=within, seed=seed)
     labels = mixed.groupBy(id_col).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("b", F.col("shuffled").cast("double").alias("v")))), lambda s: s["v"]).alias("_labels"))
-    data = rows.join(labels, id_col)
+    data = cut(rows.join(labels, id_col))
     nulls = models.ridge_errors(_array_label(data, "_labels"), columns, y="_labels", folds=folds, k=k, labels=n_permutations)
     nulls = nulls.groupBy("b").agg(F.avg("mae").alias("score"))
     return resample.permutation_summary(real, nulls)
@@ -161,11 +161,10 @@ def anticipation(by_lead: dict[int, DataFrame], base: Sequence[str], full: Seque
     out = None
     for lead, rows in by_lead.items():
         scored = models.out_of_fold_risk(rows, base, folds=folds, k=k, out="p0")
-        scored = cut(models.out_of_fold_risk(scored, full, folds=folds, k=k, out="p1"))
-        one = metrics.bootstrap_auc(scored, id_col=id_col, score_a="p0", score_b="p1", resamples=resamples)
-        one = one.withColumn("lead", F.lit(lead))
+        scored = models.out_of_fold_risk(scored, full, folds=folds, k=k, out="p1")
+        one = scored.select(F.lit(lead).alias("lead"), id_col, "y", "p0", "p1")
         out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.bootstrap_auc(out, id_col=id_col, score_a="p0", score_b="p1", resamples=resamples, by="lead")
 
 
 def leave_group_out_hazard(rows: DataFrame, base: Sequence[str], full: Sequence[str], *, group: str, id_col: str,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
 from fallpoint.lineage import cut
 from fallpoint.operators.ordered import dense_index, exact_quantiles, null_safe_join, running_totals
-from fallpoint.plans.resample import bootstrap_counts
+from fallpoint.plans.draws import draw_keys, poisson_weights
 
 
 def auc(rows: DataFrame, *, score: str, y: str = "y", by=(), weight: Column | None = None,
@@ -86,30 +87,78 @@ def concordance(rows: DataFrame, *, time: str, event: str, score: str, by=()) ->
 
 
 def bootstrap_auc(rows: DataFrame, *, id_col: str, score_a: str, score_b: str, y: str = "y",
-                  resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """AUC of b, its gain over a, and percentile intervals over entity resamples.
-
-    Resamples are integer weights on the entities; rows are never copied into the
-    shuffle, they meet their weights and are added up per (resample, score) at once.
-    Resamples with one class only are skipped.
+                  resamples: int = 1000, seed: int = 0, by=()) -> DataFrame:
+    """AUC of b, its gain over a, and percentile intervals over entity resamples, per group if given.
+
+    Resamples are keyed weights of the entities.  Rows are put in the order of the score by one range
+    partitioning, whatever the number of resamples; each range forms its rows' weights for all resamples,
+    counts its own pairs and hands on totals, which the pairs across ranges need.  Ties count half: rows
+    go through once with the others before the events of a tie and once after, so a range
+    may end inside a tie.  Resamples with one class only are skipped.
     """
-    counts = bootstrap_counts(rows, id_col=id_col, resamples=resamples, seed=seed)
-    long = rows.select(id_col, F.col(y).alias("y"), F.col(score_a).alias("a"), F.col(score_b).alias("b_"))
-    long = long.unpivot([id_col, "y"], ["a", "b_"], "model", "score")
-    long = long.groupBy(id_col, "model", "score").agg(F.sum("y").alias("y1"), F.sum(1 - F.col("y")).alias("y0"))
-    w = long.join(counts, id_col)
-    d = w.groupBy("b", "model", "score").agg(F.sum(F.col("times") * F.col("y1")).alias("pos"),
-                                             F.sum(F.col("times") * F.col("y0")).alias("neg"))
-    d = running_totals(d, by=["b", "model"], key="score", sums=["pos", "neg"])
-    win = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
-    pairs = F.max("total_pos") * F.max("total_neg")
-    d = d.groupBy("b", "model").agg(F.when(pairs > 0, win / pairs).alias("auc"))
-    d = d.groupBy("b").agg(F.max(F.when(F.col("model") == "a", F.col("auc"))).alias("auc_a"),
-                           F.max(F.when(F.col("model") == "b_", F.col("auc"))).alias("auc_b"))
+    by = as_list(by)
+    k1, k2 = draw_keys(F.col(id_col), seed)
+    variant = lambda m, o, s: F.struct(F.lit(m).alias("model"), F.lit(o).alias("turn"), F.col(s).cast("double").alias("score"))
+    long = rows.select(*by, k1.alias("k1"), k2.alias("k2"), F.col(y).cast("int").alias("y"), F.inline(F.array(*[
+        variant(m, o, s) for m, s in enumerate((score_a, score_b)) for o in (0, 1)]))).where("score is not null")
+    long = long.withColumn("late", F.when(F.col("turn") == 0, F.col("y")).otherwise(1 - F.col("y")))
+    keys = [*by, "model", "turn"]
+    order = [*keys, "score", "late"]
+    sorted_ = long.repartitionByRange(*order, "k1").sortWithinPartitions(*order).select(*keys, "k1", "k2", "late")
+    count = resamples + 1  # the last one is the table itself
+
+    def ranges(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        part, held, ahead, win, take = TaskContext.get().partitionId(), None, None, None, None
+
+        def told():
+            out = {k: [v] * count for k, v in zip(keys, held)}
+            return pd.DataFrame({**out, "part": part, "b": np.arange(count), "win": win, "give": ahead, "take": take})
+
+        for pdf in batches:
+            marks = list(pdf[keys].itertuples(index=False, name=None))
+            edges = [0] + [i for i in range(1, len(marks)) if not _same(marks[i], marks[i - 1])] + [len(marks)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if lo == hi:
+                    continue
+                if held is None or not _same(marks[lo], held):
+                    if held is not None:
+                        yield told()
+                    held, ahead, win, take = marks[lo], np.zeros(count), np.zeros(count), np.zeros(count)
+                for at in range(lo, hi, 1000):
+                    some = pdf.iloc[at:min(at + 1000, hi)]
+                    w = np.concatenate([poisson_weights(some["k1"], some["k2"], resamples), np.ones((len(some), 1))], axis=1)
+                    late = some["late"].to_numpy()[:, None] == 1
+                    before = np.cumsum(np.where(late, 0.0, w), axis=0)
+                    taken = np.where(late, w, 0.0)
+                    win += (taken * (before + ahead)).sum(axis=0)
+                    take += taken.sum(axis=0)
+                    ahead = ahead + before[-1]
+        if held is not None:
+            yield told()
+
+    types = {f.name: f.dataType.simpleString() for f in sorted_.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", part int, b int, win double, give double, take double"
+    parts = sorted_.mapInPandas(ranges, schema)
+    # One row per group, range and resample from here on.
+    w = Window.partitionBy(*keys, "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("give").over(w), F.lit(0.0)))
+    d = parts.groupBy(*by, "model", "b", "turn").agg(F.sum(F.col("win") + F.col("take") * F.col("_before")).alias("win"),
+                                                     F.sum("give").alias("give"), F.sum("take").alias("take"))
+    up = lambda c: F.max(F.when(F.col("turn") == 0, F.col(c)))
+    pairs = up("give") * up("take")
+    wins = (up("win") + pairs - F.max(F.when(F.col("turn") == 1, F.col("win")))) / 2
+    d = d.groupBy(*by, "model", "b").agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+    d = cut(d.groupBy(*by, "b").agg(F.max(F.when(F.col("model") == 0, F.col("auc"))).alias("auc_a"),
+                                    F.max(F.when(F.col("model") == 1, F.col("auc"))).alias("auc_b")))
     d = d.where(F.col("auc_b").isNotNull()).withColumn("gain", F.col("auc_b") - F.col("auc_a"))
-    d = d.unpivot(["b"], ["auc_b", "gain"], "metric", "value")
-    ci = exact_quantiles(d, by="metric", value="value", probs=[0.025, 0.975], names=["low", "high"])
-    seen_a = auc(rows, score=score_a, y=y).select("auc").scalar()
-    seen = auc(rows, score=score_b, y=y).select(F.col("auc").alias("auc_b")).withColumn("_a", seen_a)
-    seen = seen.select("auc_b", (F.col("auc_b") - F.col("_a")).alias("gain"))
-    return seen.unpivot([], ["auc_b", "gain"], "metric", "value").join(ci, "metric")
+    d = d.unpivot([*by, "b"], ["auc_b", "gain"], "metric", "value")
+    ci = exact_quantiles(d.where(F.col("b") < resamples), by=[*by, "metric"], value="value", probs=[0.025, 0.975], names=["low", "high"])
+    return null_safe_join(d.where(F.col("b") == resamples).drop("b"), ci, [*by, "metric"])
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    """Equal keys, missing ones too."""
+    return all(x == y or (x != x or x is None) and (y != y or y is None) for x, y in zip(a, b))

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fallpoint.lineage import cut
 from fallpoint.operators.ordered import exact_quantiles, pick_quantiles, running_totals
 
 ALPHAS = tuple(10.0 ** (-3 + 0.25 * i) for i in range(25))   # fixed values: 25 points from 1e-3 to 1e3
@@ -26,13 +27,15 @@ class Membership:
 
     ``folds``: one column per repeat holding the row's fold; model r * k + f trains on the
     rows of repeat r outside fold f.  ``weights``: an array column with one weight per
-    model.  Neither: one model on all rows.
+    model.  ``draws``: the two key columns of an entity, from which each task forms its rows'
+    weights in ``count`` resamples.  None of them: one model on all rows.
     """
 
     folds: tuple[str, ...] = ()
     k: int = 5
     weights: str | None = None
     count: int = 1
+    draws: tuple[str, ...] = ()
 
     @property
     def models(self) -> int:
@@ -40,11 +43,11 @@ class Membership:
 
     @property
     def columns(self) -> list[str]:
-        return list(self.folds) + ([self.weights] if self.weights else [])
+        return list(self.folds) + ([self.weights] if self.weights else []) + list(self.draws)
 
     def matrix(self):
         """Worker-side function: pandas batch to a (rows, models) weight matrix."""
-        folds, k, weights = list(self.folds), self.k, self.weights
+        folds, k, weights, draws, count = list(self.folds), self.k, self.weights, list(self.draws), self.count
 
         def build(pdf):
             import numpy as np
@@ -55,6 +58,10 @@ class Membership:
                                       axis=1).astype(float)
             if weights:
                 return np.stack(pdf[weights].to_numpy()).astype(float)
+            if draws:
+                from fallpoint.plans.draws import poisson_weights
+
+                return poisson_weights(pdf[draws[0]], pdf[draws[1]], count)
             return np.ones((len(pdf), 1))
 
         return build
@@ -266,19 +273,15 @@ def odds_ratios(rows: DataFrame, columns: Sequence[str], *, variables: Sequence[
                 resamples: int = 300, how: str = "robust", seed: int = 0) -> DataFrame:
     """Odds ratio per scale unit with a percentile interval over entity resamples.
 
-    All resamples are fitted together from integer weights on the entities; those with a
-    single class are skipped.
+    All resamples are fitted together; each task forms the entities' weights from their keys, so
+    no table of draws is joined.  Resamples with a single class are skipped.
     """
-    from fallpoint.plans.resample import bootstrap_counts
+    from fallpoint.plans.draws import with_keys
 
     spark = rows.sparkSession
     full = fit_logistic(rows, columns, y=y, how=how)
-    times = bootstrap_counts(rows, id_col=id_col, resamples=resamples, seed=seed)
-    drawn = times.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "times"))).alias("_t"))
-    per_id = drawn.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)),
-                                              lambda i: F.coalesce(F.col("_t")[i], F.lit(0)).cast("double")).alias("_w"))
-    data = rows.join(per_id, id_col)
-    member = Membership(weights="_w", count=resamples)
+    data = cut(with_keys(numeric(rows, columns, [id_col, y]), id_col, seed))
+    member = Membership(draws=("_k1", "_k2"), count=resamples)
     same = Scaling(*[np.repeat(v, resamples, axis=0) for v in (full.scaling.median, full.scaling.center,
                                                                full.scaling.scale)])
     scale = same if how == "robust" else scaling_for(data, columns, member, how)
@@ -632,7 +635,6 @@ def forest_predictions(rows: DataFrame, columns: Sequence[str], *, y: str, fold:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
-    from fallpoint.lineage import cut
     from fallpoint.plans.baselines import training_quantiles
 
     cols = list(columns)
@@ -698,7 +700,6 @@ def permutation_importance(rows: DataFrame, columns: Sequence[str], *, y: str, f
     """
     from pyspark.ml.regression import RandomForestRegressor
 
-    from fallpoint.lineage import cut
     from fallpoint.plans.baselines import impute_from_training
     from fallpoint.plans.resample import shuffled
 
@@ -736,7 +737,6 @@ def sampled_attribution(rows: DataFrame, columns: Sequence[str], *, y: str, fold
     from pyspark.ml.regression import RandomForestRegressor
 
     from fallpoint.functions.columns import hash_int, hash_key
-    from fallpoint.lineage import cut
     from fallpoint.operators.ordered import dense_index
     from fallpoint.plans.baselines import impute_from_training
 

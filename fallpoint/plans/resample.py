@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
-from fallpoint.functions.columns import hash_int, hash_key
+from fallpoint.functions.columns import hash_key
 from fallpoint.lineage import cut
-from fallpoint.operators.ordered import dense_index, exact_quantiles
+from fallpoint.operators.ordered import dense_index, exact_quantiles, null_safe_join
+from fallpoint.plans.draws import spread_out, with_donors, with_keys, with_weight
 
 
 def fold_of(entities: DataFrame, *, id_col: str, k: int = 5, repeats: int = 1, stratum: str | None = None,
@@ -38,48 +39,47 @@ def with_folds(rows: DataFrame, folds: DataFrame, *, id_col: str, repeats: int =
 def bootstrap_counts(entities: DataFrame, *, id_col: str, resamples: int, seed: int = 0, by=()) -> DataFrame:
     """How often each entity is drawn in each resample: (b, id, times), zero draws left out.
 
-    Every entity contributes one draw per resample; the draw points at a position by
-    hash, positions number the entities in hash order.  Draws are counted before they
-    meet the entities.
+    Each entity's number is Poisson with mean one, keyed by (seed, id, b), so it is formed in the
+    row itself and resamples vary in size around that of the table.
     """
     by = as_list(by)
-    rows = entities.select(*by, id_col).distinct()
-    rows = dense_index(rows, by=by, key=hash_key(F.lit(seed), F.col(id_col)))
-    draws = rows.select(*by, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), id_col, "n_group")
-    draws = draws.withColumn("index", F.pmod(hash_int(F.lit(seed), F.col("b"), F.col(id_col)), F.col("n_group")))
-    times = draws.groupBy("b", *by, "index").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(rows.select(*by, "index", id_col), by + ["index"]).select("b", *by, id_col, "times")
+    rows = with_keys(entities.select(*by, id_col).distinct(), id_col, seed)
+    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    return with_weight(rows, F.col("b"), drawn=True).select("b", *by, id_col, "times")
 
 
 def bootstrap_mean(entities: DataFrame, *, id_col: str, values: Sequence[str], resamples: int = 2000,
-                   seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Mean of each per-entity value with its percentile interval over entity resamples."""
-    counts = bootstrap_counts(entities, id_col=id_col, resamples=resamples, seed=seed)
-    rows = counts.join(entities.select(id_col, *values), id_col)
-    t = F.col("times")
-    means = rows.groupBy("b").agg(*[(F.sum(t * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), t))).alias(v)
-                                    for v in values])
-    long = means.unpivot(["b"], list(values), "variable", "mean")
-    ci = exact_quantiles(long, by="variable", value="mean", probs=[low, high], names=["low", "high"])
-    seen = entities.agg(*[F.avg(v).alias(v) for v in values]).unpivot([], list(values), "variable", "mean")
-    return seen.join(ci, "variable")
+                   seed: int = 0, low: float = 0.025, high: float = 0.975, by=()) -> DataFrame:
+    """Mean of each per-entity value with its percentile interval over entity resamples, per group if given.
+
+    Weights are formed row by row and added up per resample inside the task that reads the rows: what
+    is shuffled are sums per (group, resample).
+    """
+    by = as_list(by)
+    rows = spread_out(with_keys(entities.select(*by, id_col, *values), id_col, seed), id_col)
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn, t = with_weight(rows, F.col("_b"), "_t"), F.col("_t")
+    means = drawn.groupBy(*by, "_b").agg(*[(F.sum(t * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), t))).alias(v)
+                                          for v in values])
+    long = means.unpivot([*by, "_b"], list(values), "variable", "mean")
+    ci = exact_quantiles(long, by=[*by, "variable"], value="mean", probs=[low, high], names=["low", "high"])
+    seen = entities.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values]).unpivot(by, list(values), "variable", "mean")
+    return null_safe_join(seen, ci, [*by, "variable"])
 
 
 def shuffled(rows: DataFrame, *, id_col: str, value: str, rounds: int, within: str | None = None,
-             seed: int = 0) -> DataFrame:
-    """The value of another row for every row, per round: (b, id, [within], value, shuffled).
+             seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """The value of another row for every row, per round: (b, id, [within], value, shuffled, keep).
 
-    Receiver positions follow the round's hash order, donors a fixed one; only positions
-    are sorted, block-wise, so no round is ever gathered in one task.
+    Rows are numbered once, in hash order.  A round is a keyed permutation of the numbers, arithmetic on
+    the row, and one look-up of the donor's value; ``keep`` names further columns of the receiver to carry.
     """
     by = as_list(within) if within else []
-    base = rows.select(*by, id_col, value)
-    donors = dense_index(base, by=by, key=hash_key(F.lit(f"{seed}d"), F.col(id_col)))
-    donors = donors.select(*by, "index", F.col(value).alias("shuffled"))
-    turn = base.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    turn = dense_index(turn, by=["b", *by], key=hash_key(F.concat_ws("/", F.lit(str(seed)), F.col("b").cast("string")),
-                                                         F.col(id_col)))
-    return turn.join(donors, by + ["index"]).select("b", *by, id_col, value, "shuffled")
+    base = rows.select(*by, id_col, value, *keep)
+    base = cut(dense_index(base, by=by, key=hash_key(F.lit(f"{seed}d"), F.col(id_col))))
+    donors = base.select(*by, F.col("index").alias("donor"), F.col(value).alias("shuffled"))
+    turn = null_safe_join(with_donors(base, rounds, seed=seed), donors, by + ["donor"])
+    return turn.select("b", *by, id_col, value, "shuffled", *keep)
 
 
 def permutation_summary(observed: DataFrame, nulls: DataFrame, *, score: str = "score",
@@ -105,9 +105,9 @@ def permutation_test(score: Callable[[DataFrame], DataFrame], rows: DataFrame, *
     shuffles together.
     """
     real = score(rows.withColumn("b", F.lit(-1))).select("score")
-    mixed = shuffled(rows, id_col=id_col, value=label, rounds=n_permutations, within=within, seed=seed)
-    others = rows.drop(label, *([within] if within else []))
-    null_rows = mixed.drop(label).withColumnRenamed("shuffled", label).join(others, id_col)
+    others = [c for c in rows.columns if c not in (label, id_col, within)]
+    mixed = shuffled(rows, id_col=id_col, value=label, rounds=n_permutations, within=within, seed=seed, keep=others)
+    null_rows = mixed.drop(label).withColumnRenamed("shuffled", label)
     return permutation_summary(real, score(null_rows), lower_is_better=lower_is_better)
 
 
@@ -117,8 +117,7 @@ def coincidence_test(rows: DataFrame, *, id_col: str, day: str, other_day: str,
     share = lambda c: F.avg((F.abs(F.col(day) - F.col(c)) <= tolerance).cast("double"))
     keep = rows.where(F.col(day).isNotNull() & F.col(other_day).isNotNull())
     observed = keep.agg(share(other_day).alias("score"))
-    mixed = shuffled(keep, id_col=id_col, value=other_day, rounds=rounds, within=within, seed=seed)
-    mixed = mixed.join(keep.select(id_col, day), id_col)
+    mixed = shuffled(keep, id_col=id_col, value=other_day, rounds=rounds, within=within, seed=seed, keep=[day])
     nulls = mixed.groupBy("b").agg(share("shuffled").alias("score"))
     return permutation_summary(observed, nulls, lower_is_better=False)
 

@@ -10,7 +10,8 @@ from fallpoint.lineage import cut
 from fallpoint.operators import compare, detect, features, grid, profile, rates, risk, stats
 from fallpoint.operators.ordered import exact_quantiles
 from fallpoint.plans import baselines, metrics, resample
-from workload.basics import _hash, _rank, _seg, found
+from fallpoint.plans.draws import P, poisson_thresholds, round_keys
+from workload.basics import _rank, _seg, found
 from workload.bindings import KINDS, daily, filled, months, table, user_days
 from workload.ctes import detect as detect_sql
 from workload.ctes import grid as grid_sql
@@ -587,9 +588,15 @@ def _(spark, sf):
 # The published numbers of resamples and shuffles.
 RESAMPLES, PAIRED, SHUFFLES, COINCIDENCES = 1000, 5000, 200, 5000
 
-_boot = lambda n: {"i": "select *, row_number() over (order by md5('0|' || id) || '|' || id) - 1 as ix, count(*) over () as n from (select distinct id from e0)",
-         "dr": f"select b, {_hash(chr(39) + '0' + chr(39), 'b', 'id')} % n as ix from i, generate_series(0, {n - 1}) t(b)",
-         "ct": "select b, i.id, count(*) as times from dr join i on i.ix = dr.ix group by 1, 2"}
+_x5 = lambda u: f"((({u}) * ({u}) % {P}) * (({u}) * ({u}) % {P}) % {P} * ({u}) % {P})"
+_key = lambda at: f"('0x' || substr(md5('0|' || id), {at}, 8))::bigint"
+
+# Poisson weights of mean one, from the keys of an id: table "ct" (b, id, times) for the ids of "e0".
+_boot = lambda n: {
+    "i": f"select id, {_key(1)} % {P} as k1, 1 + {_key(9)} % {P - 1} as k2 from (select distinct id from e0)",
+    "dr": f"select id, b, (k1 + b * k2) % {P} as u from i, generate_series(0, {n - 1}) t(b)",
+    "ct": "select * from (select b, id, " + " + ".join(f"case when {_x5('u')} >= {t} then 1 else 0 end" for t in poisson_thresholds())
+          + " as times from dr) where times > 0"}
 
 
 @query("j25_bootstrap_counts", with_ctes({"e0": "select distinct user_id as id from events"} | _boot(RESAMPLES), "select cast(b as int) as b, id, times from ct"))
@@ -621,10 +628,23 @@ def _(spark, sf):
     return d.select("metric", r6("value"), r6("low"), r6("high"))
 
 
-_perm = lambda rounds, within="": {
-    "dn": f"select {'segment, ' if within else ''}v, row_number() over ({'partition by segment ' if within else ''}order by md5('0d|' || id) || '|' || id) as ix from e",
-    "rc": f"select b, e.*, row_number() over (partition by b{', segment' if within else ''} order by md5('0/' || b || '|' || id) || '|' || id) as ix from e, generate_series(0, {rounds - 1}) t(b)",
-    "sh": f"select rc.b, rc.id, rc.v as own, dn.v as v from rc join dn on dn.ix = rc.ix{' and dn.segment is not distinct from rc.segment' if within else ''}"}
+def _perm(rounds: int, within: str = "") -> dict[str, str]:
+    """Shuffles of "e" as "sh" (b, id, own, v): the keyed network over all cells of a square, then walks until a cell is inside."""
+    part = "partition by segment " if within else ""
+    keys = round_keys(0)
+    out = {"ix": f"select *, row_number() over ({part}order by md5('0d|' || id) || '|' || id) - 1 as ix, count(*) over ({part}) as n from e",
+           "kb": "select b, " + ", ".join(f"{_x5(f'({k[0]} + b * {k[1]}) % {P}')} as c{t}, 1 + {_x5(f'({k[2]} + b * {k[3]}) % {P}')} % {P - 1} as d{t}"
+                                         for t, k in enumerate(keys)) + f" from generate_series(0, {rounds - 1}) g(b)",
+           "n0": """select n, m, x, kb.*, x // m as l, x % m as r from (select n, m, unnest(generate_series(0, m * m - 1)) as x
+               from (select distinct n, ceil(sqrt(n))::bigint as m from ix)), kb"""}
+    for t in range(len(keys)):
+        out[f"u{t}"] = f"select *, (c{t} + r * d{t}) % {P} as u from n{t}"
+        out[f"n{t + 1}"] = f"select * exclude (l, r, u), r as l, (l + {_x5('u')}) % m as r from u{t}"
+    return out | {"net": f"select n, b, x, l * m + r as y from n{len(keys)}",
+                  "wk": """select n, b, x, y from net where x < n union all
+                      select wk.n, wk.b, wk.x, net.y from wk join net on net.n = wk.n and net.b = wk.b and net.x = wk.y where wk.y >= wk.n""",
+                  "sh": f"""select wk.b, i.id, i.v as own, d.v as v from wk join ix i on i.n = wk.n and i.ix = wk.x join ix d on d.n = wk.n and d.ix = wk.y
+                      {'and d.segment is not distinct from i.segment' if within else ''} where wk.y < wk.n"""}
 
 
 @query("j26_permutation_test", with_ctes(detect_sql("ud", "t") | {"x": f"select t.id, day as v, fs.x from t join ({_early}) fs on fs.id = t.id where occurred and x is not null",
