@@ -57,7 +57,9 @@ def compare_on_subsets(rows: DataFrame, subsets: dict, sets: dict[str, Sequence[
     out = None
     for name, cond in subsets.items():
         sub = cut(rows.where(cond))
-        live = {s: varying_columns(sub, list(c)) or list(c)[:1] for s, c in sets.items()}
+        live = {s: varying_columns(sub, list(c)) for s, c in sets.items()}
+        if not all(live.values()):
+            raise ValueError(f"no column varies in subset {name!r} for: {', '.join(s for s, c in live.items() if not c)}")
         one = compare_day_models(sub, live, y=y, folds=folds, k=k, kinds=kinds, **forest).withColumn("subset", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -169,21 +171,36 @@ def anticipation(by_lead: dict[int, DataFrame], base: Sequence[str], full: Seque
 
 def leave_group_out_hazard(rows: DataFrame, base: Sequence[str], full: Sequence[str], *, group: str, id_col: str,
                            min_ids: int = 15, how: str = "robust") -> DataFrame:
-    """AUC of base and full model on each large group, trained on the others."""
-    sizes = rows.groupBy(group).agg(F.count_distinct(id_col).alias("ids")).where(F.col("ids") >= min_ids)
-    out = None
-    for r in sizes.orderBy(group).collect():
-        train, test = rows.where(~F.col(group).eqNullSafe(r[group])), rows.where(F.col(group).eqNullSafe(r[group]))
-        scored = test
-        for name, cols in (("p0", base), ("p1", full)):
-            scored = models.predict_risk(scored, models.fit_logistic(train, cols, how=how), out=name)
-        scored = cut(scored.select("y", "p0", "p1"))
-        one = metrics.auc(scored, score="p0", out="auc_base").select("auc_base", "events").join(
-            metrics.auc(scored, score="p1", out="auc_full").select("auc_full", "events"), "events")
-        one = one.select(F.lit(r[group]).alias("group"), F.lit(r["ids"]).alias("ids"), "events", "auc_base", "auc_full",
-                         (F.col("auc_full") - F.col("auc_base")).alias("gain"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """AUC of base and full model on each large group, trained on the others: all groups in the same passes."""
+    tagged, groups = models.numbered_groups(rows, group=group, id_col=id_col, min_ids=min_ids)
+    tagged, k = cut(tagged), groups.count()
+    if not k:
+        return groups.select(F.col(group).alias("group"), "ids", *[F.lit(0.0).alias(c) for c in ("events", "auc_base", "auc_full", "gain")])
+    scored = tagged.where("_group >= 0")
+    for name, cols in (("p0", base), ("p1", full)):
+        fits = models.fit_logistic(tagged, cols, member=Membership(("_group",), k), how=how)
+        scored = models.predict_risk(scored, fits, folds=["_group"], k=k, out=name)
+    scored = cut(scored.select("_group", "y", "p0", "p1"))
+    both = metrics.auc(scored, score="p0", by="_group", out="auc_base").select("_group", "auc_base", "events").join(
+        metrics.auc(scored, score="p1", by="_group", out="auc_full").select("_group", "auc_full"), "_group")
+    return both.join(groups, "_group").select(F.col(group).alias("group"), "ids", "events", "auc_base", "auc_full",
+                                              (F.col("auc_full") - F.col("auc_base")).alias("gain"))
+
+
+def leave_group_out_errors(rows: DataFrame, columns: Sequence[str] = (), *, y: str, group: str, id_col: str, min_group_size: int = 1,
+                           model: str = "median") -> DataFrame:
+    """Mean absolute error on each group of ``median`` or ``ridge`` trained on all others: (group, n_test, n_train, score), in one fit."""
+    known = rows.where(F.col(y).isNotNull())
+    tagged, groups = models.numbered_groups(known, group=group, id_col=id_col, min_ids=min_group_size)
+    tagged, k = cut(tagged), groups.count()
+    total = tagged.count()
+    errors = models.median_errors if model == "median" else lambda d, **kw: models.ridge_errors(d, columns, **kw)
+    got = errors(tagged, y=y, folds=["_group"], k=k) if k else None
+    if got is None:
+        return rows.sparkSession.createDataFrame([], "group string, n_test long, n_train long, score double")
+    out = got.join(groups, got["fold"] == groups["_group"]).where(F.col("n") < total)
+    return out.select(F.col(group).alias("group"), F.col("n").cast("long").alias("n_test"), (total - F.col("n")).cast("long").alias("n_train"),
+                      F.col("mae").alias("score"))
 
 
 # ---------------------------------------------------------------- profiles

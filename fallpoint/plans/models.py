@@ -27,7 +27,8 @@ class Membership:
 
     ``folds``: one column per repeat holding the row's fold; model r * k + f trains on the
     rows of repeat r outside fold f.  ``weights``: an array column with one weight per
-    model.  ``draws``: the two key columns of an entity, from which each task forms its rows'
+    model.  With ``own`` model r * k + f trains on fold f alone instead, once for each of ``count``
+    resamples if there are ``draws``.  ``draws``: the two key columns of an entity, from which each task forms its rows'
     weights in ``count`` resamples.  None of them: one model on all rows.
     """
 
@@ -36,10 +37,11 @@ class Membership:
     weights: str | None = None
     count: int = 1
     draws: tuple[str, ...] = ()
+    own: bool = False
 
     @property
     def models(self) -> int:
-        return len(self.folds) * self.k if self.folds else self.count
+        return len(self.folds) * self.k * (self.count if self.own else 1) if self.folds else self.count
 
     @property
     def columns(self) -> list[str]:
@@ -47,15 +49,20 @@ class Membership:
 
     def matrix(self):
         """Worker-side function: pandas batch to a (rows, models) weight matrix."""
-        folds, k, weights, draws, count = list(self.folds), self.k, self.weights, list(self.draws), self.count
+        folds, k, weights, draws, count, own = list(self.folds), self.k, self.weights, list(self.draws), self.count, self.own
 
         def build(pdf):
             import numpy as np
 
             if folds:
                 f = pdf[folds].to_numpy()
-                return np.concatenate([(f[:, [r]] != np.arange(k)[None, :]) for r in range(len(folds))],
-                                      axis=1).astype(float)
+                inside = np.concatenate([(f[:, [r]] == np.arange(k)[None, :]) for r in range(len(folds))], axis=1)
+                if own and draws:
+                    from fallpoint.plans.draws import poisson_weights
+
+                    drawn = poisson_weights(pdf[draws[0]], pdf[draws[1]], count)
+                    return (inside[:, :, None] * drawn[:, None, :]).reshape(len(pdf), -1)
+                return (inside if own else ~inside).astype(float)
             if weights:
                 return np.stack(pdf[weights].to_numpy()).astype(float)
             if draws:
@@ -130,7 +137,7 @@ def model_quantiles(rows: DataFrame, columns: Sequence[str], member: Membership,
     sets = [(c, f) for c in member.folds for f in range(member.k)] if member.folds else [(None, None)]
     long = numeric(rows, cols, member.folds).unpivot(list(member.folds), cols, "variable", "value")
     long = long.where(F.col("value").isNotNull())
-    counts = [F.count_if(F.col(c) != f) if c else F.count(F.lit(1)) for c, f in sets]
+    counts = [F.count_if(F.col(c) == f if member.own else F.col(c) != f) if c else F.count(F.lit(1)) for c, f in sets]
     per = long.groupBy("variable", "value").agg(*[n.alias(f"n{i}") for i, n in enumerate(counts)])
     per = running_totals(per, by="variable", key="value", sums=[f"n{i}" for i in range(len(sets))])
     flat = per.select("variable", "value", F.inline(F.array(*[F.struct(
@@ -141,7 +148,7 @@ def model_quantiles(rows: DataFrame, columns: Sequence[str], member: Membership,
     place = {c: i for i, c in enumerate(cols)}
     for row in got.itertuples(index=False):
         out[row.model, place[row.variable]] = [getattr(row, n) for n in names]
-    return out if member.folds else np.repeat(out, member.models, axis=0)
+    return np.repeat(out, member.models // len(sets), axis=0)
 
 
 def scaling_for(rows: DataFrame, columns: Sequence[str], member: Membership, how: str = "robust") -> Scaling:
@@ -198,15 +205,16 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", membe
             gap, base = np.isnan(x), np.nan_to_num(x)
             out = []
             for i in range(w.shape[1]):
-                xi = (np.where(gap, med[i], base) - cen[i]) / sca[i]
+                on = np.flatnonzero(w[:, i])
+                wi, ti = w[on, i], t[on]
+                xi = (np.where(gap[on], med[i], base[on]) - cen[i]) / sca[i]
                 xi = np.concatenate([np.ones((len(xi), 1)), xi], axis=1)
                 z = xi @ b[i]
                 h = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                wi = w[:, i]
-                loss = wi @ (np.logaddexp(0, z) - t * z)
-                grad = xi.T @ (wi * (h - t))
+                loss = wi @ (np.logaddexp(0, z) - ti * z)
+                grad = xi.T @ (wi * (h - ti))
                 hess = (xi * (wi * h * (1 - h))[:, None]).T @ xi
-                out.append(np.concatenate([[loss, wi @ t, wi.sum()], grad, hess.ravel()]))
+                out.append(np.concatenate([[loss, wi @ ti, wi.sum()], grad, hess.ravel()]))
             return np.array(out)
 
         s = _summed(data, sums, m)
@@ -297,6 +305,55 @@ def odds_ratios(rows: DataFrame, columns: Sequence[str], *, variables: Sequence[
     return df.withColumn("excludes_1", (F.col("low") > 1) | (F.col("high") < 1))
 
 
+def numbered_groups(rows: DataFrame, *, group: str, id_col: str, min_ids: int = 1, out: str = "_group") -> tuple[DataFrame, DataFrame]:
+    """(rows with the number of their group, groups): groups of at least ``min_ids`` entities are 0, 1, ...; all other rows are -1.
+
+    ``groups`` holds (number, group, ids).  With k = its count, ``Membership(folds=(out,), k=k)`` trains
+    one model without each group, in the same passes over the rows.
+    """
+    from fallpoint.operators.ordered import dense_index
+
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(id_col).alias("ids")).where(F.col("ids") >= min_ids)
+    groups = cut(dense_index(sizes, key=F.col(group), out=out).select(F.col(out).cast("int").alias(out), group, "ids"))
+    tagged = rows.join(groups.select(group, out), group, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    return tagged, groups
+
+
+def group_effects(rows: DataFrame, columns: Sequence[str], *, variables: Sequence[str], group: str, id_col: str, y: str = "y",
+                  resamples: int = 300, how: str = "standard", seed: int = 0, min_ids: int = 1) -> DataFrame:
+    """Odds ratio of each variable in a model of its group's rows alone, with an interval over entity resamples of the group.
+
+    All groups, and then all resamples of all groups, are fitted in the same passes.  Resamples keep their group's
+    scaling, so that a coefficient keeps its unit.  A column that does not vary in a group has no effect there: it is left out.
+    """
+    from fallpoint.plans.draws import with_keys
+
+    spark, cols = rows.sparkSession, list(columns)
+    tagged, groups = numbered_groups(rows.select(group, id_col, y, *[F.col(c).cast("double").alias(c) for c in cols]),
+                                     group=group, id_col=id_col, min_ids=min_ids)
+    data = cut(with_keys(tagged.where("_group >= 0"), id_col, seed))
+    names = {r["_group"]: r[group] for r in groups.collect()}
+    k = len(names)
+    kind = groups.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, variable string, odds_ratio double, low double, high double"
+    if not k:
+        return spark.createDataFrame([], schema)
+    one = fit_logistic(data, cols, y=y, member=Membership(folds=("_group",), k=k, own=True), how=how)
+    many = Membership(folds=("_group",), k=k, own=True, draws=("_k1", "_k2"), count=resamples)
+    same = Scaling(*[np.repeat(v, resamples, axis=0) for v in (one.scaling.median, one.scaling.center, one.scaling.scale)])
+    boot = fit_logistic(data, cols, y=y, member=many, scaling=same)
+    spread = data.groupBy("_group").agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols]).toPandas().set_index("_group")
+    out = []
+    for g, name in names.items():
+        keep = boot.beta[g * resamples:(g + 1) * resamples][boot.usable[g * resamples:(g + 1) * resamples]]
+        for v in (v for v in variables if v in cols and one.usable[g] and spread.loc[g, v]):
+            place = cols.index(v)
+            lo, hi = np.percentile(keep[:, place], [2.5, 97.5]) if len(keep) else (np.nan, np.nan)
+            out.append((name, v, *map(float, np.exp([one.beta[g, place], lo, hi]))))
+    df = spark.createDataFrame(out, schema)
+    return df.withColumn("excludes_1", (F.col("low") > 1) | (F.col("high") < 1))
+
+
 # ---------------------------------------------------------------- ridge over a grid of penalties
 
 

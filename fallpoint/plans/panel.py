@@ -341,21 +341,28 @@ def with_own_alpha(intervals: DataFrame, params: DataFrame, kin: Kinetics, *, id
     """Attach fold parameters and ``alpha``: estimated on days 1..until, shrunk to the mean, >= 0."""
     ids = [*as_list(id_col), *keys]
     rows = intervals.join(params.withColumnRenamed("fold", fold), fold)
-    last = len(kin.names) - 1
+    x, xr = _early_products(kin, until)
+    whole = grid.whole(ids)
+    return rows.withColumn("alpha", _shrunk(F.sum(xr).over(whole), F.sum(x * x).over(whole), F.count(x).over(whole)))
+
+
+def _early_products(kin: Kinetics, until: int) -> tuple[Column, Column]:
+    """Growth of the early days and its product with what the shared parameters leave of the response."""
     base = F.col("p1") * F.col("u_area") + F.col("p2") * F.col("u_eat")
     for i, c in enumerate(kin.covariates):
         base = base + F.col(f"p{3 + i}") * F.col("u_grow") * _standardised(i, c)
     if kin.inhibitor:
-        base = base + F.col(f"p{last}") * F.col("u_inh")
-    early = (F.col(kin.day) < until) & F.col("dy").isNotNull()
-    x = F.when(early, F.col("u_grow"))
-    whole = grid.whole(ids)
-    xr, xx = F.sum(x * (F.col("dy") - base)).over(whole), F.sum(x * x).over(whole)
+        base = base + F.col(f"p{len(kin.names) - 1}") * F.col("u_inh")
+    x = F.when((F.col(kin.day) < until) & F.col("dy").isNotNull(), F.col("u_grow"))
+    return x, x * (F.col("dy") - base)
+
+
+def _shrunk(xr: Column, xx: Column, measured: Column) -> Column:
+    """Own coefficient from its moments, shrunk to the mean, >= 0."""
     room = F.coalesce(xx, F.lit(0.0)) + F.col("shrink")
     est = (F.coalesce(xr, F.lit(0.0)) + F.col("shrink") * F.col("p0")) / F.nullif(room, F.lit(0.0))
     # Nothing measured and nothing to shrink to a mean of its own: the mean itself.
-    alpha = F.when((F.count(x).over(whole) == 0) | (room == 0), F.col("p0")).otherwise(not_below_zero(est))
-    return rows.withColumn("alpha", alpha)
+    return F.when((measured == 0) | (room == 0), F.col("p0")).otherwise(not_below_zero(est))
 
 
 def step_columns(rows: DataFrame, kin: Kinetics, *, alpha: Column | None = None, half: Column | None = None,
@@ -465,35 +472,64 @@ def predicted_switch(blind: DataFrame, *, id_col, day_col: str, hazard: str = "h
 
 def expected_trajectory(rows: DataFrame, params: DataFrame, kin: Kinetics, *, id_col: str, fold: str = "fold",
                         state: str = "state", half: str | None = None, floor: str | None = None,
-                        negligible: float = 0.0) -> DataFrame:
+                        negligible: float = 0.0, until: int = 4) -> DataFrame:
     """Profiles with a sharp switch on each candidate day, weighted by its probability.
 
     Returns (id, day, level, expected) and ``modal_day``, the likeliest switch day (NULL if
-    never is likelier).  Candidates are days of the series, so work grows with its length
-    only; each (series, candidate) pair is simulated on its own.
+    never is likelier).  Candidates are the days of the series and never.  One fold over the days of a series
+    carries a level for every candidate, so rows are not multiplied; the own coefficient of a
+    candidate comes from running sums over the early days before it.
     """
     w = by_day(id_col, kin.day)
+    last = f"p{len(kin.names) - 1}"
     step = F.col(state) - F.coalesce(F.lag(state).over(w), F.lit(0.0))
-    rows = rows.withColumn("_w", not_below_zero(step))
-    cand = F.struct(F.col(kin.day).cast("int").alias("tau"), F.col("_w").alias("w"))
-    tails = rows.groupBy(id_col).agg(F.collect_list(cand).alias("_c"), F.max_by(state, kin.day).alias("_f"),
-                                     F.max(F.struct(F.col("_w").alias("w"), (-F.col(kin.day)).alias("d"))).alias("_top"))
-    never = not_below_zero(1 - F.col("_f"))
-    tails = tails.withColumn("_c", F.concat("_c", F.array(F.struct(F.lit(None).cast("int").alias("tau"), never.alias("w")))))
-    total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["w"])
-    tails = tails.withColumns({"_total": F.greatest(total, F.lit(1e-9)),
-                               "modal_day": F.when(F.col("_top")["w"] >= never, -F.col("_top")["d"])})
-    tails = tails.select(id_col, "_total", "modal_day", F.inline(F.filter("_c", lambda x: x["w"] > negligible)))
-    tails = tails.withColumn("tau", F.coalesce("tau", F.lit(0)))
-    pairs = rows.drop("_w").join(tails.select(id_col, "tau", "w", "_total", "modal_day"), id_col)
-    sharp = F.when((F.col("tau") > 0) & (F.col(kin.day) >= F.col("tau")), 1.0).otherwise(0.0)
-    pairs = pairs.withColumn(state, sharp)
-    ids = [id_col, "tau"]
+    rows = rows.withColumns({"_w": not_below_zero(step), "_risk": F.col(state)}).withColumn(state, F.lit(0.0))
     hc, fc = (F.col(half) if half else None), (F.col(floor) if floor else None)
-    inter = interval_columns(pairs, kin, id_col=ids, half=hc, floor=fc)
-    inter = step_columns(with_own_alpha(inter, params, kin, id_col=id_col, keys=["tau"], fold=fold), kin, half=hc, floor=fc)
-    sim = simulate(inter, id_col=ids, day_col=kin.day, level_col=kin.level, half=half, floor=floor,
-                   keep=["w", "_total", "modal_day", fold])
-    return sim.groupBy(id_col, kin.day).agg(
-        F.max(fold).alias(fold), F.max(kin.level).alias(kin.level), F.max("modal_day").alias("modal_day"),
-        (F.sum(F.col("w") * F.col("simulated")) / F.max("_total")).alias("expected"))
+    inter = interval_columns(rows, kin, id_col=id_col, half=hc, floor=fc).join(params.withColumnRenamed("fold", fold), fold)
+    x, xr = _early_products(kin, until)
+    ahead, whole = grid.before_now(w), grid.whole([id_col])
+    measured = F.count(x).over(whole)
+    inter = inter.withColumns({"_alpha": _shrunk(F.sum(xr).over(ahead), F.sum(x * x).over(ahead), measured),
+                               "_never": _shrunk(F.sum(xr).over(whole), F.sum(x * x).over(whole), measured)})
+    # While producing: gain = alpha * grow + made, loss = lost; while consuming: loss or saturable loss = eaten.
+    made, lost = F.col("p1") * F.col("area"), 0 * F.col("area") + kin.dilution
+    for i, c in enumerate(kin.covariates):
+        made = made + F.col(f"p{3 + i}") * F.col("grow") * _standardised(i, c)
+    if kin.inhibitor == "level":
+        lost = lost + F.col(last) * F.col("grow")
+    elif kin.inhibitor:
+        made = made - F.col(last) * F.col("grow") * F.col("z")
+    linear = half is None and floor is None
+    eaten = F.col("p2") * F.col("area")
+    item = F.struct(F.col(kin.day).cast("int").alias("day"), F.col(kin.level).cast("double").alias("level"), F.col("_w").alias("w"),
+                    F.col("_alpha").alias("alpha"), F.col("grow"), made.alias("made"), F.coalesce(lost, F.lit(0.0)).alias("lost"),
+                    F.coalesce(eaten + kin.dilution if linear else 0 * F.col("area") + kin.dilution, F.lit(0.0)).alias("eaten"),
+                    F.coalesce(F.lit(0.0) if linear else eaten, F.lit(0.0)).alias("sat"))
+    per = inter.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(item)).alias("_path"), F.max(fold).alias(fold), F.max("_never").alias("_never"), F.max_by("_risk", kin.day).alias("_f"),
+        F.max(F.struct(F.col("_w").alias("w"), (-F.col(kin.day).cast("int")).alias("d"))).alias("_top"),
+        *[F.max(c).alias(c) for c in (half, floor) if c])
+    never = not_below_zero(1 - F.col("_f"))
+    none = F.struct(F.lit(2 ** 31 - 1).alias("tau"), never.alias("w"), F.col("_never").alias("alpha"))
+    cands = F.concat(F.transform("_path", lambda d: F.struct(d["day"].alias("tau"), d["w"].alias("w"), d["alpha"].alias("alpha"))), F.array(none))
+    per = per.withColumns({"_total": F.greatest(F.aggregate(cands, F.lit(0.0), lambda a, c: a + c["w"]), F.lit(1e-9)),
+                           "_cand": F.filter(cands, lambda c: c["w"] > negligible),
+                           "modal_day": F.when(F.col("_top")["w"] >= never, -F.col("_top")["d"])})
+    meal = ""
+    if not linear:
+        pos = "greatest(a.s[i], 0.0D)"
+        above = f"greatest({pos} - coalesce({floor or '0.0D'}, 0.0D), 0.0D)"
+        meal = f" - if(a.p.day >= c.tau, a.p.sat, 0.0D) * if({half or 'cast(null as double)'} is null, {pos}, {above} / ({half or '0.0D'} + {above}))"
+    one = f"""transform(_cand, (c, i) -> greatest(a.s[i] + if(a.p.day >= c.tau, 0.0D, coalesce(c.alpha * a.p.grow + a.p.made, 0.0D))
+              - if(a.p.day >= c.tau, a.p.eaten, a.p.lost) * a.s[i]{meal}, 0.0D))"""
+    # The mean over candidates of a day is formed when the next day, or the end, is reached.
+    mean = "if(a.s is null, cast(null as double), aggregate(zip_with(_cand, a.s, (c, v) -> c.w * v), 0.0D, (t, v) -> t + v) / _total)"
+    body = f"""slice(aggregate(_path,
+        named_struct('s', cast(null as array<double>), 'p', _path[0], 'done', cast(array() as array<double>)),
+        (a, x) -> named_struct('s', if(a.s is null, if(x.level is null, cast(null as array<double>), array_repeat(x.level, size(_cand))), {one}),
+                               'p', x, 'done', array_append(a.done, {mean})),
+        a -> array_append(a.done, {mean})), 2, size(_path))"""
+    per = per.withColumn("_mean", F.expr(body))
+    flat = per.select(id_col, fold, "modal_day", F.inline(F.arrays_zip("_path", "_mean")))
+    return flat.select(id_col, F.col("_path.day").alias(kin.day), fold, F.col("_path.level").alias(kin.level), "modal_day",
+                       F.col("_mean").alias("expected"))

@@ -222,7 +222,9 @@ def test_expected_trajectory_of_a_sure_switch_is_the_sharp_profile(spark):
     mom = panel.series_moments(panel.interval_columns(df, kin, id_col="id"), kin, id_col="id", keys=["fold"])
     fits = panel.fit_panel(mom, kin, fold="fold", folds=1, mean=one[0], sd=one[1])
     params = fits.frame(spark).withColumn("fold", F.lit(-1)).withColumn("shrink", F.lit(0.0))
-    got = panel.expected_trajectory(df, params, kin, id_col="id").toPandas()
+    found = panel.expected_trajectory(df, params, kin, id_col="id")
+    got = found.toPandas()
+    assert "Generate explode" not in found._jdf.queryExecution().executedPlan().toString()
     assert np.allclose(got["level"], got["expected"], atol=1e-4) and (got["modal_day"] == 8).all()
 
 

@@ -148,21 +148,19 @@ def _(spark, sf):
     return models.odds_ratios(rows, HAZARD + list(ind), variables=MEASURES, id_col="id", resamples=300, how="standard")
 
 
-@query("j17_direction_by_group")
+def _group_effects(spark, sf):
+    return models.group_effects(cut(pp(spark, sf)), BASE + MEASURES, variables=MEASURES, group="segment", id_col="id", resamples=300)
+
+
+@query("j17_group_intervals")
 def _(spark, sf):
-    from fallpoint.operators.quality import varying_columns
+    return _group_effects(spark, sf)
+
 
-    rows, out = cut(pp(spark, sf)), None
-    groups = sorted(r["segment"] for r in rows.select("segment").where("segment is not null").distinct().collect())
-    for g in groups:
-        sub = rows.where(F.col("segment") == g)
-        cols = varying_columns(sub, BASE + MEASURES)
-        fits = models.fit_logistic(sub, cols, how="standard")
-        one = spark.createDataFrame([(g, c, float(v)) for c, v in zip(cols, fits.beta[0]) if c in MEASURES],
-                                    "segment string, variable string, coef double")
-        out = one if out is None else out.unionByName(one)
-    return compare.same_direction(out.withColumn("odds", F.exp("coef")), name="variable", group="segment", value="odds",
-                                  groups=len(groups))
+@query("j17_direction_by_group")
+def _(spark, sf):
+    out = cut(_group_effects(spark, sf))
+    return compare.same_direction(out, name="variable", group="segment", value="odds_ratio", groups=out.select("segment").distinct().count())
 
 
 COV = ("click_prev", "view_prev")
@@ -333,6 +331,29 @@ def _(spark, sf):
     return panel.expected_trajectory(s, fits.frame(spark), KIN2, id_col="id").select("id", "day", "level", "expected", "modal_day")
 
 
+@query("j34_expected_literal", with_ctes({
+    "k": """select *, row_number() over w as i, lead(level) over w - level as dy, greatest(lead(exposure) over w - exposure, 0) as grow,
+        (exposure + lead(exposure) over w) / 2 as area, day / (day + 6.3::double) as risk from (select id, day, level, exposure from dy) window w as (partition by id order by day)""",
+    "q": "select *, greatest(risk - coalesce(lag(risk) over (partition by id order by day), 0), 0) as w from k",
+    "cand": """select id, day as tau, w from q union all select id, 2147483647, greatest(1 - arg_max(risk, day), 0) from q group by id""",
+    "own": """select c.id, c.tau, any_value(c.w) as w, greatest((coalesce(sum(grow * (dy - 0.01 * area)) filter (q.day < 4 and q.day < c.tau and dy is not null), 0) + 2 * 0.3)
+        / (coalesce(sum(grow * grow) filter (q.day < 4 and q.day < c.tau and dy is not null), 0) + 2), 0) as a,
+        count(*) filter (q.day < 4 and dy is not null) as n from cand c join q on q.id = c.id group by 1, 2""",
+    "al": "select id, tau, w, case when n = 0 then 0.3 else a end as a from own",
+    "r": """select al.id, al.tau, al.w, al.a, q.i, q.day, q.level, q.grow, q.area, q.level as s from al join q on q.id = al.id and q.i = 1 union all
+        select r.id, r.tau, r.w, r.a, q.i, q.day, q.level, q.grow, q.area,
+               greatest(r.s + case when r.day >= r.tau then 0 else r.a * r.grow + 0.01 * r.area end - case when r.day >= r.tau then 0.02 * r.area else 0 end * r.s, 0)
+        from r join q on q.id = r.id and q.i = r.i + 1""",
+    "top": "select id, arg_max(day, (w, -day)) as d, max(w) as w from q group by id"},
+    """select r.id, r.day, round(any_value(r.level), 6) as level, round(sum(r.w * s) / greatest(sum(r.w), 1e-9), 6) as expected,
+        any_value(case when top.w >= n.w then top.d end) as modal_day from r join top on top.id = r.id join cand n on n.id = r.id and n.tau = 2147483647 group by 1, 2"""))
+def _(spark, sf):
+    rows = daily(spark, sf).select("id", "day", "level", "exposure", (F.col("day") / (F.col("day") + 6.3)).alias("state"), F.lit(0).alias("fold"))
+    params = spark.createDataFrame([(0, 0.3, 0.01, 0.02, 2.0)], "fold int, p0 double, p1 double, p2 double, shrink double")
+    d = panel.expected_trajectory(rows, params, panel.Kinetics(state="state"), id_col="id")
+    return d.select("id", "day", r6("level"), r6("expected"), "modal_day")
+
+
 @query("j35_rebound_auc")
 def _(spark, sf):
     rows = day_table(spark, sf, k=3)
@@ -352,7 +373,7 @@ def _(spark, sf):
 
 @query("j36_leave_group_out")
 def _(spark, sf):
-    return jobs.leave_group_out_hazard(cut(pp(spark, sf)), BASE, HAZARD, group="segment", id_col="id")
+    return jobs.leave_group_out_hazard(pp(spark, sf), BASE, HAZARD, group="segment", id_col="id")
 
 
 @query("j37_subset_protocol")

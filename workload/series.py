@@ -9,7 +9,7 @@ from fallpoint.functions import columns as fx
 from fallpoint.lineage import cut
 from fallpoint.operators import compare, detect, features, grid, profile, rates, risk, stats
 from fallpoint.operators.ordered import exact_quantiles
-from fallpoint.plans import baselines, metrics, resample
+from fallpoint.plans import baselines, jobs, metrics, resample
 from fallpoint.plans.draws import P, poisson_thresholds, round_keys
 from workload.basics import _rank, _seg, found
 from workload.bindings import KINDS, daily, filled, months, table, user_days
@@ -477,12 +477,7 @@ def _groups_left_out(spark, sf):
     rows = found(spark, sf).where("occurred").join(table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), "id", "left").select("id", "segment", "day")
 
-    def median_fit(train, test):
-        guess = exact_quantiles(train, value="day", probs=[0.5], names=["prediction"]).select("prediction").scalar()
-        return test.withColumn("prediction", guess)
-
-    return resample.leave_one_group_out(median_fit, rows, group="segment", min_group_size=5,
-                                        metric=F.avg(F.abs(F.col("day") - F.col("prediction"))))
+    return jobs.leave_group_out_errors(rows, y="day", group="segment", id_col="id", min_group_size=5)
 
 
 @query("j3_leave_one_group_out", with_ctes(_group_out, 'select "group", n_test, n_train, round(score, 6) as score from go'))
