@@ -546,129 +546,215 @@ def _inverse_sums(d, whole, tied):
     return one, two
 
 
+def _efron_terms(run, tied, d, seen, p: int, inverse_sums=_inverse_sums):
+    """Gradient and information of each event time: sums over the rows at risk, over its events, their number and their columns."""
+    import numpy as np
+
+    one, two = inverse_sums(d, run[:, 0], tied[:, 0])
+    u = tied[:, 1:1 + p] / tied[:, :1]
+    v = run[:, 1:1 + p] - run[:, :1] * u
+    grad = seen - d[:, None] * u - one[:, None] * v
+    second = tied[:, 1 + p:] / tied[:, :1]
+    square = d[:, None] * second + one[:, None] * (run[:, 1 + p:] - run[:, :1] * second)
+    outer = lambda a, b, k: (k[:, None, None] * a[:, :, None] * b[:, None, :]).reshape(len(k), -1)
+    return np.concatenate([grad, square - outer(u, u, d) - outer(u, v, one) - outer(v, u, one) - outer(v, v, two)], axis=1)
+
+
+COX_ROWS = 4096  # rows whose p x p products a task holds at a time
+
+
 def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, member: Membership = Membership(),
-            penalizer: float = 0.5, rounds: int = 50, tol: float = 1e-7) -> LinearFits:
+            penalizer: float = 0.5, rounds: int = 50, tol: float = 1e-7, sets: str | None = None, count: int = 1) -> LinearFits:
     """Penalised Cox regressions (Efron ties) of all training sets by Newton steps; columns are scaled by their sample sd.
 
-    Tasks add up exp(xb), x exp(xb) and xx' exp(xb) per distinct time; running sums from the
-    last time on, the closed sums over tied events and the totals are formed by Spark as well, so the
-    driver gets p + p x p cells per model.  Raises if a model does not settle.
+    Rows are dealt once into ranges from the last time on; one time may spread over several.  A pass adds up
+    exp(xb), x exp(xb) and xx' exp(xb) per range, forms what lies ahead of each range from these totals, and
+    sums the event times inside the ranges; times at an end of a range are put together from their pieces.  So no time,
+    and no number of distinct times, gathers in one task; the driver gets p + p x p cells per model.
+
+    ``sets`` names a column 0 .. count - 1 of label sets: the rows repeated with other times and events (shuffles).
+    Model s * member.models + i is that of set s; all sets are fitted in the same passes.  Rows without a time
+    take no part.  Raises if a model does not settle.
     """
     cols, p, m, build = list(columns), len(columns), member.models, member.matrix()
-    scale = scaling_for(rows, cols, member, "standard")
-    data = numeric(rows, cols, [*member.columns, time, event]).withColumns(
-        {time: F.col(time).cast("double"), event: F.col(event).cast("int")})
+    base = (rows if sets is None else rows.where(F.col(sets) == 0)).where(F.col(time).isNotNull())
+    scale = scaling_for(base, cols, member, "standard")
 
     def weights(pdf):
         return build(pdf).sum(axis=0)[:, None]
 
-    size = _summed(data, weights, m)[:, 0]
-    scale = Scaling(scale.median, scale.center, scale.scale * np.sqrt(size / np.maximum(size - 1, 1))[:, None])
-    beta, q, worst = np.zeros((m, p)), 1 + p + p * p, np.inf
-    inverse_sums = _inverse_sums
+    size = _summed(numeric(base, cols, member.columns), weights, m)[:, 0]
+    tiled = lambda v: np.tile(v, (count, 1))
+    scale = Scaling(tiled(scale.median), tiled(scale.center), tiled(scale.scale * np.sqrt(size / np.maximum(size - 1, 1))[:, None]))
+    size = np.tile(size, count)
+    data = numeric(rows, cols, [*member.columns, time, event, *([sets] if sets else [])]).where(F.col(time).isNotNull()).withColumns(
+        {time: F.col(time).cast("double"), event: F.col(event).cast("int"), "_set": F.col(sets).cast("int") if sets else F.lit(0),
+         "_salt": F.monotonically_increasing_id()})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = cut(data.repartitionByRange(parts, "_set", F.col(time).desc(), "_salt").withColumn("_range", F.spark_partition_id()).drop("_salt"))
+    beta, q, worst = np.zeros((m * count, p)), 1 + p + p * p, np.inf
+    terms = _efron_terms
     for _ in range(rounds):
         args = (beta.copy(), scale.median, scale.center, scale.scale)
 
-        def per_partition(batches, args=args):
+        def scored(part, i, args=args):
             import numpy as np
-            import pandas as pd
 
             b, med, cen, sca = args
+            x = part[cols].to_numpy(dtype=float)
+            xi = (np.where(np.isnan(x), med[i], np.nan_to_num(x)) - cen[i]) / sca[i]
+            return xi, xi @ b[i]
+
+        def totals(batches):
+            import numpy as np
+            import pandas as pd
+
             found = {}
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                pdf = pdf.sort_values(time, kind="stable")
-                w, x = build(pdf), pdf[cols].to_numpy(dtype=float)
-                e = (pdf[event].to_numpy() == 1).astype(float)
-                times, first = np.unique(pdf[time].to_numpy(), return_index=True)
-                for i in range(m):
-                    xi = (np.where(np.isnan(x), med[i], np.nan_to_num(x)) - cen[i]) / sca[i]
-                    z = xi @ b[i]
-                    top = z.max()
-                    r = np.exp(z - top) * w[:, i]
-                    every = np.concatenate([r[:, None], xi * r[:, None], np.einsum("n,na,nb->nab", r, xi, xi).reshape(len(r), -1)], axis=1)
-                    hit = (e * w[:, i])[:, None]
-                    cells = np.add.reduceat(np.concatenate([every, every * e[:, None], hit, xi * hit], axis=1), first, axis=0)
-                    for u, cell in zip(times, cells):
-                        old = found.get((i, u))
+                for (s, k), part in pdf.groupby(["_set", "_range"]):
+                    w = build(part)
+                    for j in range(m):
+                        on = w[:, j] > 0
+                        if not on.any():
+                            continue
+                        xi, z = scored(part[on], s * m + j)
+                        top = z.max()
+                        r = np.exp(z - top) * w[on, j]
+                        cells = np.concatenate([[r.sum()], r @ xi, ((xi * r[:, None]).T @ xi).ravel()])
+                        old = found.get((s * m + j, k))
                         if old is not None:  # both on the scale of the larger exponent
                             high = max(top, old[0])
-                            both = np.concatenate([cell[:2 * q] * np.exp(top - high) + old[1][:2 * q] * np.exp(old[0] - high),
-                                                   cell[2 * q:] + old[1][2 * q:]])
-                            found[(i, u)] = (high, both)
-                        else:
-                            found[(i, u)] = (top, cell)
+                            top, cells = high, cells * np.exp(top - high) + old[1] * np.exp(old[0] - high)
+                        found[(s * m + j, k)] = (top, cells)
             if found:
-                yield pd.DataFrame({"model": [k[0] for k in found], "time": [k[1] for k in found],
+                yield pd.DataFrame({"model": [k[0] for k in found], "_range": [k[1] for k in found],
                                     "top": [v[0] for v in found.values()], "cells": [v[1] for v in found.values()]})
 
-        parts = data.mapInPandas(per_partition, "model int, time double, top double, cells array<double>")
-        summed = _walked_back(parts, q)
+        per = data.mapInPandas(totals, "model int, _range int, top double, cells array<double>")
+        ahead = _ahead(per)
 
-        def per_time(batches):
+        def inside(part, given):
             import numpy as np
             import pandas as pd
 
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                c = np.stack(pdf["cells"].to_numpy())
-                run, tied, d, seen = c[:, :q], c[:, q:2 * q], c[:, 2 * q], c[:, 2 * q + 1:]
-                at = d > 0
-                run, tied, d, seen, model = run[at], tied[at], d[at], seen[at], pdf["model"].to_numpy()[at]
-                one, two = inverse_sums(d, run[:, 0], tied[:, 0])
-                u = tied[:, 1:1 + p] / tied[:, :1]
-                v = run[:, 1:1 + p] - run[:, :1] * u
-                grad = seen - d[:, None] * u - one[:, None] * v
-                second = tied[:, 1 + p:] / tied[:, :1]
-                square = d[:, None] * second + one[:, None] * (run[:, 1 + p:] - run[:, :1] * second)
-                outer = lambda a, b, k: (k[:, None, None] * a[:, :, None] * b[:, None, :]).reshape(len(k), -1)
-                square = square - outer(u, u, d) - outer(u, v, one) - outer(v, u, one) - outer(v, v, two)
-                cells = np.concatenate([grad, square], axis=1)
-                n = cells.shape[1]
-                yield pd.DataFrame({"model": np.repeat(model, n), "cell": np.tile(np.arange(n), len(model)), "value": cells.ravel()})
-
-        got = summed.mapInPandas(per_time, "model int, cell int, value double").groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()
-        table = np.zeros((m, p + p * p))
+            offsets = {r.model: (r.peak, np.asarray(r.ahead)) for r in given.itertuples(index=False)}
+            out, k = [], int(part["_range"].iloc[0]) if len(part) else 0
+            for s, some in part.groupby("_set"):
+                some = some.sort_values(time, ascending=False, kind="stable")
+                w, t = build(some), some[time].to_numpy()
+                e = (some[event].to_numpy() == 1).astype(float)
+                for j in range(m):
+                    i = s * m + j
+                    if i not in offsets:
+                        continue
+                    peak, run = offsets[i]
+                    total, held, first = np.zeros(p + p * p), None, True
+
+                    def edge(at, cells, run):
+                        out.append((1, i, at, k, np.concatenate([run, cells])))
+
+                    for lo in range(0, len(t), COX_ROWS):
+                        hi = min(lo + COX_ROWS, len(t))
+                        xi, z = scored(some.iloc[lo:hi], i)
+                        r = np.exp(np.minimum(z - peak, 0.0)) * w[lo:hi, j]
+                        every = np.concatenate([r[:, None], xi * r[:, None], (r[:, None, None] * xi[:, :, None] * xi[:, None, :]).reshape(len(r), -1)], axis=1)
+                        hit = (e[lo:hi] * w[lo:hi, j])[:, None]
+                        begin = np.flatnonzero(np.concatenate(([True], t[lo + 1:hi] != t[lo:hi - 1])))
+                        cells = np.add.reduceat(np.concatenate([every, every * e[lo:hi, None], hit, xi * hit], axis=1), begin, axis=0)
+                        times = t[lo:hi][begin]
+                        if held is not None and held[0] == times[0]:
+                            cells[0] += held[1]
+                        elif held is not None:
+                            cells, times = np.concatenate([held[1][None], cells]), np.concatenate([[held[0]], times])
+                        held = times[-1], cells[-1]
+                        times, cells = times[:-1], cells[:-1]
+                        if first and len(times):  # the range's first time may have begun in the one before
+                            edge(times[0], cells[0], run)
+                            run, times, cells, first = run + cells[0, :q], times[1:], cells[1:], False
+                        if len(times):
+                            runs = run + np.cumsum(cells[:, :q], axis=0)
+                            run, at = runs[-1], cells[:, 2 * q] > 0
+                            if at.any():
+                                total += terms(runs[at], cells[at, q:2 * q], cells[at, 2 * q], cells[at, 2 * q + 1:], p).sum(axis=0)
+                    edge(held[0], held[1], run)
+                    out.append((0, i, 0.0, k, total))
+            return pd.DataFrame(out, columns=["kind", "model", "time", "_range", "cells"])
+
+        found = data.groupBy("_range").cogroup(ahead.groupBy("_range")).applyInPandas(
+            inside, "kind int, model int, time double, _range int, cells array<double>")
+
+        def ends(pdf):
+            import numpy as np
+            import pandas as pd
+
+            pdf = pdf.sort_values("_range")
+            c = np.stack(pdf["cells"].to_numpy())
+            here = c[:, q:].sum(axis=0)
+            if here[2 * q] <= 0:
+                return pd.DataFrame({"model": pd.Series([], dtype="int32"), "cells": pd.Series([], dtype=object)})
+            run = c[0, :q] + here[:q]
+            one = terms(run[None], here[None, q:2 * q], here[None, 2 * q], here[None, 2 * q + 1:], p)[0]
+            return pd.DataFrame({"model": [pdf["model"].iloc[0]], "cells": [one]})
+
+        found = cut(found)
+        pieces = found.where("kind = 0").select("model", "cells").union(
+            found.where("kind = 1").groupBy("model", "time").applyInPandas(ends, "model int, cells array<double>"))
+        got = pieces.select("model", F.posexplode("cells").alias("cell", "value")).groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()
+        table = np.zeros((m * count, p + p * p))
         table[got["model"].to_numpy(), got["cell"].to_numpy()] = got["value"].to_numpy()
         worst = 0.0
-        for i in range(m):
+        for i in range(m * count):
             pull = penalizer * size[i]
             step = np.linalg.solve(table[i, p:].reshape(p, p) + (pull + 1e-12) * np.eye(p), table[i, :p] - pull * beta[i])
             beta[i] += step
             worst = max(worst, np.abs(step).max())
         if worst < tol:
-            return LinearFits(tuple(cols), beta, np.zeros(m), scale, np.ones(m, bool))
+            return LinearFits(tuple(cols), beta, np.zeros(m * count), scale, np.ones(m * count, bool))
     raise RuntimeError(f"the fit did not settle: the last step was {worst}")
 
 
-def _walked_back(parts: DataFrame, q: int) -> DataFrame:
-    """Cells per (model, time) on one scale per model; the first ``q`` are running sums from the last time on."""
-    scaled = parts.withColumn("_by", F.exp(F.col("top") - F.max("top").over(Window.partitionBy("model"))))
-    long = scaled.select("model", "time", "_by", F.posexplode("cells").alias("i", "v")).withColumn(
-        "v", F.when(F.col("i") < 2 * q, F.col("v") * F.col("_by")).otherwise(F.col("v")))
-    per = long.groupBy("model", "i", "time").agg(F.sum("v").alias("v"))
-    back = Window.partitionBy("model", "i").orderBy(F.col("time").desc())
-    per = per.withColumn("v", F.when(F.col("i") < q, F.sum("v").over(back)).otherwise(F.col("v")))
-    return per.groupBy("model", "time").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("cells"))
+def _ahead(parts: DataFrame) -> DataFrame:
+    """(_range, model, peak, ahead): sums of the ranges before each one, on the scale of the model's largest exponent; one row per range and model."""
+    peak = parts.groupBy(F.col("model").alias("_m")).agg(F.max("top").alias("peak"))
+    long = parts.join(peak, F.col("model") == F.col("_m")).select("model", "_range", "peak", F.posexplode(F.transform(
+        "cells", lambda c: c * F.exp(F.col("top") - F.col("peak")))).alias("i", "v"))
+    long = long.groupBy("model", "peak", "_range", "i").agg(F.sum("v").alias("v"))
+    w = Window.partitionBy("model", "i").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    long = long.withColumn("v", F.coalesce(F.sum("v").over(w), F.lit(0.0)))
+    return long.groupBy("_range", "model", "peak").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("ahead"))
 
 
 def cox_concordance(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, folds: Sequence[str],
-                    k: int = 5, penalizer: float = 0.5) -> DataFrame:
-    """Concordance of each test fold under the model trained without it: (repeat, fold, concordance)."""
+                    k: int = 5, penalizer: float = 0.5, sets: str | None = None, count: int = 1) -> DataFrame:
+    """Concordance of each test fold under the model trained without it: ([set], repeat, fold, concordance)."""
     from fallpoint.plans.metrics import concordance
 
-    fits = fit_cox(rows, columns, time=time, event=event, member=Membership(tuple(folds), k), penalizer=penalizer)
+    rows = rows.where(F.col(time).isNotNull())
+    m = len(folds) * k
+    fits = fit_cox(rows, columns, time=time, event=event, member=Membership(tuple(folds), k), penalizer=penalizer, sets=sets, count=count)
+    by = ([sets] if sets else []) + ["repeat", "fold"]
+    which = (F.col(sets) * m if sets else F.lit(0)).cast("int")
     out = None
     for r, f in enumerate(folds):
-        sub = LinearFits(fits.columns, fits.beta[r * k:(r + 1) * k], fits.intercept[r * k:(r + 1) * k],
-                         Scaling(*[v[r * k:(r + 1) * k] for v in (fits.scaling.median, fits.scaling.center,
-                                                                  fits.scaling.scale)]), fits.usable)
-        scored = predict_risk(rows, sub, folds=[f], k=k, out="_risk").withColumns(
-            {"repeat": F.lit(r), "fold": F.col(f), "_late": -F.col("_risk")}).select("repeat", "fold", time, event, "_late")
+        scored = predict_risk(rows.withColumn("_model", which + r * k + F.col(f)), fits, folds=["_model"], k=m * count, out="_risk").withColumns(
+            {"repeat": F.lit(r), "fold": F.col(f), "_late": -F.col("_risk")}).select(*by, time, event, "_late")
         out = scored if out is None else out.unionByName(scored)
-    return concordance(out, time=time, event=event, score="_late", by=["repeat", "fold"])
+    return concordance(out, time=time, event=event, score="_late", by=by)
+
+
+def cox_permutation(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, id_col: str, folds: Sequence[str], k: int = 5,
+                    penalizer: float = 0.5, n_permutations: int = 30, seed: int = 0) -> DataFrame:
+    """Mean concordance out of fold against that under shuffled (time, event), everything refitted: all shuffles are label sets of one fit."""
+    from fallpoint.plans.resample import permutation_summary, shuffled
+
+    keep = [*columns, *folds]
+    rows = rows.where(F.col(time).isNotNull()).select(id_col, *keep, F.struct(F.col(time).alias("t"), F.col(event).alias("e")).alias("_label"))
+    mixed = shuffled(rows, id_col=id_col, value="_label", rounds=n_permutations, seed=seed, keep=keep)
+    every = rows.select(F.lit(0).alias("_b"), *keep, "_label").union(mixed.select(F.col("b") + 1, *keep, "shuffled"))
+    every = cut(every.select("_b", *keep, F.col("_label.t").alias(time), F.col("_label.e").alias(event)))
+    got = cox_concordance(every, columns, time=time, event=event, folds=folds, k=k, penalizer=penalizer, sets="_b", count=n_permutations + 1)
+    score = cut(got.groupBy("_b").agg(F.avg("concordance").alias("score")))
+    return permutation_summary(score.where("_b = 0"), score.where("_b > 0"), lower_is_better=False)
 
 
 # ---------------------------------------------------------------- trees and components

@@ -86,6 +86,11 @@ def _(spark, sf):
     return models.cox_concordance(survival_rows(spark, sf), FEATURES, time="time", event="happened", folds=["f0"])
 
 
+@query("j11_cox_permutation")
+def _(spark, sf):
+    return models.cox_permutation(survival_rows(spark, sf), FEATURES, time="time", event="happened", id_col="id", folds=["f0"])
+
+
 @query("j12_components")
 def _(spark, sf):
     m = cut(risk.trajectory_matrix(daily(spark, sf), **KEY, variables=["level", "exposure", "click"]))
