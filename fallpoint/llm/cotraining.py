@@ -26,6 +26,8 @@ BINS = 200
 PSEUDO_WEIGHT = 0.3  # of a row whose label another view gave
 RIDGE = 1.0
 NEWTON = 25
+PRIOR_SHARE = 1e-4  # weight of the prior on a coefficient, as a share of the rows
+FALL = 1e-6  # of the loss, below which a fit is done
 CHUNK = 1 << 20
 HASHED = 24  # columns for each categorical piece of metadata
 
@@ -154,33 +156,63 @@ def newton_pass(views: list[View], givers: list[View] | None):
                 y, w = np.where(sure, (z >= other.high).astype(np.float64), y), np.where(sure, PSEUDO_WEIGHT, w)
             use = w > 0
             d = view.design(xs[k][use])
-            p = 1 / (1 + np.exp(-np.clip(d @ view.beta, -30, 30)))
-            w, y = w[use], y[use]
-            out += [d.T @ (w * (y - p)), ((d.T * (w * p * (1 - p))) @ d).reshape(-1)]
+            out.append(logistic_cells(d, y[use], w[use], view.beta))
         return np.concatenate(out)
 
     return per_batch
 
 
+def logistic_cells(d: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Loss, weight, gradient and Hessian of a weighted logistic regression on some rows; loss and gradient belong to the same logits."""
+    z = d @ beta
+    p = np.exp(-np.logaddexp(0, -z))
+    return np.concatenate([[w @ (np.logaddexp(0, z) - y * z), w.sum()], d.T @ (w * (p - y)), ((d.T * (w * p * (1 - p))) @ d).reshape(-1)])
+
+
+def settled(betas: list[np.ndarray], priors: list[np.ndarray], least: float, evaluate) -> list[np.ndarray]:
+    """Minimise each penalised loss by Newton steps; ``evaluate`` gives the cells of all fits at some betas in one pass.
+
+    Every coefficient, the constant too, is drawn to its prior with a weight of at least ``least`` that grows with the
+    rows, so that separable labels settle after a number of steps that does not depend on the number of rows.  A step
+    that raises the penalised loss is halved; a fit is done when its loss no longer falls by a share of FALL.
+    """
+    betas, prev, last, done = [b.copy() for b in betas], [b.copy() for b in betas], [np.inf] * len(betas), [False] * len(betas)
+    for _ in range(NEWTON):
+        cells, at = evaluate(betas), 0
+        for i, beta in enumerate(betas):
+            s = len(beta)
+            loss, weight, gradient = cells[at], cells[at + 1], cells[at + 2:at + 2 + s]
+            hessian = cells[at + 2 + s:at + 2 + s + s * s].reshape(s, s)
+            at += 2 + s + s * s
+            if done[i]:
+                continue
+            ridge = max(least, PRIOR_SHARE * weight)
+            gap = beta - priors[i]
+            loss += ridge / 2 * (gap @ gap)
+            if loss > last[i] * (1 + 1e-9):
+                betas[i] = (beta + prev[i]) / 2
+            elif last[i] - loss <= FALL * loss:
+                done[i] = True
+            else:
+                step = -np.linalg.solve(hessian + ridge * np.eye(s), gradient + ridge * gap)
+                prev[i], last[i] = beta, loss
+                betas[i] = beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        if all(done):
+            return betas
+    raise RuntimeError("a fit did not settle")
+
+
 def fit_views(rows: DataFrame, views: list[View], givers: list[View] | None) -> None:
-    """Newton steps for both views in one pass each, until neither moves; a step that fails to settle raises."""
-    sizes = [len(v.beta) for v in views]
+    """Both views in the same passes over the rows."""
     data = rows if givers is not None else rows.where("part = 'fit'")
-    for _ in range(NEWTON):
-        cells = as_array(added(data, newton_pass(views, givers), ["content", "meta", "label", "part"]), sum(s + s * s for s in sizes))
-        at, moved = 0, 0.0
-        for view, s in zip(views, sizes):
-            ridge = np.append(np.full(s - 1, RIDGE), 1e-6)
-            gradient = cells[at:at + s] - ridge * view.beta
-            hessian = cells[at + s:at + s + s * s].reshape(s, s) + np.diag(ridge)
-            at += s + s * s
-            step = np.linalg.solve(hessian, gradient)
-            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-            view.beta = view.beta + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-2:
-            return
-    raise RuntimeError("the views did not settle")
+
+    def evaluate(betas: list[np.ndarray]) -> np.ndarray:
+        for view, beta in zip(views, betas):
+            view.beta = beta
+        return as_array(added(data, newton_pass(views, givers), ["content", "meta", "label", "part"]), sum(2 + len(b) + len(b) ** 2 for b in betas))
+
+    for view, beta in zip(views, settled([v.beta for v in views], [np.zeros(len(v.beta)) for v in views], RIDGE, evaluate)):
+        view.beta = beta
 
 
 def set_confidence(rows: DataFrame, views: list[View]) -> None:
@@ -205,39 +237,22 @@ def combine(rows: DataFrame, views: list[View]) -> np.ndarray:
     """Platt scaling of each view and the regression on both, fitted together on the calibration rows.
 
     Returns a 3 x 3 array: a, b and 0 of each view's own scaling, then constant and both weights."""
-    own = [np.array([0.0, 1.0]), np.array([0.0, 1.0])]
-    both = np.array([0.0, 0.5, 0.5])
-
-    def steps(design, n):
-        def per_batch(b: pa.RecordBatch) -> np.ndarray:
-            y = np.array(b.column(2).to_pylist(), dtype=np.float64)
-            z = [v.logit(matrix(b.column(k))) for k, v in enumerate(views)]
-            out = []
-            for d, beta in design(z):
-                p = 1 / (1 + np.exp(-np.clip(d @ beta, -30, 30)))
-                out += [d.T @ (y - p), ((d.T * (p * (1 - p))) @ d).reshape(-1)]
-            return np.concatenate(out)
-
-        return as_array(added(rows.where("part = 'calibrate'"), per_batch, ["content", "meta", "label"]), n)
-
-    def solve(beta, cells, prior):
-        s = len(beta)
-        return beta + np.linalg.solve(cells[s:s + s * s].reshape(s, s) + np.eye(s) * 0.1, cells[:s] - 0.1 * (beta - prior))
-
-    for _ in range(NEWTON):
-        cells = steps(lambda z: [(np.column_stack((np.ones(len(z[0])), z[k])), own[k]) for k in (0, 1)], 12)
-        new = [solve(own[k], cells[6 * k:6 * k + 6], np.array([0.0, 1.0])) for k in (0, 1)]
-        moved = max(np.abs(a - b).max() for a, b in zip(new, own))
-        own = new
-        if moved < 1e-2:
-            break
-    for _ in range(NEWTON):
-        cells = steps(lambda z: [(np.column_stack((np.ones(len(z[0])), *[own[k][0] + own[k][1] * z[k] for k in (0, 1)])), both)], 12)
-        new = solve(both, cells, np.array([0.0, 0.5, 0.5]))
-        moved = np.abs(new - both).max()
-        both = new
-        if moved < 1e-2:
-            break
+    def passes(designs):
+        def evaluate(betas: list[np.ndarray]) -> np.ndarray:
+            def per_batch(b: pa.RecordBatch) -> np.ndarray:
+                y = np.array(b.column(2).to_pylist(), dtype=np.float64)
+                z = [v.logit(matrix(b.column(k))) for k, v in enumerate(views)]
+                return np.concatenate([logistic_cells(d, y, np.ones(len(y)), beta) for d, beta in zip(designs(z), betas)])
+
+            return as_array(added(rows.where("part = 'calibrate'"), per_batch, ["content", "meta", "label"]), sum(2 + len(b) + len(b) ** 2 for b in betas))
+
+        return evaluate
+
+    start = np.array([0.0, 1.0])
+    own = settled([start, start], [start, start], 0.1, passes(lambda z: [np.column_stack((np.ones(len(v)), v)) for v in z]))
+    scaled = passes(lambda z: [np.column_stack((np.ones(len(z[0])), *[own[k][0] + own[k][1] * z[k] for k in (0, 1)]))])
+    start = np.array([0.0, 0.5, 0.5])
+    both = settled([start], [start], 0.1, scaled)[0]
     return np.array([[*own[0], 0.0], [*own[1], 0.0], both])
 
 
