@@ -698,6 +698,17 @@ def _(spark, sf):
     return ci.select(r6("mean"), r6("low"), r6("high"), compare.verdict(F.col("low"), F.col("high")).alias("verdict"))
 
 
+@query("j39_wins_in_groups", with_ctes(detect_sql("ud", "t") | _base_rows | {"e0": """select fx.id, fx.segment, abs(day - g) - abs(day - coalesce(s, g)) as gap
+    from fx join gm on gm.fold = fx.fold left join sm on sm.fold = fx.fold and sm.segment is not distinct from fx.segment"""} | _boot(PAIRED) | {
+    "mm": "select b, segment, sum(times * gap) / sum(times) as m from ct join e0 on e0.id = ct.id group by 1, 2",
+    "ci": "select segment, quantile_cont(m, 0.025) as low from mm group by 1"},
+    "select count(*) filter (where low > 0) as wins, count(*) as groups, count(*) filter (where low > 0) >= 2 as accepted from ci"))
+def _(spark, sf):
+    d = baselines.out_of_fold_medians(_day_rows(spark, sf), value="day", group="segment", fold_col="fold", folds=5)
+    d = d.select("id", "segment", (F.abs(F.col("day") - F.col("global_median")) - F.abs(F.col("day") - F.col("group_median"))).alias("gap"))
+    return compare.wins_in_groups(resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=PAIRED, by="segment"), low="low")
+
+
 @query("j28_error_by_true_day", with_ctes(detect_sql("ud", "t") | _base_rows, """select day, count(*) as n, round(avg(abs(day - g)), 6) as global_error,
     round(avg(abs(day - coalesce(s, g))), 6) as group_error from fx join gm on gm.fold = fx.fold left join sm on sm.fold = fx.fold
     and sm.segment is not distinct from fx.segment group by day"""))
