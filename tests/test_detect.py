@@ -42,40 +42,48 @@ def run(df, **kw):
     return {r["id"]: r for r in detect.detect_shift_batch(df, **ARGS, **kw).collect()}
 
 
-def test_literal_series(long_frame):
-    got = run(long_frame({
-        "clean": [2, 3, 5, 8, 11, 7, 4, 3], "monotone": [0.2 * k for k in range(1, 12)], "flat": [0.7] * 9,
-        "dip": [2, 3, 4, 5, 4.7, 4.5, 6, 7, 8, 9], "rebound": [2, 3, 4, 5, 6, 7, 8, 12, 8, 6, 5, 4, 14, 15],
-        "gap": [2, 3, None, 8, 11, 7, 4, 3], "short": [3, 4], "none": [None, None, None, None],
-        "low": [.002, .003, .005, .003, .002, .001, .0006, .0005, .0005],
-        "forward": [2, 3, 4, 5, 6, 7, 12, 11.4, 10.8, 10.2, 9.6, 9, 8.4, 7.2, 6]}))
-    assert got["clean"]["day"] == 5 and got["clean"]["drop_fraction"] > 0.5
-    assert not got["monotone"]["occurred"] and got["monotone"]["time"] == 11
-    for k in ("flat", "dip"):
-        assert got[k]["reason_code"] == "no_fall"
-    for k in ("rebound", "gap", "low"):
-        assert got[k]["occurred"]
-    assert got["short"]["reason_code"] == "too_short" and got["none"]["reason_code"] == "no_data"
-    assert got["forward"]["day"] == 7
+def course(up, down, rate=1.5, fall=0.7, start=1.0):
+    """``up`` days of growth by ``rate``, then ``down`` days of fall by ``fall``: the top is day ``up``."""
+    rise = [start * rate ** i for i in range(up)]
+    return rise + [rise[-1] * fall ** (j + 1) for j in range(down)]
+
+
+def spike_and_slow_fall(days=12):
+    """A jump to day 7 with a slow fall after it: the raw top is day 7, the smoothed one day 8."""
+    return course(6, 0, rate=1.1) + [3 * 0.95 ** j for j in range(days)]
+
+
+def test_series_of_known_course(long_frame):
+    shallow = course(5, 3, fall=0.9)  # less than the threshold, and overtaken later
+    holed = course(6, 5)
+    holed[2] = None
+    series = {"clean": course(6, 5), "rising": course(9, 0), "level": [4.0] * 7, "overtaken": shallow + course(4, 0, start=shallow[-1] * 1.6),
+              "second": shallow + course(4, 4, rate=1.6, start=shallow[-1] * 1.6) + [100.0], "holed": holed, "short": course(2, 0),
+              "empty": [None] * 5, "tiny": [v / 1000 for v in course(6, 5)], "spike": spike_and_slow_fall()}
+    got = run(long_frame(series))
+    assert {k for k, r in got.items() if r["occurred"]} == {"clean", "second", "holed", "tiny", "spike"}
+    assert {k: got[k]["day"] for k in ("clean", "second", "holed", "tiny", "spike")} == {"clean": 6, "second": 12, "holed": 6, "tiny": 6, "spike": 7}
+    assert 0.5 < got["clean"]["drop_fraction"] < 0.9 and abs(got["clean"]["drop_fraction"] - got["tiny"]["drop_fraction"]) < 1e-12
+    assert got["rising"]["time"] == 9 and got["level"]["time"] == 7
+    assert [got[k]["reason_code"] for k in ("level", "overtaken", "short", "empty")] == ["no_fall", "no_fall", "too_short", "no_data"]
 
 
 def test_options(long_frame):
-    base = long_frame({"a": [2, 3, 4, 5, 4.9, 4.8, 4.7, 4.5]})
-    assert not run(base, drop_threshold=0.5)["a"]["occurred"] and run(base, drop_threshold=0.04)["a"]["occurred"]
-    low = long_frame({"a": [.002, .003, .005, .003, .002, .001, .0006, .0005, .0005]})
-    assert not run(low, min_peak=0.02)["a"]["occurred"]
-    assert run(long_frame({"a": [2, 5, 5, 5, 3, 2, 1, .8]}), smooth_window=1)["a"]["day"] == 4
-    strict = long_frame({"a": [2, 3, 4, 6, 3, 5.5, 6.5, 7.5, 8.5, 9.5]})
-    assert run(strict, smooth_window=1, n_consecutive=1)["a"]["occurred"]
-    assert not run(strict, smooth_window=1, n_consecutive=3)["a"]["occurred"]
-    fwd = long_frame({"a": [2, 3, 4, 5, 6, 7, 12, 11.4, 10.8, 10.2, 9.6, 9, 8.4, 7.2, 6]})
-    assert run(fwd, refine_peak=False)["a"]["day"] == 8
-    early = run(long_frame({"a": [6, 10, 7, 4, 3, 2, 1.6, 1.3]}), min_day=6)["a"]
+    gentle = long_frame({"a": course(5, 5, fall=0.93)})
+    assert not run(gentle, drop_threshold=0.5)["a"]["occurred"] and run(gentle, drop_threshold=0.1)["a"]["occurred"]
+    assert not run(long_frame({"a": [v / 1000 for v in course(6, 5)]}), min_peak=0.02)["a"]["occurred"]
+    assert run(long_frame({"a": course(4, 4)}), smooth_window=1)["a"]["day"] == 4
+    dent = course(5, 1, fall=0.4)
+    dent = long_frame({"a": dent + course(5, 0, start=dent[-1] * 1.5)})
+    assert run(dent, smooth_window=1, n_consecutive=1)["a"]["day"] == 5
+    assert not run(dent, smooth_window=1, n_consecutive=3)["a"]["occurred"]
+    assert run(long_frame({"a": spike_and_slow_fall()}), refine_peak=False)["a"]["day"] == 8
+    early = run(long_frame({"a": course(2, 7)}), min_day=6)["a"]
     assert not early["occurred"] and early["drop_fraction"] is not None and "min_day=6" in early["reason"]
 
 
 def test_days_far_out(long_frame):
-    far = run(long_frame({"a": [2, 3, 5, 8, 11, 7, 4, 3]}, {"a": range(150_001, 150_009)}))["a"]
+    far = run(long_frame({"a": course(5, 4)}, {"a": range(150_001, 150_010)}))["a"]
     assert far["occurred"] and far["day"] == 150_005
 
 
