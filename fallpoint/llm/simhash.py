@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,51 +119,45 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return groups.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-WIDE = 5  # differing bits of a candidate in the wider search
 SHINGLE, SIMILARITY = 5, 0.8
 
 
-def wider_candidates(prints: DataFrame, rounds: int = 2) -> DataFrame:
-    """Pairs (fp, other) that differ in at most five bits, out of ``prints`` (fp, each once).
-
-    Of two fingerprints within five bits one half differs in at most two, so both halves' balls of
-    radius one share a value.  In each such bucket fingerprints are held against its leader alone, the
-    first in a hashed order that is drawn anew each round: candidates grow with the fingerprints, not
-    with the pairs of a large group, and links between two followers may be missed.  Where no link may be
-    missed, as in ``near_representatives``, use ``similar_links``.
-    """
-    low, high = F.col("fp").bitwiseAND(F.lit(MASK)), F.shiftrightunsigned("fp", 32)
-    halves = prints.select("fp", F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("side"), low.alias("half")),
-                                                  F.struct(F.lit(1).cast("byte").alias("side"), high.alias("half")))).alias("h"))
-    half = F.col("h.half")
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: half.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
-    filed = halves.select("fp", "h.side", F.explode(F.concat(F.array(half), flips)).alias("value"))
-    bucket = Window.partitionBy("side", "value")
-    leader = lambda k: F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp")).over(bucket)["fp"]
-    led = filed.select("fp", F.array(*map(leader, range(rounds))).alias("leaders")).where(F.exists("leaders", lambda x: x != F.col("fp")))
-    pairs = led.select("fp", F.explode("leaders").alias("other")).where("fp <> other")
-    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE).distinct()
+BLOCK = 65_536  # words that are hashed at once
 
 
 def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; fewer words than a shingle make one of all."""
+    """Sorted distinct hashes of a text's shingles; fewer words than a shingle make one of all.  Beside the words a long text takes the hashes of one block."""
     from xxhash import xxh64_intdigest
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxh64_intdigest(joined)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    found = {xxh64_intdigest(joined[a:b]) for a, b in zip(starts[:len(parts) - words + 1].tolist(), ends[words - 1:].tolist())}
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+    n = max(1, len(parts) - words + 1)
+    out = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, BLOCK):
+        some = parts[at:at + BLOCK + words - 1]
+        m = min(BLOCK, n - at)
+        joined = b" ".join(some)
+        ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[:m].tolist()
+        stops = ends[words - 1:].tolist() if len(some) >= words else [len(joined)]
+        out[at:at + m] = np.fromiter((xxh64_intdigest(joined[x:y]) for x, y in zip(starts, stops)), dtype=np.uint64, count=m)
+    return np.unique(out)
+
+
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts have about ``most`` bytes; a longer text is a piece of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = np.cumsum(sizes) // most
+    cuts = [0, *(np.nonzero(np.diff(piece))[0] + 1).tolist(), batch.num_rows]
+    for x, y in zip(cuts, cuts[1:]):
+        if y > x:
+            yield batch.slice(x, y - x)
 
 
 PLACES = 1 << 22  # bits by which a scan tells most texts that are not wanted
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """item, fp and the text's shingles as little-endian 64-bit numbers, of ``texts`` (_sha, text) that are in ``wanted`` (item, fp, _sha).
+    """item, fp and the text's shingles as an array of longs, of ``texts`` (_sha, text) that are in ``wanted`` (item, fp, _sha).
 
     The tasks that read the texts leave out most others by a table of ``PLACES`` bits, so that few sets are
     shuffled; the join leaves out the rest.
@@ -176,13 +171,13 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = SHINGLE) -> D
         asked = np.unpackbits(shipped.value).astype(bool)
         for b in batches:
             some = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
-            for k in range(0, some.num_rows, 500):
-                part = some.slice(k, 500)
-                sets = [shingles(t.as_py(), words).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["_sha", "shingles"])
+            for part in slices(some, 1):
+                sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets))], names=["_sha", "shingles"])
 
     place = F.pmod(F.xxhash64("_sha"), F.lit(PLACES)).alias("place")
-    found = texts.select("_sha", text_of("text"), place).mapInArrow(run, "_sha string, shingles binary")
+    found = texts.select("_sha", text_of("text"), place).mapInArrow(run, "_sha string, shingles array<long>")
     return found.join(wanted, "_sha").dropDuplicates(["_sha"]).select("item", "fp", "shingles")
 
 
@@ -212,7 +207,7 @@ def prefixes(texts: DataFrame, hot: np.ndarray, least: float = SIMILARITY) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shipped.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             tokens, sizes, taken = [np.zeros(0, np.uint64)], [], []
             for t in b.column(1):
                 x = shingles(t.as_py())
@@ -228,22 +223,15 @@ def prefixes(texts: DataFrame, hot: np.ndarray, least: float = SIMILARITY) -> Da
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Fingerprints (a, b) of the pairs (item, other) whose sets of shingles overlap in at least that share of their union."""
+    """Fingerprints (a, b) of the pairs (item, other) whose sets of shingles overlap in at least that share of their union.
+
+    The sets meet in Spark's own rows, one pair at a time, so no batch of pairs is held."""
     mine = sets.select("item", F.col("fp").alias("a"), "shingles")
     theirs = sets.select(F.col("item").alias("other"), F.col("fp").alias("b"), F.col("shingles").alias("shingles_b"))
     both = pairs.join(mine, "item").join(theirs, "other")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common >= least * (len(x) + len(y) - common))
-            kept = b.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    return both.select("a", "b", "shingles", "shingles_b").mapInArrow(run, "a long, b long")
+    common = F.size(F.array_intersect("shingles", "shingles_b"))
+    counted = both.select("a", "b", common.alias("common"), (F.size("shingles") + F.size("shingles_b")).alias("sizes"))
+    return counted.where(F.col("common") >= F.lit(least) * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 def likely(matches: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -160,15 +160,6 @@ def test_wider_search_links_similar_texts_only(spark):
     assert len(kept) <= 48 and kept < narrow and len(narrow) >= 60
 
 
-def test_wider_candidates_against_all_pairs(spark):
-    rng = random.Random(11)
-    prints = {rng.getrandbits(63) for _ in range(40)}
-    prints |= {x ^ sum(1 << b for b in rng.sample(range(63), 5)) for x in list(prints)}
-    got = {tuple(sorted((r["fp"], r["other"]))) for r in simhash.wider_candidates(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()}
-    want = {tuple(sorted((x, y))) for x in prints for y in prints if 0 < (x ^ y).bit_count() <= 5}
-    assert got == want  # pairs stand alone here, so every bucket's leader is one of the two
-
-
 def test_bpe_round_trip(odd, empty):
     from tokenizers import Tokenizer
 
