@@ -91,13 +91,13 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 def read_chats(formatted: DataFrame, formatted_col: str = "formatted", spans_col: str = "loss_spans") -> DataFrame:
     """Read formatted strings back: adds turns array<struct<role, text>> and loss_text (unescaped, nothing between).
 
-    A null string gives null turns; all other columns stay.
+    A null string gives null turns; roles and texts may have any length; all other columns stay.
     """
     blocks = F.split(F.col(formatted_col), "\n(?=### )|\n\\z", -1)
 
     def messages(b: Column) -> Column:
-        # The colon that ends a header is the first one without a backslash before it.
-        role = F.regexp_extract(b, r"(?s)^### ((?:[^\\:]|\\.)*): ", 1)
+        # The colon that ends a header is the first one without a backslash before it.  Possessive, so that no role is too long for the stack.
+        role = F.regexp_extract(b, r"(?s)^### ((?:[^\\:]++|\\.)*+): ", 1)
         body = F.substring(b, F.length(role) + len(OPEN) + len(COLON) + 1, F.length(b))
         parts = F.split(body, CLOSE, -1)
         return F.transform(F.slice(parts, 1, F.size(parts) - 1),

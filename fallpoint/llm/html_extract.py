@@ -8,6 +8,7 @@ path does not occur falls back to its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ads
                         "masthead modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related "
                         "reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
                         "topbar trackback widget".split())
+# Words that turn a mark into a statement about the whole (``with-sidebar``), and last words that name a whole page (``social-page``).
+STATES = frozenset("enable enabled has hide is no show with without".split())
+WHOLES = frozenset("layout main page site".split())
 HINTS = frozenset("article body content entry main page post story text".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -49,28 +53,65 @@ class Page:
     """Elements and text blocks of one page, in page order."""
 
     def __init__(self, html: str):
-        self.parent, self.name, self.tag, self.drop, self.hint = [-1], [""], ["body"], [False], [False]
+        self.parent, self.tag, self.hint, self.hard, self.soft = [-1], ["body"], [False], [False], [False]
+        self.path, self.own = [""], [0]  # digest of the generalised path; innermost container, itself included
+        self.near, self.article, self.shows, self.shade = [0], [False], [0], [False]  # innermost marked element; inside an article; what a marked one holds; inside a marked article
         self.blocks: list[tuple[int, str, int]] = []
         self.read(html)
+        self.drop = self.settle()
+        self.blocks = [b for b in self.blocks if not self.drop[b[0]]]
 
-    def traits(self, tag: str, attributes: str, parent: int) -> tuple[str, bool, bool]:
-        """Generalised name, whether the subtree is dropped, whether it hints at an article."""
+    def traits(self, tag: str, attributes: str, parent: int) -> tuple[str, bool, bool, bool]:
+        """Generalised name, whether the subtree is dropped, whether it is marked as not the article, whether it hints at one."""
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         classes = found.get("class", "").split()
         name = f"{tag}.{NUMBER.sub('#', classes[0])}" if classes else tag
-        words = {w.lower() for k in ("class", "id", "role") if k in found for w in WORD.findall(found[k])}
-        drop = tag in DROPPED or tag == "header" and not self.within(parent, ("article", "main"))
-        if tag not in ("html", "body", "article", "main", "h1"):
-            drop = drop or not words.isdisjoint(BOILERPLATE)
+        words, marked = set(), False
+        for token in " ".join(found[k] for k in ("class", "id", "role") if k in found).split():
+            said = [w.lower() for w in WORD.findall(token)]
+            words.update(said)
+            whole = said and (said[0] in STATES or len(said) > 1 and said[-1] in WHOLES)
+            marked = marked or not whole and not BOILERPLATE.isdisjoint(said)
+        drop = tag in DROPPED and tag != "form" or tag == "header" and not self.article[parent]
         drop = drop or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        return name, drop or self.drop[parent], tag in ("article", "main") or not words.isdisjoint(HINTS)
-
-    def within(self, at: int, tags: tuple[str, ...]) -> bool:
-        while at > 0:
-            if self.tag[at] in tags:
-                return True
-            at = self.parent[at]
-        return False
+        return name, drop or self.hard[parent], marked or tag == "form", tag in ("article", "main") or not words.isdisjoint(HINTS)
+
+    def open(self, tag: str, attributes: str, parent: int) -> None:
+        """One more element."""
+        name, hard, marked, hint = self.traits(tag, attributes, parent)
+        exempt = tag in ("html", "body", "article", "main", "h1")
+        hard = hard or marked and not exempt and tag in INLINE
+        soft = marked and not exempt and not hard
+        k = len(self.tag)
+        near = k if soft else self.near[parent]
+        shade = not soft and (marked or self.shade[parent])
+        if near != k and not shade and not hard:
+            self.shows[near] = max(self.shows[near], 2 if tag in ("article", "main", "h1") else hint and tag in CONTAINERS)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.hint.append(hint)
+        self.hard.append(hard)
+        self.soft.append(soft)
+        self.near.append(near)
+        self.shows.append(0)
+        self.shade.append(shade)
+        self.article.append(self.article[parent] or tag in ("article", "main"))
+        self.own.append(k if tag in CONTAINERS else self.own[parent])
+        self.path.append(self.path[parent] if tag == "body" else hashlib.blake2b(f"{self.path[parent]}>{name}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest())
+
+    def settle(self) -> list[bool]:
+        """Which elements are dropped.  A marked one stays if it is what holds the article: more text outside links, that of marked ones in it
+        not counted, than all that stays so far, and an article or main heading; or an element that hints at one where nothing else stays.
+        What is marked around it loses its own text only."""
+        worth = [0] * len(self.tag)
+        for at, text, linked in self.blocks:
+            worth[self.near[at]] += max(0, len(text) - linked)
+        stays, held = worth[0], [True] * len(self.tag)
+        for k in range(1, len(held)):
+            if self.soft[k]:
+                held[k] = worth[k] > stays and (self.shows[k] == 2 or self.shows[k] == 1 and stays == 0)
+                stays += worth[k] if held[k] else 0
+        return [hard or not held[near] for hard, near in zip(self.hard, self.near)]
 
     def read(self, html: str) -> None:
         stack = [0]
@@ -82,7 +123,7 @@ class Page:
 
         def say(data: str) -> None:
             nonlocal linked
-            if data and not self.drop[stack[-1]]:
+            if data and not self.hard[stack[-1]]:
                 data = entities.unescape(data) if "&" in data else data
                 text.append(data)
                 linked += len(data) if depth_a else 0
@@ -162,39 +203,21 @@ class Page:
                     shut = html.find(">", stop)
                     at = len(html) if shut < 0 else shut + 1
                 continue
-            kind, drop, hint = self.traits(tag, attributes, stack[-1])
-            self.parent.append(stack[-1])
-            self.name.append("" if tag == "body" else kind)
-            self.tag.append(tag)
-            self.drop.append(drop)
-            self.hint.append(hint)
+            self.open(tag, attributes, stack[-1])
             stack.append(len(self.tag) - 1)
             depth_a += tag == "a"
         end_block()
 
-    def container(self, at: int) -> int:
-        while at > 0 and self.tag[at] not in CONTAINERS:
-            at = self.parent[at]
-        return at
-
-    def path(self, at: int) -> str:
-        names = []
-        while at > 0:
-            if self.name[at]:
-                names.append(self.name[at])
-            at = self.parent[at]
-        return ">".join(reversed(names))
-
     def best(self) -> tuple[int, float]:
         """The container with the highest score: characters outside links of its own blocks, half of those one container
         further in, weighed up where its name hints at an article.  The first one wins a tie."""
         score: dict[int, float] = {}
         for at, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked)
-            own = self.container(at)
+            own = self.own[at]
             score[own] = score.get(own, 0.0) + worth
             if own > 0:
-                out = self.container(self.parent[own])
+                out = self.own[self.parent[own]]
                 score[out] = score.get(out, 0.0) + 0.5 * worth
         best, most = 0, 0.0
         for at in sorted(score):
@@ -205,7 +228,7 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """Blocks inside the containers at that path, or inside the page's own best container."""
-        roots = {k for k in range(len(self.tag)) if self.tag[k] in CONTAINERS and not self.drop[k] and self.path(k) == path} if path is not None else set()
+        roots = {k for k in range(len(self.tag)) if self.tag[k] in CONTAINERS and not self.drop[k] and self.path[k] == path} if path is not None else set()
         lines = self.inside(roots)
         return "\n".join(lines if lines else self.inside({self.best()[0]}))
 
@@ -226,7 +249,7 @@ def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(data.as_py())
             at, score = page.best()
             if score > 0:
-                rows.append((host, page.path(at), score))
+                rows.append((host, page.path[at], score))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 3, VOTES)], schema=VOTES)
 
 
@@ -236,7 +259,7 @@ def host_of(url: str | Column) -> Column:
 
 
 def consensus_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the container path that most pages of a host vote for; ties go to the higher total score, then to the
+    """host, path: digest of the container path that most pages of a host vote for; ties go to the higher total score, then to the
     lesser path.  Pages without text do not vote."""
     votes = pages.select(host_of(url_col).alias("host"), text_of(html_col).alias("html")).mapInArrow(vote, "host string, path string, score double")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score").cast("long")).alias("score"))
@@ -249,7 +272,8 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left
     out, character references decoded, white space inside a block made one space, blocks joined by one
     line feed.  Pages without a host share one vote.  Repeated rows each give a row; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Pages may be of any length and nested to any depth: an element takes a
+    fixed time and place, whatever its depth.
     """
     prepared(pages)
     # Written first, so that its size is known: Spark broadcasts it below its threshold and else joins by host.
