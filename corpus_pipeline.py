@@ -4,6 +4,7 @@
 
 A stage takes (spark, docs, sf_dir) and gives documents of the same columns, the last one the
 pieces of packed sequences.  Its result is written as Parquet and read again as the next one's input.
+Columns beyond those of documents are left out by every stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,30 +29,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are too far from every language: null texts, texts without letters, other scripts.
 
-    The languages are learnt from the documents' own ``lang``; without any nothing can be told and all go."""
+    The languages are learnt from the documents' own ``lang``; without any nothing can be told and all go.  Null ids and
+    repeated rows stay as they are."""
     model = fit(docs)
     return identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each text; of rows repeated with id and text one stays."""
+    """Keeps the smallest id of each text; of rows repeated with id and text one stays.  A null text counts as empty."""
     kept = exact_dedup(docs).where("kept")
     stays = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"), F.col("text_sha256").alias("_sha"))
     return only_rows(docs.select(*COLUMNS), stays)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies."""
+    """Keeps the smallest id of each group of near copies, a null id only where there is no other; of rows repeated with id and text one stays.
+
+    Null and empty texts are one text."""
     return near_representatives(docs).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data; n_chars follows the new text."""
+    """Replaces personal data; n_chars follows the new text.  Null and empty texts, null ids and repeated rows stay."""
     return pseudonymise(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, with the CRC-32 of their ids."""
+    """Pieces of packed sequences, with the CRC-32 of their ids.  A null or empty text is its end id alone; repeated rows are packed each."""
     return pack(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
