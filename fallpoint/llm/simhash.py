@@ -111,8 +111,8 @@ def near_groups(prints: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, fingerprint (16 lower-case hex digits), component_id.
 
-    Null and empty texts have fingerprint zero and are linked like any other; an empty table gives no rows;
-    other columns are ignored.
+    Null and empty texts have fingerprint zero and are linked like any other; repeated rows each give a row; an empty
+    table gives no rows; other columns are ignored.  A text is hashed whole by the task that reads it, however long.
     """
     groups = near_groups(fingerprints(docs, id_col, text_col, words))
     hexed: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
