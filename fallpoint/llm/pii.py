@@ -23,13 +23,17 @@ SECRET_WORDS = "api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd|auth
 MALE = ("Mr", "Herr", "Herrn", "Sr", "Señor", "Monsieur", "господин", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "госпожа", "г-жа")
 NEUTRAL = ("Dr", "Prof")
+# Small words inside family names.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "zu", "bin", "ibn", "al", "el", "y", "e")
+#: One word of a name: McDonald, Anne-Marie, O'Neil, D’Arcy; an initial only before a further word.
+NAME_WORD = r"(?:\p{Lu}\.(?= \p{L})|\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+)"
 
 #: Kind -> pattern, tried in this order at each place.  No pattern holds a capturing group.
 KINDS: dict[str, str] = {
     "secret": rf"(?i:\b(?:{SECRET_WORDS})\b[\"']?\s{{0,3}}[:=]\s{{0,3}}(?:\"[^\"\n]{{6,}}+\"|'[^'\n]{{6,}}+'|[A-Za-z0-9_\-+/=.]{{8,}}+))"
               r"|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"
               r"|(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
     "mac": r"(?<![\p{L}\p{N}:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\p{L}\p{N}:])",
     # Eight groups, or fewer with one gap and a digit: words around a double colon are names in program text.
@@ -43,7 +47,7 @@ KINDS: dict[str, str] = {
              r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
              r"|0[1-9](?:[ .-][0-9]{2}){4}|(?:0[1-9][0-9]{1,4}[ /-]|\(0[1-9][0-9]{0,4}\) ?)[0-9]{3,8}(?:[ -][0-9]{2,6}){0,3})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.-])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![\p{L}\p{N}])",
-    "name": rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? {NAME_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )*+{NAME_WORD})*+",
 }
 PATTERN = "|".join(KINDS.values())
 #: Forms of address of which no other one is the beginning.
@@ -150,12 +154,21 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.filter(d, lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + x)
 
 
+def mod_97(account: Column) -> Column:
+    """An account number as the check of its country takes it: the first four characters last, letters as 10 to 35."""
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, F.lit(1), F.lit(4)))
+    code = F.filter(F.transform(F.split(moved, ""), lambda c: F.when(c != "", F.ascii(c))), lambda c: c.isNotNull())
+    return F.aggregate(code, F.lit(0), lambda a, c: F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97))
+
+
 def invented_name(norm: Column, seed: Column) -> Column:
-    """A given name with an ending of its gender, and a family name that hangs on the family name alone."""
+    """As many words as the name has: given names with an ending of its gender, and a family name that hangs on the family
+    name alone.  Initials stay initials, particles stay."""
     words = F.split(F.substring(norm, F.lit(3), F.length(norm)), " ")
     sex = F.substring(norm, F.lit(1), F.lit(1))
+    attempt = F.substring_index(seed, "|", -1)
     family_seed = F.concat(F.split(seed, "\\|", 2)[0], F.lit("|family|"), F.element_at(words, -1),
-                           F.when(F.size(words) == 1, F.concat(F.lit("|"), F.substring_index(seed, "|", -1))).otherwise(""))
+                           F.when((F.size(words) == 1) & (attempt != "0"), F.concat(F.lit("|"), attempt)).otherwise(""))
 
     def spoken(script: str) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
@@ -167,7 +180,12 @@ def invented_name(norm: Column, seed: Column) -> Column:
                          "mf", F.when(sex == "n", F.get(F.array(*map(F.lit, ENDINGS[script]["n"])), F.get(b, F.lit(7)) % 2)))
             return F.concat(say(b, 3), end)
 
-        return F.when(F.size(words) == 1, family).otherwise(F.concat(bound(noise(seed, F.lit(8)), given), F.lit(" "), family))
+        def word(w: Column, i: Column) -> Column:
+            own = F.concat(seed, F.when(i == 0, "").otherwise(F.concat(F.lit("|"), i.cast("string"))))
+            initial = bound(noise(own, F.lit(8)), lambda b: F.concat(F.upper(F.substring(F.get(syllables, F.get(b, F.lit(0)) % len(SYLLABLES[script])), 1, 1)), F.lit(".")))
+            return F.when(w.isin(*PARTICLES), w).when(w.endswith("."), initial).otherwise(bound(noise(own, F.lit(8)), given))
+
+        return F.array_join(F.concat(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), word), F.array(family)), " ")
 
     return F.when(norm.rlike(r"[\u0400-\u04ff]"), spoken("Cyrillic")).otherwise(spoken("Latin"))
 
@@ -187,7 +205,13 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     check = (F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.when(luhn_sum(norm) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
-    iban = F.concat(F.substring(norm, F.lit(1), F.lit(2)), redrawn(F.substring(norm, F.lit(3), F.length(norm)), seed))
+    land = F.substring(norm, F.lit(1), F.lit(2))
+
+    def checked(rest: Column) -> Column:
+        digits = F.lpad((98 - mod_97(F.concat(land, F.lit("00"), F.substring(rest, F.lit(3), F.length(rest))))).cast("string"), 2, "0")
+        return F.concat(land, F.when(mod_97(norm) == 1, digits).otherwise(F.substring(rest, F.lit(1), F.lit(2))), F.substring(rest, F.lit(3), F.length(rest)))
+
+    iban = bound(redrawn(F.substring(norm, F.lit(3), F.length(norm)), seed), checked)
     hexadecimal = kind.isin("mac", "ipv6") | (kind == "secret") & norm.rlike("^[0-9a-f]+$")
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "iban", iban).when(kind == "name", invented_name(norm, seed)).otherwise(redrawn(norm, seed, hexadecimal)))
@@ -204,7 +228,7 @@ def in_format(kind: Column, entity: Column, made: Column) -> Column:
     secret = F.concat(F.regexp_extract(entity, SECRET_HEAD, 1), F.when(large(value) & value.rlike("^[0-9A-F]+$"), F.upper(made)).otherwise(made),
                       F.regexp_extract(entity, SECRET_HEAD, 3))
     return (F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "secret", secret)
-            .when(kind == "name", F.concat(F.regexp_extract(entity, TITLE, 1), made))
+            .when(kind == "name", F.concat(F.regexp_extract(entity, TITLE, 1), F.when(large(F.regexp_extract(entity, TITLE, 2)) & (F.length(F.regexp_extract(entity, TITLE, 2)) > 1), F.upper(made)).otherwise(made)))
             .when(kind == "mac", F.when(large(entity), F.upper(F.replace(made, F.lit(":"), F.substring(entity, 3, 1)))).otherwise(F.replace(made, F.lit(":"), F.substring(entity, 3, 1))))
             .when(large(entity), F.upper(made)).otherwise(made))
 
@@ -241,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """All rows and columns with personal data in the text replaced; ``count_col`` adds the number of replacements.
 
     The same entity becomes the same surrogate in every row, whatever its spelling, and different
-    entities different ones.  Null and empty texts stay; rows repeated with the same id and text get
+    entities different ones.  Texts, addresses and names of any length are read whole.  Null and empty texts stay; rows repeated with the same id and text get
     the same result; ids may be null or repeated with other texts.  An empty table gives no rows.
     ``text_col`` must be a column; all others pass through untouched, whatever their names.
     """

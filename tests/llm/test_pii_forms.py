@@ -51,3 +51,48 @@ def test_no_more_than_that(out):
 def test_spellings_of_an_address_are_one(out):
     first, second, third = out["spelt"][0].split()
     assert first == second.lower() != third and out["spelt"][1] == 3
+
+
+NAMES = ["Mr. John Paul Smith", "Mrs. Anne-Marie Lee", "Dr. O'Neil", "Mr. McDonald", "Prof. J. R. R. Tolkien", "Herr Ludwig van der Berg", "Ms SMITH-JONES", "Mr. Émile D’Arcy"]
+
+
+def made_of(spark, texts):
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", id_col="k", count_col="n").collect()
+    return [(r["text"], r["n"]) for r in sorted(got)]
+
+
+def test_whole_names(spark):
+    title = re.compile(r"^(?:Mrs|Ms|Mr|Dr|Prof|Herr)\.? ")
+    for name, (new, n) in zip(NAMES, made_of(spark, [f"then {x} came" for x in NAMES])):
+        head = title.match(name).group(0)
+        assert n == 1 and new.startswith(f"then {head}") and new.endswith(" came")
+        rest = new[5 + len(head):-5].split(" ")
+        assert len(rest) == len(name[len(head):].split(" "))
+        for word, own in zip(rest, name[len(head):].split(" ")):
+            assert (word == own) == (own in pii.PARTICLES) or own.endswith(".") and word.endswith(".")
+            assert own == own.lower() or word[0].isupper()
+
+
+def test_one_person_written_twice(spark):
+    (new, n), = made_of(spark, ["Mr. McDonald, Mr. Mcdonald, Mr. McAllister and Mr. Ian McAllister"])
+    a, b, c, d = re.findall(r"Mr\. ([A-Z][a-z]+(?: [A-Z][a-z]+)?)", new)
+    assert n == 4 and a == b and c != a and d.split(" ")[1] == c
+
+
+def test_addresses_of_any_length(spark):
+    long = ["a" * 70 + "@b.org", "x@" + "c" * 80 + ".org", "x@" + ".".join(["d"] * 500) + ".org", "e" * 100_000 + "@f.org"]
+    for address, (new, n) in zip(long, made_of(spark, [f"to {x}." for x in long])):
+        assert n == 1 and address.split("@")[0] + "@" not in new.replace("x@", "") and new.endswith(".example.") and len(new.split("@")[0]) == 3 + len(address.split("@")[0])
+
+
+def valid(account):
+    account = re.sub(" ", "", account)
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def test_account_numbers_keep_their_check(spark):
+    good = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+    for account, (new, n) in zip(good, made_of(spark, [f"pay {x} now" for x in good])):
+        assert n == 1 and valid(account) and valid(new[4:-4]) and new[4:-4] != account and [c == " " for c in new[4:-4]] == [c == " " for c in account]
+    (new, n), = made_of(spark, ["pay DE88370400440532013000 now"])
+    assert n == 1 and "370400440532013000" not in new
