@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 def cut(data: DataFrame) -> DataFrame:
     """Write to the folder named by ``spark.checkpoint.dir`` and read back.
 
-    Only where a session names none (single-machine tests) a temporary one is set.
+    Only where a session on a single machine names none a temporary one is set; a cluster must name one.
     """
     spark = data.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     path = f"{named.rstrip('/')}/cut-{uuid.uuid4().hex}"

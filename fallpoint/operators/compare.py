@@ -29,11 +29,13 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def require_match(left: DataFrame, right: DataFrame, keys: Sequence[str], show: int = 20) -> DataFrame:
-    """The joined rows, or :class:`OrphanRows` naming keys found on one side only."""
+    """The joined rows, or :class:`OrphanRows` with the number of keys found on one side only and the first ``show`` of them."""
     both = matched(left, right, keys)
-    bad = both.where(F.col("match") != "both").select(*keys, "match").limit(show).collect()
-    if bad:
-        raise OrphanRows("; ".join(f"{[r[k] for k in keys]} {r['match']}" for r in bad))
+    single = both.where(F.col("match") != "both").select(*keys, "match")
+    count = single.count()
+    if count:
+        bad = single.orderBy(*keys, "match").limit(show).collect()
+        raise OrphanRows(f"{count} keys on one side only: " + "; ".join(f"{[r[k] for k in keys]} {r['match']}" for r in bad))
     return both.drop("match")
 
 
