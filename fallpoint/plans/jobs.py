@@ -231,11 +231,12 @@ def fit_on_folds(window: DataFrame, kin: panel.Kinetics, *, id_col: str, fold: s
 
 
 def score_profiles(window: DataFrame, fits: panel.PanelFits, kin: panel.Kinetics, *, id_col: str, fold: str = "fold",
-                   form: DataFrame | None = None, name: str = "model") -> DataFrame:
+                   form: DataFrame | None = None, frozen: str | None = None, name: str = "model") -> DataFrame:
     """Per series: profile error, two-day error and simulated event day under one model.
 
-    ``window`` carries the switch in ``kin.state``; ``form`` (fold, half, floor) holds the
-    consumption form per fold.
+    ``window`` carries the switch in ``kin.state``; ``form`` (fold, variant, half, floor) holds the
+    consumption form per fold.  ``frozen`` names the switch without the measures of its own day: ``rmse2_frozen`` is the
+    two-day error whose second step takes it, NULL without.
     """
     spark = window.sparkSession
     rows, half, floor = window, None, None
@@ -246,6 +247,10 @@ def score_profiles(window: DataFrame, fits: panel.PanelFits, kin: panel.Kinetics
         choose = [r["variant"] for r in form.orderBy(fold).collect()]
     inter = panel.interval_columns(rows, kin, id_col=id_col, half=half, floor=floor)
     inter = panel.with_own_alpha(inter, fits.frame(spark, choose), kin, id_col=id_col, fold=fold)
+    if frozen is not None:
+        inter = inter.withColumns({"_make": F.col("make"), "_use": F.col("use"), "make": 1 - F.col(frozen), "use": F.col(frozen)})
+        inter = panel.step_columns(inter, kin, half=half, floor=floor).withColumns(
+            {"gain_frozen": F.col("gain"), "loss_frozen": F.col("loss"), "sat_frozen": F.col("sat"), "make": F.col("_make"), "use": F.col("_use")})
     inter = cut(panel.step_columns(inter, kin, half=half, floor=floor))
     sim = panel.simulate(inter, id_col=id_col, day_col=kin.day, level_col=kin.level,
                          half="half" if form is not None else None, floor="floor" if form is not None else None)
@@ -255,7 +260,18 @@ def score_profiles(window: DataFrame, fits: panel.PanelFits, kin: panel.Kinetics
     two = panel.two_step_errors(inter, id_col=id_col, day_col=kin.day, level_col=kin.level, half=half, floor=floor)
     two = two.groupBy(id_col).agg(panel.root_mean_square("error2").alias("rmse2"))
     out = err.join(two, id_col).join(day, id_col)
-    return out.select(F.lit(name).alias("model"), id_col, "rmse", "rmse2", F.col("event_day").alias("simulated_day"))
+    late = F.lit(None).cast("double").alias("rmse2_frozen")
+    if frozen is not None:
+        second = panel.two_step_errors(inter, id_col=id_col, day_col=kin.day, level_col=kin.level, half=half, floor=floor,
+                                       second=("gain_frozen", "loss_frozen", "sat_frozen"))
+        out, late = out.join(second.groupBy(id_col).agg(panel.root_mean_square("error2").alias("rmse2_frozen")), id_col), F.col("rmse2_frozen")
+    return out.select(F.lit(name).alias("model"), id_col, "rmse", "rmse2", late, F.col("event_day").alias("simulated_day"))
+
+
+def chosen_form(fits: panel.PanelFits, forms: Sequence[tuple], spark) -> DataFrame:
+    """fold, variant, half, floor: the consumption form with the smallest training error of each fold."""
+    rows = [(f, int(v), forms[v][0], float(forms[v][1])) for f, v in enumerate(panel.choose_form(fits))]
+    return spark.createDataFrame(rows, "fold int, variant int, half double, floor double")
 
 
 def baseline_profiles(window: DataFrame, *, id_col: str, fold: str, folds: int) -> DataFrame:
@@ -266,7 +282,7 @@ def baseline_profiles(window: DataFrame, *, id_col: str, fold: str, folds: int)
     rows = rows.withColumns({"_e": F.col("mean_value") - F.col("level"),
                              "_e2": F.col("level") + F.col("mean_increment") - ahead})
     out = rows.groupBy(id_col).agg(panel.root_mean_square("_e").alias("rmse"), panel.root_mean_square("_e2").alias("rmse2"))
-    return out.select(F.lit("mean_profile").alias("model"), id_col, "rmse", "rmse2",
+    return out.select(F.lit("mean_profile").alias("model"), id_col, "rmse", "rmse2", F.lit(None).cast("double").alias("rmse2_frozen"),
                       F.lit(None).cast("int").alias("simulated_day"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fallpoint.lineage import cut
@@ -268,7 +270,13 @@ def _(spark, sf):
     two = jobs.fit_on_folds(w, KIN2, id_col="id", fold="fold", folds=5)
     out = jobs.baseline_profiles(w, id_col="id", fold="fold", folds=5)
     out = out.unionByName(jobs.score_profiles(w, one, KIN, id_col="id", name="always_on"))
-    out = out.unionByName(jobs.score_profiles(s, two, KIN2, id_col="id", name="two_state"))
+    out = out.unionByName(jobs.score_profiles(s, two, KIN2, id_col="id", frozen="state_frozen", name="two_state"))
+    for name, kin, rows in (("inhibited", KINH, w), ("inhibited_two_state", replace(KIN2, inhibitor="level"), s)):
+        fits = jobs.fit_on_folds(w, kin, id_col="id", fold="fold", folds=5)
+        out = out.unionByName(jobs.score_profiles(rows, fits, kin, id_col="id", name=name))
+    forms = panel.consumption_forms()
+    shaped = jobs.fit_on_folds(w, KIN2, id_col="id", fold="fold", folds=5, forms=forms)
+    out = out.unionByName(jobs.score_profiles(s, shaped, KIN2, id_col="id", form=jobs.chosen_form(shaped, forms, spark), frozen="state_frozen", name="chosen_form"))
     return out.unionByName(jobs.score_profiles(w, two, KIN2, id_col="id", name="true_event"))
 
 
@@ -429,8 +437,6 @@ def _(spark, sf):
 
 @query("j40_window_and_dilution_sensitivity")
 def _(spark, sf):
-    from dataclasses import replace
-
     out = None
     for keep in (0.85, 0.75, None):
         w = folded_window(spark, sf, keep)
