@@ -39,3 +39,21 @@ def test_every_query_is_named_and_sql_has_a_query():
     import workload
 
     assert set(workload.SQL) <= set(workload.QUERIES) and len(workload.QUERIES) > 150
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
+def test_consumption_bins_keep_levels_of_zero(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import workload
+
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        os.symlink(f"{DATA}/{f}", tmp_path / f) if not f.startswith("events") else None
+    con.execute(f"""copy (select * replace (case when user_id % 3 = 0 and day(ts) >= 20 then 0.0 else value end as value)
+        from '{DATA}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)""")
+    for f in os.listdir(tmp_path):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{tmp_path}/{f}'")
+    got = workload.QUERIES["i23_consumption_bins"](spark, str(tmp_path)).select("bin", "median", "n").collect()
+    want = con.execute(f"select bin, median, n from ({workload.SQL['i23_consumption_bins']})").fetchall()
+    assert None in {r[0] for r in want}
+    assert sorted(tuple(map(norm, r)) for r in got) == sorted(tuple(map(norm, r)) for r in want)

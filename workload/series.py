@@ -8,7 +8,7 @@ from fallpoint.contracts import whole
 from fallpoint.functions import columns as fx
 from fallpoint.lineage import cut
 from fallpoint.operators import compare, detect, features, grid, profile, rates, risk, stats
-from fallpoint.operators.ordered import exact_quantiles
+from fallpoint.operators.ordered import exact_quantiles, null_safe_join
 from fallpoint.plans import baselines, jobs, metrics, resample
 from fallpoint.plans.draws import P, poisson_thresholds, round_keys
 from workload.basics import _rank, _seg, found
@@ -368,9 +368,10 @@ def consumption(spark, sf):
 def _(spark, sf):
     d = consumption(spark, sf)
     b = fx.right_closed_bin(F.col("relative_level"), [0, .25, .5, .75, 1.0001], ["0-25%", "25-50%", "50-75%", "75-100%"])
-    d = d.withColumn("bin", b)
-    n = profile.value_counts(d, "bin")
-    return n.join(exact_quantiles(d, by="bin", value="consumption", probs=[0.5], names=["median"]), "bin").select("bin", "n", r6("median"))
+    d = cut(d.withColumn("bin", b))
+    n = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))  # levels of zero or less lie in no bin and are counted as such
+    mid = exact_quantiles(d, by="bin", value="consumption", probs=[0.5], names=["median"])
+    return null_safe_join(n, mid, ["bin"]).select("bin", "n", r6("median"))
 
 
 @query("i23_consumption_spearman", with_ctes(_lab | _mw | _cons | {"k": f"""select id, {_rank('q', 'partition by id')} as x,
