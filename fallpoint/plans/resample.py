@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list
-from fallpoint.functions.columns import hash_key
+from fallpoint.functions.columns import hash_int, hash_key
 from fallpoint.lineage import cut
 from fallpoint.operators.ordered import dense_index, exact_quantiles, null_safe_join
 from fallpoint.plans.draws import spread_out, with_donors, with_keys, with_weight
@@ -36,29 +36,53 @@ def with_folds(rows: DataFrame, folds: DataFrame, *, id_col: str, repeats: int =
     return rows.join(arr, id_col)
 
 
-def bootstrap_counts(entities: DataFrame, *, id_col: str, resamples: int, seed: int = 0, by=()) -> DataFrame:
+def exact_draws(rows: DataFrame, *, resamples: int, id_col: str, by, seed: int = 0) -> DataFrame:
+    """As many draws in each resample as the group has entities: (by, index, b), spread by the position drawn.
+
+    ``rows`` are numbered entities (``index``, ``n_group``).  Every entity contributes one draw to each resample; it points
+    at a position by hash, so the draws travel once, to the rows they meet.
+    """
+    rows = spread_out(rows.select(*by, id_col, "n_group"), id_col)
+    draws = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    at = F.pmod(hash_int(F.lit(seed), F.col("b"), F.col(id_col)), F.col("n_group"))
+    return draws.select(*by, at.alias("index"), "b").repartition(*by, "index")
+
+
+def bootstrap_counts(entities: DataFrame, *, id_col: str, resamples: int, seed: int = 0, by=(), exact: bool = False) -> DataFrame:
     """How often each entity is drawn in each resample: (b, id, times), zero draws left out.
 
-    Each entity's number is Poisson with mean one, keyed by (seed, id, b), so it is formed in the
-    row itself and resamples vary in size around that of the table.
+    With ``exact`` a resample holds as many draws as there are entities.  Without, each entity's number is Poisson with mean
+    one, keyed by (seed, id, b), so it is formed in the row itself and resamples vary in size around that of the table.
     """
     by = as_list(by)
+    if exact:
+        rows = entities.select(*by, id_col).distinct()
+        rows = cut(dense_index(rows, by=by, key=hash_key(F.lit(seed), F.col(id_col))))
+        drawn = exact_draws(rows, resamples=resamples, id_col=id_col, by=by, seed=seed)
+        times = drawn.groupBy(*by, "index", "b").agg(F.count(F.lit(1)).alias("times"))
+        return null_safe_join(times, rows.select(*by, "index", id_col), [*by, "index"]).select("b", *by, id_col, "times")
     rows = with_keys(entities.select(*by, id_col).distinct(), id_col, seed)
     rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     return with_weight(rows, F.col("b"), drawn=True).select("b", *by, id_col, "times")
 
 
 def bootstrap_mean(entities: DataFrame, *, id_col: str, values: Sequence[str], resamples: int = 2000,
-                   seed: int = 0, low: float = 0.025, high: float = 0.975, by=()) -> DataFrame:
+                   seed: int = 0, low: float = 0.025, high: float = 0.975, by=(), exact: bool = False) -> DataFrame:
     """Mean of each per-entity value with its percentile interval over entity resamples, per group if given.
 
-    Weights are formed row by row and added up per resample inside the task that reads the rows: what
-    is shuffled are sums per (group, resample).
+    Without ``exact``, weights are formed row by row and added up per resample inside the task that reads the rows: what
+    is shuffled are sums per (group, resample).  With it (see ``bootstrap_counts``) the draws meet their rows once; entities
+    must then be distinct.
     """
     by = as_list(by)
-    rows = spread_out(with_keys(entities.select(*by, id_col, *values), id_col, seed), id_col)
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn, t = with_weight(rows, F.col("_b"), "_t"), F.col("_t")
+    if exact:
+        rows = cut(dense_index(entities.select(*by, id_col, *values), by=by, key=hash_key(F.lit(seed), F.col(id_col))))
+        drawn = exact_draws(rows, resamples=resamples, id_col=id_col, by=by, seed=seed).withColumnRenamed("b", "_b")
+        drawn, t = null_safe_join(drawn, rows.select(*by, "index", *values), [*by, "index"]), F.lit(1)
+    else:
+        rows = spread_out(with_keys(entities.select(*by, id_col, *values), id_col, seed), id_col)
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        drawn, t = with_weight(rows, F.col("_b"), "_t"), F.col("_t")
     means = drawn.groupBy(*by, "_b").agg(*[(F.sum(t * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), t))).alias(v)
                                           for v in values])
     long = means.unpivot([*by, "_b"], list(values), "variable", "mean")

@@ -93,3 +93,16 @@ def test_no_exchange_holds_rows_times_resamples(spark):
                     level = depth(up)
             first = next((u for u in above if "Exchange" in u and "Broadcast" not in u), None)
             assert first is None or any("Aggregate" in u for u in above[:above.index(first)]), "\n".join(plan)
+
+
+def test_exact_draws_are_as_many_as_entities(spark):
+    data, rows = rows_of(spark)
+    for by in ((), ("grp",)):
+        counts = resample.bootstrap_counts(data, id_col="id", resamples=30, by=list(by), exact=True)
+        sizes = {tuple(r) for r in counts.groupBy("b", *by).agg(F.sum("times")).collect()}
+        assert sizes == {(b, *g, n) for b in range(30) for g, n in ([((), 40)] if not by else [(("u",), 40), (("v",), 40), ((None,), 40)])}
+    one = data.dropDuplicates(["id"]).select("id", "a")
+    mean = resample.bootstrap_mean(one, id_col="id", values=["a"], resamples=30, exact=True).first()
+    times = resample.bootstrap_counts(one, id_col="id", resamples=30, exact=True).join(one, "id").toPandas()
+    per = (times["times"] * times["a"]).groupby(times["b"]).sum() / 40
+    assert np.allclose([mean["low"], mean["high"]], np.percentile(per, [2.5, 97.5]))

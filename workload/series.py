@@ -11,7 +11,7 @@ from fallpoint.operators import compare, detect, features, grid, profile, rates,
 from fallpoint.operators.ordered import exact_quantiles, null_safe_join
 from fallpoint.plans import baselines, jobs, metrics, resample
 from fallpoint.plans.draws import P, poisson_thresholds, round_keys
-from workload.basics import _rank, _seg, found
+from workload.basics import _hash, _rank, _seg, found
 from workload.bindings import KINDS, daily, filled, months, table, user_days
 from workload.ctes import detect as detect_sql
 from workload.ctes import grid as grid_sql
@@ -595,9 +595,15 @@ _boot = lambda n: {
           + " as times from dr) where times > 0"}
 
 
-@query("j25_bootstrap_counts", with_ctes({"e0": "select distinct user_id as id from events"} | _boot(RESAMPLES), "select cast(b as int) as b, id, times from ct"))
+# Exactly as many draws in each resample as there are ids, from hashed positions: the same table "ct".
+_draws = lambda n: {"i": "select *, row_number() over (order by md5('0|' || id) || '|' || id) - 1 as ix, count(*) over () as n from (select distinct id from e0)",
+                    "dr": f"select b, {_hash(chr(39) + '0' + chr(39), 'b', 'id')} % n as ix from i, generate_series(0, {n - 1}) t(b)",
+                    "ct": "select b, i.id, count(*) as times from dr join i on i.ix = dr.ix group by 1, 2"}
+
+
+@query("j25_bootstrap_counts", with_ctes({"e0": "select distinct user_id as id from events"} | _draws(RESAMPLES), "select cast(b as int) as b, id, times from ct"))
 def _(spark, sf):
-    return resample.bootstrap_counts(_ids(spark, sf), id_col="id", resamples=RESAMPLES)
+    return resample.bootstrap_counts(_ids(spark, sf), id_col="id", resamples=RESAMPLES, exact=True)
 
 
 @query("j25_bootstrap_mean", with_ctes(detect_sql("ud", "t") | detect_sql("ud", "u", refine=False) | {"e0": """select t.id, t.day - u.day as gap
