@@ -607,13 +607,13 @@ def _(spark, sf):
 
 
 @query("j25_bootstrap_mean", with_ctes(detect_sql("ud", "t") | detect_sql("ud", "u", refine=False) | {"e0": """select t.id, t.day - u.day as gap
-    from t join u on u.id = t.id where t.day is not null and u.day is not null"""} | _boot(RESAMPLES) | {"mm": """select b, sum(times * gap) / sum(times) as m
+    from t join u on u.id = t.id where t.day is not null and u.day is not null"""} | _draws(RESAMPLES) | {"mm": """select b, sum(times * gap) / sum(times) as m
     from ct join e0 on e0.id = ct.id group by b"""}, """select 'gap' as variable, (select round(avg(gap), 6) from e0) as mean,
     round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from mm"""))
 def _(spark, sf):
     d = compare.compare_labels(found(spark, sf), found(spark, sf, refine_peak=False), id_col="id")
     d = d.where(F.col("day_difference").isNotNull()).select("id", F.col("day_difference").alias("gap"))
-    return resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=RESAMPLES).select("variable", r6("mean"), r6("low"), r6("high"))
+    return resample.bootstrap_mean(d, id_col="id", values=["gap"], resamples=RESAMPLES, exact=True).select("variable", r6("mean"), r6("low"), r6("high"))
 
 
 @query("j25_bootstrap_auc", with_ctes(_scores | {"e0": "select distinct id from p"} | _boot(RESAMPLES) | {
