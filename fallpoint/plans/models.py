@@ -74,6 +74,37 @@ class Membership:
         return build
 
 
+    def parts(self):
+        """Worker-side function: pandas batch to (models, rows, weights) blocks, rows without weight in a block left out."""
+        folds, k, weights, draws, count, own = list(self.folds), self.k, self.weights, list(self.draws), self.count, self.own
+
+        def build(pdf):
+            import numpy as np
+
+            from fallpoint.plans.draws import poisson_weights
+
+            drawn = lambda rows: poisson_weights(pdf[draws[0]].to_numpy()[rows], pdf[draws[1]].to_numpy()[rows], count)
+            every = np.arange(len(pdf))
+            if folds:
+                for r, c in enumerate(folds):
+                    f = pdf[c].to_numpy()
+                    for j in range(k):
+                        rows, at = np.flatnonzero((f == j) == own), r * k + j
+                        if own and draws:
+                            yield np.arange(at * count, (at + 1) * count), rows, drawn(rows)
+                        else:
+                            yield np.array([at]), rows, np.ones((len(rows), 1))
+            elif weights:
+                w = np.stack(pdf[weights].to_numpy()).astype(float)
+                yield np.arange(w.shape[1]), every, w
+            elif draws:
+                yield np.arange(count), every, drawn(every)
+            else:
+                yield np.arange(1), every, np.ones((len(pdf), 1))
+
+        return build
+
+
 @dataclass(frozen=True)
 class Scaling:
     """Per model: value for missing cells, then subtract ``center`` and divide by ``scale``."""
@@ -94,12 +125,19 @@ class LinearFits:
     usable: np.ndarray
 
 
+CELLS = 16_384  # cells of the moment tables that one row carries between tasks
+
+
 def _summed(rows: DataFrame, batch_sums, models: int) -> np.ndarray:
-    """Add (models, cells) matrices formed per Arrow batch over all rows."""
+    """Add (models, cells) matrices formed per Arrow batch over all rows.
+
+    A task hands on one row per block of models, whatever the number of its rows; blocks are added up by Spark's grouping.
+    """
 
     def per_partition(batches):
         import numpy as np
         import pandas as pd
+        from pyspark import TaskContext
 
         total = None
         for pdf in batches:
@@ -108,16 +146,23 @@ def _summed(rows: DataFrame, batch_sums, models: int) -> np.ndarray:
                 total = part if total is None else total + part
         if total is not None:
             m, c = total.shape
-            yield pd.DataFrame({"model": np.repeat(np.arange(m), c), "cell": np.tile(np.arange(c), m),
-                                "value": total.ravel()})
+            step = max(1, CELLS // max(c, 1))
+            yield pd.DataFrame([(i // step, TaskContext.get().partitionId(), c, total[i:i + step].astype("<f8").tobytes())
+                                for i in range(0, m, step)], columns=["block", "part", "cells", "sums"])
+
+    def added(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("part")  # the same order, hence the same digits, in every run
+        total = sum(np.frombuffer(b, dtype="<f8") for b in pdf["sums"])
+        return pd.DataFrame([(pdf["block"].iloc[0], pdf["cells"].iloc[0], total.tobytes())], columns=["block", "cells", "sums"])
 
-    out = (rows.mapInPandas(per_partition, "model int, cell int, value double")
-           .groupBy("model", "cell").agg(F.sum("value").alias("value")))
-    got = out.toPandas()
-    cells = int(got["cell"].max()) + 1 if len(got) else 0
-    table = np.zeros((models, cells))
-    table[got["model"].to_numpy(), got["cell"].to_numpy()] = got["value"].to_numpy()
-    return table
+    out = rows.mapInPandas(per_partition, "block int, part int, cells int, sums binary")
+    got = out.groupBy("block").applyInPandas(added, "block int, cells int, sums binary").toPandas().sort_values("block")
+    if not len(got):
+        return np.zeros((models, 0))
+    return np.concatenate([np.frombuffer(b, dtype="<f8") for b in got["sums"]]).reshape(models, int(got["cells"].iloc[0])).copy()
 
 
 def numeric(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -182,42 +227,63 @@ def scaling_for(rows: DataFrame, columns: Sequence[str], member: Membership, how
 
 def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", member: Membership = Membership(),
                  c: float = 1.0, how: str = "robust", scaling: Scaling | None = None,
-                 rounds: int = 100, tol: float = 1e-8) -> LinearFits:
+                 rounds: int = 100, tol: float = 1e-8, start: np.ndarray | None = None) -> LinearFits:
     """L2-penalised logistic regressions of all training sets by Newton steps.
 
     Minimises |beta|^2 / 2 + C * loss with an unpenalised intercept; one pass over the
     rows per step serves every model.  A step that raises the loss is halved.
+
+    Training sets of one block fill missing cells alike, so their rows are put on one common scale and the sums of all of them are
+    matrix products; what differs is a linear map of each model's few columns, applied to its sums.  ``start`` (models, 1 + columns)
+    holds coefficients to begin from; where the steps end does not depend on it.
     """
     cols, p = list(columns), len(columns)
     scale = scaling or scaling_for(rows, cols, member, how)
     data = numeric(rows, cols, [*member.columns, y]).withColumn(y, F.col(y).cast("double"))
-    build, m = member.matrix(), member.models
-    beta, last, prev = np.zeros((m, p + 1)), np.full(m, np.inf), np.zeros((m, p + 1))
+    build, m = member.parts(), member.models
+    beta, last, prev = np.zeros((m, p + 1)) if start is None else start.copy(), np.full(m, np.inf), np.zeros((m, p + 1))
     usable = np.ones(m, bool)
+    # Blocks of training sets with the same fill values, the common scale of each, and the map from it to every model's own.
+    of = np.unique(scale.median, axis=0, return_inverse=True)[1].reshape(-1)
+    blocks = [np.flatnonzero(of == g) for g in range(of.max() + 1)]
+    common = [(scale.median[b[0]], scale.center[b].mean(axis=0), scale.scale[b].mean(axis=0)) for b in blocks]
+    to_own = np.zeros((m, p + 1, p + 1))
+    for b, (_, cen, sca) in zip(blocks, common):
+        to_own[b, 0, 0] = 1.0
+        to_own[b, 1:, 0] = (cen - scale.center[b]) / scale.scale[b]
+        to_own[b[:, None], np.arange(1, p + 1), np.arange(1, p + 1)] = sca / scale.scale[b]
+    up = np.triu_indices(p + 1)
     for _ in range(rounds):
-        args = (beta.copy(), scale.median, scale.center, scale.scale)
 
-        def sums(pdf, args=args):
+        def sums(pdf, b=np.einsum("mab,ma->mb", to_own, beta)):
             import numpy as np
 
-            b, med, cen, sca = args
-            w, x, t = build(pdf), pdf[cols].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
-            gap, base = np.isnan(x), np.nan_to_num(x)
-            out = []
-            for i in range(w.shape[1]):
-                on = np.flatnonzero(w[:, i])
-                wi, ti = w[on, i], t[on]
-                xi = (np.where(gap[on], med[i], base[on]) - cen[i]) / sca[i]
-                xi = np.concatenate([np.ones((len(xi), 1)), xi], axis=1)
-                z = xi @ b[i]
-                h = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                loss = wi @ (np.logaddexp(0, z) - ti * z)
-                grad = xi.T @ (wi * (h - ti))
-                hess = (xi * (wi * h * (1 - h))[:, None]).T @ xi
-                out.append(np.concatenate([[loss, wi @ ti, wi.sum()], grad, hess.ravel()]))
-            return np.array(out)
+            out = np.zeros((m, 3 + p + 1 + len(up[0])))
+            for lo in range(0, len(pdf), 2000):  # bounds the tables of rows by models
+                some = pdf.iloc[lo:lo + 2000]
+                x, t = some[cols].to_numpy(dtype=float), some[y].to_numpy(dtype=float)
+                gap, base = np.isnan(x), np.nan_to_num(x)
+                for models, on, w in build(some):
+                    if not len(on):
+                        continue
+                    for g in np.unique(of[models]):
+                        med, cen, sca = common[g]
+                        mine = of[models] == g
+                        at, wi, ti = models[mine], w[:, mine], t[on][:, None]
+                        u = np.concatenate([np.ones((len(on), 1)), (np.where(gap[on], med, base[on]) - cen) / sca], axis=1)
+                        z = u @ b[at].T
+                        e = np.exp(-np.abs(z))
+                        h = np.where(z >= 0, 1.0, e) / (1 + e)
+                        out[at, 0] += (wi * (np.maximum(z, 0) + np.log1p(e) - ti * z)).sum(axis=0)
+                        out[at, 1] += (wi * ti).sum(axis=0)
+                        out[at, 2] += wi.sum(axis=0)
+                        out[at, 3:4 + p] += (wi * (h - ti)).T @ u
+                        out[at, 4 + p:] += (wi * h * (1 - h)).T @ (u[:, up[0]] * u[:, up[1]])
+            return out
 
         s = _summed(data, sums, m)
+        if s.shape[1] == 0:
+            s = np.zeros((m, 3 + p + 1 + len(up[0])))
         ridge = np.concatenate([[0.0], np.full(p, 1.0)])
         loss = c * s[:, 0] + 0.5 * (beta[:, 1:] ** 2).sum(axis=1)
         usable = (s[:, 1] > 0) & (s[:, 1] < s[:, 2])
@@ -227,8 +293,11 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", membe
                 beta[i] = (beta[i] + prev[i]) / 2
                 worst = max(worst, np.abs(beta[i] - prev[i]).max())
                 continue
-            grad = c * s[i, 3:4 + p] + ridge * beta[i]
-            hess = c * s[i, 4 + p:].reshape(p + 1, p + 1) + np.diag(ridge)
+            flat = np.zeros((p + 1, p + 1))
+            flat[up] = s[i, 4 + p:]
+            flat = flat + np.triu(flat, 1).T
+            grad = c * to_own[i] @ s[i, 3:4 + p] + ridge * beta[i]
+            hess = c * to_own[i] @ flat @ to_own[i].T + np.diag(ridge)
             step = np.linalg.lstsq(hess, grad, rcond=None)[0]
             prev[i], last[i] = beta[i], loss[i]
             beta[i] = beta[i] - step
@@ -277,6 +346,11 @@ def out_of_fold_risk(rows: DataFrame, columns: Sequence[str], *, folds: Sequence
     return predict_risk(rows, fits, folds=folds, k=k, out=out)
 
 
+def _begin(fits: LinearFits, resamples: int) -> np.ndarray:
+    """Coefficients of each fit for all its resamples to begin from."""
+    return np.repeat(np.concatenate([fits.intercept[:, None], fits.beta], axis=1), resamples, axis=0)
+
+
 def odds_ratios(rows: DataFrame, columns: Sequence[str], *, variables: Sequence[str], id_col: str, y: str = "y",
                 resamples: int = 300, how: str = "robust", seed: int = 0) -> DataFrame:
     """Odds ratio per scale unit with a percentile interval over entity resamples.
@@ -293,7 +367,7 @@ def odds_ratios(rows: DataFrame, columns: Sequence[str], *, variables: Sequence[
     same = Scaling(*[np.repeat(v, resamples, axis=0) for v in (full.scaling.median, full.scaling.center,
                                                                full.scaling.scale)])
     scale = same if how == "robust" else scaling_for(data, columns, member, how)
-    boot = fit_logistic(data, columns, y=y, member=member, scaling=scale)
+    boot = fit_logistic(data, columns, y=y, member=member, scaling=scale, start=_begin(full, resamples))
     keep = boot.beta[boot.usable]
     place = {c: i for i, c in enumerate(columns)}
     out = []
@@ -341,7 +415,7 @@ def group_effects(rows: DataFrame, columns: Sequence[str], *, variables: Sequenc
     one = fit_logistic(data, cols, y=y, member=Membership(folds=("_group",), k=k, own=True), how=how)
     many = Membership(folds=("_group",), k=k, own=True, draws=("_k1", "_k2"), count=resamples)
     same = Scaling(*[np.repeat(v, resamples, axis=0) for v in (one.scaling.median, one.scaling.center, one.scaling.scale)])
-    boot = fit_logistic(data, cols, y=y, member=many, scaling=same)
+    boot = fit_logistic(data, cols, y=y, member=many, scaling=same, start=_begin(one, resamples))
     spread = data.groupBy("_group").agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols]).toPandas().set_index("_group")
     out = []
     for g, name in names.items():

@@ -65,3 +65,25 @@ def test_effects_of_groups_equal_fits_on_their_rows(rows):
 def test_a_subset_without_a_varying_column_is_told(rows):
     with pytest.raises(ValueError, match="no column varies"):
         jobs.compare_on_subsets(rows.withColumn("f", F.col("id") % 5), {"w": F.col("g") == "w"}, {"only": ["b"]}, y="t", folds=["f"])
+
+
+def test_resamples_begin_at_the_fit_of_all_rows_and_end_alike(spark, monkeypatch):
+    from fallpoint.lineage import cut
+    from fallpoint.plans import draws
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    rows = [(int(i), float(a), None if i % 11 == 0 else float(b), int(rng.random() < 1 / (1 + np.exp(-a)))) for i, (a, b) in enumerate(x)]
+    data = cut(draws.with_keys(spark.createDataFrame(rows, "id long, a double, b double, y int"), "id", 0))
+    member = models.Membership(draws=("_k1", "_k2"), count=20)
+    passes, plain = [], models._summed
+    monkeypatch.setattr(models, "_summed", lambda *a: passes.append(1) or plain(*a))
+    full = models.fit_logistic(data, ["a", "b"])
+    same = models.Scaling(*[np.repeat(v, 20, axis=0) for v in (full.scaling.median, full.scaling.center, full.scaling.scale)])
+    passes.clear()
+    cold = models.fit_logistic(data, ["a", "b"], member=member, scaling=same, tol=1e-4)
+    n_cold = len(passes)
+    assert np.allclose(cold.beta, models.fit_logistic(data, ["a", "b"], member=member, scaling=same, start=models._begin(full, 20)).beta, atol=1e-6)
+    passes.clear()
+    models.fit_logistic(data, ["a", "b"], member=member, scaling=same, tol=1e-4, start=np.concatenate([cold.intercept[:, None], cold.beta], axis=1))
+    assert len(passes) == 1 < n_cold
