@@ -19,10 +19,12 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 P = 2 ** 31 - 1
 ROUNDS = 8         # of the Feistel network; with four, order statistics of shuffles still spread too widely
 STRETCH = 500      # rounds of shuffling that one array of positions holds
+PIECE = 200        # rows whose positions are formed at a time
 
 
 def poisson_thresholds() -> list[int]:
@@ -130,21 +132,26 @@ def donor_positions(index, size, b, seed: int = 0) -> np.ndarray:
 def with_donors(rows: DataFrame, rounds: int, *, seed: int = 0, index: str = "index", size: str = "n_group") -> DataFrame:
     """Each row once per round ``b``, with ``donor``, the position of the row whose value it receives."""
 
-    @F.pandas_udf("array<long>")
-    def positions(packed):
-        import pandas as pd
-
-        out = []
-        for start, part in packed.groupby("start"):
-            b = np.arange(start, min(start + STRETCH, rounds))
-            for at in range(0, len(part), 1000):
-                some = part.iloc[at:at + 1000]
-                out.append(pd.Series(list(donor_positions(some["index"], some["size"], b, seed)), index=some.index))
-        return pd.concat(out).reindex(packed.index) if out else pd.Series([], dtype=object)
-
-    spread = spread_out(rows, index).withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(STRETCH))))
-    packed = F.struct(F.col(index).alias("index"), F.col(size).alias("size"), F.col("_start").alias("start"))
-    spread = spread.withColumn("_donors", positions(packed))
-    kept = [c for c in spread.columns if c not in ("_start", "_donors")]
+    spread = spread_out(rows, index)
+    kept = spread.columns
+    at_index, at_size = kept.index(index), kept.index(size)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):  # what a task holds at a time: PIECE rows by STRETCH rounds
+                some = batch.slice(at, PIECE)
+                places, sizes = (some.column(c).to_numpy(zero_copy_only=False) for c in (at_index, at_size))
+                for start in range(0, rounds, STRETCH):
+                    b = np.arange(start, min(start + STRETCH, rounds))
+                    found = donor_positions(places, sizes, b, seed)
+                    ends = pa.array(np.arange(len(places) + 1, dtype=np.int32) * len(b))
+                    yield pa.RecordBatch.from_arrays(
+                        [*some.columns, pa.array(np.full(len(places), start, np.int32)), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))],
+                        names=[*kept, "_start", "_donors"])
+
+    spread = spread.mapInArrow(run, T.StructType([*spread.schema.fields, T.StructField("_start", T.IntegerType()),
+                                                  T.StructField("_donors", T.ArrayType(T.LongType()))]))
     return spread.select(*kept, "_start", F.posexplode("_donors").alias("_at", "donor")).select(
         *kept, (F.col("_start") + F.col("_at")).cast("int").alias("b"), "donor")

@@ -106,3 +106,14 @@ def test_exact_draws_are_as_many_as_entities(spark):
     times = resample.bootstrap_counts(one, id_col="id", resamples=30, exact=True).join(one, "id").toPandas()
     per = (times["times"] * times["a"]).groupby(times["b"]).sum() / 40
     assert np.allclose([mean["low"], mean["high"]], np.percentile(per, [2.5, 97.5]))
+
+
+def test_positions_are_formed_in_pieces(spark):
+    """A task hands on at most PIECE rows of positions at a time, whatever the size of its batches."""
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("index"), F.lit(1000).cast("long").alias("n_group"), F.when(F.col("id") % 2 == 0, "a").alias("g"))
+    plan = draws.with_donors(rows, 1200)
+    assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString() and draws.PIECE * draws.STRETCH <= 100_000
+    got = plan.toPandas()
+    want = draws.donor_positions(np.arange(1000), np.full(1000, 1000), np.arange(1200))
+    assert (got.pivot(index="index", columns="b", values="donor").to_numpy() == want).all()
+    assert set(got[got["index"] % 2 == 0]["g"]) == {"a"} and got[got["index"] % 2 == 1]["g"].isna().all()
