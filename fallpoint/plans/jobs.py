@@ -219,15 +219,8 @@ def fit_on_folds(window: DataFrame, kin: panel.Kinetics, *, id_col: str, fold: s
         inter = panel.interval_columns(rows, kin, id_col=id_col)
         mom = panel.series_moments(inter, kin, id_col=id_col, keys=[fold])
         return panel.fit_panel(cut(mom), kin, fold=fold, folds=folds, mean=mean, sd=sd)
-    inter = panel.interval_columns(rows, kin, id_col=id_col)
-    shapes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).cast("double").alias("h"), F.lit(float(f)).alias("f"))
-                       for i, (h, f) in enumerate(forms)])
-    inter = inter.withColumn("_s", F.explode(shapes))
-    use = F.lit(1.0) if kin.state is None else F.col(kin.state)
-    eaten = panel.saturable(F.col(kin.level), F.col("_s.h"), F.col("_s.f"))
-    inter = inter.withColumns({"u_eat": -use * eaten * F.col("area"), "variant": F.col("_s.i")})
-    mom = panel.series_moments(inter, kin, id_col=id_col, keys=[fold, "variant"])
-    return panel.fit_panel(cut(mom), kin, fold=fold, folds=folds, mean=mean, sd=sd, variant="variant", variants=len(forms))
+    mom = panel.form_moments(panel.interval_columns(rows, kin, id_col=id_col), kin, forms, id_col=id_col, fold=fold)
+    return panel.fit_panel(cut(mom), kin, fold=fold, folds=folds, mean=mean, sd=sd, variants=len(forms))
 
 
 def score_profiles(window: DataFrame, fits: panel.PanelFits, kin: panel.Kinetics, *, id_col: str, fold: str = "fold",

@@ -121,6 +121,61 @@ def series_moments(intervals: DataFrame, kin: Kinetics, *, id_col, keys: Sequenc
     return out.select(*as_list(id_col), *keys, F.array(*[cell(i, j) for i in range(n) for j in range(n)]).alias("g"))
 
 
+def form_moments(intervals: DataFrame, kin: Kinetics, forms: Sequence[tuple], *, id_col: str, fold: str) -> DataFrame:
+    """One row per series with ``g`` as in ``series_moments`` and ``e``: for every consumption form (half, floor) the row of g that holds
+    the sums of products with its consumption.  All else is alike in all forms, and rows are not multiplied by them.
+    """
+    q = len(kin.raw)
+    n, place = q + 2, kin.raw.index("u_eat")
+    use = F.lit(1.0) if kin.state is None else F.col(kin.state)
+    rows = intervals.where(F.col("dy").isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(fold).cast("int").alias("_fold"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(kin.raw)],
+        F.col("dy").cast("double").alias("_dy"), F.col(kin.level).cast("double").alias("_level"), (-use * F.col("area")).cast("double").alias("_unit"))
+    rows = rows.repartition("_id").sortWithinPartitions("_id", "_fold")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        held = None  # sums of the last series, which the next batch may go on with
+
+        def told(ids, f, g, e):
+            return pd.DataFrame({id_col: ids, fold: f, "g": list(g.reshape(len(g), -1)), "e": list(e.reshape(len(e), -1))})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            known = pdf[[f"_{i}" for i in range(q)] + ["_dy", "_level", "_unit"]].fillna(0.0)  # a missing cell adds nothing
+            x = np.concatenate([known.to_numpy()[:, :q], np.ones((len(pdf), 1)), known[["_dy"]].to_numpy()], axis=1)
+            level, unit = np.maximum(known["_level"].to_numpy(), 0.0), known["_unit"].to_numpy()
+            ids, f = pdf["_id"].to_numpy(), pdf["_fold"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (f[1:] != f[:-1])]))
+            add = lambda v: np.add.reduceat(v, first, axis=0)
+            g = add(x[:, :, None] * x[:, None, :])
+            e = np.empty((len(first), len(forms), n))
+            for i, (half, floor) in enumerate(forms):
+                above = np.maximum(level - (floor or 0.0), 0.0)
+                eat = unit * (level if half is None else above / (half + above))
+                e[:, i] = add(eat[:, None] * x)
+                e[:, i, place] = add(eat * eat)
+            key, who, of = (ids[-1], f[-1]), ids[first], f[first]
+            if held is not None:
+                if held[0] == (who[0], of[0]):
+                    g[0] += held[1]
+                    e[0] += held[2]
+                else:
+                    yield told([held[0][0]], [held[0][1]], held[1][None], held[2][None])
+            held = key, g[-1].copy(), e[-1].copy()
+            for lo in range(0, len(first) - 1, 1000):
+                hi = min(lo + 1000, len(first) - 1)
+                yield told(who[lo:hi], of[lo:hi], g[lo:hi], e[lo:hi])
+        if held is not None:
+            yield told([held[0][0]], [held[0][1]], held[1][None], held[2][None])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"`{id_col}` {kind}, `{fold}` int, g array<double>, e array<double>")
+
+
 def covariate_scaling(rows: DataFrame, kin: Kinetics, *, fold: str, folds: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample sd of each covariate over the training folds: two (folds, c) arrays.
 
@@ -185,31 +240,36 @@ class PanelFits:
 
 
 def fit_panel(moments: DataFrame, kin: Kinetics, *, fold: str, folds: int, mean: np.ndarray, sd: np.ndarray,
-              variant: str | None = None, variants: int = 1, rounds: int = 200, tol: float = 1e-10) -> PanelFits:
+              variants: int = 1, rounds: int = 200, tol: float = 1e-10) -> PanelFits:
     """Least squares with alpha_i >= 0 per series and bounded shared parameters.
 
     For given shared parameters the best alpha_i is max(0, .), so the profiled objective is
     convex and piecewise quadratic; each step solves it on the current active series.  A
-    fold column set to -1 trains on everything (``folds`` = 1).
+    fold column set to -1 trains on everything (``folds`` = 1).  Moments with ``e`` (``form_moments``) stand for ``variants`` consumption forms.
     """
     maps = [kin.to_model(mean[f], sd[f]) for f in range(folds)]
     q, p = len(kin.raw), len(kin.names)
     m, lower = variants * folds, kin.lower
-    data = moments.select(F.col(fold).cast("int").alias("_fold"), "g",
-                          (F.col(variant) if variant else F.lit(0)).cast("int").alias("_v"))
+    shaped, eat = "e" in moments.columns, kin.raw.index("u_eat")
+    data = moments.select(F.col(fold).cast("int").alias("_fold"), "g", *(["e"] if shaped else []))
 
     def split(pdf):
         """Per (variant, fold): training series' moments in model columns."""
         import numpy as np
 
         g = np.stack(pdf["g"].to_numpy()).reshape(len(pdf), q + 2, q + 2)
-        v, f = pdf["_v"].to_numpy(), pdf["_fold"].to_numpy()
-        for i in range(variants):
-            for j in range(folds):
-                part = g[(v == i) & (f != j)]
-                t = np.zeros((q + 2, p + 2))
-                t[:q, :p], t[q, p], t[q + 1, p + 1] = maps[j], 1.0, 1.0
-                yield i * folds + j, np.einsum("qa,nqr,rb->nab", t, part, t)
+        f = pdf["_fold"].to_numpy()
+        e = np.stack(pdf["e"].to_numpy()).reshape(len(pdf), variants, q + 2) if shaped else None
+        for j in range(folds):
+            on = np.flatnonzero(f != j)
+            part = g[on]
+            t = np.zeros((q + 2, p + 2))
+            t[:q, :p], t[q, p], t[q + 1, p + 1] = maps[j], 1.0, 1.0
+            for i in range(variants):
+                if shaped:
+                    part[:, eat, :] = part[:, :, eat] = e[on, i]
+                half = (part.reshape(-1, q + 2) @ t).reshape(len(on), q + 2, p + 2)
+                yield i * folds + j, np.matmul(t.T, half)
 
     theta, old, prev = np.zeros((m, p - 1)), np.full(m, np.inf), np.zeros((m, p - 1))
     for _ in range(rounds):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fallpoint.lineage import cut
-from fallpoint.plans import jobs
+from fallpoint.plans import jobs, panel
 from workload.modelling import KIN2, folded_window
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +39,29 @@ def test_first_order_form_is_the_plain_model(spark, fitted):
     assert all(got[k][c] == pytest.approx(r[c], rel=1e-6) for k, r in plain.items() for c in ("rmse", "rmse2"))
     best = jobs.chosen_form(shaped, [(None, 0.0), (0.5, 0.01)], spark).collect()
     assert [r["variant"] for r in best] == shaped.mse.argmin(axis=0).tolist()
+
+
+def test_form_moments_are_those_of_multiplied_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i}", d, i % 3, float(rng.normal(0.1, 0.2)), float(d + rng.random()), float(rng.random()) if d % 4 else None, float(d > 5))
+            for i in range(9) for d in range(1, 4 + 2 * i)]
+    data = spark.createDataFrame(rows, "id string, day int, fold int, level double, exposure double, c double, state double")
+    kin, forms = panel.Kinetics(covariates=("c",), state="state"), [(None, 0.0), (0.5, 0.01), (0.02, -0.05)]
+    inter = panel.interval_columns(data, kin, id_col="id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # series go on from one batch to the next
+    try:
+        got = panel.form_moments(inter, kin, forms, id_col="id", fold="fold").toPandas().set_index("id")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n, eat = len(kin.raw) + 2, kin.raw.index("u_eat")
+    assert got.index.is_unique and len(got) == 9
+    for i, (half, floor) in enumerate(forms):
+        shaped = panel.saturable(F.col("level"), F.lit(half).cast("double"), F.lit(floor))
+        one = panel.series_moments(inter.withColumn("u_eat", -F.col("state") * shaped * F.col("area")), kin, id_col="id", keys=["fold"]).collect()
+        for r in one:
+            g = np.array(got.loc[r["id"], "g"]).reshape(n, n)
+            g[eat, :] = g[:, eat] = np.array(got.loc[r["id"], "e"]).reshape(len(forms), n)[i]
+            assert np.allclose(g, np.array(r["g"]).reshape(n, n)) and got.loc[r["id"], "fold"] == r["fold"]
