@@ -126,6 +126,7 @@ class LinearFits:
 
 
 CELLS = 16_384  # cells of the moment tables that one row carries between tasks
+FEW = 8  # training sets of one scale whose second moments are cheaper one by one
 
 
 def _summed(rows: DataFrame, batch_sums, models: int) -> np.ndarray:
@@ -259,18 +260,25 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", membe
             import numpy as np
 
             out = np.zeros((m, 3 + p + 1 + len(up[0])))
+            every, known = pdf[cols].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
             for lo in range(0, len(pdf), 2000):  # bounds the tables of rows by models
-                some = pdf.iloc[lo:lo + 2000]
-                x, t = some[cols].to_numpy(dtype=float), some[y].to_numpy(dtype=float)
-                gap, base = np.isnan(x), np.nan_to_num(x)
-                for models, on, w in build(some):
+                x, t = every[lo:lo + 2000], known[lo:lo + 2000]
+                gap, whole = np.isnan(x), {}
+
+                def design(g):
+                    """The columns of all rows of the piece on the common scale of a block of training sets, a one before them."""
+                    if g not in whole:
+                        med, cen, sca = common[g]
+                        whole[g] = np.concatenate([np.ones((len(x), 1)), (np.where(gap, med, x) - cen) / sca], axis=1)
+                    return whole[g]
+
+                for models, on, w in build(pdf.iloc[lo:lo + 2000]):
                     if not len(on):
                         continue
                     for g in np.unique(of[models]):
-                        med, cen, sca = common[g]
                         mine = of[models] == g
                         at, wi, ti = models[mine], w[:, mine], t[on][:, None]
-                        u = np.concatenate([np.ones((len(on), 1)), (np.where(gap[on], med, base[on]) - cen) / sca], axis=1)
+                        u = design(g)[on]
                         z = u @ b[at].T
                         e = np.exp(-np.abs(z))
                         h = np.where(z >= 0, 1.0, e) / (1 + e)
@@ -278,7 +286,12 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], *, y: str = "y", membe
                         out[at, 1] += (wi * ti).sum(axis=0)
                         out[at, 2] += wi.sum(axis=0)
                         out[at, 3:4 + p] += (wi * (h - ti)).T @ u
-                        out[at, 4 + p:] += (wi * h * (1 - h)).T @ (u[:, up[0]] * u[:, up[1]])
+                        v = wi * h * (1 - h)
+                        if len(at) < FEW:  # products of the columns are formed for many training sets of one scale only
+                            for c, i in enumerate(at):
+                                out[i, 4 + p:] += (u.T @ (u * v[:, [c]]))[up]
+                        else:
+                            out[at, 4 + p:] += v.T @ (u[:, up[0]] * u[:, up[1]])
             return out
 
         s = _summed(data, sums, m)

@@ -87,3 +87,27 @@ def test_resamples_begin_at_the_fit_of_all_rows_and_end_alike(spark, monkeypatch
     passes.clear()
     models.fit_logistic(data, ["a", "b"], member=member, scaling=same, tol=1e-4, start=np.concatenate([cold.intercept[:, None], cold.beta], axis=1))
     assert len(passes) == 1 < n_cold
+
+
+def test_few_training_sets_need_no_products_of_columns(spark, monkeypatch):
+    """A pass over rows in folds holds tables of rows by columns, not of rows by pairs of columns."""
+    import tracemalloc
+
+    cols = [f"c{i}" for i in range(30)]
+    small = spark.createDataFrame([(0, 0.0, *[0.0] * 30)], "f long, y double, " + ", ".join(f"{c} double" for c in cols))
+    caught = []
+    monkeypatch.setattr(models, "_summed", lambda rows, sums, m: caught.append(sums) or np.zeros((m, 0)))
+    flat = np.zeros((5, 30))
+    models.fit_logistic(small, cols, member=models.Membership(("f",), 5), scaling=models.Scaling(flat, flat, flat + 1.0))
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(2000, 30)), columns=cols).assign(f=np.arange(2000) % 5, y=rng.integers(0, 2, 2000).astype(float))
+    pdf.loc[::7, "c3"] = np.nan
+    tracemalloc.start()
+    got = caught[0](pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.concatenate([np.ones((2000, 1)), np.nan_to_num(pdf[cols].to_numpy())], axis=1)
+    for j in range(5):
+        on = (pdf["f"] != j).to_numpy()
+        np.testing.assert_allclose(got[j, 34:], (0.25 * x[on].T @ x[on])[np.triu_indices(31)], rtol=1e-12, atol=1e-9)
+    assert peak < 8_000_000
