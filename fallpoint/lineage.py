@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(data: DataFrame) -> DataFrame:
@@ -28,3 +30,13 @@ def cut(data: DataFrame) -> DataFrame:
     path = f"{named.rstrip('/')}/cut-{uuid.uuid4().hex}"
     data.write.parquet(path)
     return spark.read.schema(data.schema).parquet(path)
+
+
+def few_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of a few rows whose size Spark knows.
+
+    A join sends it to the other side; the size of a local collection counts as unknown, so large tables would be sorted by its key.
+    """
+    columns = [c.rsplit(" ", 1) for c in schema.split(", ")]
+    item = lambda row: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns)])
+    return spark.range(1).select(F.inline(F.array(*map(item, rows))))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import by_day
-from fallpoint.lineage import cut
+from fallpoint.lineage import cut, few_rows
 from fallpoint.operators import compare, grid, profile, risk
 from fallpoint.operators.ordered import exact_quantiles
 from fallpoint.plans import metrics, models, panel, resample
@@ -223,6 +224,16 @@ def fit_on_folds(window: DataFrame, kin: panel.Kinetics, *, id_col: str, fold: s
     return panel.fit_panel(cut(mom), kin, fold=fold, folds=folds, mean=mean, sd=sd, variants=len(forms))
 
 
+def fit_dilutions(window: DataFrame, kin: panel.Kinetics, dilutions: Sequence[float], *, id_col: str, fold: str, folds: int) -> list[panel.PanelFits]:
+    """``fit_on_folds`` for each daily loss: rows are read once, since a loss only adds its share of the level to the response."""
+    rows, plain = _observed(window), replace(kin, dilution=0.0)
+    mean, sd = panel.covariate_scaling(rows, plain, fold=fold, folds=folds)
+    inter = panel.interval_columns(rows, plain, id_col=id_col)
+    mom = cut(panel.series_moments(inter, plain, id_col=id_col, keys=[fold], more=[kin.level]))
+    shapes = [replace(kin, dilution=d) for d in dilutions]
+    return [panel.fit_panel(panel.diluted(mom, k), k, fold=fold, folds=folds, mean=mean, sd=sd) for k in shapes]
+
+
 def score_profiles(window: DataFrame, fits: panel.PanelFits, kin: panel.Kinetics, *, id_col: str, fold: str = "fold",
                    form: DataFrame | None = None, frozen: str | None = None, name: str = "model") -> DataFrame:
     """Per series: profile error, two-day error and simulated event day under one model.
@@ -244,27 +255,27 @@ def score_profiles(window: DataFrame, fits: panel.PanelFits, kin: panel.Kinetics
         inter = inter.withColumns({"_make": F.col("make"), "_use": F.col("use"), "make": 1 - F.col(frozen), "use": F.col(frozen)})
         inter = panel.step_columns(inter, kin, half=half, floor=floor).withColumns(
             {"gain_frozen": F.col("gain"), "loss_frozen": F.col("loss"), "sat_frozen": F.col("sat"), "make": F.col("_make"), "use": F.col("_use")})
-    inter = cut(panel.step_columns(inter, kin, half=half, floor=floor))
-    sim = panel.simulate(inter, id_col=id_col, day_col=kin.day, level_col=kin.level,
+    # All that follows is by series, so rows are dealt by series once and no branch reads them again.
+    inter = panel.step_columns(inter, kin, half=half, floor=floor)
+    whole, kept = grid.whole([id_col]), ["rmse2"]
+    two = lambda rows, out, **second: panel.two_step_errors(rows, id_col=id_col, day_col=kin.day, level_col=kin.level, half=half, floor=floor,
+                                                            **second).withColumn(out, panel.root_mean_square("error2", whole)).drop("error2")
+    inter = two(inter, "rmse2")
+    if frozen is not None:
+        inter, kept = two(inter, "rmse2_frozen", second=("gain_frozen", "loss_frozen", "sat_frozen")), ["rmse2", "rmse2_frozen"]
+    sim = panel.simulate(inter, id_col=id_col, day_col=kin.day, level_col=kin.level, keep=kept,
                          half="half" if form is not None else None, floor="floor" if form is not None else None)
     sim = sim.withColumn("_e", F.col("simulated") - F.col(kin.level))
-    day = panel.profile_event_day(sim, id_col=id_col, day_col=kin.day, value_col="simulated")
-    err = sim.groupBy(id_col).agg(panel.root_mean_square("_e").alias("rmse"))
-    two = panel.two_step_errors(inter, id_col=id_col, day_col=kin.day, level_col=kin.level, half=half, floor=floor)
-    two = two.groupBy(id_col).agg(panel.root_mean_square("error2").alias("rmse2"))
-    out = err.join(two, id_col).join(day, id_col)
-    late = F.lit(None).cast("double").alias("rmse2_frozen")
-    if frozen is not None:
-        second = panel.two_step_errors(inter, id_col=id_col, day_col=kin.day, level_col=kin.level, half=half, floor=floor,
-                                       second=("gain_frozen", "loss_frozen", "sat_frozen"))
-        out, late = out.join(second.groupBy(id_col).agg(panel.root_mean_square("error2").alias("rmse2_frozen")), id_col), F.col("rmse2_frozen")
+    sim = sim.withColumn("rmse", panel.root_mean_square("_e", whole))
+    out = panel.profile_event_day(sim, id_col=id_col, day_col=kin.day, value_col="simulated", keep=["rmse", *kept])
+    late = F.col("rmse2_frozen") if frozen is not None else F.lit(None).cast("double").alias("rmse2_frozen")
     return out.select(F.lit(name).alias("model"), id_col, "rmse", "rmse2", late, F.col("event_day").alias("simulated_day"))
 
 
 def chosen_form(fits: panel.PanelFits, forms: Sequence[tuple], spark) -> DataFrame:
     """fold, variant, half, floor: the consumption form with the smallest training error of each fold."""
     rows = [(f, int(v), forms[v][0], float(forms[v][1])) for f, v in enumerate(panel.choose_form(fits))]
-    return spark.createDataFrame(rows, "fold int, variant int, half double, floor double")
+    return few_rows(spark, rows, "fold int, variant int, half double, floor double")
 
 
 def baseline_profiles(window: DataFrame, *, id_col: str, fold: str, folds: int) -> DataFrame:

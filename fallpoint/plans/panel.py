@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fallpoint.contracts import as_list, by_day
 from fallpoint.functions.columns import not_below_zero, saturable
+from fallpoint.lineage import few_rows
 from fallpoint.operators import grid
 from fallpoint.plans.models import _summed
 
@@ -110,9 +111,9 @@ def interval_columns(rows: DataFrame, kin: Kinetics, *, id_col, half: Column | N
 
 
 def series_moments(intervals: DataFrame, kin: Kinetics, *, id_col, keys: Sequence[str] = (),
-                   where: Column | None = None) -> DataFrame:
-    """One row per series with ``g``: all sums of products of (moment columns, 1, response)."""
-    cols = [F.col(c) for c in kin.raw] + [F.lit(1.0), F.col("dy")]
+                   where: Column | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """One row per series with ``g``: all sums of products of (moment columns, 1, response, ``more`` columns)."""
+    cols = [F.col(c) for c in kin.raw] + [F.lit(1.0), F.col("dy"), *map(F.col, more)]
     rows = intervals.where(F.col("dy").isNotNull() if where is None else (F.col("dy").isNotNull() & where))
     n = len(cols)
     aggs = [F.sum(cols[i] * cols[j]).alias(f"_{i}_{j}") for i in range(n) for j in range(i, n)]
@@ -121,6 +122,17 @@ def series_moments(intervals: DataFrame, kin: Kinetics, *, id_col, keys: Sequenc
     return out.select(*as_list(id_col), *keys, F.array(*[cell(i, j) for i in range(n) for j in range(n)]).alias("g"))
 
 
+def diluted(moments: DataFrame, kin: Kinetics) -> DataFrame:
+    """The moments of a model with a daily loss, from those of one without that hold the level behind the response (``more``)."""
+    q, d = len(kin.raw), kin.dilution
+    n = q + 3
+    cell = lambda i, j: F.col("g")[i * n + j]
+    row = lambda i: [cell(i, j) for j in range(q + 1)] + [cell(i, q + 1) + d * cell(i, q + 2)]
+    last = [cell(q + 1, j) + d * cell(q + 2, j) for j in range(q + 1)] + [
+        cell(q + 1, q + 1) + 2 * d * cell(q + 1, q + 2) + d * d * cell(q + 2, q + 2)]
+    return moments.withColumn("g", F.array(*[c for i in range(q + 1) for c in row(i)], *last))
+
+
 def form_moments(intervals: DataFrame, kin: Kinetics, forms: Sequence[tuple], *, id_col: str, fold: str) -> DataFrame:
     """One row per series with ``g`` as in ``series_moments`` and ``e``: for every consumption form (half, floor) the row of g that holds
     the sums of products with its consumption.  All else is alike in all forms, and rows are not multiplied by them.
@@ -236,7 +248,7 @@ class PanelFits:
         c = range(len(kin.covariates))
         cols = [f"p{i} double" for i in range(len(kin.names))] + ["shrink double"]
         cols += [f"m{i} double" for i in c] + [f"s{i} double" for i in c]
-        return spark.createDataFrame(rows, "fold int, " + ", ".join(cols))
+        return few_rows(spark, rows, "fold int, " + ", ".join(cols))
 
 
 def fit_panel(moments: DataFrame, kin: Kinetics, *, fold: str, folds: int, mean: np.ndarray, sd: np.ndarray,
@@ -505,8 +517,9 @@ def two_step_errors(rows: DataFrame, *, id_col, day_col: str, level_col: str, ha
         "_s1", "_g", "_l", "_t", "_obs")
 
 
-def root_mean_square(c: str) -> Column:
-    return F.sqrt(F.avg(F.col(c) * F.col(c)))
+def root_mean_square(c: str, over: WindowSpec | None = None) -> Column:
+    mean = F.avg(F.col(c) * F.col(c))
+    return F.sqrt(mean if over is None else mean.over(over))
 
 
 def choose_form(fits: PanelFits) -> np.ndarray:

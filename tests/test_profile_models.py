@@ -1,5 +1,8 @@
 """Variants of the profile models against each other."""
 
+from dataclasses import replace
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +68,24 @@ def test_form_moments_are_those_of_multiplied_rows(spark):
             g = np.array(got.loc[r["id"], "g"]).reshape(n, n)
             g[eat, :] = g[:, eat] = np.array(got.loc[r["id"], "e"]).reshape(len(forms), n)[i]
             assert np.allclose(g, np.array(r["g"]).reshape(n, n)) and got.loc[r["id"], "fold"] == r["fold"]
+
+
+@pytest.mark.parametrize("make", [lambda w, f, **k: jobs.score_profiles(w, f, KIN2, frozen="state", **k), lambda w, f, **k: jobs.true_forecast(w, f, KIN2, **k),
+                                  lambda w, f, **k: panel.expected_trajectory(w, f.frame(w.sparkSession), KIN2, **k)])
+def test_rows_are_dealt_by_series_once(fitted, make):
+    """Parameters go to the rows: rows are neither sorted nor sent by fold, nor stored or joined with themselves on the way."""
+    plan = make(*fitted, id_col="id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "BuildLeft" not in plan and plan.count("FileScan") == 1
+
+
+def test_dilutions_share_their_moments(spark, fitted, monkeypatch):
+    w, _ = fitted
+    loss = [0.0, 0.02]
+    one = [jobs.fit_on_folds(w, replace(KIN2, dilution=d), id_col="id", fold="fold", folds=5) for d in loss]
+    read, whole = [], panel.interval_columns
+    monkeypatch.setattr(panel, "interval_columns", lambda *a, **k: read.append(1) or whole(*a, **k))
+    both = jobs.fit_dilutions(w, KIN2, loss, id_col="id", fold="fold", folds=5)
+    assert len(read) == 1 and [f.kinetics.dilution for f in both] == loss
+    for a, b in zip(one, both):
+        np.testing.assert_allclose(a.theta, b.theta, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(a.mse, b.mse, rtol=1e-9)

@@ -17,7 +17,7 @@ from workload.ctes import detect as detect_sql
 from workload.ctes import with_ctes
 from workload.registry import query, r6
 from workload.ctes import labels as labels_sql
-from workload.series import KEY, LX, MEASURES, _scores, pp, rate_table, scored_rows, window_rows
+from workload.series import KEY, LX, MEASURES, _scores, pp, rate_table, scored_rows, shared_tables, window_rows
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 BASE = list(risk.DAY_FLAGS)
@@ -42,8 +42,8 @@ def day_table(spark, sf, repeats=1, k=5):
     return cut(folded(cut(x.join(lab, "id").where("occurred")), repeats, k))
 
 
-def hazard_rows(spark, sf, repeats=1, lead=1):
-    rows = cut(pp(spark, sf, lead=lead))
+def hazard_rows(spark, sf, repeats=1, lead=1, shared=None):
+    rows = cut(pp(spark, sf, lead=lead, shared=shared))
     return cut(folded(rows.withColumn("_has", F.max("y").over(grid.whole("id"))), repeats, stratum="_has").drop("_has"))
 
 
@@ -173,8 +173,8 @@ def _(spark, sf):
 COV = ("click_prev", "view_prev")
 
 
-def folded_window(spark, sf, keep=0.85):
-    w = cut(window_rows(spark, sf, keep))
+def folded_window(spark, sf, keep=0.85, shared=None):
+    w = cut(window_rows(spark, sf, keep, shared))
     return cut(w.join(resample.fold_of(w, id_col="id").drop("repeat"), "id"))
 
 
@@ -250,10 +250,11 @@ def _(spark, sf):
 
 
 def switched(spark, sf, columns=HAZARD):
-    w = folded_window(spark, sf)
+    shared = shared_tables(spark, sf)
+    w = folded_window(spark, sf, shared=shared)
     folds = w.select("id", "fold").distinct()
     tag = lambda df: df.join(folds, "id")
-    return cut(jobs.hazard_switch(w, cut(tag(pp(spark, sf))), cut(tag(pp(spark, sf, blind=True))), columns,
+    return cut(jobs.hazard_switch(w, cut(tag(pp(spark, sf, shared=shared))), cut(tag(pp(spark, sf, blind=True, shared=shared))), columns,
                                   MEASURES + ["d_exposure"], id_col="id")), w
 
 
@@ -333,7 +334,8 @@ def _(spark, sf):
 
 @query("j33_anticipation")
 def _(spark, sf):
-    by_lead = {n: hazard_rows(spark, sf, lead=n) for n in (1, 2)}
+    shared = shared_tables(spark, sf)
+    by_lead = {n: hazard_rows(spark, sf, lead=n, shared=shared) for n in (1, 2)}
     return jobs.anticipation(by_lead, BASE, HAZARD, id_col="id", folds=["f0"], resamples=300)
 
 
@@ -437,12 +439,12 @@ def _(spark, sf):
 
 @query("j40_window_and_dilution_sensitivity")
 def _(spark, sf):
-    out = None
+    out, shared = None, shared_tables(spark, sf)
     for keep in (0.85, 0.75, None):
-        w = folded_window(spark, sf, keep)
-        for d in (0.0, 0.01, 0.02, 0.03) if keep == 0.85 else (0.0, 0.02):  # fixed values: the published grid
-            kin = replace(KIN, dilution=d)
-            fits = jobs.fit_on_folds(w, kin, id_col="id", fold="fold", folds=5)
+        w = folded_window(spark, sf, keep, shared)
+        grid_ = (0.0, 0.01, 0.02, 0.03) if keep == 0.85 else (0.0, 0.02)  # fixed values: the published grid
+        for d, fits in zip(grid_, jobs.fit_dilutions(w, KIN, grid_, id_col="id", fold="fold", folds=5)):
+            kin = fits.kinetics
             one = jobs.score_profiles(w, fits, kin, id_col="id", name="always_on").agg(
                 F.avg("rmse").alias("rmse"), F.avg("rmse2").alias("rmse2"), F.count(F.lit(1)).alias("ids"))
             one = one.select(F.lit(keep).cast("double").alias("keep"), F.lit(d).alias("dilution"), "ids", "rmse", "rmse2")

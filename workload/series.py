@@ -48,6 +48,18 @@ def stored_daily(spark, sf):
     return cut(daily(spark, sf))
 
 
+def daily_and_labels(spark, sf):
+    """The stored daily table and the labels on it."""
+    d = stored_daily(spark, sf)
+    return d, rate_table(spark, sf, d)
+
+
+def shared_tables(spark, sf):
+    """Daily table and labels for a query that makes several tables from them: both are formed once."""
+    d, labels = daily_and_labels(spark, sf)
+    return d, cut(labels)
+
+
 # ---------------------------------------------------------------- event rules
 
 
@@ -211,9 +223,9 @@ def _(spark, sf):
     return rate_table(spark, sf).select(*_lab_cols.split(", "))
 
 
-def pp(spark, sf, lead=1, blind=False):
-    d = stored_daily(spark, sf)
-    return risk.person_period(d, rate_table(spark, sf, d), **KEY, measures=MEASURES, exposure_col="exposure",
+def pp(spark, sf, lead=1, blind=False, shared=None):
+    d, labels = shared or daily_and_labels(spark, sf)
+    return risk.person_period(d, labels, **KEY, measures=MEASURES, exposure_col="exposure",
                               setpoint_col="setpoint", group_col="segment", lead=lead, blind=blind)
 
 
@@ -304,9 +316,9 @@ _mw = {"mi": """select dy.*, case when level is not null and exposure is not nul
     cast(coalesce(me.day >= case when lab.event then lab.day end, false) as int)::double as state from me join lab on lab.id = me.id where me.day <= end_day"""}
 
 
-def window_rows(spark, sf, keep=0.85):
-    d = stored_daily(spark, sf)
-    return risk.modelling_window(d, rate_table(spark, sf, d), **LX, covariates=["click", "view"], keep=keep)
+def window_rows(spark, sf, keep=0.85, shared=None):
+    d, labels = shared or daily_and_labels(spark, sf)
+    return risk.modelling_window(d, labels, **LX, covariates=["click", "view"], keep=keep)
 
 
 @query("i19_modelling_window", with_ctes(_lab | _mw, """select id, day, round(level, 6) as level, round(exposure, 6) as exposure,
