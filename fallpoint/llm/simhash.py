@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,32 +153,41 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = 2_000_000) -> Iterat
             yield batch.slice(x, y - x)
 
 
+def rare_first(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Distinct shingles in an order common to all texts: those that are not in ``late`` first, each part as given."""
+    if not len(late):
+        return tokens
+    last = np.isin(tokens, late, assume_unique=True)
+    return np.concatenate((tokens[~last], tokens[last]))
+
+
 PLACES = 1 << 22  # bits by which a scan tells most texts that are not wanted
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = SHINGLE) -> DataFrame:
+def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = SHINGLE, hot: np.ndarray | None = None) -> DataFrame:
     """item, fp and the text's shingles as an array of longs, of ``texts`` (_sha, text) that are in ``wanted`` (item, fp, _sha).
 
     The tasks that read the texts leave out most others by a table of ``PLACES`` bits, so that few sets are
-    shuffled; the join leaves out the rest.
+    shuffled; the join leaves out the rest.  With ``hot`` the shingles are in the order of ``prefixes`` and a text comes once for each of its rows.
     """
     places = wanted.select(F.pmod("item", F.lit(PLACES)).alias("place")).distinct().toArrow()["place"].to_numpy()  # PLACES rows at most
     bits = np.zeros(PLACES, dtype=bool)
     bits[places] = True
-    shipped = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shipped = texts.sparkSession.sparkContext.broadcast((np.packbits(bits), np.zeros(0, np.uint64) if hot is None else hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(shipped.value).astype(bool)
+        asked, late = np.unpackbits(shipped.value[0]).astype(bool), shipped.value[1]
         for b in batches:
             some = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
             for part in slices(some, 1):
-                sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column(1)]
+                sets = [rare_first(shingles(t.as_py(), words), late).view(np.int64) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets))], names=["_sha", "shingles"])
 
     place = F.pmod(F.xxhash64("_sha"), F.lit(PLACES)).alias("place")
     found = texts.select("_sha", text_of("text"), place).mapInArrow(run, "_sha string, shingles array<long>")
-    return found.join(wanted, "_sha").dropDuplicates(["_sha"]).select("item", "fp", "shingles")
+    found = found.join(wanted, "_sha")
+    return (found.dropDuplicates(["_sha"]) if hot is None else found).select("item", "fp", "shingles")
 
 
 HOT_SAMPLE, HOT_TIMES, HOT_MOST = 64, 3, 100_000  # one text of so many is asked; shingles met so often in it; at most so many
@@ -211,8 +220,7 @@ def prefixes(texts: DataFrame, hot: np.ndarray, least: float = SIMILARITY) -> Da
             tokens, sizes, taken = [np.zeros(0, np.uint64)], [], []
             for t in b.column(1):
                 x = shingles(t.as_py())
-                last = np.isin(x, late, assume_unique=True) if len(late) else np.zeros(len(x), bool)
-                tokens.append(np.concatenate((x[~last], x[last]))[:prefix_length(len(x), least)])
+                tokens.append(rare_first(x, late)[:prefix_length(len(x), least)])
                 sizes.append(len(x))
                 taken.append(len(tokens[-1]))
             items = b.column(0).to_numpy(zero_copy_only=False)
@@ -243,16 +251,58 @@ def likely(matches: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return counted.where(F.col("count") >= overlap + F.least(taken("size"), taken("size_b"))).select("item", "other")
 
 
+LARGE = 128  # texts of a shingle that are compared two by two; larger groups are divided
+
+
+def leaders(rows: DataFrame) -> DataFrame:
+    """item, size, other: every text of ``rows`` (token, item, size) with the smallest one of each of its groups."""
+    least = F.min(F.struct("size", F.col("item").alias("other"))).alias("l")
+    return rows.join(rows.groupBy("token").agg(least), "token").select("item", "size", "l.other").where("item <> other").distinct()
+
+
+def divided(met: DataFrame, sets: DataFrame, led: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to leaders, and the places (token, item, size, gap, early) at which the texts of one leader meet.
+
+    ``met`` is that of ``leaders``, ``sets`` and ``led`` are the ordered shingles of the texts and of the leaders.  Two texts
+    differ from each other where their differences from the leader differ.  So of two similar ones the one with fewer
+    differences (``gap``) has one of its early places in common with a place of the other: first the shingles that the leader
+    lacks, rare ones first, then those that few texts lack.  Only two that differ from the leader at no common place have
+    none; they are similar to each other only if both are to the leader, and linked.
+    """
+    mine = sets.select("item", F.col("fp").alias("a"), "shingles")
+    theirs = led.select(F.col("item").alias("other"), F.col("fp").alias("b"), F.col("shingles").alias("shingles_b"))
+    own, missing = F.array_except("shingles", "shingles_b"), F.array_except("shingles_b", "shingles")
+    # So many places and no more lie between a text and a similar one; at most half of them are only the one's that has fewer.
+    most = F.floor(F.lit((1 - least) / least) * F.col("size") + 1e-6).cast("int")
+    both = mine.join(met, "item").join(theirs, "other").select(
+        "item", "size", "other", "a", "b", (F.size("shingles") + F.size("shingles_b")).alias("sizes"), own.alias("own"), missing.alias("missing"))
+    both = both.withColumn("gap", F.size("own") + F.size("missing")).withColumn("far", F.size("own") > most)
+    both = both.withColumns({"own": F.slice("own", 1, most + 1), "missing": F.when(~F.col("far"), F.col("missing"))})
+    both = store(both.dropDuplicates(["item", "other"]), "differences")
+    common = (F.col("sizes") - F.col("gap")) / 2
+    found = both.where(common >= F.lit(least) * (F.col("sizes") - common)).select("a", "b")
+    base = ["item", "size", "other", "gap"]
+    first = both.select(*base, F.posexplode("own").alias("at", "place")).select(*base, "place", (F.col("at") + 1).alias("at"))
+    lacking = both.select(*base, F.size("own").alias("before"), F.explode("missing").alias("place"))
+    often = lacking.groupBy("other", "place").agg(F.count("*").alias("n"))
+    behind = F.row_number().over(Window.partitionBy("other", "item").orderBy("n", "place"))
+    last = lacking.join(often, ["other", "place"]).select(*base, "place", (F.col("before") + behind).alias("at"))
+    places = first.union(last).where(F.col("at") <= most + 1)
+    return found, places.select(F.xxhash64("other", "place").alias("token"), "item", "size", "gap", (F.col("at") <= F.floor(most / 2) + 1).alias("early"))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """Links (a, b) of fingerprints that, with ``known`` ones, connect all texts of at least that Jaccard similarity.
 
     ``prints`` holds (fp, _sha) of the rows.  Texts that share a first shingle are candidates.  In ``rounds`` rounds the
-    texts of a shingle meet one of them, the leader, which puts large groups together with few pairs.  Then all pairs
-    that are not yet connected meet: no pair is left out, and those of one component need no look.
+    texts of a shingle meet one of them, the leader, which puts large groups together with few pairs.  Groups that are still
+    larger than ``LARGE`` are divided by what differs from a leader.  Then all pairs of a group that are not yet connected
+    meet: no pair is left out, and those of one component need no look.
     """
     keyed = docs.select(row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
     texts = keyed.select(F.xxhash64("_sha").alias("item"), "text")
-    tokens = prefixes(texts, hot_shingles(texts), least)
+    hot = hot_shingles(texts)
+    tokens = prefixes(texts, hot, least)
     fit = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-6
     fits = fit(F.col("size"), F.col("size_b"))
     # Where only two texts share a shingle, their sizes tell at once.
@@ -261,38 +311,68 @@ def similar_links(docs: DataFrame, prints: DataFrame, known: DataFrame, id_col:
     live = store(tokens.join(shared, "token").distinct(), "shared-shingles")
     numbered = store(prints.select("_sha", "fp", F.xxhash64("_sha").alias("item")).distinct(), "items")
 
+    def wanted(items: DataFrame) -> DataFrame:
+        return store(numbered.join(items.distinct(), "item"), "candidate-texts")
+
     def verified(candidates: DataFrame) -> DataFrame:
-        pairs = store(likely(candidates, least), "candidates")
-        taking = pairs.select("item").union(pairs.select("other")).distinct()
-        wanted = store(numbered.join(taking, "item"), "candidate-texts")
-        return store(similar(pairs, store(shingle_sets(keyed, wanted), "shingles"), least), "links")
+        pairs = store(candidates, "candidates")
+        texts = wanted(pairs.select("item").union(pairs.select("other")))
+        return store(similar(pairs, store(shingle_sets(keyed, texts), "shingles"), least), "links")
 
-    def open_rows() -> DataFrame:
+    def opened(rows: DataFrame) -> DataFrame:
         found = components(known).select(F.col("node").alias("fp"), "component")
         named = numbered.join(found, "fp", "left").select("item", F.coalesce("component", "fp").alias("comp")).distinct()
-        rows = live.join(named, "item").select("token", "item", "size", "comp")
+        rows = rows.join(named, "item")
         apart = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         return store(rows.join(apart, "token"), "open-shingles")
 
+    def marked(rows: DataFrame) -> DataFrame:
+        # Of two components at least one is not the largest of the shingle, so its rows (few) meet all others and the largest one's do not meet each other.
+        most = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("largest"))
+        return rows.join(most, "token").withColumn("few", F.col("comp") != F.col("largest")).drop("largest")
+
+    def others(rows: DataFrame) -> DataFrame:
+        return rows.select("token", *[F.col(c).alias(d) for c, d in (("item", "other"), ("size", "size_b"), ("comp", "comp_b"), ("few", "few_b"))],
+                           *[F.col(c).alias("gap_b") for c in rows.columns if c == "gap"])
+
+    # Which of two is named first may differ by shingle.
+    ordered = [F.when(F.col("item") < F.col("other"), F.col(x)).otherwise(F.col(y)).alias(x)
+               for x, y in (("item", "other"), ("other", "item"), ("size", "size_b"), ("size_b", "size"))]
+
     for k in range(rounds):
-        rows = open_rows()
+        rows = opened(live)
         leader = F.min(F.struct(F.xxhash64("item", F.lit(k)), F.col("item").alias("other"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b")))
         met = rows.join(rows.groupBy("token").agg(leader.alias("l")), "token").select("item", "size", "comp", "l.other", "l.size_b", "l.comp_b")
-        new = verified(met.where((F.col("comp") != F.col("comp_b")) & fits))
+        new = verified(likely(met.where((F.col("comp") != F.col("comp_b")) & fits), least))
         if new.isEmpty():
             break
         known = known.union(new)
-    rows = open_rows()
-    # Of two components at least one is not the largest of the shingle, so its rows meet all others and the largest one's do not meet each other.
-    most = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("largest"))
-    few = rows.join(most, "token").where("comp <> largest")
-    theirs = rows.select("token", F.col("item").alias("other"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-    once = (F.col("comp_b") == F.col("largest")) | (F.col("item") < F.col("other"))
-    met = few.join(theirs, "token").where((F.col("comp") != F.col("comp_b")) & once & fits)
-    # Which of two is named first may differ by shingle.
-    met = met.select(*[F.when(F.col("item") < F.col("other"), F.col(x)).otherwise(F.col(y)).alias(x)
-                       for x, y in (("item", "other"), ("other", "item"), ("size", "size_b"), ("size_b", "size"))])
-    return known.union(verified(met))
+    rows, parts = opened(live), None
+    large = store(rows.groupBy("token").count().where(F.col("count") > LARGE).select("token"), "large-groups")
+    if not large.isEmpty():
+        met = store(leaders(rows.join(large, "token")), "leaders")
+        led = store(shingle_sets(keyed, wanted(met.select(F.col("other").alias("item"))), hot=hot).dropDuplicates(["item"]), "shingles")
+        new, places = divided(met, shingle_sets(keyed, wanted(met.select("item")), hot=hot), led, least)
+        known = known.union(store(new, "links"))
+        places = store(places, "places")
+        shared = places.groupBy("token").agg(F.count("*").alias("n"), F.max("early").alias("early")).where("n > 1 and early").select("token")
+        places = store(places.join(shared, "token"), "places")
+        near = opened(places)  # texts of one place are often copies of each other: one of them puts most together
+        first = near.groupBy("token").agg(F.min(F.struct(F.xxhash64("item"), F.col("item").alias("other"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))).alias("l"))
+        met = near.join(first, "token").select("item", "size", "comp", "l.other", "l.size_b", "l.comp_b")
+        known = known.union(verified(met.where((F.col("comp") != F.col("comp_b")) & fits).select("item", "other").distinct()))
+        parts = marked(opened(places))
+        rows = opened(live.join(large, "token", "left_anti"))
+    rows = marked(rows)
+    once = ~F.col("few_b") | (F.col("item") < F.col("other"))
+    met = rows.where("few").join(others(rows), "token").where((F.col("comp") != F.col("comp_b")) & once & fits).select(*ordered)
+    # A pair that shares a divided shingle as well meets in the parts, so the number of shared shingles is whole for the others.
+    candidates = likely(met, least)
+    if parts is not None:
+        fewer = (F.col("comp") != F.col("comp_b")) & (F.struct("gap", "item") < F.struct(F.col("gap_b"), F.col("other"))) & fits
+        for early, late in ((parts.where("early and few"), others(parts)), (parts.where("early and not few"), others(parts).where("few_b"))):
+            candidates = candidates.union(early.join(late, "token").where(fewer).select(*ordered[:2]))
+    return known.union(verified(candidates.distinct()))
 
 
 def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, wider: bool = True) -> DataFrame:

@@ -89,3 +89,23 @@ def test_repeated_ids_link_nothing(spark):
     data = spark.createDataFrame([(1, one), (1, two), (2, one.upper()), (None, three), (None, three.upper())], "doc_id long, text string")
     kept = [(r["doc_id"], r["text"]) for r in simhash.near_representatives(data).collect()]
     assert len(kept) == 3 and {one, two} <= {t for _, t in kept} and sorted(i or 0 for i, _ in kept) == [0, 1, 1]
+
+
+@pytest.mark.parametrize("large", [2, 64])
+def test_divided_groups_lose_no_link(spark, monkeypatch, large):
+    """Changed copies of one text, most too far from each other: groups are divided, their texts do not all meet."""
+    rng, met, likely = random.Random(12), [], simhash.likely
+    monkeypatch.setattr(simhash, "LARGE", large, raising=False)
+    monkeypatch.setattr(simhash, "likely", lambda matches, least: (met.append(matches.count()), likely(matches, least))[1])
+    base = rng.choices(WORDS, k=150)
+    texts = [changed(rng, base, rng.choice((1, 2, 3, 4))) for _ in range(220)]
+    texts += [changed(rng, t, 1) for t in texts[:20]] + [t[:rng.randrange(100, 150)] for t in texts[:30]] + [rng.choices(WORDS, k=40) + base for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in zip(rng.sample(range(len(texts)), len(texts)), texts)]
+    want = plain_survivors(rows)
+    assert 20 < len(want) < 250 and survivors(spark, rows) == want
+    assert met[-1] < 40_000  # 200 thousand and more where every text of a shared shingle met every other
+
+
+def test_small_groups_divided_keep_chains(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 2)
+    test_links_between_followers_are_found(spark)
