@@ -1,22 +1,27 @@
 """Quality rules: surface counts and bands of n-gram perplexity by language.
 
-Spark counts the character n-grams of all texts.  From the counts comes a modified Kneser-Ney
-model whose n-grams are kept as sorted hash arrays: the hash of an n-gram is its symbols' codes
-packed side by side, so it cannot collide.  There are 64 symbols and four places, hence at most 2^24
-entries of eight bytes whatever the corpus: a proven bound for what every task holds.  The counts
-themselves are taken over whole texts, and what is shuffled for them grows with the input.
+Spark counts the words of all texts, whole and unfolded, and the character n-grams.  A word's probability is its discounted
+count without the occurrence in question, mixed with the probability of its spelling.  The table of words grows with the corpus:
+the most frequent ones, 2^20 at most, go to every task, and the others are joined by their hash.
+
+The spelling comes from a modified Kneser-Ney model over characters whose n-grams are kept as sorted hash arrays: the hash
+of an n-gram is its symbols' codes packed side by side, so it cannot collide.  There are 64 symbols and four places, hence at
+most 2^24 entries of eight bytes; only words that the corpus hardly has elsewhere rest on it alone.
 Texts whose perplexity leaves the band of their language and length, above or below, are rejected; the bands come from
 the quartiles of the corpus itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallpoint.llm.common import prepared, store, text_of
@@ -31,6 +36,8 @@ WIDTH = 7.0  # a limit lies so many times the distance of its quartile from the
 LEAST = 0.05  # but never nearer to the median than this, in log10: texts that hardly differ make no narrower band
 STEADY = 30.0  # a length class with so many different texts counts as much for its band as its whole language
 CHUNK = 1 << 20
+FREQUENT = 1 << 20  # words whose counts every task holds; the counts of all others reach the texts through a join
+REMEMBERED = 200_000  # different words that a task keeps in memory at a time
 FOLLOWING = bytes(range(0x80, 0xC0))  # bytes that continue a code point in UTF-8
 
 
@@ -59,8 +66,8 @@ def symbol_table() -> np.ndarray:
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def grams(text: str) -> Iterator[np.ndarray]:
-    """Packed n-grams of a text, one for each code point; three blanks stand before the first."""
+def pieces(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of a text and the packed n-gram that ends at each; three blanks stand before the first."""
     if "symbols" not in _TABLES:
         _TABLES["symbols"] = symbol_table()
     table, tail = _TABLES["symbols"], np.ones(ORDER - 1, dtype=np.uint32)
@@ -69,7 +76,12 @@ def grams(text: str) -> Iterator[np.ndarray]:
         codes = np.concatenate((tail, table[points & np.uint32(0xFFFF)]))
         packed = codes[:-3] << np.uint32(18) | codes[1:-2] << np.uint32(12) | codes[2:-1] << np.uint32(6) | codes[3:]
         tail = codes[-(ORDER - 1):]
-        yield packed
+        yield points, packed
+
+
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Packed n-grams of a text, one for each code point."""
+    return (packed for _, packed in pieces(text))
 
 
 def letter_runs(packed: np.ndarray) -> int:
@@ -120,24 +132,25 @@ class PerplexityModel:
     backoff: np.ndarray  # log10 weight left for unseen continuations, by context of three symbols
     lower: np.ndarray  # log10 probability by the last three symbols
 
-    def score(self, packed: np.ndarray) -> float:
-        """Sum of log10 probabilities."""
-        if not len(packed):
-            return 0.0
+    def each(self, packed: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each n-gram."""
         if not len(self.keys):
-            return -len(packed) * float(np.log10(SYMBOLS))
+            return np.full(len(packed), -np.log10(SYMBOLS))
         at = np.minimum(np.searchsorted(self.keys, packed), len(self.keys) - 1)
-        seen = self.keys[at] == packed
-        total = float(self.logs[at[seen]].sum(dtype=np.float64))
-        other = packed[~seen]
-        if len(other):
-            total += float((self.backoff[other >> np.uint32(BITS)] + self.lower[other & np.uint32(SYMBOLS ** 3 - 1)]).sum(dtype=np.float64))
-        return total
+        logs = self.logs[at]
+        unseen = np.nonzero(self.keys[at] != packed)[0]
+        if len(unseen):
+            other = packed[unseen]
+            logs[unseen] = self.backoff[other >> np.uint32(BITS)] + self.lower[other & np.uint32(SYMBOLS ** 3 - 1)]
+        return logs
+
+    def score(self, packed: np.ndarray) -> float:
+        """Sum of log10 probabilities."""
+        return float(self.each(packed).sum(dtype=np.float64))
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def discounts(n: list[int]) -> np.ndarray:
     """The three discounts of the modified method from the numbers of n-grams met once to four times; 0 for count zero."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
     out = [0.0]
     for k in (1, 2, 3):
@@ -158,7 +171,7 @@ def kneser_ney(grams_: np.ndarray, n: np.ndarray) -> PerplexityModel:
     weights = probabilities = None
     for k, (some, c) in enumerate(level, start=1):
         context = (some >> np.uint32(BITS)).astype(np.int64)
-        d = discounts(c)[np.minimum(c, 3).astype(int)]
+        d = discounts([int((c == k).sum()) for k in range(1, 5)])[np.minimum(c, 3).astype(int)]
         size = SYMBOLS ** (k - 1)
         total = np.bincount(context, weights=c, minlength=size)
         left = np.bincount(context, weights=d, minlength=size)
@@ -174,17 +187,104 @@ def kneser_ney(grams_: np.ndarray, n: np.ndarray) -> PerplexityModel:
                            np.log10(below).astype(np.float32))
 
 
-def fit_perplexity(docs: DataFrame, text_col: str = "text") -> PerplexityModel:
-    """The model of all texts.  The driver gets one row for each distinct n-gram, at most 2^24."""
-    counted = count_grams(docs, text_col).toArrow()
-    if not counted.num_rows:
-        return PerplexityModel(np.zeros(0, np.uint32), *[np.zeros(0, np.float32)] * 3)
-    return kneser_ney(counted["gram"].to_numpy(), counted["n"].to_numpy())
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """64 bits of BLAKE2b of each word: two of a hundred million words share a hash in one corpus of some 3,700."""
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), dtype="<i8")
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word (hash), n: counts over all texts; each task adds up its own before the shuffle."""
+    prepared(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            words, n = list(found), np.fromiter(found.values(), dtype=np.int64, count=len(found))
+            for k in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words[k:k + 50_000])), pa.array(n[k:k + 50_000])], names=["word", "n"])
+            found.clear()
+
+        for b in batches:
+            for t in b.column(0):
+                found.update(t.as_py().encode("utf-8", "surrogatepass").split())
+                if len(found) > 2 * REMEMBERED:
+                    yield from told()
+        yield from told()
 
+    return docs.select(text_of(text_col)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def surface(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
-    parts = text.encode("utf-8", "surrogatepass").split()
+
+@dataclass
+class WordShares:
+    """What a word's probability takes from its count and what it leaves to its spelling.
+
+    The occurrence that is judged is taken out of the counts first: a word met once is new to the rest of the corpus.
+    """
+
+    total: int  # words of the corpus
+    taken: np.ndarray  # discounts of the counts 0, 1, 2 and more
+    left: float  # sum of the discounts of all different words
+
+    def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share by the count and weight of the spelling for words met n times, 0 for words that were not counted."""
+        other = np.maximum(n - 1, 0)
+        if self.total < 2:
+            return np.zeros(len(n)), np.ones(len(n))
+        now, then = self.taken[np.minimum(other, 3)], self.taken[np.minimum(n, 3)]
+        return (other - now) / (self.total - 1), (self.left - then + now) / (self.total - 1)
+
+    def logs(self, n: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """log10 probabilities of words met n times, with the log10 probability of the spelling of each."""
+        known, weight = self.of(n)
+        # A word that is nowhere else rests on its spelling alone, whose probability may be too small to write out.
+        return np.log10(np.where(known > 0, known + weight * np.power(10.0, spelling), weight)) + np.where(known > 0, 0.0, spelling)
+
+    def column(self, n: Column, spelling: Column) -> Column:
+        """``logs`` as a column; there are two words at least."""
+        other = F.greatest(n - 1, F.lit(0))
+        taken = F.array(*[F.lit(float(d)) for d in self.taken])
+        now, then = (taken[F.least(c, F.lit(3)).cast("int")] for c in (other, n))
+        known, weight = (other - now) / (self.total - 1), (F.lit(self.left) - then + now) / (self.total - 1)
+        return F.when(known > 0, F.log10(known + weight * F.pow(F.lit(10.0), spelling))).otherwise(F.log10(weight) + spelling)
+
+
+@dataclass
+class CorpusModel:
+    """Spelling, the counts of all words as a stored table, and those of the frequent words as sorted hash arrays."""
+
+    spelling: PerplexityModel
+    shares: WordShares
+    words: DataFrame  # word, n
+    least: int  # all words met at least so often are frequent
+    keys: np.ndarray
+    counts: np.ndarray
+
+
+def fit_perplexity(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> CorpusModel:
+    """The model of all texts.
+
+    The driver gets a row for each distinct n-gram of characters, at most 2^24, for each distinct count of a word, which are
+    fewer than the root of twice the number of words, and for each of at most ``frequent`` words.
+    """
+    counted = count_grams(docs, text_col).toArrow()
+    spelling = (kneser_ney(counted["gram"].to_numpy(), counted["n"].to_numpy()) if counted.num_rows
+                else PerplexityModel(np.zeros(0, np.uint32), *[np.zeros(0, np.float32)] * 3))
+    words = store(count_words(docs, text_col), "words")
+    times = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toArrow()
+    n, many = (times[c].to_numpy().astype(np.int64) for c in ("n", "words"))
+    taken = discounts([int(many[n == k].sum()) for k in range(1, 5)])
+    within = np.cumsum(many) <= frequent
+    least = 1 if within.all() else int(n[within][-1]) if within.any() else int(n[0]) + 1
+    top = words.where(F.col("n") >= least).toArrow()
+    order = np.argsort(top["word"].to_numpy(), kind="stable")
+    shares = WordShares(int((n * many).sum()), taken, float((taken[np.minimum(n, 3)] * many).sum()))
+    return CorpusModel(spelling, shares, words, least, top["word"].to_numpy()[order], top["n"].to_numpy()[order])
+
+
+def surface(text: str, parts: list[bytes] | None = None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text, whose words may be given."""
+    parts = text.encode("utf-8", "surrogatepass").split() if parts is None else parts
     n = len(parts)
     joined = b"".join(parts)
     chars = len(joined.translate(None, FOLLOWING))
@@ -214,28 +314,76 @@ def surface(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, signs, again, repeated
 
 
-def rated(docs: DataFrame, model: PerplexityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the surface counts, n_runs (of letters) and log10 of the perplexity of one (null where there is none)."""
+def spelled(text: str, model: PerplexityModel) -> tuple[np.ndarray, float, int]:
+    """log10 probability of the spelling of each word, up to and with the white space that ends it, that of the rest, and the runs of letters."""
+    logs, white, runs = [np.zeros(1)], [], 0
+    for points, packed in pieces(text):
+        logs.append(model.each(packed))
+        white.append((points == 32) | (points - np.uint32(9) < 5))
+        runs += letter_runs(packed)
+    sums = np.cumsum(np.concatenate(logs), dtype=np.float64)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], *white, [True]))))
+    each = sums[np.minimum(edges[1::2] + 1, len(sums) - 1)] - sums[edges[::2]]
+    return each, float(sums[-1] - each.sum()), runs
+
+
+def rated(docs: DataFrame, model: CorpusModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, the surface counts, n_runs (of letters) and log10 of the perplexity of one (null where there is none).
+
+    The texts are those of which the model was made.  Where not all words are frequent, a text's other words are joined
+    with their counts and their logarithms added to it.
+    """
     prepared(docs)
-    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.logs, model.backoff, model.lower))  # 2^24 entries at most
+    # 2^24 entries and 2^20 words at most
+    shipped = docs.sparkSession.sparkContext.broadcast((model.spelling.keys, model.spelling.logs, model.spelling.backoff, model.spelling.lower, model.keys, model.counts))
+    shares, some_rare = model.shares, model.least > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PerplexityModel(*shipped.value)
+        *arrays, keys, counts = shipped.value
+        own = PerplexityModel(*arrays)
+        known: dict[bytes, int] = {}  # -1 for words whose counts the task does not have
+        row = TaskContext.get().partitionId() << 33
+
+        def learn(words: list[bytes]) -> None:
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = list(set(words).difference(known))
+            n = np.full(len(new), -1 if some_rare else 0, dtype=np.int64)
+            if len(keys):
+                hashes = word_hashes(new)
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                n = np.where(keys[at] == hashes, counts[at], n)
+            known.update(zip(new, n.tolist()))
+
         for b in batches:
             rows = []
             for t in b.column(2):
                 text = t.as_py()
-                total, runs = 0.0, 0
-                for g in grams(text):
-                    total -= own.score(g)
-                    runs += letter_runs(g)
-                rows.append((*surface(text), runs, total / runs if runs else None))
-            columns = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.float64())],
-                                             names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_runs", "log_ppl"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col)).mapInArrow(
-        run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_runs long, log_ppl double")
+                words = text.encode("utf-8", "surrogatepass").split()
+                learn(words)
+                each, total, runs = spelled(text, own)
+                n = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+                rare = np.flatnonzero(n < 0)
+                total += float(shares.logs(n[n >= 0], each[n >= 0]).sum())
+                rows.append((*surface(text, words), runs, -total if runs else None, row,
+                             word_hashes(words[k] for k in rare).tolist() if runs else [], each[rare].tolist() if runs else []))
+                row += 1
+            columns = list(zip(*rows)) or [[]] * 10
+            kinds = [*[pa.int64()] * 6, pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                             names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_runs", "minus", "_row", "_words", "_logs"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col)).mapInArrow(
+        run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_runs long, "
+             "minus double, _row long, _words array<long>, _logs array<double>")
+    if some_rare:
+        rows = store(rows, "surface")
+        rare = rows.select("_row", F.inline(F.arrays_zip(F.col("_words").alias("word"), F.col("_logs").alias("spelling"))))
+        # Whole numbers of 10^-9, so that the order in which tasks end changes no sum.
+        log = F.round(shares.column(F.coalesce("n", F.lit(0)), F.col("spelling")) * 1e9).cast("long")
+        more = rare.join(model.words.where(F.col("n") < model.least), "word", "left").groupBy("_row").agg(F.sum(log).alias("more"))
+        rows = rows.join(more, "_row", "left").withColumn("minus", F.col("minus") - F.coalesce("more", F.lit(0)) / 1e9)
+    return rows.withColumn("log_ppl", F.col("minus") / F.col("n_runs")).drop("minus", "_row", "_words", "_logs")
 
 
 def perplexity_bands(rows: DataFrame, width: float = WIDTH, steady: float = STEADY) -> DataFrame:
