@@ -37,7 +37,7 @@ LEAST = 0.05  # but never nearer to the median than this, in log10: texts that h
 STEADY = 30.0  # a length class with so many different texts counts as much for its band as its whole language
 CHUNK = 1 << 20
 FREQUENT = 1 << 20  # words whose counts every task holds; the counts of all others reach the texts through a join
-REMEMBERED = 200_000  # different words that a task keeps in memory at a time
+REMEMBERED = 400_000  # different words that a task keeps in memory at a time
 FOLLOWING = bytes(range(0x80, 0xC0))  # bytes that continue a code point in UTF-8
 
 
@@ -144,6 +144,16 @@ class PerplexityModel:
             logs[unseen] = self.backoff[other >> np.uint32(BITS)] + self.lower[other & np.uint32(SYMBOLS ** 3 - 1)]
         return logs
 
+    def table(self) -> np.ndarray:
+        """``each`` of all 2^24 n-grams, 64 MB."""
+        if not len(self.keys):
+            return np.full(SYMBOLS ** ORDER, -np.log10(SYMBOLS), dtype=np.float32)
+        out = np.empty((SYMBOLS, SYMBOLS ** 2, SYMBOLS), dtype=np.float32)
+        np.add(self.backoff.reshape(SYMBOLS, -1, 1), self.lower.reshape(1, -1, SYMBOLS), out=out)
+        out = out.reshape(-1)
+        out[self.keys] = self.logs
+        return out
+
     def score(self, packed: np.ndarray) -> float:
         """Sum of log10 probabilities."""
         return float(self.each(packed).sum(dtype=np.float64))
@@ -208,7 +218,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 found.update(t.as_py().encode("utf-8", "surrogatepass").split())
-                if len(found) > 2 * REMEMBERED:
+                if len(found) > REMEMBERED:
                     yield from told()
         yield from told()
 
@@ -314,11 +324,11 @@ def surface(text: str, parts: list[bytes] | None = None) -> tuple[int, int, int,
     return n, chars, signs, again, repeated
 
 
-def spelled(text: str, model: PerplexityModel) -> tuple[np.ndarray, float, int]:
+def spelled(text: str, table: np.ndarray) -> tuple[np.ndarray, float, int]:
     """log10 probability of the spelling of each word, up to and with the white space that ends it, that of the rest, and the runs of letters."""
     logs, white, runs = [np.zeros(1)], [], 0
     for points, packed in pieces(text):
-        logs.append(model.each(packed))
+        logs.append(table[packed])
         white.append((points == 32) | (points - np.uint32(9) < 5))
         runs += letter_runs(packed)
     sums = np.cumsum(np.concatenate(logs), dtype=np.float64)
@@ -340,7 +350,7 @@ def rated(docs: DataFrame, model: CorpusModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *arrays, keys, counts = shipped.value
-        own = PerplexityModel(*arrays)
+        table = PerplexityModel(*arrays).table()
         known: dict[bytes, int] = {}  # -1 for words whose counts the task does not have
         row = TaskContext.get().partitionId() << 33
 
@@ -361,7 +371,7 @@ def rated(docs: DataFrame, model: CorpusModel, id_col: str = "doc_id", text_col:
                 text = t.as_py()
                 words = text.encode("utf-8", "surrogatepass").split()
                 learn(words)
-                each, total, runs = spelled(text, own)
+                each, total, runs = spelled(text, table)
                 n = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
                 rare = np.flatnonzero(n < 0)
                 total += float(shares.logs(n[n >= 0], each[n >= 0]).sum())
