@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,17 @@ def only_rows(docs: DataFrame, stays: DataFrame, id_col: str = "doc_id", text_co
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_key(id_col, text_col))
     return keyed.join(stays, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select("row.*")
+
+
+_HELD: dict = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What a Python worker keeps from task to task under ``key``, made once.
+
+    Spark lets workers go on from one stage to the next; asking for something else drops what the stage before left.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fallpoint.llm.common import prepared, text_of
+from fallpoint.llm.common import held, prepared, text_of
 
 UNDETERMINED = "und"
 SIZE = 1 << 13  # hashed features
@@ -37,13 +37,8 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
 def letters() -> np.ndarray:
-    if "letters" not in _TABLES:
-        _TABLES["letters"] = letter_table()
-    return _TABLES["letters"]
+    return held("letters", letter_table)
 
 
 def counts(text: str) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fallpoint.llm.bpe import byte_letters
-from fallpoint.llm.common import prepared, text_of
+from fallpoint.llm.common import held, prepared, text_of
 
 WINDOW = 2048
 END_ID = 1
@@ -56,7 +56,7 @@ class ChunkCoder:
     runs' ids one after the other; that is checked against the file's pre-tokenizer when it opens.
     """
 
-    LIMIT = 800_000  # runs that the memory may hold; beyond, those met once only are forgotten
+    LIMIT = 400_000  # runs that the memory may hold; beyond, those met once only are forgotten
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,14 +131,9 @@ class ChunkCoder:
         return [b"".join(map(get, runs)) for runs in split]
 
 
-_CODERS: dict[str, ChunkCoder] = {}
-
-
 def coder_at(path: str) -> ChunkCoder:
     """One coder per file and Python worker."""
-    if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(path)
-    return _CODERS[path]
+    return held(("coder", path), lambda: ChunkCoder(path))
 
 
 def pack_task(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
