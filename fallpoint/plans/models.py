@@ -648,6 +648,29 @@ def _efron_terms(run, tied, d, seen, p: int, inverse_sums=_inverse_sums):
 
 
 COX_ROWS = 4096  # rows whose p x p products a task holds at a time
+COX_CELLS = 1 << 15  # sums that a model may have over all times for them to be formed time by time in one pass
+COX_RUN = 32  # rows of a time from which a matrix product is cheaper than the products of every row
+
+
+def time_sums(x: np.ndarray, r: np.ndarray, e: np.ndarray, w: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of each run of rows that starts at ``begin``: r, r x, r xx' of all rows and of those with an event, weight and weight x of the events.
+
+    Where a time has many rows its products are matrix products; only where times have few rows are the products of every row laid out.
+    """
+    p, n = x.shape[1], len(r)
+    q, hit = 1 + p + p * p, (e * w)[:, None]
+    if len(begin) * COX_RUN > n:
+        every = np.concatenate([r[:, None], x * r[:, None], (r[:, None, None] * x[:, :, None] * x[:, None, :]).reshape(n, -1)], axis=1)
+        return np.add.reduceat(np.concatenate([every, every * e[:, None], hit, x * hit], axis=1), begin, axis=0)
+    with_one = np.concatenate([np.ones((n, 1)), x], axis=1)
+    out = np.empty((len(begin), 2 * q + 1 + p))
+    for k, (a, b) in enumerate(zip(begin, np.append(begin[1:], n))):
+        y = with_one[a:b]
+        for at, weight in ((0, r[a:b]), (q, r[a:b] * e[a:b])):
+            both = (y * weight[:, None]).T @ y
+            out[k, at:at + 1 + p], out[k, at + 1 + p:at + q] = both[0], both[1:, 1:].ravel()
+        out[k, 2 * q:] = hit[a:b, 0] @ y
+    return out
 
 
 def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, member: Membership = Membership(),
@@ -657,7 +680,8 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
     Rows are dealt once into ranges from the last time on; one time may spread over several.  A pass adds up
     exp(xb), x exp(xb) and xx' exp(xb) per range, forms what lies ahead of each range from these totals, and
     sums the event times inside the ranges; times at an end of a range are put together from their pieces.  So no time,
-    and no number of distinct times, gathers in one task; the driver gets p + p x p cells per model.
+    and no number of distinct times, gathers in one task; the driver gets p + p x p cells per model.  Where there are few
+    distinct times (``COX_CELLS`` sums a model), every task adds up each of them in one pass, and rows are not dealt again.
 
     ``sets`` names a column 0 .. count - 1 of label sets: the rows repeated with other times and events (shuffles).
     Model s * member.models + i is that of set s; all sets are fitted in the same passes.  Rows without a time
@@ -680,16 +704,17 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = cut(data.repartitionByRange(parts, "_set", F.col(time).desc(), "_salt").withColumn("_range", F.spark_partition_id()).drop("_salt"))
     beta, q, worst = np.zeros((m * count, p)), 1 + p + p * p, np.inf
-    terms = _efron_terms
+    terms, shape = _efron_terms, 2 * q + 1 + p
+    few = data.select(time).distinct().limit(COX_CELLS // shape + 1).toPandas()[time].to_numpy()
+    few = np.sort(few)[::-1] if len(few) <= COX_CELLS // shape else None
     for _ in range(rounds):
         args = (beta.copy(), scale.median, scale.center, scale.scale)
 
-        def scored(part, i, args=args):
+        def scored(x, i, args=args):
             import numpy as np
 
             b, med, cen, sca = args
-            x = part[cols].to_numpy(dtype=float)
-            xi = (np.where(np.isnan(x), med[i], np.nan_to_num(x)) - cen[i]) / sca[i]
+            xi = (np.where(np.isnan(x), med[i], x) - cen[i]) / sca[i]
             return xi, xi @ b[i]
 
         def totals(batches):
@@ -699,12 +724,12 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
             found = {}
             for pdf in batches:
                 for (s, k), part in pdf.groupby(["_set", "_range"]):
-                    w = build(part)
+                    w, x = build(part), part[cols].to_numpy(dtype=float)
                     for j in range(m):
                         on = w[:, j] > 0
                         if not on.any():
                             continue
-                        xi, z = scored(part[on], s * m + j)
+                        xi, z = scored(x[on], s * m + j)
                         top = z.max()
                         r = np.exp(z - top) * w[on, j]
                         cells = np.concatenate([[r.sum()], r @ xi, ((xi * r[:, None]).T @ xi).ravel()])
@@ -717,6 +742,46 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
                 yield pd.DataFrame({"model": [k[0] for k in found], "_range": [k[1] for k in found],
                                     "top": [v[0] for v in found.values()], "cells": [v[1] for v in found.values()]})
 
+        def by_time(batches):
+            import numpy as np
+            import pandas as pd
+
+            found = {}
+            for pdf in batches:
+                place = np.searchsorted(-few, -pdf[time].to_numpy())
+                pdf = pdf.iloc[np.argsort(place, kind="stable")]
+                for s, part in pdf.groupby("_set"):
+                    w, x, at = build(part), part[cols].to_numpy(dtype=float), np.searchsorted(-few, -part[time].to_numpy())
+                    e = (part[event].to_numpy() == 1).astype(float)
+                    for j in range(m):
+                        on = w[:, j] > 0
+                        if not on.any():
+                            continue
+                        xi, z = scored(x[on], s * m + j)
+                        top, begin = z.max(), np.flatnonzero(np.diff(at[on], prepend=-1))
+                        old = found.get(s * m + j)
+                        if old is None:
+                            old = found[s * m + j] = [top, np.zeros((len(few), shape))]
+                        elif top > old[0]:  # both on the scale of the larger exponent
+                            old[1][:, :2 * q] *= np.exp(old[0] - top)
+                            old[0] = top
+                        old[1][at[on][begin]] += time_sums(xi, np.exp(z - old[0]) * w[on, j], e[on], w[on, j], begin)
+            if found:
+                yield pd.DataFrame({"model": list(found), "top": [v[0] for v in found.values()], "cells": [v[1].ravel() for v in found.values()]})
+
+        def finished(pdf):
+            import numpy as np
+            import pandas as pd
+
+            peak, c = pdf["top"].max(), np.zeros((len(few), shape))
+            for top, cells in sorted(zip(pdf["top"], pdf["cells"]), key=lambda v: (v[0], tuple(v[1][:shape]))):
+                cells = np.array(cells).reshape(c.shape)
+                cells[:, :2 * q] *= np.exp(top - peak)
+                c += cells
+            at = c[:, 2 * q] > 0
+            total = terms(np.cumsum(c[:, :q], axis=0)[at], c[at, q:2 * q], c[at, 2 * q], c[at, 2 * q + 1:], p).sum(axis=0)
+            return pd.DataFrame({"model": [pdf["model"].iloc[0]], "cells": [total]})
+
         per = data.mapInPandas(totals, "model int, _range int, top double, cells array<double>")
         ahead = _ahead(per)
 
@@ -728,7 +793,7 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
             out, k = [], int(part["_range"].iloc[0]) if len(part) else 0
             for s, some in part.groupby("_set"):
                 some = some.sort_values(time, ascending=False, kind="stable")
-                w, t = build(some), some[time].to_numpy()
+                w, t, x = build(some), some[time].to_numpy(), some[cols].to_numpy(dtype=float)
                 e = (some[event].to_numpy() == 1).astype(float)
                 for j in range(m):
                     i = s * m + j
@@ -742,12 +807,10 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
 
                     for lo in range(0, len(t), COX_ROWS):
                         hi = min(lo + COX_ROWS, len(t))
-                        xi, z = scored(some.iloc[lo:hi], i)
+                        xi, z = scored(x[lo:hi], i)
                         r = np.exp(np.minimum(z - peak, 0.0)) * w[lo:hi, j]
-                        every = np.concatenate([r[:, None], xi * r[:, None], (r[:, None, None] * xi[:, :, None] * xi[:, None, :]).reshape(len(r), -1)], axis=1)
-                        hit = (e[lo:hi] * w[lo:hi, j])[:, None]
                         begin = np.flatnonzero(np.concatenate(([True], t[lo + 1:hi] != t[lo:hi - 1])))
-                        cells = np.add.reduceat(np.concatenate([every, every * e[lo:hi, None], hit, xi * hit], axis=1), begin, axis=0)
+                        cells = time_sums(xi, r, e[lo:hi], w[lo:hi, j], begin)
                         times = t[lo:hi][begin]
                         if held is not None and held[0] == times[0]:
                             cells[0] += held[1]
@@ -783,9 +846,12 @@ def fit_cox(rows: DataFrame, columns: Sequence[str], *, time: str, event: str, m
             one = terms(run[None], here[None, q:2 * q], here[None, 2 * q], here[None, 2 * q + 1:], p)[0]
             return pd.DataFrame({"model": [pdf["model"].iloc[0]], "cells": [one]})
 
-        found = cut(found)
-        pieces = found.where("kind = 0").select("model", "cells").union(
-            found.where("kind = 1").groupBy("model", "time").applyInPandas(ends, "model int, cells array<double>"))
+        if few is not None:
+            pieces = data.mapInPandas(by_time, "model int, top double, cells array<double>").groupBy("model").applyInPandas(finished, "model int, cells array<double>")
+        else:
+            found = cut(found)
+            pieces = found.where("kind = 0").select("model", "cells").union(
+                found.where("kind = 1").groupBy("model", "time").applyInPandas(ends, "model int, cells array<double>"))
         got = pieces.select("model", F.posexplode("cells").alias("cell", "value")).groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()
         table = np.zeros((m * count, p + p * p))
         table[got["model"].to_numpy(), got["cell"].to_numpy()] = got["value"].to_numpy()

@@ -4,6 +4,7 @@ import time as clock
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from fallpoint.plans import models
@@ -66,3 +67,41 @@ def test_a_million_distinct_times(spark):
     fit = models.fit_cox(rows, ["x"], time="t", event="e", penalizer=0.0)
     assert abs(fit.beta[0, 0] / rows.agg(F.stddev("x")).first()[0] - 0.5) < 0.01
     assert clock.time() - start < 600
+
+
+@pytest.mark.parametrize("run", [1, 40, 500])
+def test_sums_by_time_either_way(monkeypatch, run):
+    rng = np.random.default_rng(run)
+    n, p = 1000, 3
+    x, r, e, w = rng.normal(size=(n, p)), rng.random(n), (rng.random(n) < 0.4).astype(float), rng.integers(0, 3, n).astype(float)
+    begin = np.arange(0, n, run)
+    laid_out = []
+    for least in (0, n + 1):
+        monkeypatch.setattr(models, "COX_RUN", least)
+        laid_out.append(models.time_sums(x, r, e, w, begin))
+    assert laid_out[0].shape == (len(begin), 2 * (1 + p + p * p) + 1 + p)
+    np.testing.assert_allclose(laid_out[0], laid_out[1], rtol=1e-12, atol=1e-12)
+
+
+def test_products_of_rows_are_not_laid_out_for_large_times():
+    """Memory of one time with many rows: 2 q + 1 + p numbers a row before, some p + 1 now."""
+    import tracemalloc
+
+    n, p = 20_000, 12
+    x, r = np.ones((n, p)), np.ones(n)
+    tracemalloc.start()
+    models.time_sums(x, r, r, r, np.array([0]))
+    assert tracemalloc.get_traced_memory()[1] < n * 8 * 60
+    tracemalloc.stop()
+
+
+def test_few_times_are_summed_in_one_pass_with_the_same_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 600
+    rows = pd.DataFrame({"id": range(n), "x": rng.normal(size=n) * 30, "z": np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n)),
+                         "t": rng.integers(1, 9, n).astype(float), "e": rng.integers(0, 2, n), "f0": rng.integers(0, 3, n), "s": rng.integers(0, 2, n)})
+    data = spark.createDataFrame(rows)
+    fit = lambda: models.fit_cox(data, ["x", "z"], time="t", event="e", member=Membership(("f0",), 3), sets="s", count=2).beta
+    one = fit()
+    monkeypatch.setattr(models, "COX_CELLS", 0)
+    np.testing.assert_allclose(one, fit(), rtol=1e-8, atol=1e-10)
