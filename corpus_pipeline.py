@@ -26,17 +26,24 @@ from fallpoint.llm.simhash import near_representatives
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to the Python workers a few hundred at a time: what lies between Spark and a worker is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are too far from every language: null texts, texts without letters, other scripts.
 
     The languages are learnt from the documents' own ``lang``; without any nothing can be told and all go.  Null ids and
     repeated rows stay as they are."""
+    small_batches(spark)
     model = fit(docs)
     return identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each text; of rows repeated with id and text one stays.  A null text counts as empty."""
+    small_batches(spark)
     kept = exact_dedup(docs).where("kept")
     stays = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"), F.col("text_sha256").alias("_sha"))
     return only_rows(docs.select(*COLUMNS), stays)
@@ -46,6 +53,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies, a null id only where there is no other; of rows repeated with id and text one stays.
 
     Null and empty texts are one text."""
+    small_batches(spark)
     return near_representatives(docs).select(*COLUMNS)
 
 
@@ -56,6 +64,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, with the CRC-32 of their ids.  A null or empty text is its end id alone; repeated rows are packed each."""
+    small_batches(spark)
     return pack(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -17,3 +17,18 @@ def test_forgotten_runs_are_encoded_again():
     small, large = packing.ChunkCoder(WORD_BPE), packing.ChunkCoder(WORD_BPE)
     small.LIMIT = 40
     assert [small.encode([t]) for t in texts] == [large.encode([t]) for t in texts] and len(small.memory) < len(large.memory)
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    import corpus_pipeline
+
+    named = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(named)
+    try:
+        docs = spark.createDataFrame([(1, "a text", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+        for stage in (corpus_pipeline.packing_stage, corpus_pipeline.exact_stage):
+            spark.conf.set(named, "10000")
+            stage(spark, docs, "")
+            assert int(spark.conf.get(named)) <= 512
+    finally:
+        spark.conf.set(named, before)
